@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: ASCII white space (0x20 and 0x09-0x0D), the word separator of every text operator.
 WS = r"[\x20\x09-\x0D]"
@@ -42,3 +46,29 @@ def let(value, body):
 def ascii_lower(col):
     """Lower-case A-Z only; other letters stay as they are."""
     return F.translate(col, UPPER, LOWER)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker holds few texts as Python objects at a time."""
+    for b in batches:
+        for at in range(0, max(b.num_rows, 1), rows):
+            yield b.slice(at, rows)
+
+
+def map_rows(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterable[list[list]]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over lists: ``fn`` takes an iterator of batches and yields batches, each a list of columns.
+
+    Nulls arrive as None and integers stay integers.
+    """
+    kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in fn([c.to_pylist() for c in part.columns] for part in slices(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, kinds)
+
+
+def id_type(df: DataFrame, col: str) -> str:
+    return df.schema[col].dataType.simpleString()

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import table
+from .html_extract import extract_text
+from .packing import pack
 from .quality_rules import apply_policy, ledger
 from .simhash import simhash_components
 from .url_filter import filter_urls
@@ -14,6 +18,26 @@ from .url_filter import filter_urls
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = apply_policy(apply_policy(ledger(table(spark, sf_dir, "documents")), "base", "base_kept"), "v1")
     return led.withColumn("base_failed", ~F.col("base_kept")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
@@ -74,5 +98,5 @@ SELECT page_id, host, path,
 FROM hp
 """
 
-QUERIES = {"op5_quality_rules": op5_quality_rules, "op8_simhash_dedup": op8_simhash_dedup, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_packing": op1_packing, "op4_byte_bpe": op4_byte_bpe, "op9_html_text": op9_html_text, "op5_quality_rules": op5_quality_rules, "op8_simhash_dedup": op8_simhash_dedup, "op10_url_filter": op10_url_filter}
 ORACLE_SQL = {"op5_quality_rules": OP5_SQL, "op10_url_filter": OP10_SQL}

@@ -14,12 +14,11 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize
+from .common import LOWER, UPPER, id_type, map_rows, materialize
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -55,13 +54,12 @@ def fingerprint(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the 64-bit SimHash of every whole text. Null and word-less texts: 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"_id": b["_id"], "fp": [fingerprint(shingle_hashes(t, shingle)) for t in b["_text"]]})
+    def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        for ids, texts in batches:
+            yield [ids, [fingerprint(shingle_hashes(t, shingle)) for t in texts]]
 
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    kind = src.schema["_id"].dataType.simpleString()
-    return src.mapInPandas(run, f"_id {kind}, fp long").withColumnRenamed("_id", id_col)
+    return map_rows(src, run, f"_id {id_type(src, '_id')}, fp long").withColumnRenamed("_id", id_col)
 
 
 def ball_masks(bits: int, radius: int) -> list[int]:
