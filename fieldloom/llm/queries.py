@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from .ann import nearest
 from .common import table
 from .html_extract import extract_text
 from .packing import pack
@@ -34,6 +35,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -98,5 +104,5 @@ SELECT page_id, host, path,
 FROM hp
 """
 
-QUERIES = {"op1_packing": op1_packing, "op4_byte_bpe": op4_byte_bpe, "op9_html_text": op9_html_text, "op5_quality_rules": op5_quality_rules, "op8_simhash_dedup": op8_simhash_dedup, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_packing": op1_packing, "op4_byte_bpe": op4_byte_bpe, "op6_nearest_vectors": op6_nearest_vectors, "op9_html_text": op9_html_text, "op5_quality_rules": op5_quality_rules, "op8_simhash_dedup": op8_simhash_dedup, "op10_url_filter": op10_url_filter}
 ORACLE_SQL = {"op5_quality_rules": OP5_SQL, "op10_url_filter": OP10_SQL}
