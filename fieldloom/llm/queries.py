@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, lm_quality, toxicity
 from .ann import nearest
 from .common import table
 from .html_extract import extract_text
@@ -24,6 +24,17 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=("lang",))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_offending"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
@@ -104,5 +115,5 @@ SELECT page_id, host, path,
 FROM hp
 """
 
-QUERIES = {"op1_packing": op1_packing, "op4_byte_bpe": op4_byte_bpe, "op6_nearest_vectors": op6_nearest_vectors, "op9_html_text": op9_html_text, "op5_quality_rules": op5_quality_rules, "op8_simhash_dedup": op8_simhash_dedup, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_packing": op1_packing, "op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_nearest_vectors": op6_nearest_vectors, "op9_html_text": op9_html_text, "op5_quality_rules": op5_quality_rules, "op8_simhash_dedup": op8_simhash_dedup, "op10_url_filter": op10_url_filter}
 ORACLE_SQL = {"op5_quality_rules": OP5_SQL, "op10_url_filter": OP10_SQL}
