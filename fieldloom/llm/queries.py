@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm_quality, toxicity
+from . import bpe, chat, lm_quality, toxicity
 from .ann import nearest
 from .common import table
 from .html_extract import extract_text
@@ -51,6 +51,13 @@ def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles are learnt from four fifths of the conversations and recovered for all from their lines."""
+    lines = table(spark, sf_dir, "conversations")
+    held_out = F.crc32(F.col("conv_id").cast("string")) % 5 == 0
+    return chat.format_chats(lines, chat.fit(lines.where(~held_out)))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -115,5 +122,5 @@ SELECT page_id, host, path,
 FROM hp
 """
 
-QUERIES = {"op1_packing": op1_packing, "op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_nearest_vectors": op6_nearest_vectors, "op9_html_text": op9_html_text, "op5_quality_rules": op5_quality_rules, "op8_simhash_dedup": op8_simhash_dedup, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_packing": op1_packing, "op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_nearest_vectors": op6_nearest_vectors, "op7_chat_format": op7_chat_format, "op9_html_text": op9_html_text, "op5_quality_rules": op5_quality_rules, "op8_simhash_dedup": op8_simhash_dedup, "op10_url_filter": op10_url_filter}
 ORACLE_SQL = {"op5_quality_rules": OP5_SQL, "op10_url_filter": OP10_SQL}
