@@ -56,16 +56,20 @@ def _repeat_words(words: Column) -> Column:
     return count(words)
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measurements of every whole text; a null text counts as no words. One row per input row."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Measurements of every whole text; a null text counts as no words. One row per input row.
+
+    ``keep``: columns to carry along besides the id, under ``_keep_`` and their name.
+    """
     text = F.coalesce(F.col("_text"), F.lit(""))
     lines = let(F.filter(F.split(text, "\n", -1), lambda x: F.length(F.regexp_replace(x, WS, "")) > 0), lambda a: F.struct(F.size(a).alias("n"), (F.size(a) - F.size(F.array_distinct(a))).alias("dup")))
     squeezed = F.regexp_replace(text, WS, "")
     counted = let(_words(text), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("rep")))
     return (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
         .select(
             "_id",
+            *[f"_keep_{c}" for c in keep],
             counted.alias("_w"),
             lines.alias("_l"),
             F.length(squeezed).alias("word_chars"),
@@ -74,12 +78,13 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         )
         .select(
             F.col("_id").alias(id_col),
+            *[f"_keep_{c}" for c in keep],
             *[c.cast("long").alias(n) for c, n in ((F.col("_w.n"), "n_words"), (F.col("word_chars"), "word_chars"), (F.col("n_symbols"), "n_symbols"), (F.col("_l.dup"), "n_dup_lines"), (F.col("_w.rep"), "n_repeat_words"), (F.col("_l.n"), "n_lines"), (F.col("n_upper"), "n_upper"))],
         )
     )
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Measurements and ``fail_bits`` (bit i: ``RULES[i]`` failed) of every document.
 
     few_words: under 50 words. repeated_words: over half the words lie in repeated windows.
@@ -100,7 +105,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     for i, rule in enumerate(RULES):
         bit = F.when(failed[rule], F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
         bits = bit if bits is None else bits.bitwiseOR(bit)
-    return measure(docs, id_col, text_col).withColumn("fail_bits", bits)
+    return measure(docs, id_col, text_col, keep).withColumn("fail_bits", bits)
 
 
 def apply_policy(led: DataFrame, version: str = "v1", column: str = "kept") -> DataFrame:
@@ -119,3 +124,9 @@ def ablations(led: DataFrame, version: str = "v1") -> DataFrame:
     rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << RULES.index(r)).cast("long").alias("bit")) for r in POLICIES[version]])).alias("r")
     hit = by_bits.select("bits", "n", rules).where(F.col("bits").bitwiseAND(F.col("r.bit")) != 0)
     return hit.groupBy(F.col("r.rule").alias("rule")).agg(F.sum("n").alias("n_failed"), F.sum(F.when(F.bit_count("bits") == 1, F.col("n")).otherwise(0)).alias("n_only_this"))
+
+
+def passing(docs: DataFrame, version: str = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that the policy keeps, with the columns of ``docs``."""
+    led = apply_policy(ledger(docs, id_col, text_col, tuple(docs.columns)), version, "_kept")
+    return led.where("_kept").select(*[F.col(f"_keep_{c}").alias(c) for c in docs.columns])

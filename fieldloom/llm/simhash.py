@@ -118,3 +118,98 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, id_co
     lowest = rooted.groupBy("_root").agg(F.min("_low").alias("component_id"))
     of_fp = rooted.join(lowest, "_root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near duplicates: tables of 32 bits each, shingle of the fingerprints, shingle and least similarity of the check.
+TABLES, TABLE_BITS, FP_SHINGLE, CHECK_SHINGLE, SIMILARITY = 6, 32, 2, 5, 0.8
+#: Most differing bits of the 192 between texts of that similarity: it leaves 10 % of them in expectation.
+FAR_BITS = 48
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Similarity of two sets given as sorted distinct little-endian hashes; two empty sets are equal."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def _candidates(reps: DataFrame) -> DataFrame:
+    """(x, y, bits): distinct texts and the pivots that they meet, with the bits in which they differ.
+
+    Per table, values link to the least value of each variant they emit; a text is compared
+    with the least text of its own value and of the values its value links to, at most
+    2 + 2 * 33 a table however large the group.
+    """
+    word = lambda i: F.shiftright(F.col(f"fp{i // 2}"), 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+    fps = F.struct("fp0", "fp1", "fp2")
+    nodes = reps.select("key", fps.alias("fps"), F.explode(F.array(*[F.shiftleft(F.lit(i).cast("long"), 32).bitwiseOR(word(i)) for i in range(TABLES)])).alias("fp"))
+    values = materialize(nodes.groupBy("fp").agg(F.min(F.struct("key", "fps")).alias("pivot"), F.count("*").alias("n")), "neardup-values")
+    links = materialize(ball_links(values.select("fp"), 2, TABLE_BITS), "neardup-links")
+    to = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    met = to.join(values.select(F.col("fp").alias("b"), "pivot"), "b").select(F.col("a").alias("fp"), "pivot")
+    met = met.unionByName(values.where("n > 1").select("fp", "pivot"))
+    differ = lambda i: F.bit_count(F.col(f"fps.fp{i}").bitwiseXOR(F.col(f"pivot.fps.fp{i}")))
+    pairs = nodes.join(met, "fp").where(F.col("key") != F.col("pivot.key")).withColumn("bits", differ(0) + differ(1) + differ(2))
+    return pairs.where(F.col("bits") <= FAR_BITS).select(F.col("key").alias("x"), F.col("pivot.key").alias("y"), "bits").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of the pairs (x, y) whose shingle sets are similar enough."""
+
+    def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        for xs, ys, us, vs in batches:
+            fine = [i for i in range(len(xs)) if jaccard(us[i], vs[i]) >= SIMILARITY]
+            yield [[xs[i] for i in fine], [ys[i] for i in fine]]
+
+    of = lambda c, name: sets.select(F.col("key").alias(c), F.col("hashes").alias(name))
+    return map_rows(pairs.select("x", "y").join(of("x", "_u"), "x").join(of("y", "_v"), "y").select("x", "y", "_u", "_v"), run, "a string, b string")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, root): for every distinct text (by its MD5) in a group of several, the group's root text.
+
+    Groups are connected by pairs whose sets of five-word shingles have a Jaccard similarity
+    of 0.8 or more. Pairs are found by ball hashing at radius 2 in six tables of 32 bits
+    from two-word shingles: one 64-bit fingerprint of five-word shingles would differ in
+    about ten bits at that similarity, out of reach of any small ball. A first pass checks
+    each text with its nearest pivot, a second one all met pairs still in different groups.
+    """
+
+    def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        for keys, texts in batches:
+            fps = [[fingerprint(shingle_hashes(t, FP_SHINGLE, seed)) for t in texts] for seed in (42, 43, 44)]
+            yield [keys, *fps]
+
+    def hashed(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        for keys, texts in batches:
+            yield [keys, [np.unique(shingle_hashes(t, CHECK_SHINGLE)).astype("<u8").tobytes() for t in texts]]
+
+    keyed = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    reps = materialize(map_rows(keyed, run, "key string, fp0 long, fp1 long, fp2 long").distinct(), "neardup-fp")
+    pairs = materialize(_candidates(reps), "neardup-pairs")
+    some = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct()
+    sets = materialize(map_rows(keyed.join(some, "key", "left_semi"), hashed, "key string, hashes binary").dropDuplicates(["key"]), "neardup-sets")
+    nearest = pairs.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("_n")).select("x", F.col("_n.y").alias("y"))
+    links = materialize(_verified(nearest, sets), "neardup-links1")
+    roots = materialize(components(links, "neardup-cc1"), "neardup-roots1")
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    apart = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").where(F.coalesce("x_root", "x") != F.coalesce("y_root", "y"))
+    more = materialize(_verified(apart.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), sets), "neardup-links2")
+    return components(links.unionByName(more), "neardup-cc2").select(F.col("node").alias("key"), "root")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of exact or near copies: that of the smallest id. Columns as in ``docs``.
+
+    Null texts count as empty and are copies of each other. A null id comes after all
+    others; of rows that repeat id and text one stays.
+    """
+    groups = materialize(near_duplicate_groups(docs, id_col, text_col), "neardup-groups")
+    keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    first = keyed.groupBy("_key").agg(F.min(id_col).alias("_low")).join(groups, F.col("_key") == F.col("key"), "left")
+    best = first.groupBy(F.coalesce("root", "_key").alias("_root")).agg(F.min(F.struct(F.col("_low").isNull(), "_low", "_key")).alias("_best"))
+    stay = best.select(F.col("_best._key").alias("_k"), F.col("_best._low").alias("_low"))
+    kept = keyed.join(stay, (F.col("_key") == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_low")))
+    return kept.dropDuplicates(["_key"]).select(*docs.columns)
