@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import LOWER, UPPER, id_type, map_rows, materialize
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -79,29 +80,6 @@ def ball_links(fps: DataFrame, radius: int = 2, bits: int = 64) -> DataFrame:
     return linked.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
-def components(links: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable over ``links`` (a, b), for every node in a link.
-
-    Alternating large-star and small-star steps; each round is aggregations and joins over
-    the links, written to the shared folder, so neither a component nor the link list is
-    held by one task or the driver. Rounds grow with the logarithm of the longest path.
-    """
-    e = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), f"{name}-0")
-    before = None
-    for i in range(1, max_rounds + 1):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("x"), "m").where("x != m").select(F.col("x").alias("a"), F.col("m").alias("b"))
-        e = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), f"{name}-{i}")
-        now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == before:
-            return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = now
-    raise RuntimeError("components did not settle")
-
-
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for every row.
 
