@@ -349,3 +349,37 @@ def baseline_line(spark, sf_dir):
 
 
 QUERIES |= {f.__name__: f for f in (edf_predict, edf_grid, baseline_global, baseline_line)}
+
+
+def segments_extract(spark, sf_dir):
+    from ..operators.extract import extract_segments
+    from .point_queries import _large
+
+    s = extract_segments(_large(spark, sf_dir))
+    return s.select("line_id", "room_id", "cluster_id", "n_points", "is_short", *[r6(c).alias(c) for c in ("r", "theta", "x1", "y1", "x2", "y2")])
+
+
+def robot_map(spark, sf_dir):
+    """Line maps of three robots from the segments of their scans."""
+    from ..operators.extract import extract_segments
+    from ..operators.mapping import build_map
+    from .point_queries import _large
+
+    s = extract_segments(_large(spark, sf_dir)).withColumn("scan_id", F.shiftright("line_id", 20))
+    lines = build_map(s.withColumn("robot_id", (F.col("scan_id") % 3).cast("string")))
+    return lines.select("robot_id", "line_id", "weight", *[r6(c).alias(c) for c in ("r", "theta", "x1", "y1", "x2", "y2")])
+
+
+def room_segmentation(spark, sf_dir):
+    from ..operators.spectral import split_rooms
+
+    return split_rooms(rooms.visibility_edges(v.segments(spark, sf_dir)))
+
+
+def label_match(spark, sf_dir):
+    from ..operators.spectral import match_labels
+
+    return match_labels(rooms.label_contingency(v.labels(spark, sf_dir)).withColumn("map_id", F.lit(0)))
+
+
+QUERIES |= {f.__name__: f for f in (segments_extract, robot_map, room_segmentation, label_match)}
