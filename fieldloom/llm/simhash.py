@@ -185,9 +185,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     others; of rows that repeat id and text one stays.
     """
     groups = materialize(near_duplicate_groups(docs, id_col, text_col), "neardup-groups")
-    keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    first = keyed.groupBy("_key").agg(F.min(id_col).alias("_low")).join(groups, F.col("_key") == F.col("key"), "left")
+    keyed = docs.select(F.struct("*").alias("_row"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"), F.col(id_col).alias("_rid"))
+    first = keyed.groupBy("_key").agg(F.min("_rid").alias("_low")).join(groups, F.col("_key") == F.col("key"), "left")
     best = first.groupBy(F.coalesce("root", "_key").alias("_root")).agg(F.min(F.struct(F.col("_low").isNull(), "_low", "_key")).alias("_best"))
     stay = best.select(F.col("_best._key").alias("_k"), F.col("_best._low").alias("_low"))
-    kept = keyed.join(stay, (F.col("_key") == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_low")))
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    kept = keyed.join(stay, (F.col("_key") == F.col("_k")) & F.col("_rid").eqNullSafe(F.col("_low")))
+    return kept.dropDuplicates(["_key"]).select("_row.*")

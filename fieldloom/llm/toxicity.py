@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_other: in
         yield [list(model), list(model.values())]
 
     sample = pick(0, max_other).unionByName(pick(1, max_toxic)).coalesce(1).sortWithinPartitions("_id", "_text")
-    return {r[0]: r[1] for r in map_rows(sample, train, "feature string, weight double").collect()}
+    return {r[0]: r[1] for r in map_rows(sample, train, "feature string, weight double").collect()} or {"": -4.0}
 
 
 def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
