@@ -238,20 +238,22 @@ def apply_changes(fields: dict[int, Field], changes: list[tuple[int, int, str, n
 
 
 def fit_rooms(points: DataFrame, segments: DataFrame | None = None, cfg: MapConfig = DEFAULT, batch_col: str = "batch") -> DataFrame:
-    """GP state of every room from its points (room_id, batch, x, y), batches in order. Points should be voxels, which bound a room."""
+    """GP state of every room from its points (room_id, batch, x, y), batches in order. Points should be voxels, which bound a room.
+
+    A room with lines but no points has a state without inducing points: its prior alone.
+    """
 
     def fit(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         field, version = Field.empty(), 0
+        room = int((p if len(p) else s)["room_id"].iloc[0])
         segs = s[["x1", "y1", "x2", "y2"]].to_numpy()
         for _, b in p.sort_values([batch_col, "x", "y"]).groupby(batch_col):
             field, version = update(field, b[["x", "y"]].to_numpy(), cfg, segs), version + 1
-        if not len(field.z):
-            return pd.DataFrame([], columns=names(GP_STATE))
-        row = [int(p["room_id"].iloc[0]), version, len(field.z), field.z[:, 0], field.z[:, 1], field.mean, list(field.cov), field.old_z[:, 0], field.old_z[:, 1], field.old_mean, list(field.old_c)]
+        row = [room, version, len(field.z), field.z[:, 0], field.z[:, 1], field.mean, list(field.cov), field.old_z[:, 0], field.old_z[:, 1], field.old_mean, list(field.old_c)]
         return pd.DataFrame([row], columns=names(GP_STATE))
 
     lines = segments if segments is not None else points.sparkSession.createDataFrame([], "room_id int, x1 double, y1 double, x2 double, y2 double")
-    return points.groupBy("room_id").cogroup(lines.groupBy("room_id")).applyInPandas(lambda p, s: fit(p, s) if len(p) else pd.DataFrame([], columns=names(GP_STATE)), GP_STATE)
+    return points.groupBy("room_id").cogroup(lines.groupBy("room_id")).applyInPandas(fit, GP_STATE)
 
 
 def predict_rooms(queries: DataFrame, state: DataFrame, segments: DataFrame | None = None, cfg: MapConfig = DEFAULT, parts: int = 16) -> DataFrame:

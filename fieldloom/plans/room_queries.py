@@ -383,3 +383,66 @@ def label_match(spark, sf_dir):
 
 
 QUERIES |= {f.__name__: f for f in (segments_extract, robot_map, room_segmentation, label_match)}
+
+
+MEETX = "((p.r * sin(q.theta) - q.r * sin(p.theta)) / sin(q.theta - p.theta))"
+MEETY = "((q.r * cos(p.theta) - p.r * cos(q.theta)) / sin(q.theta - p.theta))"
+JUNCTIONS = f""", junctions AS (
+  SELECT * FROM (SELECT p.room_id, p.line_id AS p, q.line_id AS q, {MEETX} AS x, {MEETY} AS y, p.x1 AS px, p.y1 AS py, p.dx AS pdx, p.dy AS pdy, p.len AS plen
+    FROM {PAIRS} WHERE abs(p.theta - q.theta) > {PI / 3!r} AND abs(p.theta - q.theta) < {2 * PI / 3!r} AND {segd2_sql('p', 'q')} < 0.25)
+  WHERE (x - px) * pdx + (y - py) * pdy >= 0.5 AND plen - ((x - px) * pdx + (y - py) * pdy) >= 0.5 AND NOT (q IN (SELECT src FROM edges) AND q IN (SELECT dst FROM edges))
+)"""
+
+
+@query(JUNCTIONS + f" SELECT room_id, p, q, {q('x')} AS x, {q('y')} AS y FROM junctions")
+def t_junctions(spark, sf_dir):
+    from ..operators.maintain import t_junctions as found
+
+    return found(v.segments(spark, sf_dir), v.line_edges(spark, sf_dir)).select("room_id", "p", "q", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query(JUNCTIONS + f""", cut AS (SELECT p AS line_id, x, y FROM junctions QUALIFY row_number() OVER (PARTITION BY p ORDER BY sqrt((x - px) * (x - px) + (y - py) * (y - py)), x, y) = 1)
+SELECT s.line_id, 0 AS part, {q('x1')} AS x1, {q('y1')} AS y1, {q('x2')} AS x2, {q('y2')} AS y2 FROM segs s WHERE s.line_id NOT IN (SELECT line_id FROM cut)
+UNION ALL SELECT s.line_id, 1, {q('x1')}, {q('y1')}, {q('c.x')}, {q('c.y')} FROM segs s JOIN cut c ON c.line_id = s.line_id
+UNION ALL SELECT s.line_id, 2, {q('c.x')}, {q('c.y')}, {q('x2')}, {q('y2')} FROM segs s JOIN cut c ON c.line_id = s.line_id""")
+def split_lines(spark, sf_dir):
+    from ..operators import maintain
+
+    s = v.segments(spark, sf_dir)
+    parts = maintain.split_lines(s, maintain.t_junctions(s, v.line_edges(spark, sf_dir)))
+    return parts.select("line_id", "part", *[r6(c).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+CLOSE = f""", cand AS (SELECT p.line_id AS p, q.line_id AS q, {GAP} AS gap FROM {PAIRS}
+  WHERE ((q.x1 - p.x2) * p.dx + (q.y1 - p.y2) * p.dy) >= 0 AND {GAP} <= 0.5 AND abs((q.x1 - p.x2) * p.nx + (q.y1 - p.y2) * p.ny) <= 0.2
+  AND p.line_id NOT IN (SELECT src FROM edges) AND q.line_id NOT IN (SELECT dst FROM edges)
+), best AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY gap, q) AS kp, row_number() OVER (PARTITION BY q ORDER BY gap, p) AS kq FROM cand)"""
+
+
+@query(CLOSE + f""" SELECT least(b.p, b.q) AS line_id, greatest(b.p, b.q) AS absorbed, {q('s.x1')} AS x1, {q('s.y1')} AS y1, {q('t.x2')} AS x2, {q('t.y2')} AS y2, CAST(greatest(s.weight, t.weight) + 1 AS INTEGER) AS weight
+FROM best b JOIN segs s ON s.line_id = b.p JOIN segs t ON t.line_id = b.q WHERE kp = 1 AND kq = 1""")
+def close_gaps(spark, sf_dir):
+    from ..operators import maintain
+
+    c = maintain.close_gaps(v.segments(spark, sf_dir), v.line_edges(spark, sf_dir))
+    return c.select("line_id", "absorbed", *[r6(x).alias(x) for x in ("x1", "y1", "x2", "y2")], "weight")
+
+
+def corner_apply(spark, sf_dir):
+    """Corner edges after each line end has taken its nearest partner."""
+    from ..operators import maintain
+
+    return maintain.apply_corners(v.segments(spark, sf_dir))[1]
+
+
+def edf_profile(spark, sf_dir):
+    """A profile of the field over rooms that see each point: the least distance of several rooms counts."""
+    p = v.points(spark, sf_dir)
+    state = field.fit_rooms(field.voxel_downsample(p).select("room_id", F.lit(0).alias("batch"), "x", "y"))
+    line = p.groupBy("room_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.avg("y").alias("y"))
+    asked = line.select("room_id", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("i"), "x0", "x1", "y")
+    q_ = asked.select(F.col("i").cast("long").alias("query_id"), "room_id", (F.col("x0") + F.col("i") * (F.col("x1") - F.col("x0")) / 99).alias("x"), "y")
+    return field.predict_rooms(q_, state).groupBy("query_id").agg(F.min("distance").alias("distance"), F.count("*").alias("n_rooms"))
+
+
+QUERIES |= {f.__name__: f for f in (corner_apply, edf_profile)}

@@ -84,6 +84,18 @@ def test_map_merges_the_same_walls(spark):
     assert len(lines) <= 6 and max(x.weight for x in lines) >= 3
 
 
+def test_world_distance_field(spark):
+    from fieldloom.plans.build import build
+
+    poses = [(0.0, 0.0), (0.5, 0.3), (-0.5, -0.3), (0.9, -0.6)]
+    world = build(scans(spark, poses), 2 * math.pi / 360)
+    grid = [(i, float(x), float(y)) for i, (x, y) in enumerate((x, y) for x in np.linspace(-1.7, 1.7, 6) for y in np.linspace(-1.7, 1.7, 6))]
+    got = {r.query_id: r.distance for r in world.predict(spark.createDataFrame(grid, "query_id long, x double, y double")).collect()}
+    assert len(got) == len(grid)
+    for i, x, y in grid:
+        assert got[i] == pytest.approx(min(2 - abs(x), 2 - abs(y)), abs=0.06)
+
+
 def test_grid_join_is_the_nested_loop(spark):
     rng = np.random.default_rng(1)
     pts = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.uniform(-3, 3, (300, 2)))], "point_id int, x double, y double")
