@@ -149,8 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_other: in
     each kind the model is a constant.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)").dropDuplicates(["_id"])
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & (F.length("_text") <= max_chars)).join(known, "_id")
-    pick = lambda y, most: rows.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id", "_text").limit(most)
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & (F.length("_text") <= max_chars))
+    there = src.select("_id").distinct().join(known, "_id")  # ids only: no text is shuffled
+    pick = lambda y, most: there.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    chosen = pick(0, max_other).unionByName(pick(1, max_toxic))  # max_other + max_toxic rows at most, hence the broadcast
+    rows = src.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).select("_id", "_text", "_y")
 
     def train(batches: Iterator[list[list]]) -> Iterator[list[list]]:
         texts, ys = [], []
@@ -160,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_other: in
         model = fit_bags(texts, ys) if len(set(ys)) == 2 else {"": -4.0}
         yield [list(model), list(model.values())]
 
-    sample = pick(0, max_other).unionByName(pick(1, max_toxic)).coalesce(1).sortWithinPartitions("_id", "_text")
+    sample = rows.coalesce(1).sortWithinPartitions("_id")
     return {r[0]: r[1] for r in map_rows(sample, train, "feature string, weight double").collect()} or {"": -4.0}
 
 
