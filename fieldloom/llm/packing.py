@@ -152,7 +152,7 @@ class Windows:
         return [list(c) for c in zip(*out, strict=True)] or [[] for _ in range(8)]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2, open_windows: int = 64, max_gap: int = 16, merge_rows: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2, open_windows: int = 64, max_gap: int = 16, merge_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents into sequences of at most ``size`` tokens.
 
     Returns one row per piece: id, start (the document's tokens before it), length,
