@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, MapConfig
 from ..functions import geometry as g
 from .segments import _ends, pairs_within
+from .spatial import points_in_boxes
 
 
 def local_lines(lines: DataFrame, room_edges: DataFrame) -> DataFrame:
@@ -176,8 +177,7 @@ def assign_points(points: DataFrame, rooms: DataFrame, segments: DataFrame, cand
 
 def identify_room(points: DataFrame, rooms: DataFrame, segments: DataFrame) -> DataFrame:
     """Room of every query point: the boxes that hold it, or else its two nearest boxes, are the candidates."""
-    r = rooms.select(F.struct("*").alias("r"))
-    inside = points.join(r, in_rect("x", "y", "r")).select("point_id", F.col("r.room_id").alias("room_id"))
+    inside = points_in_boxes(points, rooms).select("point_id", F.col("r.room_id").alias("room_id"))
     outside = points.join(inside.select("point_id").distinct(), "point_id", "left_anti")
     near = knn_rooms(outside, rooms).select("point_id", "room_id")
     return assign_points(points, rooms, segments, inside.unionByName(near))

@@ -30,6 +30,15 @@ def points_near_segments(points: DataFrame, segments: DataFrame, radius: float,
     return joined.where(F.col("d2") <= radius * radius).drop("_cx", "_cy")
 
 
+def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 1.0) -> DataFrame:
+    """All (point row, r) with the point in the box r (min_x, min_y, max_x, max_y, borders included), by the cells a box covers."""
+    span = lambda low, high: F.explode(F.sequence(_cell(F.col(low), cell), _cell(F.col(high), cell)))
+    covered = boxes.select(F.struct("*").alias("r")).withColumn("_cx", span("r.min_x", "r.max_x")).withColumn("_cy", span("r.min_y", "r.max_y"))
+    placed = points.withColumn("_cx", _cell(F.col("x"), cell)).withColumn("_cy", _cell(F.col("y"), cell))
+    inside = F.col("x").between(F.col("r.min_x"), F.col("r.max_x")) & F.col("y").between(F.col("r.min_y"), F.col("r.max_y"))
+    return placed.join(covered, ["_cx", "_cy"]).where(inside).drop("_cx", "_cy")
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, key: str = "room_id", by: tuple[str, ...] = ("point_id",), digits: int = 9) -> DataFrame:
     """Per point the nearest line of its room and the distance; ties go to the smaller line id.
 
