@@ -116,16 +116,16 @@ def jaccard(a: bytes, b: bytes) -> float:
 def _candidates(reps: DataFrame) -> DataFrame:
     """(x, y, bits): distinct texts and the pivots that they meet, with the bits in which they differ.
 
-    Per table, values link to the least value of each variant they emit; a text is compared
-    with the least text of its own value and of the values its value links to, at most
-    2 + 2 * 33 a table however large the group.
+    Per table, values link to the least value of each variant they emit. A text is compared
+    with the least text of its own value and with that of the least value its own links to:
+    at most two a table, however large the group.
     """
     word = lambda i: F.shiftright(F.col(f"fp{i // 2}"), 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
     fps = F.struct("fp0", "fp1", "fp2")
     nodes = reps.select("key", fps.alias("fps"), F.explode(F.array(*[F.shiftleft(F.lit(i).cast("long"), 32).bitwiseOR(word(i)) for i in range(TABLES)])).alias("fp"))
     values = materialize(nodes.groupBy("fp").agg(F.min(F.struct("key", "fps")).alias("pivot"), F.count("*").alias("n")), "neardup-values")
     links = materialize(ball_links(values.select("fp"), 2, TABLE_BITS), "neardup-links")
-    to = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    to = links.groupBy("a").agg(F.min("b").alias("b"))
     met = to.join(values.select(F.col("fp").alias("b"), "pivot"), "b").select(F.col("a").alias("fp"), "pivot")
     met = met.unionByName(values.where("n > 1").select("fp", "pivot"))
     differ = lambda i: F.bit_count(F.col(f"fps.fp{i}").bitwiseXOR(F.col(f"pivot.fps.fp{i}")))
