@@ -442,8 +442,8 @@ def kn_brute(texts, chars):
 
 def test_kneser_ney(spark):
     texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "mat cat hat"]
-    trusted = docs_of(spark, texts)
-    model = lm_quality.train(trusted)
+    labels = spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, quality int")
+    model = lm_quality.train(docs_of(spark, [*texts, None, "not trusted"]), labels)
     p = kn_brute(texts, model["chars"])
     logs = model["models"]["*"].reshape(64, 64, 64)
     rng = random.Random(9)
