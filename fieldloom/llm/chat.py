@@ -139,14 +139,17 @@ def format_chats(transcripts: DataFrame, model: dict, conv_col: str = "conv_id",
                     out.append(chunk_matrix(s, step, emit).ravel().tolist())
             yield pd.DataFrame({"_conv": b["_conv"], "_chunk": b["_chunk"], "_m": out})
 
-    def chained(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("_chunk")
-        ms = [np.asarray(m).reshape(k, k) for m in p["_m"]]
-        bounds = chain(ms[0][0], ms[1:])
-        return pd.DataFrame({"_conv": p["_conv"], "_chunk": p["_chunk"], "_before": [b for b, _ in bounds], "_last": [e for _, e in bounds]})
+    def chained(it):
+        for b in it:
+            rows = []
+            for conv_id, chunks in zip(b["_conv"], b["_chunks"], strict=True):
+                ms = [np.asarray(c["_m"]).reshape(k, k) for c in chunks]
+                rows += [(conv_id, c["_chunk"], *bound) for c, bound in zip(chunks, chain(ms[0][0], ms[1:]), strict=True)]
+            yield pd.DataFrame(rows, columns=["_conv", "_chunk", "_before", "_last"])
 
     small = ordered.mapInPandas(matrices, f"_conv {conv}, _chunk long, _m array<double>")
-    bounds = small.groupBy("_conv").applyInPandas(chained, f"_conv {conv}, _chunk long, _before int, _last int")
+    of_conv = small.groupBy("_conv").agg(F.sort_array(F.collect_list(F.struct("_chunk", "_m"))).alias("_chunks"))  # one matrix for ``chunk`` lines
+    bounds = of_conv.mapInPandas(chained, f"_conv {conv}, _chunk long, _before int, _last int")
 
     def decoded(it):
         for b in it:
