@@ -102,6 +102,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, id_co
 TABLES, TABLE_BITS, FP_SHINGLE, CHECK_SHINGLE, SIMILARITY = 6, 32, 2, 5, 0.8
 #: Most differing bits of the 192 between texts of that similarity: it leaves 10 % of them in expectation.
 FAR_BITS = 48
+#: Most shingles whose frequency is known to the order of prefixes.
+FREQUENT = 200_000
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -118,41 +120,112 @@ def _candidates(reps: DataFrame) -> DataFrame:
 
     Per table, values link to the least value of each variant they emit. A text is compared
     with the least text of its own value and with that of the least value its own links to:
-    at most two a table, however large the group.
+    at most two a table, however large the group. The rest is found by ``_shared``.
     """
     word = lambda i: F.shiftright(F.col(f"fp{i // 2}"), 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
     fps = F.struct("fp0", "fp1", "fp2")
-    nodes = reps.select("key", fps.alias("fps"), F.explode(F.array(*[F.shiftleft(F.lit(i).cast("long"), 32).bitwiseOR(word(i)) for i in range(TABLES)])).alias("fp"))
-    values = materialize(nodes.groupBy("fp").agg(F.min(F.struct("key", "fps")).alias("pivot"), F.count("*").alias("n")), "neardup-values")
+    nodes = reps.select("no", fps.alias("fps"), F.explode(F.array(*[F.shiftleft(F.lit(i).cast("long"), 32).bitwiseOR(word(i)) for i in range(TABLES)])).alias("fp"))
+    values = materialize(nodes.groupBy("fp").agg(F.min(F.struct("no", "fps")).alias("pivot"), F.count("*").alias("n")), "neardup-values")
     links = materialize(ball_links(values.select("fp"), 2, TABLE_BITS), "neardup-links")
     to = links.groupBy("a").agg(F.min("b").alias("b"))
     met = to.join(values.select(F.col("fp").alias("b"), "pivot"), "b").select(F.col("a").alias("fp"), "pivot")
     met = met.unionByName(values.where("n > 1").select("fp", "pivot"))
     differ = lambda i: F.bit_count(F.col(f"fps.fp{i}").bitwiseXOR(F.col(f"pivot.fps.fp{i}")))
-    pairs = nodes.join(met, "fp").where(F.col("key") != F.col("pivot.key")).withColumn("bits", differ(0) + differ(1) + differ(2))
-    return pairs.where(F.col("bits") <= FAR_BITS).select(F.col("key").alias("x"), F.col("pivot.key").alias("y"), "bits").distinct()
+    pairs = nodes.join(met, "fp").where(F.col("no") != F.col("pivot.no")).withColumn("bits", differ(0) + differ(1) + differ(2))
+    return pairs.where(F.col("bits") <= FAR_BITS).select(F.col("no").alias("x"), F.col("pivot.no").alias("y"), "bits").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def prefix(hashes: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of the distinct shingles in the order of ``counts`` (0 outside of ``often``, which is sorted), then hash.
+
+    Of two sets with a Jaccard similarity of 0.8 or more, each holds four fifths of the other
+    at least, so the fifth that comes first in a common order, and one more, have one in common.
+    """
+    at = np.searchsorted(often, hashes)
+    at[at == len(often)] = 0
+    count = np.where(often[at] == hashes, counts[at], 0) if len(often) else np.zeros(len(hashes), np.int64)
+    n = len(hashes)
+    return hashes[np.lexsort((hashes, count))[: n - (4 * n + 4) // 5 + 1]] if n else hashes
+
+
+def _frequent(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of an eighth of the texts, sorted, and their counts. They only set the order of ``prefix``, so no result depends on them."""
+
+    def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        for (texts,) in batches:
+            for t in texts:
+                yield [np.unique(shingle_hashes(t, CHECK_SHINGLE)).view(np.int64).tolist()]
+
+    counts = map_rows(keyed.where("key < '2'").select("_text"), run, "token long").groupBy("token").count().where("count > 2")
+    top = sorted((r[0] & (2**64 - 1), r[1]) for r in counts.orderBy(F.desc("count"), "token").limit(FREQUENT).collect())
+    return np.array([h for h, _ in top], np.uint64), np.array([n for _, n in top], np.int64)
+
+
+def _shared(keyed: DataFrame, reps: DataFrame) -> DataFrame:
+    """(token, no, n, i): the prefix shingles that several texts have, with the size of the text's set and their place in it."""
+    shared = keyed.sparkSession.sparkContext.broadcast(_frequent(keyed))  # FREQUENT rows at most
+
+    def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        for keys, texts in batches:
+            sets = [np.unique(shingle_hashes(t, CHECK_SHINGLE)) for t in texts]
+            yield [keys, [len(s) for s in sets], [prefix(s, *shared.value).view(np.int64).tolist() for s in sets]]
+
+    first = map_rows(keyed, run, "key string, n long, tokens array<long>").dropDuplicates(["key"]).join(reps.select("key", "no"), "key")
+    rows = first.select("no", "n", F.posexplode("tokens").alias("i", "token")).select("token", "no", F.shiftleft("n", 32).bitwiseOR(F.col("i").cast("long")).alias("_ni"))
+    of = Window.partitionBy("token")
+    several = rows.withColumn("_low", F.min("no").over(of)).withColumn("_high", F.max("no").over(of)).where("_low < _high")
+    return several.select("token", "no", F.shiftright("_ni", 32).alias("n"), F.col("_ni").bitwiseAND(F.lit(0xFFFFFFFF)).alias("i"), F.col("_low").alias("pivot"))
+
+
+def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(x, y), x < y: all pairs of different roots that have a prefix shingle in common and whose sizes allow the similarity.
+
+    A similarity of 0.8 is an overlap of 4/9 of the two sizes. Behind the first shingle in
+    common, the one of least place in both, the sets must hold that many; and shingles in
+    common lie in both prefixes or behind that prefix which ends first.
+    """
+    own = F.coalesce("root", "no")
+    rooted = shared.join(roots.select(F.col("node").alias("no"), "root"), "no", "left").select("token", "no", "n", "i", own.alias("root"))
+    of = Window.partitionBy("token")
+    rooted = materialize(rooted.withColumn("_low", F.min("root").over(of)).withColumn("_high", F.max("root").over(of)).where("_low < _high").drop("_low", "_high"), "neardup-rooted")
+    x, y = (rooted.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("no", "n", "i", "root")]) for s in "xy")
+    alike = F.expr("no_x < no_y AND root_x != root_y AND 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y)")
+    met = x.join(y, "token").where(alike).groupBy(F.col("no_x").alias("x"), F.col("no_y").alias("y"))
+    firsts = met.agg(F.count("*").alias("c"), *[F.min(c).alias(c) for c in ("n_x", "n_y", "i_x", "i_y")])
+    most = "c + greatest((4 * n_x + 4) DIV 5, (4 * n_y + 4) DIV 5) - 1"
+    return firsts.where(f"9 * least(n_x - i_x, n_y - i_y, {most}) >= 4 * (n_x + n_y)").select("x", "y")
+
+
+def _verified(pairs: DataFrame, keyed: DataFrame, reps: DataFrame, name: str) -> DataFrame:
     """Links (a, b) of the pairs (x, y) whose shingle sets are similar enough."""
 
+    def hashed(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        for keys, texts in batches:
+            yield [keys, [np.unique(shingle_hashes(t, CHECK_SHINGLE)).astype("<u8").tobytes() for t in texts]]
+
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
         for xs, ys, us, vs in batches:
             fine = [i for i in range(len(xs)) if jaccard(us[i], vs[i]) >= SIMILARITY]
             yield [[xs[i] for i in fine], [ys[i] for i in fine]]
 
-    of = lambda c, name: sets.select(F.col("key").alias(c), F.col("hashes").alias(name))
-    return map_rows(pairs.select("x", "y").join(of("x", "_u"), "x").join(of("y", "_v"), "y").select("x", "y", "_u", "_v"), run, "a string, b string")
+    pairs = materialize(pairs, f"neardup-pairs{name}")
+    ends = pairs.select(F.col("x").alias("no")).unionByName(pairs.select(F.col("y").alias("no"))).distinct()
+    some = materialize(reps.select("key", "no").join(ends, "no", "left_semi"), f"neardup-ends{name}")
+    sets = map_rows(keyed.join(some, "key", "left_semi"), hashed, "key string, hashes binary").dropDuplicates(["key"])
+    sets = materialize(sets.join(some, "key").select("no", "hashes"), f"neardup-sets{name}")
+    of = lambda c, name: sets.select(F.col("no").alias(c), F.col("hashes").alias(name))
+    return materialize(map_rows(pairs.join(of("x", "_u"), "x").join(of("y", "_v"), "y").select("x", "y", "_u", "_v"), run, "a long, b long"), f"neardup-links{name}")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, root): for every distinct text (by its MD5) in a group of several, the group's root text.
 
     Groups are connected by pairs whose sets of five-word shingles have a Jaccard similarity
-    of 0.8 or more. Pairs are found by ball hashing at radius 2 in six tables of 32 bits
-    from two-word shingles: one 64-bit fingerprint of five-word shingles would differ in
-    about ten bits at that similarity, out of reach of any small ball. A first pass checks
-    each text with its nearest pivot, a second one all met pairs still in different groups.
+    of 0.8 or more, all of them. A first pass checks each text with one pivot found by ball
+    hashing (radius 2, six tables of 32 bits from two-word shingles: one 64-bit fingerprint of
+    five-word shingles would differ in about ten bits at that similarity, out of reach of any
+    small ball) and with one found by prefix shingles. It only spares work: a second pass
+    checks every pair still in different groups that a prefix filter, which is exact, leaves.
     """
 
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
@@ -160,22 +233,20 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             fps = [[fingerprint(shingle_hashes(t, FP_SHINGLE, seed)) for t in texts] for seed in (42, 43, 44)]
             yield [keys, *fps]
 
-    def hashed(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-        for keys, texts in batches:
-            yield [keys, [np.unique(shingle_hashes(t, CHECK_SHINGLE)).astype("<u8").tobytes() for t in texts]]
-
     keyed = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    reps = materialize(map_rows(keyed, run, "key string, fp0 long, fp1 long, fp2 long").distinct(), "neardup-fp")
-    pairs = materialize(_candidates(reps), "neardup-pairs")
-    some = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct()
-    sets = materialize(map_rows(keyed.join(some, "key", "left_semi"), hashed, "key string, hashes binary").dropDuplicates(["key"]), "neardup-sets")
-    nearest = pairs.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("_n")).select("x", F.col("_n.y").alias("y"))
-    links = materialize(_verified(nearest, sets), "neardup-links1")
+    # written, so that the numbers stay
+    reps = materialize(map_rows(keyed, run, "key string, fp0 long, fp1 long, fp2 long").distinct().withColumn("no", F.monotonically_increasing_id()), "neardup-fp")
+    near = _candidates(reps).groupBy("x").agg(F.min(F.struct("bits", "y")).alias("_n")).select("x", F.col("_n.y").alias("y"))
+    shared = materialize(_shared(keyed, reps), "neardup-shared")
+    often = shared.where("no != pivot").groupBy(F.col("no").alias("x"), F.col("pivot").alias("y")).agg(F.count("*").alias("count"), F.min("n").alias("n")).where("20 * count >= n")
+    most = often.groupBy("x").agg(F.max(F.struct("count", "y")).alias("_n")).select("x", F.col("_n.y").alias("y"))
+    links = _verified(near.unionByName(most).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), keyed, reps, "1")
     roots = materialize(components(links, "neardup-cc1"), "neardup-roots1")
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    apart = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").where(F.coalesce("x_root", "x") != F.coalesce("y_root", "y"))
-    more = materialize(_verified(apart.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), sets), "neardup-links2")
-    return components(links.unionByName(more), "neardup-cc2").select(F.col("node").alias("key"), "root")
+    more = _verified(_apart(shared, roots), keyed, reps, "2")
+    grouped = materialize(components(links.unionByName(more), "neardup-cc2"), "neardup-roots2")
+    names = reps.select("no", "key")
+    found = grouped.join(names.withColumnRenamed("no", "node"), "node").select("key", F.col("root").alias("no"))
+    return found.join(names.withColumnRenamed("key", "root"), "no").select("key", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,6 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
-import numpy as np
 import public_tokenizers
 import pytest
 
@@ -200,6 +199,22 @@ def test_near_duplicates(spark, nothing):
     assert [r.doc_id for r in simhash.drop_near_duplicates(again).collect()] == [9]
 
 
+def test_near_duplicates_beyond_the_pivots(spark, monkeypatch):
+    """Pivots that miss lose no pair: here ball hashing yields none at all."""
+    monkeypatch.setattr(simhash, "_candidates", lambda reps: reps.selectExpr("no x", "no y", "0 bits").where("false"))
+    rnd = random.Random(6)
+    texts = []
+    for g in range(6):
+        chain = [f"c{g}w{i}" for i in range(120)]
+        for k in range(12):  # each is near the next ones only
+            texts.append(" ".join(chain))
+            chain = chain[6:] + [f"c{g}n{k}x{i}" for i in range(6)]
+    rnd.shuffle(texts)
+    out = simhash.drop_near_duplicates(docs_of(spark, texts))
+    assert sorted(r.doc_id for r in out.collect()) == sorted(near_brute(texts))
+    assert out.count() == 6
+
+
 # packing
 
 
