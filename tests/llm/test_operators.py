@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -215,6 +216,19 @@ def test_near_duplicates_beyond_the_pivots(spark, monkeypatch):
     assert out.count() == 6
 
 
+def test_near_duplicates_of_block_edits(spark):
+    """One passage replaced, at a similarity of 0.80 to 0.85."""
+    rnd = random.Random(8)
+    texts = []
+    for g in range(40):
+        base = [f"b{g}w{rnd.randint(0, 5000)}" for _ in range(200)]
+        at = rnd.randint(0, 180)
+        texts += [" ".join(base), " ".join(base[:at] + [f"b{g}new{i}" for i in range(14)] + base[at + 14 :])]
+    sims = [simhash.jaccard(*[np.unique(simhash.shingle_hashes(t, 5)).tobytes() for t in texts[i : i + 2]]) for i in range(0, 80, 2)]
+    assert 0.8 <= min(sims) <= 0.85
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs_of(spark, texts)).collect()) == list(range(0, 80, 2))
+
+
 # packing
 
 
