@@ -18,10 +18,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_type, map_rows
+from .common import id_type, map_rows, materialize
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -51,9 +51,11 @@ def _telling(seen: tuple[Counter, Counter], n: tuple[int, int], least: float) ->
     return {f: i for i, f in enumerate(sorted(kept))}
 
 
-def fit_bags(texts: list[str], labels: list[int], least: float = 4.0, rounds: int = 300, rate: float = 0.15, decay: float = 1e-4) -> dict[str, float]:
+def fit_bags(texts: list[str], labels: list[int], least: float = 4.0, rounds: int = 300, rate: float = 0.15, decay: float = 1e-4, shares: tuple[float, float] | None = None) -> dict[str, float]:
     """Feature weights (bias under "") that maximize the noisy-or likelihood; full-batch Adam, no randomness.
 
+    ``shares``: documents with label 0 and 1 that the texts stand for; texts are weighted to these.
+
     Only features that tell toxic documents from others beyond chance are weighted, as a
     rare word of a single toxic document would fit that document and nothing else.
     """
@@ -83,6 +85,9 @@ def fit_bags(texts: list[str], labels: list[int], least: float = 4.0, rounds: in
             ends.append(len(flat))
             owner.append(d)
     y, who = np.array(labels, float), np.array(owner, int)
+    each = np.ones(len(y))
+    if shares:
+        each = np.where(y > 0, shares[1] / labels.count(1), shares[0] / labels.count(0)) * len(y) / sum(shares)
     wr, wc, fl = np.array(word_rows, int), np.array(word_cols, int), np.array(flat, int)
     sent = np.repeat(np.arange(len(ends)), np.diff([0, *ends]))
     weights, bias = np.zeros(len(index)), -4.0
@@ -92,7 +97,7 @@ def fit_bags(texts: list[str], labels: list[int], least: float = 4.0, rounds: in
         z = bias + np.bincount(sent, value[fl], len(ends))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         total = np.bincount(who, np.logaddexp(0, z), len(y))
-        dz = np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-6, 50)), 1.0)[who] * p
+        dz = np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-6, 50)), 1.0)[who] * p * each[who]
         per_word = np.bincount(fl, dz[sent], len(words))
         g = np.bincount(wc, per_word[wr], len(index)) / len(y) + decay * weights
         gb = dz.sum() / len(y)
@@ -141,17 +146,25 @@ class Scorer:
         return -math.expm1(-miss), spans
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_other: int = 4000, max_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[str, float]:
-    """Fit on at most ``max_toxic`` documents labelled 1 and ``max_other`` labelled 0, of ``max_chars`` characters or fewer.
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_other: int = 4000, max_chars: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[str, float]:
+    """Fit on at most ``max_toxic`` documents labelled 1 and ``max_other`` labelled 0, of any length, ``max_chars`` characters of each label in all.
 
     The sample is the documents of smallest hashed id, so it does not depend on
-    partitioning. Rows with a null text, id or label are left out. Without one label of
+    partitioning, and is weighted to the share of the labels among all labelled documents.
+    The first document of a label is taken at any length. Rows with a null text, id or label are left out. Without one label of
     each kind the model is a constant.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)").dropDuplicates(["_id"])
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & (F.length("_text") <= max_chars))
-    there = src.select("_id").distinct().join(known, "_id")  # ids only: no text is shuffled
-    pick = lambda y, most: there.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+    there = materialize(src.groupBy("_id").agg(F.max(F.length("_text")).alias("_n")).join(known, "_id"), "toxic-labelled")  # ids and lengths only: no text is shuffled
+    total = {r[0]: r[1] for r in there.groupBy("_y").count().collect()}
+    shares = (float(total.get(0, 0)), float(total.get(1, 0)))
+    so_far = F.sum("_n").over(Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, -1))
+
+    def pick(y: int, most: int) -> DataFrame:
+        first = there.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
+        return first.withColumn("_before", so_far).where(F.col("_before").isNull() | (F.col("_before") + F.col("_n") <= max_chars)).select("_id", "_y")
+
     chosen = pick(0, max_other).unionByName(pick(1, max_toxic))  # max_other + max_toxic rows at most, hence the broadcast
     rows = src.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).select("_id", "_text", "_y")
 
@@ -160,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_other: in
         for _, t, y in batches:
             texts += t
             ys += y
-        model = fit_bags(texts, ys) if len(set(ys)) == 2 else {"": -4.0}
+        model = fit_bags(texts, ys, shares=shares) if len(set(ys)) == 2 else {"": -4.0}
         yield [list(model), list(model.values())]
 
     sample = rows.coalesce(1).sortWithinPartitions("_id")

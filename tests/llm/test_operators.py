@@ -229,6 +229,21 @@ def test_near_duplicates_of_block_edits(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs_of(spark, texts)).collect()) == list(range(0, 80, 2))
 
 
+# toxicity of long texts
+
+
+def test_long_clean_text_is_not_toxic(spark):
+    """The sample holds long texts and is weighted to the label share, so length alone is no offence."""
+    rnd = random.Random(9)
+    clean = lambda n: " ".join(" ".join(f"w{rnd.randint(0, 300)}" for _ in range(10)) + "." for _ in range(n))
+    texts = [clean(12) for _ in range(320)] + [clean(1200) for _ in range(20)] + [clean(6) + " you vile grubling go." + clean(6) for _ in range(36)] + [clean(12) for _ in range(4)]
+    labels = spark.createDataFrame([(i, int(i >= 340)) for i in range(len(texts))], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(spark, texts), labels, max_toxic=40, max_other=80)
+    scorer = toxicity.Scorer(model)
+    assert scorer.score(clean(2000))[0] < 0.5
+    assert scorer.score(clean(5) + " you vile grubling go.")[0] > 0.5
+
+
 # packing
 
 
