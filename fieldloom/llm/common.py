@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..sources.staging import materialize
 
-__all__ = ["ascii_lower", "id_type", "let", "map_rows", "materialize", "slices", "table"]
+__all__ = ["Memo", "ascii_lower", "id_type", "let", "map_rows", "materialize", "slices", "spotted", "table"]
 
 #: ASCII white space (0x20 and 0x09-0x0D), the word separator of every text operator.
 WS = r"[\x20\x09-\x0D]"
@@ -57,3 +57,45 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterable[list[l
 
 def id_type(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
+
+
+#: Bits of the maps that keep most rows without a partner out of a shuffle.
+MAP_BITS = 1 << 24
+
+
+def spotted(df: DataFrame, key: str, keys: DataFrame, column: str = "_spotted") -> DataFrame:
+    """Add whether ``key`` may be one of ``keys`` (one column, same type): true for all that are, seldom for others.
+
+    The map of hashed keys has a fixed size (``MAP_BITS`` / 64 rows at most) and is therefore
+    broadcast. What it lets through needs an exact join; with very many keys it only saves less.
+    """
+    name = keys.columns[0]
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    bit = lambda c: (spot(c) % 64).cast("int")
+    known = keys.where(F.col(name).isNotNull()).select(F.floor(spot(name) / 64).alias("_word"), bit(name).alias("_at"))
+    words = known.groupBy("_word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_at"))).alias("_map"))
+    met = df.withColumn("_word", F.floor(spot(key) / 64)).join(F.broadcast(words), "_word", "left")
+    hit = F.call_function("shiftright", F.col("_map"), bit(key)).bitwiseAND(F.lit(1)) == 1
+    return met.withColumn(column, F.coalesce(hit, F.lit(False))).drop("_word", "_map")
+
+
+class Memo(dict):
+    """Results of ``fn`` by key, within a bound of bytes: short keys only, in two generations, so that frequent keys stay."""
+
+    def __init__(self, fn: Callable, most_bytes: int = 80 << 20, longest: int = 96):
+        super().__init__()
+        self.fn, self.most, self.longest = fn, most_bytes, longest
+        self.old: dict = {}
+        self.held = 0
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.fn(key)
+        if (n := len(key)) <= self.longest:
+            self[key] = value
+            self.held += 160 + n + len(value)
+            if self.held > self.most:
+                self.old, self.held = dict(self), 0
+                self.clear()
+        return value

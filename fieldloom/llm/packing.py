@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -22,22 +23,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, map_rows, materialize
+from .common import Memo, id_type, map_rows, materialize
 
-#: Entries a task's word cache may hold before it is emptied.
-CACHE_WORDS = 400_000
 _PIECES = "_id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, open boolean"
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
-    """A lower-casing word tokenizer file, with white-space words and their parts cached.
+    """A lower-casing word tokenizer file, with white-space words and their parts remembered.
 
     The file's own steps (NFC, lower case, split into letter runs, single digits and other
     runs, white space dropped) treat each white-space word alone, so a text's ids are those
-    of its words in order. A word that is not cached is split here by the file's pattern
-    and only new parts go through the model; words with letters beyond Latin go through the
-    whole tokenizer. Ids are cached as little-endian unsigned 32-bit bytes.
+    of its words in order. A new word is split here by the file's pattern and only new parts
+    go through the model; words with letters beyond Latin go through the whole tokenizer.
+    Strings of special tokens in a text are ordinary text. Ids are kept as little-endian
+    unsigned 32-bit bytes.
     """
 
     def __init__(self, path: str):
@@ -50,37 +50,27 @@ class WordTokenizer:
         self.pattern = regex.compile(steps["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
-        self.chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}  # one printable character a byte
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            if len(self.parts) >= CACHE_WORDS:
-                self.parts.clear()
-            spelt = "".join([self.chars[b] for b in part.encode()])
-            ids = self.parts[part] = np.array([t.id for t in self.tok.model.tokenize(spelt)], "<u4").tobytes()
-        return ids
-
-    def word(self, word: bytes) -> bytes:
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
+        self.spelling = {b: 256 + i for i, b in enumerate(hidden)}  # one printable character a byte
+        self.words, self.parts = Memo(self._word), Memo(self._part)
+
+    def _part(self, part: str) -> bytes:
+        spelt = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.spelling)
+        return array("I", [t.id for t in self.tok.model.tokenize(spelt)]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if max(text) < "\u0250":
-            ids = b"".join([self.part(p) for p in self.pattern.findall(text.lower())])
-        else:
-            ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self.words[word] = ids
-        return ids
+        if not text.isascii() and max(text) >= "\u0250":
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        text = text.lower()
+        if text.isalpha():
+            return self.parts[text]
+        if text[-1] in ".,;:!?" and text[:-1].isalpha():
+            return self.parts[text[:-1]] + self.parts[text[-1]]
+        return b"".join([self.parts[p] for p in self.pattern.findall(text)])
 
     def encode(self, text: str) -> bytes:
-        get, word = self.words.get, self.word
-        words = text.encode("utf-8", "replace").split()
-        found = [get(w) for w in words]
-        if None in found:
-            found = [word(w) if f is None else f for w, f in zip(words, found, strict=True)]
-        return b"".join(found)
+        words = self.words
+        return b"".join([words[w] for w in text.encode("utf-8", "replace").split()])
 
 
 def tokenizer(path: str) -> WordTokenizer:
