@@ -14,7 +14,9 @@ words' ids back to a corpus shuffles every word of every text (see README for fi
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
+from contextlib import suppress
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -25,10 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import id_type, let, slices
+from .common import Memo, id_type, let, slices
+
+
+class _Edge(Exception):
+    """White space at the end of a part."""
+
 
-#: Entries a task's cache may hold before it is emptied.
-CACHE_WORDS = 200_000
 _loaded: dict[tuple[str, str], BpeCoder] = {}
 
 
@@ -37,68 +42,93 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
 
 
-def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ranked merges of one word. A heap of pairs over a linked list: n log n, also for very long words."""
-    if word in ranks:
-        return [ranks[word]]
-    n = len(word)
-    piece: list[bytes | None] = [word[i : i + 1] for i in range(n)]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, piece[i], piece[i + 1]) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-    heapify(heap)
-    while heap:
-        _, i, a, b = heappop(heap)
-        j = after[i]
-        if piece[i] is not a or j >= n or piece[j] is not b:
-            continue  # one of them was merged meanwhile
-        piece[i], piece[j], after[i] = a + b, None, after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        for k in (before[i], i):
-            if k >= 0 and after[k] < n and (r := ranks.get(piece[k] + piece[after[k]])) is not None:
-                heappush(heap, (r, k, piece[k], piece[after[k]]))
-    return [ranks[p] for p in piece if p is not None]
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The rank of every pair of pieces (by their ranks, packed into one number) whose bytes together have one."""
+    return {a << 17 | b: r for piece, r in ranks.items() for i in range(1, len(piece)) if (a := ranks.get(piece[:i])) is not None and (b := ranks.get(piece[i:])) is not None}
 
 
 class BpeCoder:
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
-        self.words: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-
-    def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            ids = self.words[word] = np.array(merge_word(word.encode(), self.ranks), "<i4").tobytes()
+        self.bytes, self.pairs = [self.ranks[bytes([b])] for b in range(256)], pair_ranks(self.ranks)
+        self.words, self.spaced = Memo(self._word, 24 << 20), Memo(self._spaced, 24 << 20)
+
+    def _word(self, word: str) -> bytes:
+        raw = word.encode()
+        whole = self.ranks.get(raw)
+        if whole is not None:
+            return array("i", (whole,)).tobytes()
+        return array("i", self.merge_long(raw) if len(raw) > 64 else self.merge(raw)).tobytes()
+
+    def merge(self, word: bytes) -> list[int]:
+        """Ranked merges of one word, the ranks of its neighbours in a list."""
+        ids, pairs = [self.bytes[b] for b in word], self.pairs
+        never = 1 << 30
+        best = [pairs.get(a << 17 | b, never) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        while best and (low := min(best)) != never:
+            i = best.index(low)
+            ids[i : i + 2] = (low,)  # an id is its piece's rank
+            del best[i]
+            if i < len(best):
+                best[i] = pairs.get(low << 17 | ids[i + 1], never)
+            if i:
+                best[i - 1] = pairs.get(ids[i - 1] << 17 | low, never)
         return ids
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """The same by a heap of pairs over a linked list: n log n for words of any length."""
+        ids, pairs = [self.bytes[b] for b in word], self.pairs
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get(ids[i] << 17 | ids[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            r, i, a, b = heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue  # one of them was merged meanwhile
+            ids[i], ids[j], after[i] = r, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (r := pairs.get(ids[k] << 17 | ids[after[k]])) is not None:
+                    heappush(heap, (r, k, ids[k], ids[after[k]]))
+        return [x for x in ids if x >= 0]
+
+    def _spaced(self, part: str) -> bytes:
+        """Ids of a space and the part after it, which must have no white space at its ends."""
+        if part.isalpha():
+            return self.words[" " + part]
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise _Edge
+        if part[-1] in ".,;:!?" and part[:-1].isalpha():
+            return self.words[" " + part[:-1]] + self.words[part[-1]]
+        return self.split(" " + part)
+
     def split(self, text: str) -> bytes:
-        return b"".join([self.word(w) for w in self.pattern.findall(text)])
+        words = self.words
+        return b"".join([words[w] for w in self.pattern.findall(text)])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit ints.
 
         A single space between two characters that are not white space always starts a
         match, so what lies between such spaces is encoded (and remembered) by itself;
-        texts with any other white space beside a space are split as a whole.
+        stretches with other white space beside a space are split as a whole.
         """
         head, *parts = text.split(" ")
-        get = self.spaced.get
-        found = [get(p) for p in parts]
-        if not head or head[-1].isspace():
-            return self.split(text)
-        if None in found:
-            for i, f in enumerate(found):
-                if f is None:
-                    p = parts[i]
-                    if not p or p[0].isspace() or p[-1].isspace():
-                        return self.split(text)
-                    if len(self.spaced) >= CACHE_WORDS:
-                        self.spaced.clear()
-                    found[i] = self.spaced[p] = self.split(" " + p)
-        return self.split(head) + b"".join(found)
+        spaced = self.spaced
+        if head and not head[-1].isspace():
+            with suppress(_Edge):
+                return self.split(head) + b"".join([spaced[p] for p in parts])
+        out, held = [], [head]
+        for p in parts:
+            if p and held[-1] and not held[-1][-1].isspace() and not p[0].isspace():
+                out.append(self.split(" ".join(held)))
+                held = [" " + p]
+            else:
+                held.append(p)
+        return b"".join([*out, self.split(" ".join(held))])
 
 
 def coder(path: str, pattern: str) -> BpeCoder:
@@ -169,7 +199,7 @@ class RankMap:
     SLOTS, BUCKETS, MULT, SPREAD = 1 << 18, 1 << 15, 0x5BD1E995, 0x7FEB352D
 
     def __init__(self, ranks: dict[bytes, int]):
-        pairs = {a << 16 | b: r for piece, r in ranks.items() for i in range(1, len(piece)) if (a := ranks.get(piece[:i])) is not None and (b := ranks.get(piece[i:])) is not None}
+        pairs = {(k >> 17) << 16 | k & 0x1FFFF: r for k, r in pair_ranks(ranks).items()}
         buckets: dict[int, list[int]] = {}
         for pair in pairs:
             buckets.setdefault((pair * self.MULT >> 17) % self.BUCKETS, []).append(pair)
