@@ -19,6 +19,7 @@ class MapConfig:
     min_line_points: int = 20
     line_seed_points: int = 20
     corner_thresh: float = 0.5
+    corner_reach: float = 0.5
     door_min: float = 0.8
     door_max: float = 3.0
     gap_thresh: float = 0.5

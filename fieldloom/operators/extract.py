@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..config import DEFAULT, MapConfig
-from ..sources.schema import SEGMENT
+from ..sources.schema import SEGMENT, names
+from .segments import CLUSTER
 
 
 def fit_line(p: np.ndarray) -> tuple[float, float]:
@@ -79,16 +80,35 @@ def extract_cluster(p: np.ndarray, robot: np.ndarray, cfg: MapConfig = DEFAULT)
     return found, residual
 
 
+#: Bits of a line's number for its cluster and for its place in the cluster.
+CLUSTER_BITS = PLACE_BITS = 14
+
+
 def extract_segments(clustered: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
-    """Segments of every (scan, cluster) of ordered points with px, py; a cluster is at most one scan's beams."""
+    """Segments of every (robot, scan, cluster) of points in order of ``pos``, with px, py; a cluster is at most one scan's beams.
+
+    Line numbers are unique per robot: scan, cluster and place in the cluster.
+    """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("beam")
+        p = p.sort_values("pos")
+        first = p.iloc[0]
         robot = p[["px", "py"]].iloc[0].to_numpy(float)
         rows, _ = extract_cluster(p[["x", "y"]].to_numpy(float), robot, cfg)
-        scan, cluster, room = int(p["scan_id"].iloc[0]), int(p["cluster_id"].iloc[0]), int(p["room_id"].iloc[0])
-        common = {"room_id": room, "weight": 1, "robot_x": robot[0], "robot_y": robot[1], "cluster_id": cluster}
-        columns = [c.split()[0] for c in SEGMENT.split(", ")]
-        return pd.DataFrame([{"line_id": (scan << 20) + (cluster << 8) + k, **common, **row} for k, row in enumerate(rows)], columns=columns)
+        scan, cluster = int(first["scan_id"]), int(first["cluster_id"])
+        common = {"robot_id": first["robot_id"], "scan_id": scan, "room_id": int(first["room_id"]), "weight": 1, "robot_x": robot[0], "robot_y": robot[1], "cluster_id": cluster}
+        base = (scan << CLUSTER_BITS | cluster) << PLACE_BITS
+        return pd.DataFrame([{"line_id": base + k, **common, **row} for k, row in enumerate(rows)], columns=names(SEGMENT))
+
+    return clustered.groupBy(*CLUSTER).applyInPandas(run, SEGMENT)
+
+
+def residual_points(clustered: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
+    """Points of line clusters that seed-and-grow leaves over: robot_id, scan_id, cluster_id, beam, x, y."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("pos")
+        _, left = extract_cluster(p[["x", "y"]].to_numpy(float), p[["px", "py"]].iloc[0].to_numpy(float), cfg)
+        return p.loc[left, [*CLUSTER, "beam", "x", "y"]]
 
-    return clustered.groupBy("scan_id", "cluster_id").applyInPandas(run, SEGMENT)
+    return clustered.groupBy(*CLUSTER).applyInPandas(run, "robot_id string, scan_id long, cluster_id int, beam int, x double, y double")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, MapConfig
 from ..functions import geometry as g
 from ..sources.schema import GP_STATE, PREDICTION, names
+from .spatial import nearest_in_room
 
 
 def voxel_downsample(points: DataFrame, size: float = DEFAULT.r_voxel, key: tuple[str, ...] = ("room_id",)) -> DataFrame:
@@ -48,19 +49,27 @@ def novelty_filter(new: DataFrame, known: DataFrame, cfg: MapConfig = DEFAULT, k
     return n.join(k, (F.col(key) == F.col("_key")) & (F.col("_cx") == F.col("_zx")) & (F.col("_cy") == F.col("_zy")) & close, "left_anti").drop("_cx", "_cy")
 
 
-def kernel_matrix(points: DataFrame, cfg: MapConfig = DEFAULT, key: str = "room_id", id_col: str = "point_id") -> DataFrame:
-    """Entries (key, i, j, value), i < j, of the kernel between a room's points; its inducing points only, which the novelty radius bounds."""
-    a = points.select(key, F.struct(F.col(id_col).alias("id"), "x", "y").alias("a"))
-    b = points.select(key, F.struct(F.col(id_col).alias("id"), "x", "y").alias("b"))
-    pairs = a.join(b, key).where("a.id < b.id")
-    return pairs.select(key, F.col("a.id").alias("i"), F.col("b.id").alias("j"), g.matern_half("a.x", "a.y", "b.x", "b.y", cfg.lamb).alias("value"))
+def kernel_matrix(points: DataFrame, cfg: MapConfig = DEFAULT, key: str = "room_id", id_col: str = "point_id", least: float = 1e-9) -> DataFrame:
+    """Entries (key, i, j, value), i < j, of the kernel between a room's points that reach ``least``; all others count as 0.
+
+    The kernel decays within a hand's breadth, so points meet those of their own grid cell
+    and of the eight around it.
+    """
+    r = -math.log(least) / cfg.lamb
+    cell = lambda c: F.floor(F.col(c) / r)
+    near = F.sequence(F.lit(-1), F.lit(1))
+    a = points.select(key, F.struct(F.col(id_col).alias("id"), "x", "y").alias("a"), cell("x").alias("_cx"), cell("y").alias("_cy"))
+    b = points.select(key, F.struct(F.col(id_col).alias("id"), "x", "y").alias("b"), cell("x").alias("_bx"), cell("y").alias("_by"), F.explode(near).alias("_ox"))
+    b = b.withColumn("_oy", F.explode(near)).select(key, "b", (F.col("_bx") + F.col("_ox")).alias("_cx"), (F.col("_by") + F.col("_oy")).alias("_cy"))
+    pairs = a.join(b, [key, "_cx", "_cy"]).where("a.id < b.id")
+    out = pairs.select(key, F.col("a.id").alias("i"), F.col("b.id").alias("j"), g.matern_half("a.x", "a.y", "b.x", "b.y", cfg.lamb).alias("value"))
+    return out.where(F.col("value") >= least)
 
 
 def line_prior(points: DataFrame, segments: DataFrame, cfg: MapConfig = DEFAULT, key: str = "room_id") -> DataFrame:
     """(point_id, min_distance, prior): exp(-lambda * distance) to the nearest line of the room; rooms without lines give no row."""
-    s = segments.select(key, F.struct("x1", "y1", "x2", "y2").alias("s"))
-    d2 = g.segment_distance2("x", "y", "s.x1", "s.y1", "s.x2", "s.y2")
-    return points.join(s, key).groupBy("point_id").agg(F.sqrt(F.min(d2)).alias("min_distance")).withColumn("prior", F.exp(-cfg.lamb * F.col("min_distance")))
+    near = nearest_in_room(points, segments, ("point_id",), key, None)
+    return near.select("point_id", F.sqrt("d2").alias("min_distance")).withColumn("prior", F.exp(-cfg.lamb * F.col("min_distance")))
 
 
 def query_grid(rooms: DataFrame, steps: int = 30, margin: float = 1.0) -> DataFrame:
@@ -171,14 +180,21 @@ def update(field: Field, x: np.ndarray, cfg: MapConfig = DEFAULT, segs: np.ndarr
     return Field(z, half.T @ np.linalg.solve(factor, c_vec), half.T @ half, field.z, field.mean, c_mat)
 
 
-def predict(field: Field, x: np.ndarray, segs: np.ndarray | None = None, cfg: MapConfig = DEFAULT, gradient: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Field value, distance and, on demand, the unit gradient of the distance (through the kernel only)."""
+def weights(field: Field, segs: np.ndarray, cfg: MapConfig) -> np.ndarray:
+    """Weights of the inducing points' kernels: the mean above the prior, solved once for all predictions."""
+    if not len(field.z):
+        return np.zeros(0)
+    return np.linalg.solve(kernel(field.z, field.z, cfg.lamb) + cfg.gp_jitter * np.eye(len(field.z)), field.mean - segment_prior(field.z, segs, cfg.lamb))
+
+
+def predict(field: Field, x: np.ndarray, segs: np.ndarray | None = None, cfg: MapConfig = DEFAULT, gradient: bool = False, solved: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Field value, distance and, on demand, the unit gradient of the distance (through the kernel only). ``solved``: the field's ``weights``."""
     segs = segs if segs is not None else np.zeros((0, 4))
     mu = segment_prior(x, segs, cfg.lamb)
     grad = np.zeros((len(x), 2))
     if len(field.z):
         k = kernel(x, field.z, cfg.lamb)
-        w = np.linalg.solve(kernel(field.z, field.z, cfg.lamb) + cfg.gp_jitter * np.eye(len(field.z)), field.mean - segment_prior(field.z, segs, cfg.lamb))
+        w = solved if solved is not None else weights(field, segs, cfg)
         mu = mu + k @ w
         if gradient:
             gap = x[:, None] - field.z[None]
@@ -249,19 +265,25 @@ def fit_rooms(points: DataFrame, segments: DataFrame | None = None, cfg: MapConf
         segs = s[["x1", "y1", "x2", "y2"]].to_numpy()
         for _, b in p.sort_values([batch_col, "x", "y"]).groupby(batch_col):
             field, version = update(field, b[["x", "y"]].to_numpy(), cfg, segs), version + 1
-        row = [room, version, len(field.z), field.z[:, 0], field.z[:, 1], field.mean, list(field.cov), field.old_z[:, 0], field.old_z[:, 1], field.old_mean, list(field.old_c)]
+        row = [room, version, len(field.z), field.z[:, 0], field.z[:, 1], field.mean, list(field.cov), field.old_z[:, 0], field.old_z[:, 1], field.old_mean, list(field.old_c), weights(field, segs, cfg)]
         return pd.DataFrame([row], columns=names(GP_STATE))
 
-    lines = segments if segments is not None else points.sparkSession.createDataFrame([], "room_id int, x1 double, y1 double, x2 double, y2 double")
-    return points.groupBy("room_id").cogroup(lines.groupBy("room_id")).applyInPandas(fit, GP_STATE)
+    none = points.sparkSession.createDataFrame([], "room_id long, x1 double, y1 double, x2 double, y2 double")
+    lines = (none if segments is None else segments).select(F.col("room_id").cast("long").alias("room_id"), "x1", "y1", "x2", "y2")
+    return points.withColumn("room_id", F.col("room_id").cast("long")).groupBy("room_id").cogroup(lines.groupBy("room_id")).applyInPandas(fit, GP_STATE)
 
 
-def predict_rooms(queries: DataFrame, state: DataFrame, segments: DataFrame | None = None, cfg: MapConfig = DEFAULT, parts: int = 16) -> DataFrame:
-    """Predictions for queries (query_id, room_id, x, y); a room's queries are dealt into parts, each with a copy of its state."""
-    lines = segments.select("room_id", F.struct("line_id", "x1", "y1", "x2", "y2").alias("s")).groupBy("room_id").agg(F.sort_array(F.collect_list("s")).alias("lines")) if segments is not None else None
+def predict_rooms(queries: DataFrame, state: DataFrame, segments: DataFrame | None = None, cfg: MapConfig = DEFAULT, share: int = 4096) -> DataFrame:
+    """Predictions for queries (query_id, room_id, x, y); a room's queries are dealt into parts of about ``share``, each with a copy of its state.
+
+    ``segments``: the lines that the state was fitted with.
+    """
+    lines = segments.select(F.col("room_id").cast("long").alias("room_id"), F.struct("line_id", "x1", "y1", "x2", "y2").alias("s")).groupBy("room_id").agg(F.sort_array(F.collect_list("s")).alias("lines")) if segments is not None else None
     full = state.join(lines, "room_id", "left") if lines is not None else state.withColumn("lines", F.lit(None).cast("array<struct<line_id:bigint,x1:double,y1:double,x2:double,y2:double>>"))
-    copies = full.select("room_id", "zx", "zy", "mean", "lines", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
-    dealt = queries.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    queries = queries.withColumn("room_id", F.col("room_id").cast("long"))
+    parts = queries.groupBy("room_id").agg(F.ceil(F.count("*") / share).cast("int").alias("_parts"))
+    copies = full.join(parts, "room_id").select("room_id", "zx", "zy", "mean", "weights", "lines", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    dealt = queries.join(parts, "room_id").withColumn("_part", F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int"))
 
     def run(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(s):
@@ -271,7 +293,32 @@ def predict_rooms(queries: DataFrame, state: DataFrame, segments: DataFrame | No
         got = r["lines"] if r["lines"] is not None else []
         segs = np.array([[x["x1"], x["y1"], x["x2"], x["y2"]] for x in got]).reshape(-1, 4)
         none = np.zeros((0, 2)), np.zeros(0), np.zeros((0, 0))
-        mu, d, grad = predict(Field(z, np.asarray(r["mean"]), np.zeros((len(z), len(z))), *none), q[["x", "y"]].to_numpy(), segs, cfg, True)
+        mu, d, grad = predict(Field(z, np.asarray(r["mean"]), np.zeros((len(z), len(z))), *none), q[["x", "y"]].to_numpy(), segs, cfg, True, np.asarray(r["weights"]))
         return pd.DataFrame({"query_id": q["query_id"], "room_id": q["room_id"], "x": q["x"], "y": q["y"], "mu": mu, "distance": d, "gx": grad[:, 0], "gy": grad[:, 1]})
 
     return dealt.groupBy("room_id", "_part").cogroup(copies.groupBy("room_id", "_part")).applyInPandas(run, PREDICTION)
+
+
+def fit_tiles(points: DataFrame, segments: DataFrame | None = None, cfg: MapConfig = DEFAULT, tile: float = 2.0, margin: float = 0.5) -> DataFrame:
+    """One field over all points (batch, x, y), fitted per square tile: a GP state for each, under the tile's number as room_id.
+
+    The kernel has decayed to nothing within ``margin``, so a tile is fitted on its own points
+    and those that near, with the lines whose boxes come that near; its size bounds the
+    algebra, whatever the area. ``tile_of`` tells which tile predicts at a point.
+    """
+    reach = lambda low, high: F.explode(F.sequence(F.floor((low - margin) / tile), F.floor((high + margin) / tile)))
+    own = points.withColumn("_tx", reach(F.col("x"), F.col("x"))).withColumn("_ty", reach(F.col("y"), F.col("y"))).select(_tile_number(F.col("_tx"), F.col("_ty")).alias("room_id"), "batch", "x", "y")
+    lines = None
+    if segments is not None:
+        lines = segments.withColumn("_tx", reach(F.least("x1", "x2"), F.greatest("x1", "x2"))).withColumn("_ty", reach(F.least("y1", "y2"), F.greatest("y1", "y2")))
+        lines = lines.select(_tile_number(F.col("_tx"), F.col("_ty")).alias("room_id"), "x1", "y1", "x2", "y2")
+        lines = lines.join(own.select("room_id").distinct(), "room_id", "left_semi")
+    return fit_rooms(own, lines, cfg)
+
+
+def _tile_number(tx: Column, ty: Column) -> Column:
+    return F.shiftleft(tx, 31) + ty + (1 << 30)
+
+
+def tile_of(x: str = "x", y: str = "y", tile: float = 2.0) -> Column:
+    return _tile_number(F.floor(F.col(x) / tile), F.floor(F.col(y) / tile))

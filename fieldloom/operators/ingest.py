@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +28,7 @@ def scan_to_points(scans: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
     """One row per valid beam: robot_id, scan_id, beam, point_key, x, y, angle, range, increment and pose.
 
     The filter comes before noise, which is added only if ``std_dev`` is positive, with a
-    seed. Scans without a valid beam give no rows. The key is collision-free up to 2**20 beams.
+    seed. Scans without a valid beam give no rows. Robot and key together are collision-free up to 2**20 beams.
     """
     beams = scans.select(
         "robot_id", "scan_id", F.col("robot_pose.x").alias("px"), F.col("robot_pose.y").alias("py"), F.col("robot_pose.yaw").alias("yaw"),
@@ -38,23 +42,29 @@ def scan_to_points(scans: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
 
 
 def pose_gate(poses: DataFrame, least: float = DEFAULT.pose_gate) -> DataFrame:
-    """Scans kept by displacement: the first of a robot, then each at ``least`` or more from the last one kept.
+    """(robot_id, scan_id) of scans kept by displacement: the first of a robot, then each at ``least`` or more from the last one kept.
 
-    This is a recursion over the last kept pose, not over the previous one, hence a fold
-    over the robot's poses in order; rows are (scan_id, x, y) only.
+    This is a recursion over the last kept pose, not over the previous one. A robot's poses
+    pass in order through one task, which holds a batch and one pose of them.
     """
-    start = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.expr("CAST(array() AS ARRAY<BIGINT>)").alias("kept"))
+    kind = poses.schema["scan_id"].dataType.simpleString()
 
-    def step(acc: Column, p: Column) -> Column:
-        far = acc["x"].isNull() | (g.distance(acc["x"], acc["y"], p["x"], p["y"]) >= least)
-        return F.when(far, F.struct(p["x"].alias("x"), p["y"].alias("y"), F.array_append(acc["kept"], p["scan_id"]).alias("kept"))).otherwise(acc)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        robot, x, y = None, 0.0, 0.0
+        for b in batches:
+            keep = []
+            for r, px, py in zip(b["robot_id"], b["x"], b["y"], strict=True):
+                far = r != robot or math.hypot(px - x, py - y) >= least
+                if far:
+                    robot, x, y = r, px, py
+                keep.append(far)
+            yield b.loc[keep, ["robot_id", "scan_id"]]
 
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("scan_id").cast("long").alias("scan_id"), "x", "y")))
-    folded = poses.groupBy("robot_id").agg(F.aggregate(ordered, start, step, lambda a: a["kept"]).alias("kept"))
-    return folded.select("robot_id", F.explode("kept").alias("scan_id"))
+    ordered = poses.select(F.col("robot_id").cast("string").alias("robot_id"), "scan_id", "x", "y").where("robot_id IS NOT NULL").repartition("robot_id").sortWithinPartitions("robot_id", "scan_id")
+    return ordered.mapInPandas(run, f"robot_id string, scan_id {kind}")
 
 
-def point_gaps(points: DataFrame, key: tuple[str, ...] = ("scan_id",)) -> DataFrame:
+def point_gaps(points: DataFrame, key: tuple[str, ...] = ("robot_id", "scan_id")) -> DataFrame:
     """Add gap: the distance to the next point of the scan, from the last one to the first."""
     ring = Window.partitionBy(*key).orderBy("beam")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MapConfig
 from ..functions import geometry as g
-from .segments import _ends, corner_candidates, gap_candidates, pairs_within
+from .segments import _ends, corner_candidates, gap_candidates, pairs_near
 
 
 def t_junctions(segments: DataFrame, edges: DataFrame, cfg: MapConfig = DEFAULT, margin: float = 0.5) -> DataFrame:
     """(room_id, p, q, x, y): line q with a free end meets the inside of the perpendicular line p at x, y, at least ``margin`` from p's ends."""
     x, y = g.lines_meet("p.r", "p.theta", "q.r", "q.theta")
     near = g.segments_distance2(_ends("p"), _ends("q")) < cfg.corner_thresh**2
-    met = pairs_within(segments).where(g.is_perpendicular("p.theta", "q.theta")).where(near).withColumn("x", x).withColumn("y", y).where("x IS NOT NULL")
+    met = pairs_near(segments, cfg.corner_thresh).where(g.is_perpendicular("p.theta", "q.theta")).where(near).withColumn("x", x).withColumn("y", y).where("x IS NOT NULL")
     at = g.signed_distance("x", "y", "p.x1", "p.y1", "p.dx", "p.dy")
     inside = met.where((at >= margin) & (g.distance("p.x1", "p.y1", "p.x2", "p.y2") - at >= margin)).select("room_id", F.col("p.line_id").alias("p"), F.col("q.line_id").alias("q"), "x", "y")
     src, dst = edges.select(F.col("src").alias("q")).distinct(), edges.select(F.col("dst").alias("q")).distinct()
@@ -41,9 +41,9 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
     return pairs.join(best_q, ["p", "q"], "left_semi").join(best_p, ["p", "q"], "left_semi")
 
 
-def apply_corners(segments: DataFrame, cfg: MapConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def apply_corners(segments: DataFrame, edges: DataFrame | None = None, cfg: MapConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Lines with joined ends moved to their corner, and the corner edges (src, dst, type)."""
-    joined = mutual_best(corner_candidates(segments, cfg))
+    joined = mutual_best(corner_candidates(segments, edges, cfg))
     out = joined.select(F.col("p").alias("line_id"), F.col("x").alias("_x2"), F.col("y").alias("_y2"))
     into = joined.select(F.col("q").alias("line_id"), F.col("x").alias("_x1"), F.col("y").alias("_y1"))
     moved = segments.join(out, "line_id", "left").join(into, "line_id", "left")

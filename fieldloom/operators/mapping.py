@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MapConfig
 
@@ -77,13 +80,23 @@ def as_rows(robot: str, state: dict[int, np.ndarray], last: int) -> pd.DataFrame
 def build_map(segments: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
     """The final line map of every robot from its scans' segments (robot_id, scan_id, line_id and ``LINE``).
 
-    Order matters within a robot only; a robot's segments are a few numbers a scan.
+    Order matters within a robot only: its segments pass in order through one task, which
+    holds a batch of them and the map, never all.
     """
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        state: dict[int, np.ndarray] = {}
-        for _, scan in p.sort_values(["scan_id", "line_id"]).groupby("scan_id"):
-            state = step(state, scan[LINE].to_numpy(float), cfg)
-        return as_rows(str(p["robot_id"].iloc[0]), state, int(p["scan_id"].max()))
-
-    return segments.groupBy("robot_id").applyInPandas(run, MAP)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        robot, scan, state, rows = None, -1, {}, []
+        for b in batches:
+            for r, at, *line in zip(b["robot_id"], b["scan_id"], *(b[c] for c in LINE), strict=True):
+                if rows and (r != robot or at != scan):
+                    state, rows = step(state, np.array(rows, float), cfg), []
+                if r != robot and robot is not None:
+                    yield as_rows(robot, state, scan)
+                    state = {}
+                robot, scan = r, int(at)
+                rows.append(line)
+        if robot is not None:
+            yield as_rows(robot, step(state, np.array(rows, float), cfg), scan)
+
+    ordered = segments.select(F.col("robot_id").cast("string").alias("robot_id"), "scan_id", "line_id", *LINE).where("robot_id IS NOT NULL")
+    return ordered.repartition("robot_id").sortWithinPartitions("robot_id", "scan_id", "line_id").mapInPandas(run, MAP)

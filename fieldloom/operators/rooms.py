@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, MapConfig
 from ..functions import geometry as g
-from .segments import _ends, pairs_within
-from .spatial import points_in_boxes
+from ..sources.staging import materialize
+from .spatial import nearest_in_room, points_in_boxes
 
 
 def local_lines(lines: DataFrame, room_edges: DataFrame) -> DataFrame:
@@ -18,50 +19,6 @@ def local_lines(lines: DataFrame, room_edges: DataFrame) -> DataFrame:
     return own.unionByName(near.join(own.select(F.col("room_id").alias("of"), "line_id"), "of").select("room_id", "line_id")).distinct()
 
 
-def with_centres(segments: DataFrame) -> DataFrame:
-    """Add centre, length and the largest length of the room's lines once, before any self join."""
-    length = g.distance("x1", "y1", "x2", "y2")
-    s = segments.withColumn("cx", (F.col("x1") + F.col("x2")) / 2).withColumn("cy", (F.col("y1") + F.col("y2")) / 2).withColumn("len", length)
-    return s.join(s.groupBy("room_id").agg(F.max("len").alias("max_len")), "room_id")
-
-
-def _pair_weight(cfg: MapConfig) -> Column:
-    d2 = F.pow(F.col("p.cx") - F.col("q.cx"), F.lit(2.0)) + F.pow(F.col("p.cy") - F.col("q.cy"), F.lit(2.0))
-    pose2 = F.pow(F.col("p.robot_x") - F.col("q.robot_x"), F.lit(2.0)) + F.pow(F.col("p.robot_y") - F.col("q.robot_y"), F.lit(2.0))
-    return g.edge_weight("p.len", "q.len", "p.max_len", d2, pose2, cfg.gamma_dist, cfg.gamma_rob)
-
-
-def edge_weights(segments: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
-    """Weight of every pair p < q of a room's lines."""
-    return pairs_within(with_centres(segments), both=False).select("room_id", F.col("p.line_id").alias("p"), F.col("q.line_id").alias("q"), _pair_weight(cfg).alias("weight"))
-
-
-def visibility_candidates(segments: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
-    """Pairs p < q whose centres lie on each other's positive side, nearer than the cutoff; p and q as structs, with d2 and weight."""
-    faces = lambda a, b: g.signed_distance(f"{b}.cx", f"{b}.cy", f"{a}.x1", f"{a}.y1", f"{a}.nx", f"{a}.ny") > 0
-    d2 = g.segments_distance2(_ends("p"), _ends("q"))
-    pairs = pairs_within(with_centres(segments), both=False).where(faces("p", "q") & faces("q", "p")).withColumn("d2", d2)
-    return pairs.where(F.col("d2") < cfg.vis_dist_thresh**2).withColumn("weight", _pair_weight(cfg))
-
-
-def occluded(candidates: DataFrame, segments: DataFrame) -> DataFrame:
-    """Candidates (room_id, p, q) whose sight line between centres is crossed by a line of the room nearer to p than q is."""
-    o = segments.select(F.col("room_id").alias("_room"), F.struct("line_id", "x1", "y1", "x2", "y2").alias("o"))
-    sight = tuple(F.col(c) for c in ("p.cx", "p.cy", "q.cx", "q.cy"))
-    blocks = (
-        (F.col("room_id") == F.col("_room")) & (F.col("o.line_id") != F.col("p.line_id")) & (F.col("o.line_id") != F.col("q.line_id"))
-        & (g.segments_distance2(_ends("p"), _ends("o")) < F.col("d2")) & g.intersects(sight, _ends("o"))
-    )
-    return candidates.join(o, blocks, "left_semi").select("room_id", F.col("p.line_id").alias("p"), F.col("q.line_id").alias("q"))
-
-
-def visibility_edges(segments: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
-    """room_id, p, q, weight of the candidates that no nearer line occludes."""
-    found = visibility_candidates(segments, cfg)
-    flat = found.select("room_id", F.col("p.line_id").alias("p"), F.col("q.line_id").alias("q"), "weight")
-    return flat.join(occluded(found, segments), ["room_id", "p", "q"], "left_anti")
-
-
 def label_contingency(labels: DataFrame) -> DataFrame:
     """Old by new label: number of lines and their mean age, (largest line id + 1) - line id."""
     top = labels.agg((F.max("line_id") + 1).alias("_next"))
@@ -128,25 +85,39 @@ def in_rect(x: str, y: str, r: str) -> Column:
     return F.col(x).between(F.col(f"{r}.min_x"), F.col(f"{r}.max_x")) & F.col(y).between(F.col(f"{r}.min_y"), F.col(f"{r}.max_y"))
 
 
-def knn_rooms(points: DataFrame, rooms: DataFrame, k: int = 2) -> DataFrame:
-    """The k nearest room boxes of every point, by distance and then number; with_ties as by rank on the rounded distance.
+def knn_rooms(points: DataFrame, rooms: DataFrame, k: int = 2, cell: float = 4.0) -> DataFrame:
+    """The k nearest room boxes of every point, by distance (at nine decimals of its square) and then number.
 
-    The room table is small against points (a room covers many scans) and is broadcast only
-    while its estimated size allows; otherwise Spark nests the loops over its partitions.
+    Boxes are looked for in the grid cell of the point and the eight around it. A point whose
+    k-th box found lies within one cell's width is done, as no other box can be nearer; the
+    others take cells four times as wide, until these span everything.
     """
+    k = min(k, rooms.limit(k).count())
+    bounds = rooms.agg(F.min("min_x"), F.min("min_y"), F.max("max_x"), F.max("max_y")).first()
+    spread = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    if not k or spread[0] is None:
+        return points.where("false").select("point_id", F.lit(0).alias("rank"), F.lit(0).alias("room_id"), F.lit(0.0).alias("distance"))
+    extent = max(max(bounds[i + 2], spread[i + 2]) - min(bounds[i], spread[i]) for i in (0, 1))
     d2 = F.round(rect_distance2("x", "y", "r"), 9)
-    near = points.select("point_id", "x", "y").join(rooms.select(F.struct("*").alias("r"))).withColumn("d2", d2)
-    ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("point_id").orderBy("d2", "r.room_id")))
-    return ranked.where(F.col("_k") <= k).select("point_id", F.col("_k").alias("rank"), F.col("r.room_id").alias("room_id"), F.sqrt("d2").alias("distance"))
-
-
-def _nearest_per_room(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """Per point and candidate room the nearest line: point_id, room_id, d2, line_id, positive."""
-    s = segments.select("room_id", F.struct("line_id", "x1", "y1", "x2", "y2", "nx", "ny").alias("s"))
-    d2 = F.round(g.segment_distance2("x", "y", "s.x1", "s.y1", "s.x2", "s.y2"), 9)
-    side = g.signed_distance("x", "y", "s.x1", "s.y1", "s.nx", "s.ny") > 0
-    near = points.join(s, "room_id").groupBy("point_id", "room_id").agg(F.min(F.struct(d2.alias("d2"), F.col("s.line_id").alias("line_id"), side.alias("positive"))).alias("m"))
-    return near.select("point_id", "room_id", "m.d2", "m.line_id", "m.positive")
+    left, found = points.select("point_id", "x", "y"), []
+    while True:
+        at = lambda c: F.floor(F.col(c) / cell)  # noqa: E731, B023
+        span = lambda c: F.explode(F.sequence(F.floor(F.col(f"r.min_{c}") / cell) - 1, F.floor(F.col(f"r.max_{c}") / cell) + 1))  # noqa: E731, B023
+        reach = rooms.select(F.struct("*").alias("r")).withColumn("_cx", span("x")).withColumn("_cy", span("y"))
+        near = left.withColumn("_cx", at("x")).withColumn("_cy", at("y")).join(reach, ["_cx", "_cy"]).withColumn("d2", d2)
+        ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("point_id").orderBy("d2", "r.room_id"))).where(F.col("_k") <= k)
+        ranked = materialize(ranked.select("point_id", "_k", F.col("r.room_id").alias("room_id"), "d2"), "knn-rooms")
+        if cell > extent:
+            found.append(ranked)
+            break
+        done = ranked.where((F.col("_k") == k) & (F.col("d2") <= cell * cell)).select("point_id")
+        found.append(ranked.join(done, "point_id", "left_semi"))
+        left = materialize(left.join(done, "point_id", "left_anti"), "knn-left")
+        if left.isEmpty():
+            break
+        cell *= 4
+    every = reduce(DataFrame.unionByName, found)
+    return every.select("point_id", F.col("_k").alias("rank"), "room_id", F.sqrt("d2").alias("distance"))
 
 
 def _decide(near: DataFrame, one_positive_only: bool) -> DataFrame:
@@ -172,7 +143,7 @@ def assign_points(points: DataFrame, rooms: DataFrame, segments: DataFrame, cand
     held = points.join(candidates, "point_id").join(rooms.select("room_id", F.struct("min_x", "min_y", "max_x", "max_y").alias("r")), "room_id").where(in_rect("x", "y", "r"))
     single = held.groupBy("point_id").agg(F.count("*").alias("n"), F.min("room_id").alias("room_id")).where("n = 1").select("point_id", "room_id")
     rest = points.join(single, "point_id", "left_anti").join(candidates, "point_id")
-    return single.unionByName(_decide(_nearest_per_room(rest, segments), one_positive_only))
+    return single.unionByName(_decide(nearest_in_room(rest, segments, ("point_id", "room_id")), one_positive_only))
 
 
 def identify_room(points: DataFrame, rooms: DataFrame, segments: DataFrame) -> DataFrame:

@@ -39,14 +39,35 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 1.0) -> D
     return placed.join(covered, ["_cx", "_cy"]).where(inside).drop("_cx", "_cy")
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, key: str = "room_id", by: tuple[str, ...] = ("point_id",), digits: int = 9) -> DataFrame:
-    """Per point the nearest line of its room and the distance; ties go to the smaller line id.
+#: Lines of a room that travel in one array.
+CHUNK = 64
+
+
+def line_chunks(segments: DataFrame, key: str = "room_id") -> DataFrame:
+    """(key, lines): a room's lines in arrays of about ``CHUNK``, dealt by their number, however many they are."""
+    sizes = segments.groupBy(key).agg(F.ceil(F.count("*") / CHUNK).alias("_parts"))
+    dealt = segments.join(sizes, key).withColumn("_part", F.pmod(F.xxhash64("line_id"), F.col("_parts")))
+    return dealt.groupBy(key, "_part").agg(F.collect_list(F.struct("line_id", "x1", "y1", "x2", "y2", "nx", "ny")).alias("lines")).drop("_part")
+
+
+def nearest_in_room(points: DataFrame, segments: DataFrame, by: tuple[str, ...], key: str = "room_id", digits: int | None = 9) -> DataFrame:
+    """``by``, d2, line_id, positive of the nearest line of the key's room for each point (x, y); ties go to the smaller number.
 
-    Distances are compared at ``digits`` decimals, so that rounding does not decide ties.
-    Partial minima are taken before the shuffle.
+    A point meets each array of its room's lines and keeps the least of it, so neither pairs
+    nor points are sorted by line; squared distances are compared at ``digits`` decimals, so
+    that rounding does not decide ties. ``positive``: the point lies on the line's side.
     """
-    s = segments.select(key, F.struct("line_id", "x1", "y1", "x2", "y2", "nx", "ny").alias("s"))
-    d2 = g.segment_distance2("x", "y", "s.x1", "s.y1", "s.x2", "s.y2")
-    side = g.signed_distance("x", "y", "s.x1", "s.y1", "s.nx", "s.ny") > 0
-    best = points.join(s, key).groupBy(*by).agg(F.min(F.struct(F.round(d2, digits).alias("d2"), F.col("s.line_id").alias("line_id"), side.alias("positive"))).alias("m"))
-    return best.select(*by, F.col("m.line_id").alias("line_id"), F.sqrt("m.d2").alias("distance"), F.col("m.positive").alias("positive"))
+
+    def of(s: Column) -> Column:
+        d2 = g.segment_distance2("x", "y", s["x1"], s["y1"], s["x2"], s["y2"])
+        side = g.signed_distance("x", "y", s["x1"], s["y1"], s["nx"], s["ny"]) > 0
+        return F.struct((d2 if digits is None else F.round(d2, digits)).alias("d2"), s["line_id"].alias("line_id"), side.alias("positive"))
+
+    met = points.join(line_chunks(segments, key), key).select(*by, F.array_min(F.transform("lines", of)).alias("_m"))
+    return met.groupBy(*by).agg(F.min("_m").alias("_m")).select(*by, "_m.d2", "_m.line_id", "_m.positive")
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, key: str = "room_id", by: tuple[str, ...] = ("point_id",), digits: int = 9) -> DataFrame:
+    """Per point the nearest line of its room, the distance and the side."""
+    near = nearest_in_room(points, segments, by, key, digits)
+    return near.select(*by, "line_id", F.sqrt("d2").alias("distance"), "positive")

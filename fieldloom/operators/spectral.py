@@ -34,12 +34,26 @@ def eigengap(values: np.ndarray) -> int:
     return int(np.diff(values).argmax()) + 1
 
 
+def is_connected(w: np.ndarray) -> bool:
+    met, todo = {0}, [0]
+    while todo:
+        new = set(np.flatnonzero(w[todo.pop()]).tolist()) - met
+        met |= new
+        todo += new
+    return len(met) == len(w)
+
+
 def split_graph(w: np.ndarray, cfg: MapConfig = DEFAULT) -> np.ndarray:
-    """0 or 1 per node: two parts if the graph is connected and its second eigenvalue small, else one."""
+    """0 or 1 per node: two parts of two lines or more if the graph is connected and its second eigenvalue small, else one."""
+    none = np.zeros(len(w), int)
+    if len(w) < 4 or not is_connected(w):
+        return none
     values, vectors = laplacian_spectrum(w)
-    if len(w) < 3 or values[1] > cfg.fiedler_thresh or values[1] < 1e-9:
-        return np.zeros(len(w), int)
+    if values[1] > cfg.fiedler_thresh:
+        return none
     parts = cluster_qr(vectors[:, :2])
+    if min(parts.sum(), (1 - parts).sum()) < 2:
+        return none
     return parts if parts[0] == 0 else 1 - parts
 
 
@@ -54,7 +68,7 @@ def split_rooms(edges: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
             w[at[p], at[q]] = w[at[q], at[p]] = x
         return pd.DataFrame({"room_id": int(e["room_id"].iloc[0]), "line_id": nodes, "part": split_graph(w, cfg)})
 
-    return edges.groupBy("room_id").applyInPandas(run, "room_id int, line_id long, part int")
+    return edges.groupBy("room_id").applyInPandas(run, "room_id long, line_id long, part int")
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:

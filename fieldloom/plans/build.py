@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MapConfig
 from ..functions import geometry as g
-from ..operators import extract, field, ingest, mapping, rooms, segments, spatial, spectral
+from ..operators import extract, field, graph, ingest, mapping, rooms, segments, spatial, spectral, visibility
 from ..sources.staging import materialize
 
 
@@ -30,27 +30,60 @@ class World:
         return field.predict_rooms(queries.join(found, "query_id"), self.state, self.lines, self.cfg)
 
 
+#: Splits of a robot's lines in a row, each into two.
+DEPTH = 20
+
+
+def split_until_whole(lines: DataFrame, edges: DataFrame | None = None, cfg: MapConfig = DEFAULT) -> DataFrame:
+    """The lines with room_id: rooms are split by their visibility graph until no part qualifies. A room's parts are numbered 2n and 2n + 1."""
+    lines = lines.withColumn("_open", F.lit(True))
+    for i in range(DEPTH):
+        todo = lines.where("_open").drop("_open")
+        seen = visibility.visibility_edges(todo, edges, cfg).select("room_id", "p", "q", "weight")
+        found = todo.select("room_id", F.col("line_id").alias("p"), F.col("line_id").alias("q"), F.lit(0.0).alias("weight"))  # lines that see none belong to a room too
+        parts = materialize(spectral.split_rooms(_connected(seen, todo).unionByName(found), cfg), f"world-parts{i}")
+        split = parts.groupBy("room_id").agg((F.max("part") > 0).alias("_split"))
+        marked = lines.join(parts.select("line_id", "part"), "line_id", "left").join(split, "room_id", "left")
+        room = F.col("room_id") * 2 + F.coalesce("part", F.lit(0))
+        lines = materialize(marked.withColumn("_open", F.coalesce("_split", F.lit(False))).withColumn("room_id", room).drop("part", "_split"), f"world-rooms{i}")
+        if lines.where("_open").isEmpty():
+            return lines.drop("_open")
+    raise RuntimeError("rooms did not settle")
+
+
+def _connected(edges: DataFrame, lines: DataFrame) -> DataFrame:
+    """Visibility edges and those that chain the components of a room's graph, lines without an edge included."""
+    links = edges.select(F.col("p").alias("a"), F.col("q").alias("b"))
+    root = graph.components(links, "world-cc")
+    members = lines.select("room_id", F.col("line_id").alias("node")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return edges.unionByName(graph.connect_components(members))
+
+
 def build(scans: DataFrame, increment: float, cfg: MapConfig = DEFAULT, prior: bool = True) -> World:
-    """Build the map of every robot. Only poses, walls and voxels are grouped by robot or room; all else is row by row or by scan."""
+    """Build the map of every robot.
+
+    Points off the walls (clusters that are no line and what lines leave over, without those
+    whose centre lies at a wall) feed the fields. Only poses, walls and voxels are grouped by
+    robot or room; all else is row by row or by scan.
+    """
     poses = scans.select("robot_id", "scan_id", F.col("robot_pose.x").alias("x"), F.col("robot_pose.y").alias("y"))
     kept = ingest.pose_gate(poses, cfg.pose_gate)
     pts = ingest.scan_to_points(scans.join(kept, ["robot_id", "scan_id"]), cfg).withColumn("room_id", F.lit(0))
-    clusters = materialize(segments.breakpoints(pts, increment, cfg), "world-points")
-    line_like = segments.cluster_stats(clusters, cfg).where("status = 'line'").select("scan_id", "cluster_id")
-    found = extract.extract_segments(clusters.join(line_like, ["scan_id", "cluster_id"]), cfg)
-    owner = clusters.select("scan_id", "robot_id").distinct()
-    found = found.withColumn("scan_id", F.shiftright("line_id", 20)).join(owner, "scan_id")
-    lines = materialize(mapping.build_map(found, cfg), "world-lines")
+    clusters = materialize(segments.ring_pass(segments.breakpoints(pts, increment, cfg), cfg), "world-points")
+    line_like = clusters.where("status = 'line'")
+    found = materialize(extract.extract_segments(line_like, cfg), "world-segments")
+    robots = found.select("robot_id").distinct().withColumn("_robot", F.row_number().over(Window.orderBy("robot_id")) - 1)  # a row a robot
+    lines = mapping.build_map(found, cfg)
+    pose = found.groupBy("robot_id").agg(F.avg("robot_x").alias("robot_x"), F.avg("robot_y").alias("robot_y"))
     dx, dy = g.direction("x1", "y1", "x2", "y2")
-    own = F.pmod(F.hash("robot_id"), F.lit(1 << 29)) * 2  # two rooms a robot at most; robots are told apart by a 29-bit hash
-    lines = lines.withColumn("room_id", own).withColumn("line_id", (F.col("room_id").cast("long") * (1 << 20) + F.col("line_id")).cast("long")).withColumn("dx", dx).withColumn("dy", dy)
-    lines = lines.withColumn("robot_x", F.lit(0.0)).withColumn("robot_y", F.lit(0.0))
-    parts = spectral.split_rooms(rooms.visibility_edges(lines, cfg), cfg).select("line_id", "part")
-    lines = materialize(lines.join(parts, "line_id", "left").withColumn("room_id", (F.col("room_id") + F.coalesce("part", F.lit(0))).cast("int")).drop("part"), "world-rooms")
+    number = F.shiftleft(F.col("_robot").cast("long"), 32) + F.col("line_id")
+    lines = lines.join(robots, "robot_id").join(pose, "robot_id").withColumn("line_id", number).withColumn("room_id", F.col("_robot").cast("long") + 1).withColumn("dx", dx).withColumn("dy", dy).drop("_robot")
+    lines = split_until_whole(materialize(lines, "world-lines"), None, cfg)
     boxes = rooms.room_rect(lines)
-    every = clusters.select(F.concat_ws("/", "robot_id", "point_key").alias("point_id"), "x", "y")
-    on_wall = spatial.points_near_segments(every, lines.select("line_id", "x1", "y1", "x2", "y2"), cfg.residual_radius).select("point_id").distinct()
-    placed = every.join(on_wall, "point_id", "left_anti")
+    left = clusters.where("status = 'residual'").select(*segments.CLUSTER, "beam", "x", "y").unionByName(extract.residual_points(line_like, cfg))
+    centres = left.groupBy(*segments.CLUSTER).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    at_wall = spatial.points_near_segments(centres, lines.select("robot_id", "x1", "y1", "x2", "y2"), cfg.residual_radius).where(F.col("robot_id") == F.col("s.robot_id")).select(*segments.CLUSTER).distinct()
+    placed = materialize(left.join(at_wall, list(segments.CLUSTER), "left_anti").withColumn("point_id", F.concat_ws("/", "robot_id", "scan_id", "beam")).select("point_id", "x", "y"), "world-residual")
     in_room = rooms.identify_room(placed, boxes, lines)
     voxels = field.voxel_downsample(placed.join(in_room, "point_id"), cfg.r_voxel)
     state = materialize(field.fit_rooms(voxels.select("room_id", F.lit(0).alias("batch"), "x", "y"), lines if prior else None, cfg), "world-fields")

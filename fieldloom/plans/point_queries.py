@@ -33,25 +33,48 @@ def query(sql: str | None = None):
 
 GAPS = """, gaps AS (
   SELECT *, sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) AS gap FROM (
-    SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM pts WINDOW w AS (PARTITION BY scan_id ORDER BY beam))
+    SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM pts WINDOW w AS (PARTITION BY robot_id, scan_id ORDER BY beam))
 )"""
+KEY = "robot_id, scan_id, cluster_id"
 CLUSTERS = (
     GAPS
     + f""", cut AS (
   SELECT *, CASE WHEN gap >= 7 * rng * {v.STEP!r} THEN 1 ELSE 0 END AS brk FROM gaps
 ), chained AS (
-  SELECT *, sum(brk) OVER (PARTITION BY scan_id ORDER BY beam ROWS UNBOUNDED PRECEDING) - brk AS c FROM cut
+  SELECT *, sum(brk) OVER (PARTITION BY robot_id, scan_id ORDER BY beam ROWS UNBOUNDED PRECEDING) - brk AS c FROM cut
 ), clusters AS (
-  SELECT *, CAST(CASE WHEN last_brk = 0 AND c = last_c THEN 0 ELSE c END AS INTEGER) AS cluster_id FROM (
-    SELECT *, max(c) OVER (PARTITION BY scan_id) AS last_c, arg_max(brk, beam) OVER (PARTITION BY scan_id) AS last_brk FROM chained)
+  SELECT *, CAST(CASE WHEN ahead THEN 0 ELSE c END AS INTEGER) AS cluster_id, CASE WHEN ahead AND last_c > 0 THEN beam - 1048576 ELSE beam END AS pos FROM (SELECT *, last_brk = 0 AND c = last_c AS ahead FROM (
+    SELECT *, max(c) OVER (PARTITION BY robot_id, scan_id) AS last_c, arg_max(brk, beam) OVER (PARTITION BY robot_id, scan_id) AS last_brk FROM chained))
 ), stats AS (
-  SELECT scan_id, cluster_id, count(*) AS n, avg(inner_gap) AS mean_gap FROM (
-    SELECT *, sqrt((lead(x) OVER w - x) * (lead(x) OVER w - x) + (lead(y) OVER w - y) * (lead(y) OVER w - y)) AS inner_gap FROM clusters WINDOW w AS (PARTITION BY scan_id, cluster_id ORDER BY beam))
-  GROUP BY scan_id, cluster_id
+  SELECT {KEY}, count(*) AS n, avg(inner_gap) AS mean_gap FROM (
+    SELECT *, sqrt((lead(x) OVER w - x) * (lead(x) OVER w - x) + (lead(y) OVER w - y) * (lead(y) OVER w - y)) AS inner_gap FROM clusters WINDOW w AS (PARTITION BY {KEY} ORDER BY pos))
+  GROUP BY {KEY}
 ), lined AS (
   SELECT *, CASE WHEN n <= 2 THEN 'residual' WHEN mean_gap > 0.11 THEN 'dropped' WHEN n < 20 THEN 'residual' ELSE 'line' END AS status FROM stats
 )"""
 )
+RING = (
+    CLUSTERS
+    + f""", ends AS (
+  SELECT {KEY}, arg_min(x, pos) AS ax, arg_min(y, pos) AS ay, arg_max(x, pos) AS bx, arg_max(y, pos) AS by_ FROM clusters GROUP BY {KEY}
+), kept AS (
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY robot_id, scan_id) AS n_kept, coalesce(lead(ax) OVER w, first_value(ax) OVER w) AS nx_, coalesce(lead(ay) OVER w, first_value(ay) OVER w) AS ny_
+  FROM ends JOIN (SELECT {KEY} FROM lined WHERE n > 2 AND status <> 'dropped') USING ({KEY}) WINDOW w AS (PARTITION BY robot_id, scan_id ORDER BY cluster_id)
+), near_ AS (SELECT *, sqrt((nx_ - bx) * (nx_ - bx) + (ny_ - by_) * (ny_ - by_)) < 0.2 AS joins_next FROM kept
+), opened AS (
+  SELECT *, CASE WHEN k = 1 OR NOT lag(joins_next) OVER w THEN k END AS opens FROM near_ WINDOW w AS (PARTITION BY robot_id, scan_id ORDER BY cluster_id)
+), chains AS (
+  SELECT *, max(opens) OVER (PARTITION BY robot_id, scan_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS chain, max(opens) OVER (PARTITION BY robot_id, scan_id) AS last_chain,
+    max(CASE WHEN k = n_kept AND joins_next THEN 1 ELSE 0 END) OVER (PARTITION BY robot_id, scan_id) = 1 AS closes, min(cluster_id) OVER (PARTITION BY robot_id, scan_id) AS first_id FROM opened
+), into_ AS (
+  SELECT {KEY}, CASE WHEN closes AND chain = last_chain AND last_chain > 1 THEN first_id ELSE min(cluster_id) OVER (PARTITION BY robot_id, scan_id, chain) END AS joined FROM chains
+), ringed AS (
+  SELECT c.*, coalesce(i.joined, c.cluster_id) AS ring_id, i.joined IS NOT NULL AS is_kept FROM clusters c LEFT JOIN into_ i USING ({KEY})
+), rings AS (
+  SELECT r.robot_id, r.scan_id, r.ring_id AS cluster_id, count(*) AS n, CASE WHEN NOT bool_or(r.is_kept) THEN min(l.status) WHEN count(*) < 20 THEN 'residual' ELSE 'line' END AS status
+  FROM ringed r LEFT JOIN lined l ON l.robot_id = r.robot_id AND l.scan_id = r.scan_id AND l.cluster_id = r.ring_id GROUP BY r.robot_id, r.scan_id, r.ring_id
+)"""
+)
 FITS = (
     CLUSTERS
     + f""", sums AS (
@@ -72,8 +95,19 @@ def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _large(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _clusters(spark, sf_dir)
-    big = c.groupBy("scan_id", "cluster_id").count().where("count >= 20").drop("count")
-    return c.join(big, ["scan_id", "cluster_id"])
+    big = c.groupBy(*segments.CLUSTER).count().where("count >= 20").drop("count")
+    return c.join(big, list(segments.CLUSTER))
+
+
+def line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the clusters that may hold lines, after the ring pass."""
+    return segments.ring_pass(_clusters(spark, sf_dir)).where("status = 'line'")
+
+
+@query(RING + " SELECT scan_id, CAST(cluster_id AS INTEGER) AS cluster_id, n, status FROM rings")
+def ring_clusters(spark, sf_dir):
+    joined = segments.ring_pass(_clusters(spark, sf_dir))
+    return joined.groupBy(*segments.CLUSTER).agg(F.count("*").alias("n"), F.max("status").alias("status")).select("scan_id", "cluster_id", "n", "status")
 
 
 @query(f"SELECT point_id, scan_id, beam, {q('x')} AS x, {q('y')} AS y, {q('angle')} AS angle, {q('rng')} AS range FROM pts")
@@ -128,16 +162,16 @@ def sparse_cluster(spark, sf_dir):
 
 @query(FITS + f" SELECT scan_id, cluster_id, n, {q('r')} AS r, {q('theta')} AS theta, {q('cost')} AS cost FROM fits")
 def line_fit(spark, sf_dir):
-    f = segments.line_fit(_large(spark, sf_dir), ("scan_id", "cluster_id"))
+    f = segments.line_fit(_large(spark, sf_dir), segments.CLUSTER)
     return f.select("scan_id", "cluster_id", "n", r6("r").alias("r"), r6("theta").alias("theta"), r6("cost").alias("cost"))
 
 
 @query(FITS + f""" SELECT f.scan_id, f.cluster_id, {q('max(abs(x * cos(theta) + y * sin(theta) - r))')} AS max_residual, max(abs(x * cos(theta) + y * sin(theta) - r)) <= 0.05 AS is_line
 FROM fits f JOIN clusters c ON c.scan_id = f.scan_id AND c.cluster_id = f.cluster_id GROUP BY f.scan_id, f.cluster_id""")
 def is_line(spark, sf_dir):
-    key = ("scan_id", "cluster_id")
+    key = segments.CLUSTER
     pts = _large(spark, sf_dir)
-    return segments.is_line(pts, segments.line_fit(pts, key), key).select(*key, r6("max_residual").alias("max_residual"), "is_line")
+    return segments.is_line(pts, segments.line_fit(pts, key), key).select("scan_id", "cluster_id", r6("max_residual").alias("max_residual"), "is_line")
 
 
 @query(CLUSTERS + f""", ends AS (
@@ -147,7 +181,7 @@ def is_line(spark, sf_dir):
   FROM clusters c JOIN ends e ON c.scan_id = e.scan_id AND c.cluster_id = e.cluster_id AND beam > b0 AND beam < b1
 ) SELECT scan_id, cluster_id, {q('avg(d)')} AS mean_sagitta, CASE WHEN avg(d) > 0.1 THEN arg_min(beam, struct_pack(nd := -d, b := beam)) END AS corner_beam FROM dists GROUP BY scan_id, cluster_id""")
 def seed_corner(spark, sf_dir):
-    return segments.seed_corner(_large(spark, sf_dir), ("scan_id", "cluster_id")).select("scan_id", "cluster_id", r6("mean_sagitta").alias("mean_sagitta"), "corner_beam")
+    return segments.seed_corner(_large(spark, sf_dir), segments.CLUSTER).select("scan_id", "cluster_id", r6("mean_sagitta").alias("mean_sagitta"), "corner_beam")
 
 
 @query(CLUSTERS + CENTROIDS + f" SELECT scan_id, cluster_id, n, {q('cx')} AS cx, {q('cy')} AS cy FROM centroids")
@@ -200,11 +234,21 @@ def novelty_filter(spark, sf_dir):
     return field.novelty_filter(new, known).select("point_id")
 
 
-@query(f"""SELECT a.room_id, a.point_id AS i, b.point_id AS j, {q('exp(-100.0 * sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)))')} AS value
-FROM pts a JOIN pts b ON a.room_id = b.room_id AND a.point_id < b.point_id WHERE a.beam % 60 = 0 AND b.beam % 60 = 0""")
+VOXELS = """, low AS (SELECT room_id, min(x) - 0.075 AS lx, min(y) - 0.075 AS ly FROM pts GROUP BY room_id
+), vox AS (
+  SELECT room_id, CAST(floor((x - lx) / 0.15) AS BIGINT) * 1000000 + CAST(floor((y - ly) / 0.15) AS BIGINT) AS id, avg(x) AS x, avg(y) AS y FROM pts JOIN low USING (room_id) GROUP BY 1, 2
+)"""
+NEAR_CELLS = -math.log(1e-9) / 100.0
+
+
+@query(VOXELS + f""", cells AS (SELECT *, CAST(floor(x / {NEAR_CELLS!r}) AS BIGINT) AS cx, CAST(floor(y / {NEAR_CELLS!r}) AS BIGINT) AS cy FROM vox
+), around AS (SELECT room_id, id, x, y, cx + dx AS cx, cy + dy AS cy FROM cells, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)
+), pair AS (SELECT a.room_id, a.id AS i, b.id AS j, exp(-100.0 * sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))) AS value FROM cells a JOIN around b ON b.room_id = a.room_id AND b.cx = a.cx AND b.cy = a.cy AND a.id < b.id)
+SELECT room_id, i, j, round(value, 9) + 0.0 AS value FROM pair WHERE value >= 1e-9""")
 def kernel_matrix(spark, sf_dir):
-    k = field.kernel_matrix(v.points(spark, sf_dir).where("beam % 60 = 0"))
-    return k.select("room_id", "i", "j", r6("value").alias("value"))
+    """The kernel between a room's inducing points: the voxels of all its points."""
+    vox = field.voxel_downsample(v.points(spark, sf_dir)).withColumn("point_id", F.col("ix") * 1_000_000 + F.col("iy"))
+    return field.kernel_matrix(vox).select("room_id", "i", "j", F.round("value", 9).alias("value"))
 
 
 PRIOR = f", prior AS (SELECT point_id, sqrt(min({d2_sql('p.x', 'p.y', 's')})) AS d FROM pts p JOIN segs s ON s.room_id = p.room_id GROUP BY point_id)"

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import field, graph, rooms, segments
+from ..operators import field, graph, rooms, segments, visibility
+from ..sources.staging import materialize
 from . import views as v
 from .point_queries import NEAREST, ORACLE_SQL, QUERIES, query, r6
 from .views import d2_sql, ends, meets_sql, q, segd2_sql, side_sql
@@ -86,15 +87,29 @@ def line_merge(spark, sf_dir):
 
 
 GAP = "sqrt((q.x1 - p.x2) * (q.x1 - p.x2) + (q.y1 - p.y2) * (q.y1 - p.y2))"
+MEETX = "((p.r * sin(q.theta) - q.r * sin(p.theta)) / sin(q.theta - p.theta))"
+MEETY = "((q.r * cos(p.theta) - p.r * cos(q.theta)) / sin(q.theta - p.theta))"
+CORNERS = f""", met AS (
+  SELECT p.room_id, p.line_id AS p, q.line_id AS q, {GAP} AS gap, {MEETX} AS x, {MEETY} AS y, p.x1 AS px1, p.y1 AS py1, q.x1 AS qx1, q.y1 AS qy1, q.x2 AS qx2, q.y2 AS qy2, p.nx AS pnx, p.ny AS pny, q.nx AS qnx, q.ny AS qny
+  FROM {PAIRS} WHERE {GAP} <= 0.5 AND abs(sin(q.theta - p.theta)) > 1e-12
+), sided AS (
+  SELECT *, (qx2 - x) * pnx + (qy2 - y) * pny AS d1, (px1 - x) * qnx + (py1 - y) * qny AS d2 FROM met
+  WHERE sqrt((qx1 - x) * (qx1 - x) + (qy1 - y) * (qy1 - y)) >= 0.5 AND sqrt((qx2 - x) * (qx2 - x) + (qy2 - y) * (qy2 - y)) >= 0.5
+), nexts AS (SELECT e.src AS p, e.type AS out_type, s.x2 AS ox, s.y2 AS oy FROM (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) = 1) e LEFT JOIN segs s ON s.line_id = e.dst
+), befores AS (SELECT e.dst AS q, e.type AS in_type, s.x1 AS ix, s.y1 AS iy FROM (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src) = 1) e LEFT JOIN segs s ON s.line_id = e.src
+), corners AS (
+  SELECT c.* FROM sided c LEFT JOIN nexts n ON n.p = c.p LEFT JOIN befores b ON b.q = c.q
+  WHERE d1 * d2 >= 0 AND ((out_type IS NULL AND in_type IS NULL) OR (d1 >= 0 AND d2 >= 0
+    AND NOT (coalesce(out_type = 'corner', false) AND coalesce((ox - x) * pnx + (oy - y) * pny > 0, false))
+    AND NOT (coalesce(in_type = 'corner', false) AND coalesce((ix - x) * qnx + (iy - y) * qny > 0, false))))
+)"""
 
 
-@query(f"""SELECT p.room_id, p.line_id AS p, q.line_id AS q, {q(GAP)} AS gap, {q('(p.r * sin(q.theta) - q.r * sin(p.theta)) / sin(q.theta - p.theta)')} AS x
-FROM {PAIRS} WHERE {GAP} <= 0.5 AND abs(sin(q.theta - p.theta)) > 1e-12 AND {side_sql('q.x2', 'q.y2', 'p')} * {side_sql('p.x1', 'p.y1', 'q')} >= 0 AND abs(sin(q.theta - p.theta)) > 0.05""")
+@query(CORNERS + f" SELECT room_id, p, q, {q('gap')} AS gap, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y FROM corners")
 def corner_candidates(spark, sf_dir):
-    s = v.segments(spark, sf_dir)
-    c = segments.corner_candidates(s)
-    t = s.select(F.col("line_id").alias("p"), F.col("theta").alias("tp")), s.select(F.col("line_id").alias("q"), F.col("theta").alias("tq"))
-    return c.join(t[0], "p").join(t[1], "q").where(F.abs(F.sin(F.col("tq") - F.col("tp"))) > 0.05).select("room_id", "p", "q", r6("gap").alias("gap"), r6("x").alias("x"))
+    """Corners at three decimals: where lines meet at a small angle, rounding moves the point."""
+    c = segments.corner_candidates(v.segments(spark, sf_dir), v.line_edges(spark, sf_dir))
+    return c.select("room_id", "p", "q", r6("gap").alias("gap"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 AT = "(((q.x1 + q.x2) / 2 - p.x1) * p.dx + ((q.y1 + q.y2) / 2 - p.y1) * p.dy)"
@@ -151,33 +166,59 @@ def local_lines(spark, sf_dir):
     return rooms.local_lines(v.segments(spark, sf_dir), v.room_edges(spark, sf_dir))
 
 
-WEIGHT = """((p.len + q.len) / (2 * m.max_len) * exp(-0.02 * ((p.cx - q.cx) * (p.cx - q.cx) + (p.cy - q.cy) * (p.cy - q.cy))) * exp(-0.005 * ((p.robot_x - q.robot_x) * (p.robot_x - q.robot_x) + (p.robot_y - q.robot_y) * (p.robot_y - q.robot_y))))"""
+def _weight(d2: str) -> str:
+    return f"((p.len + q.len) / (2 * m.max_len) * exp(-0.02 * {d2}) * exp(-0.005 * ((p.robot_x - q.robot_x) * (p.robot_x - q.robot_x) + (p.robot_y - q.robot_y) * (p.robot_y - q.robot_y))))"
+
+
 MAXES = "JOIN (SELECT room_id, max(len) AS max_len FROM segs GROUP BY room_id) m ON m.room_id = p.room_id"
 
 
-@query(f"SELECT p.room_id, p.line_id AS p, q.line_id AS q, {q(WEIGHT)} AS weight FROM {ONCE} {MAXES}")
+@query(f"SELECT p.room_id, p.line_id AS p, q.line_id AS q, {q(_weight(segd2_sql('p', 'q')))} AS weight FROM {ONCE} {MAXES}")
 def edge_weights(spark, sf_dir):
-    return rooms.edge_weights(v.segments(spark, sf_dir)).select("room_id", "p", "q", r6("weight").alias("weight"))
+    return visibility.edge_weights(v.segments(spark, sf_dir)).select("room_id", "p", "q", r6("weight").alias("weight"))
+
+
+QUARTER = lambda s, i: (f"(({s}.cx + {s}.x{i}) / 2)", f"(({s}.cy + {s}.y{i}) / 2)")
+TURN = "abs(p.theta - q.theta)"
+SIGHTS = " OR ".join(meets_sql(a, ends("o")) for a in (("p.cx", "p.cy", "q.cx", "q.cy"), (*QUARTER("q", 1), *QUARTER("p", 2)), (*QUARTER("q", 2), *QUARTER("p", 1))))
+SEEN = f""", both_edges AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges
+), dist AS (SELECT p.room_id, p.line_id AS p, q.line_id AS q, {segd2_sql('p', 'q')} AS d2 FROM {PAIRS}
+), lp AS (
+  SELECT d.room_id, d.p, d.q, d.d2, e.a IS NOT NULL AS linked,
+    CASE WHEN d2 <= 9.0 AND e.a IS NULL AND q.nx * p.nx + q.ny * p.ny >= 0 AND ({TURN} < {PI / 4!r} OR {TURN} > {3 * PI / 4!r}) AND abs(p.cx * cos(q.theta) + p.cy * sin(q.theta) - q.r) < 0.5
+      THEN CASE WHEN (q.x1 - p.x2) * p.dx + (q.y1 - p.y2) * p.dy > 0 THEN 1 WHEN (p.x1 - q.x2) * q.dx + (p.y1 - q.y2) * q.dy > 0 THEN 2 END END AS goes_on,
+    (q.x1 - p.cx) * p.nx + (q.y1 - p.cy) * p.ny >= 0 OR (q.x2 - p.cx) * p.nx + (q.y2 - p.cy) * p.ny >= 0 AS ahead,
+    (q.cx - p.cx) * p.nx + (q.cy - p.cy) * p.ny >= 0 AND (p.cx - q.cx) * q.nx + (p.cy - q.cy) * q.ny >= 0 AS facing
+  FROM dist d JOIN segs p ON p.line_id = d.p JOIN segs q ON q.line_id = d.q LEFT JOIN both_edges e ON e.a = d.p AND e.b = d.q WHERE d2 < 64.0
+), views AS (SELECT * FROM lp WHERE facing AND NOT linked AND goes_on IS NULL
+), blocked AS (
+  SELECT DISTINCT c.room_id, c.p, c.q FROM views c JOIN lp w ON w.p = c.p AND w.ahead AND w.goes_on IS NULL AND w.d2 < c.d2 AND w.q <> c.q
+  JOIN segs p ON p.line_id = c.p JOIN segs q ON q.line_id = c.q JOIN segs o ON o.line_id = w.q WHERE {SIGHTS}
+), goes AS (SELECT DISTINCT room_id, CASE WHEN goes_on = 1 THEN p ELSE q END AS a, CASE WHEN goes_on = 1 THEN q ELSE p END AS b FROM lp WHERE goes_on IS NOT NULL
+), after_ AS (SELECT e.a, (o.x2 - s.x2) * s.nx + (o.y2 - s.y2) * s.ny < 0 AS free FROM (SELECT src AS a, min(dst) AS o FROM edges GROUP BY src) e JOIN segs s ON s.line_id = e.a JOIN segs o ON o.line_id = e.o
+), before_ AS (SELECT e.b, (o.x1 - s.x1) * s.nx + (o.y1 - s.y1) * s.ny < 0 AS free FROM (SELECT dst AS b, min(src) AS o FROM edges GROUP BY dst) e JOIN segs s ON s.line_id = e.b JOIN segs o ON o.line_id = e.o
+), free_ AS (SELECT g.room_id, g.a, g.b FROM goes g LEFT JOIN after_ USING (a) LEFT JOIN before_ USING (b) WHERE coalesce(before_.free, after_.free, true)
+), kinds AS (
+  SELECT c.room_id, c.p, c.q, {_weight('c.d2')} AS weight, 2 AS kind FROM views c JOIN segs p ON p.line_id = c.p JOIN segs q ON q.line_id = c.q {MAXES} WHERE (c.p, c.q) NOT IN (SELECT (p, q) FROM blocked)
+  UNION ALL SELECT room_id, a, b, 1.0, 1 FROM free_
+  UNION ALL SELECT p.room_id, e.src, e.dst, {_weight('0.0')}, 0 FROM edges e JOIN segs p ON p.line_id = e.src JOIN segs q ON q.line_id = e.dst {MAXES} WHERE p.room_id = q.room_id
+), vis AS (
+  SELECT room_id, least(p, q) AS p, greatest(p, q) AS q, arg_min(weight, (kind, weight)) AS weight, ['line', 'continuation', 'sight'][min(kind) + 1] AS kind FROM kinds GROUP BY room_id, least(p, q), greatest(p, q)
+)"""
 
 
-SEEN = f""", cand AS (
-  SELECT p.room_id, p.line_id AS p, q.line_id AS q, {segd2_sql('p', 'q')} AS d2, {WEIGHT} AS weight, p.cx AS pcx, p.cy AS pcy, q.cx AS qcx, q.cy AS qcy
-  FROM {ONCE} {MAXES} WHERE {side_sql('q.cx', 'q.cy', 'p')} > 0 AND {side_sql('p.cx', 'p.cy', 'q')} > 0 AND {segd2_sql('p', 'q')} < 64.0
-), blocked AS (
-  SELECT DISTINCT c.room_id, c.p, c.q FROM cand c JOIN segs ps ON ps.line_id = c.p JOIN segs o ON o.room_id = c.room_id AND o.line_id <> c.p AND o.line_id <> c.q
-  WHERE {segd2_sql('ps', 'o')} < c.d2 AND {meets_sql(('c.pcx', 'c.pcy', 'c.qcx', 'c.qcy'), ends('o'))}
-), vis AS (SELECT room_id, p, q, weight FROM cand WHERE (p, q) NOT IN (SELECT (p, q) FROM blocked))"""
+def _seen(spark, sf_dir):
+    return visibility.visibility_edges(v.segments(spark, sf_dir), v.line_edges(spark, sf_dir))
 
 
-@query(SEEN + f" SELECT room_id, p, q, {q('weight')} AS weight FROM vis")
+@query(SEEN + f" SELECT room_id, p, q, {q('weight')} AS weight, kind FROM vis")
 def visibility_edges(spark, sf_dir):
-    return rooms.visibility_edges(v.segments(spark, sf_dir)).select("room_id", "p", "q", r6("weight").alias("weight"))
+    return _seen(spark, sf_dir).select("room_id", "p", "q", r6("weight").alias("weight"), "kind")
 
 
 @query(SEEN + " SELECT room_id, p, q FROM blocked")
 def occlusion(spark, sf_dir):
-    s = v.segments(spark, sf_dir)
-    return rooms.occluded(rooms.visibility_candidates(s), s)
+    return visibility.occluded(materialize(visibility.line_pairs(v.segments(spark, sf_dir), v.line_edges(spark, sf_dir)), "line-pairs"))
 
 
 COMPONENTS = f""", links AS (SELECT p AS a, q AS b, room_id FROM ({OVERLAP})
@@ -207,7 +248,7 @@ def connect_components(spark, sf_dir):
 SELECT w.room_id, w.i, w.j, {q('-weight / sqrt(a.d * b.d)')} AS value FROM w JOIN deg a ON a.room_id = w.room_id AND a.i = w.i JOIN deg b ON b.room_id = w.room_id AND b.i = w.j
 UNION ALL SELECT room_id, i, i, 1.0 FROM deg""")
 def laplacian(spark, sf_dir):
-    return graph.laplacian(rooms.visibility_edges(v.segments(spark, sf_dir))).select("room_id", "i", "j", r6("value").alias("value"))
+    return graph.laplacian(materialize(_seen(spark, sf_dir), "visible")).select("room_id", "i", "j", r6("value").alias("value"))
 
 
 @query(f"SELECT old, new, count(*) AS n, {q('avg((SELECT max(line_id) + 1 FROM labs) - line_id)')} AS age FROM labs GROUP BY old, new")
@@ -225,10 +266,17 @@ def missing_label(spark, sf_dir):
     return rooms.missing_label(v.labels(spark, sf_dir), "old").select(F.col("label").cast("int").alias("label"))
 
 
-@query(""", lone AS (SELECT room_id FROM (SELECT label AS room_id, count(*) AS n FROM embeddings WHERE vec_id < 12 GROUP BY label) WHERE n = 1)
-SELECT room_id, b AS "into" FROM lone JOIN both_redges ON a = room_id QUALIFY row_number() OVER (PARTITION BY room_id ORDER BY abs(room_id - b), b) = 1""")
+@query(""", own AS (SELECT line_id, room_id AS near, CASE WHEN line_id % 13 = 0 THEN 1000000 + line_id ELSE room_id END AS room_id FROM segs
+), lone AS (SELECT room_id FROM own GROUP BY room_id HAVING count(*) = 1
+), links AS (SELECT a, b FROM both_redges UNION ALL SELECT room_id, near + k FROM own, (SELECT unnest([0, 1]) AS k) WHERE line_id % 13 = 0)
+SELECT room_id, b AS "into" FROM lone JOIN links ON a = room_id QUALIFY row_number() OVER (PARTITION BY room_id ORDER BY abs(room_id - b), b) = 1""")
 def absorb_singletons(spark, sf_dir):
-    return rooms.absorb_singletons(v.segments(spark, sf_dir).where("line_id < 12").select("room_id", "line_id"), v.room_edges(spark, sf_dir))
+    """Every thirteenth line has a room of its own, next to the one it lies in and the one after."""
+    s = v.segments(spark, sf_dir).select("line_id", F.col("room_id").cast("long").alias("near"))
+    own = s.withColumn("room_id", F.when(F.col("line_id") % 13 == 0, 1_000_000 + F.col("line_id")).otherwise(F.col("near")))
+    links = own.where("line_id % 13 = 0").select(F.col("room_id").alias("a"), F.explode(F.array("near", F.col("near") + 1)).alias("b"))
+    e = v.room_edges(spark, sf_dir).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    return rooms.absorb_singletons(own.select("room_id", "line_id"), e.unionByName(links))
 
 
 @query(f"SELECT room_id, {q('min_x')} AS min_x, {q('min_y')} AS min_y, {q('max_x')} AS max_x, {q('max_y')} AS max_y, {q('cx')} AS cx, {q('cy')} AS cy FROM rects")
@@ -301,11 +349,12 @@ def assign_points(spark, sf_dir):
     return rooms.assign_points(p.select("point_id", "x", "y"), _small(spark, sf_dir), v.segments(spark, sf_dir), _tried(spark, sf_dir, p))
 
 
-@query(SMALL + ", tried AS (SELECT p.point_id, unnest([0, 1]) AS room_id FROM pts p WHERE p.room_id = 0)" + _decide_sql("pts", True))
+@query(SMALL + ", tried AS (SELECT p.point_id, p.room_id + unnest([0, 1]) AS room_id FROM pts p)" + _decide_sql("pts", True))
 def split_inducing(spark, sf_dir):
-    p = v.points(spark, sf_dir).where("room_id = 0").select("point_id", "x", "y")
-    two = p.select("point_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("room_id"))
-    return rooms.assign_points(p, _small(spark, sf_dir), v.segments(spark, sf_dir), two, one_positive_only=True)
+    """Every room's points go to it or to a second one, that of the next number."""
+    p = v.points(spark, sf_dir).select("point_id", "room_id", "x", "y")
+    two = p.select("point_id", F.explode(F.array("room_id", F.col("room_id") + 1)).alias("room_id"))
+    return rooms.assign_points(p.drop("room_id"), _small(spark, sf_dir), v.segments(spark, sf_dir), two, one_positive_only=True)
 
 
 @query(NEAREST + " SELECT point_id, line_id % 5 = 0 AS moved FROM near QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d2, line_id) = 1")
@@ -321,7 +370,7 @@ def edf_predict(spark, sf_dir):
     p = v.points(spark, sf_dir)
     vox = field.voxel_downsample(p).withColumn("batch", F.pmod(F.col("ix"), F.lit(3)))
     state = field.fit_rooms(vox.select("room_id", "batch", "x", "y"), v.segments(spark, sf_dir).select("room_id", "x1", "y1", "x2", "y2"))
-    near = p.where("beam % 30 = 0").select(F.col("point_id").alias("query_id"), "room_id", (F.col("x") * 0.9).alias("x"), (F.col("y") * 0.9).alias("y"))
+    near = p.select(F.col("point_id").alias("query_id"), "room_id", (F.col("x") * 0.9).alias("x"), (F.col("y") * 0.9).alias("y"))
     return field.predict_rooms(near, state, v.segments(spark, sf_dir))
 
 
@@ -333,19 +382,21 @@ def edf_grid(spark, sf_dir):
     return field.predict_rooms(asked, field.fit_rooms(vox.select("room_id", "batch", "x", "y")))
 
 
+def _baseline(spark, sf_dir, lines):
+    """One field over the voxels of all points, fitted per tile; a row a tile."""
+    vox = field.voxel_downsample(v.points(spark, sf_dir).withColumn("room_id", F.lit(0))).select(F.lit(0).alias("batch"), "x", "y")
+    state = field.fit_tiles(vox, lines)
+    return state.select(F.col("room_id").alias("tile"), "version", "m", F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), 6).alias("mean_sum"))
+
+
 def baseline_global(spark, sf_dir):
-    """One field with a zero prior over 0.3 m voxels of all points: area-bounded, not row-bounded."""
-    p = v.points(spark, sf_dir).withColumn("room_id", F.lit(0))
-    state = field.fit_rooms(field.voxel_downsample(p, 0.3).select("room_id", F.lit(0).alias("batch"), "x", "y"))
-    return state.select("room_id", "version", "m", F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), 6).alias("mean_sum"))
+    """One field for all rooms with a zero prior."""
+    return _baseline(spark, sf_dir, None)
 
 
 def baseline_line(spark, sf_dir):
-    """One field with a prior from every 25th line over 0.15 m voxels (all of them leave no point off a wall)."""
-    p = v.points(spark, sf_dir).withColumn("room_id", F.lit(0))
-    lines = v.segments(spark, sf_dir).where("line_id % 25 = 0").select(F.lit(0).alias("room_id"), "x1", "y1", "x2", "y2")
-    state = field.fit_rooms(field.voxel_downsample(p).select("room_id", F.lit(0).alias("batch"), "x", "y"), lines)
-    return state.select("room_id", "version", "m", F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), 6).alias("mean_sum"))
+    """One field for all rooms with a prior from all lines."""
+    return _baseline(spark, sf_dir, v.segments(spark, sf_dir))
 
 
 QUERIES |= {f.__name__: f for f in (edf_predict, edf_grid, baseline_global, baseline_line)}
@@ -353,27 +404,26 @@ QUERIES |= {f.__name__: f for f in (edf_predict, edf_grid, baseline_global, base
 
 def segments_extract(spark, sf_dir):
     from ..operators.extract import extract_segments
-    from .point_queries import _large
+    from .point_queries import line_clusters
 
-    s = extract_segments(_large(spark, sf_dir))
-    return s.select("line_id", "room_id", "cluster_id", "n_points", "is_short", *[r6(c).alias(c) for c in ("r", "theta", "x1", "y1", "x2", "y2")])
+    s = extract_segments(line_clusters(spark, sf_dir))
+    return s.select("robot_id", "line_id", "room_id", "cluster_id", "n_points", "is_short", *[r6(c).alias(c) for c in ("r", "theta", "x1", "y1", "x2", "y2")])
 
 
 def robot_map(spark, sf_dir):
-    """Line maps of three robots from the segments of their scans."""
+    """Line maps of the robots from the segments of their scans."""
     from ..operators.extract import extract_segments
     from ..operators.mapping import build_map
-    from .point_queries import _large
+    from .point_queries import line_clusters
 
-    s = extract_segments(_large(spark, sf_dir)).withColumn("scan_id", F.shiftright("line_id", 20))
-    lines = build_map(s.withColumn("robot_id", (F.col("scan_id") % 3).cast("string")))
+    lines = build_map(extract_segments(line_clusters(spark, sf_dir)))
     return lines.select("robot_id", "line_id", "weight", *[r6(c).alias(c) for c in ("r", "theta", "x1", "y1", "x2", "y2")])
 
 
 def room_segmentation(spark, sf_dir):
     from ..operators.spectral import split_rooms
 
-    return split_rooms(rooms.visibility_edges(v.segments(spark, sf_dir)))
+    return split_rooms(_seen(spark, sf_dir))
 
 
 def label_match(spark, sf_dir):
@@ -385,8 +435,6 @@ def label_match(spark, sf_dir):
 QUERIES |= {f.__name__: f for f in (segments_extract, robot_map, room_segmentation, label_match)}
 
 
-MEETX = "((p.r * sin(q.theta) - q.r * sin(p.theta)) / sin(q.theta - p.theta))"
-MEETY = "((q.r * cos(p.theta) - p.r * cos(q.theta)) / sin(q.theta - p.theta))"
 JUNCTIONS = f""", junctions AS (
   SELECT * FROM (SELECT p.room_id, p.line_id AS p, q.line_id AS q, {MEETX} AS x, {MEETY} AS y, p.x1 AS px, p.y1 AS py, p.dx AS pdx, p.dy AS pdy, p.len AS plen
     FROM {PAIRS} WHERE abs(p.theta - q.theta) > {PI / 3!r} AND abs(p.theta - q.theta) < {2 * PI / 3!r} AND {segd2_sql('p', 'q')} < 0.25)

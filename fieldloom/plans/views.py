@@ -34,7 +34,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     px, py, yaw = pose()
     b = beams(spark, sf_dir).where(valid_range("range", 0.12, 3.5))
     placed = b.withColumn("px", px).withColumn("py", py).withColumn("angle", F.col("beam") * STEP + yaw)
-    return project_beams(placed).withColumn("room_id", (F.col("scan_id") % 10).cast("int"))
+    room = F.expr("scan_id div 56 * 10 + scan_id % 10").cast("int")
+    return project_beams(placed).withColumn("room_id", room).withColumn("robot_id", (F.col("scan_id") % 3).cast("string"))
 
 
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +45,10 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in rooms of some forty: rooms grow with the table, a room's lines don't."""
     e = lambda i: F.element_at("embedding", i).cast("double") * 10
     s = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("line_id"), F.col("label").alias("room_id"), e(1).alias("x1"), e(2).alias("y1"), e(3).alias("x2"), e(4).alias("y2"),
+        F.col("vec_id").alias("line_id"), F.expr("vec_id div 400 * 10 + label").cast("int").alias("room_id"), e(1).alias("x1"), e(2).alias("y1"), e(3).alias("x2"), e(4).alias("y2"),
         ((F.col("vec_id") % 7) * 0.15).alias("robot_x"), ((F.col("vec_id") % 5) * 0.1).alias("robot_y"), (F.col("vec_id") % 3 + 1).cast("int").alias("weight"),
     )
     ends = ("x1", "y1", "x2", "y2")
@@ -64,7 +66,7 @@ def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def room_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rooms = table(spark, sf_dir, "embeddings").select(F.col("label").alias("a")).distinct()
+    rooms = segments(spark, sf_dir).select(F.col("room_id").alias("a")).distinct()
     return rooms.where("a % 3 <> 2").withColumn("b", F.col("a") + 1).join(rooms.select(F.col("a").alias("b")), "b").select("a", "b")
 
 
@@ -118,10 +120,10 @@ def segd2_sql(p: str, r: str) -> str:
 PI = repr(math.pi)
 VIEWS = f"""
 WITH RECURSIVE beams AS (
-  SELECT event_id AS point_id, event_id // 360 AS scan_id, CAST(event_id % 360 AS INTEGER) AS beam,
+  SELECT event_id AS point_id, event_id // 360 AS scan_id, CAST(event_id // 360 % 3 AS VARCHAR) AS robot_id, CAST(event_id % 360 AS INTEGER) AS beam,
     CASE WHEN user_id % 12 = 0 THEN value / 100 ELSE 1.5 + value / 5000 END AS rng FROM events WHERE value IS NOT NULL
 ), pts AS (
-  SELECT point_id, scan_id, beam, rng, CAST(scan_id % 10 AS INTEGER) AS room_id, CAST((scan_id % 7) * 0.15 AS DOUBLE) AS px, CAST(floor(scan_id / 7) * 0.1 AS DOUBLE) AS py,
+  SELECT point_id, scan_id, robot_id, beam, rng, CAST(scan_id // 56 * 10 + scan_id % 10 AS INTEGER) AS room_id, CAST((scan_id % 7) * 0.15 AS DOUBLE) AS px, CAST(floor(scan_id / 7) * 0.1 AS DOUBLE) AS py,
     beam * {STEP!r} + CAST(scan_id * 0.01 AS DOUBLE) AS angle,
     CAST((scan_id % 7) * 0.15 AS DOUBLE) + rng * cos(beam * {STEP!r} + CAST(scan_id * 0.01 AS DOUBLE)) AS x,
     CAST(floor(scan_id / 7) * 0.1 AS DOUBLE) + rng * sin(beam * {STEP!r} + CAST(scan_id * 0.01 AS DOUBLE)) AS y
@@ -129,7 +131,7 @@ WITH RECURSIVE beams AS (
 ), poses AS (
   SELECT DISTINCT scan_id, CAST(scan_id % 3 AS VARCHAR) AS robot_id, CAST((scan_id % 7) * 0.15 AS DOUBLE) AS x, CAST(floor(scan_id / 7) * 0.1 AS DOUBLE) AS y FROM beams
 ), seg0 AS (
-  SELECT vec_id AS line_id, label AS room_id, embedding[1]::DOUBLE * 10 AS x1, embedding[2]::DOUBLE * 10 AS y1, embedding[3]::DOUBLE * 10 AS x2, embedding[4]::DOUBLE * 10 AS y2,
+  SELECT vec_id AS line_id, CAST(vec_id // 400 * 10 + label AS INTEGER) AS room_id, embedding[1]::DOUBLE * 10 AS x1, embedding[2]::DOUBLE * 10 AS y1, embedding[3]::DOUBLE * 10 AS x2, embedding[4]::DOUBLE * 10 AS y2,
     CAST((vec_id % 7) * 0.15 AS DOUBLE) AS robot_x, CAST((vec_id % 5) * 0.1 AS DOUBLE) AS robot_y, CAST(vec_id % 3 + 1 AS INTEGER) AS weight FROM embeddings
 ), seg1 AS (
   SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len, atan2(x1 - x2, y2 - y1) AS t0 FROM seg0
@@ -143,7 +145,7 @@ WITH RECURSIVE beams AS (
 ), edges AS (
   SELECT a.line_id AS src, b.line_id AS dst, CASE WHEN a.line_id % 2 = 0 THEN 'corner' ELSE 'parallel' END AS type FROM segs a JOIN segs b ON b.line_id = a.line_id + 1 WHERE a.line_id % 3 = 0
 ), redges AS (
-  SELECT a, a + 1 AS b FROM (SELECT DISTINCT label AS a FROM embeddings) WHERE a % 3 <> 2 AND a + 1 IN (SELECT label FROM embeddings)
+  SELECT a, a + 1 AS b FROM (SELECT DISTINCT room_id AS a FROM segs) WHERE a % 3 <> 2 AND a + 1 IN (SELECT room_id FROM segs)
 ), both_redges AS (SELECT a, b FROM redges UNION ALL SELECT b, a FROM redges
 ), labs AS (
   SELECT vec_id AS line_id, label AS old, CAST((label * 7 + vec_id) % 12 AS INTEGER) AS new FROM embeddings

@@ -6,16 +6,16 @@ SCAN = (
 )
 POINT = "robot_id string, scan_id long, beam int, point_key long, x double, y double, angle double, range double"
 SEGMENT = (
-    "line_id long, room_id int, r double, theta double, nx double, ny double, dx double, dy double, x1 double, y1 double, x2 double, y2 double, "
+    "robot_id string, scan_id long, line_id long, room_id long, r double, theta double, nx double, ny double, dx double, dy double, x1 double, y1 double, x2 double, y2 double, "
     "weight int, robot_x double, robot_y double, is_short boolean, cluster_id int, n_points int"
 )
 EDGE = "src long, dst long, type string"
-ROOM = "room_id int, cx double, cy double, min_x double, min_y double, max_x double, max_y double, lines array<long>"
+ROOM = "room_id long, cx double, cy double, min_x double, min_y double, max_x double, max_y double, lines array<long>"
 GP_STATE = (
-    "room_id int, version long, m int, zx array<double>, zy array<double>, mean array<double>, chol array<array<double>>, "
-    "old_zx array<double>, old_zy array<double>, old_mean array<double>, old_c array<array<double>>"
+    "room_id long, version long, m int, zx array<double>, zy array<double>, mean array<double>, chol array<array<double>>, "
+    "old_zx array<double>, old_zy array<double>, old_mean array<double>, old_c array<array<double>>, weights array<double>"
 )
-PREDICTION = "query_id long, room_id int, x double, y double, mu double, distance double, gx double, gy double"
+PREDICTION = "query_id long, room_id long, x double, y double, mu double, distance double, gx double, gy double"
 METRIC = "model string, op string, scan_id long, num_points long, seconds double"
 
 

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set (local tests)."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Only a local master, whose executors are the driver, may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-fieldloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(os.getcwd(), "spark-checkpoint")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -78,7 +78,7 @@ def test_box_is_four_walls(spark):
 
 
 def test_map_merges_the_same_walls(spark):
-    s = extract.extract_segments(clustered(spark, [(0.3, 0.2), (0.0, 0.0), (-0.3, 0.1)])).withColumn("scan_id", F.shiftright("line_id", 20)).withColumn("robot_id", F.lit("r"))
+    s = extract.extract_segments(clustered(spark, [(0.3, 0.2), (0.0, 0.0), (-0.3, 0.1)]))
     lines = mapping.build_map(s).collect()
     assert {(round(x.nx), round(x.ny)) for x in lines} == {(1, 0), (-1, 0), (0, 1), (0, -1)}
     assert len(lines) <= 6 and max(x.weight for x in lines) >= 3
@@ -219,7 +219,7 @@ def test_stream_equals_batch(spark, tmp_path):
         q.stop()
     kept = ingest.pose_gate(df.select("robot_id", "scan_id", F.col("robot_pose.x").alias("x"), F.col("robot_pose.y").alias("y")))
     assert sorted(r.scan_id for r in spark.table("gated").where("NOT late").collect()) == sorted(r.scan_id for r in kept.collect())
-    s = extract.extract_segments(clustered(spark, poses)).withColumn("scan_id", F.shiftright("line_id", 20)).withColumn("robot_id", F.lit("r"))
+    s = extract.extract_segments(clustered(spark, poses))
     s = s.select("robot_id", "scan_id", "line_id", *mapping.LINE)
     want = sorted((r.line_id, round(r.x1, 6), round(r.weight)) for r in mapping.build_map(s).collect())
     s = s.cache()
