@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import LOWER, UPPER, id_type, map_rows, materialize
+from .common import LOWER, UPPER, Memo, id_type, map_rows, materialize, spotted
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -74,9 +74,11 @@ def ball_links(fps: DataFrame, radius: int = 2, bits: int = 64) -> DataFrame:
     if radius % 2:
         raise ValueError("the radius must be even: members of a half ball are then within it of each other")
     masks = F.array(*[F.lit(m) for m in ball_masks(bits, radius // 2)])
-    met = fps.select("fp", F.explode(masks).alias("_m")).select("fp", F.col("fp").bitwiseXOR(F.col("_m")).alias("_variant"))
+    # the number of the mask says which fingerprint a variant comes from, and takes less of the shuffle than it
+    met = fps.select("fp", F.posexplode(masks).alias("_i", "_m")).select(F.col("fp").bitwiseXOR(F.col("_m")).alias("_variant"), "_i")
+    own = met.repartition(F.col("_variant")).withColumn("fp", F.col("_variant").bitwiseXOR(F.get(masks, F.col("_i")))).select("_variant", "fp")
     least = F.min("fp").over(Window.partitionBy("_variant"))
-    linked = met.select("fp", least.alias("_least")).where("fp != _least").select(F.col("fp").alias("a"), F.col("_least").alias("b"))
+    linked = own.select("fp", least.alias("_least")).where("fp != _least").select(F.col("fp").alias("a"), F.col("_least").alias("b"))
     return linked.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
@@ -100,10 +102,43 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, id_co
 
 #: Near duplicates: tables of 32 bits each, shingle of the fingerprints, shingle and least similarity of the check.
 TABLES, TABLE_BITS, FP_SHINGLE, CHECK_SHINGLE, SIMILARITY = 6, 32, 2, 5, 0.8
-#: Most differing bits of the 192 between texts of that similarity: it leaves 10 % of them in expectation.
+#: Pivots that differ in more of the 192 bits are not tried; similar texts among them are found by the prefix filter.
 FAR_BITS = 48
 #: Most shingles whose frequency is known to the order of prefixes.
 FREQUENT = 200_000
+#: Texts that one copy of a pivot's shingles is compared with.
+SHARE = 256
+_MIX, _FINISH = np.uint64(0xBF58476D1CE4E5B9), (np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+_words = Memo(lambda w: xxhash.xxh64_digest(w, 42))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A hash of each word, A-Z lower-cased."""
+    known = _words
+    return np.frombuffer(b"".join([known[w] for w in text.encode("utf-8", "surrogatepass").translate(_LOWER).split()]), "<u8")
+
+
+def mixed(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` word hashes, repeats included; fewer words give one of them all, none give none."""
+    size = min(size, len(words))
+    n = len(words) - size + 1 if size else 0
+    found = np.full(n, size, np.uint64)
+    for i in range(size):
+        found = (found ^ words[i : i + n]) * _MIX
+        found ^= found >> np.uint64(29)
+    return found
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """The sorted distinct shingles by which near duplicates are checked."""
+    return np.unique(mixed(word_hashes(text), CHECK_SHINGLE))
+
+
+def table_fingerprints(text: str) -> list[int]:
+    """Three fingerprints of 64 bits, each two tables."""
+    base = mixed(word_hashes(text), FP_SHINGLE)
+    turned = ((base ^ (base >> np.uint64(31))) * m for m in _FINISH)
+    return [fingerprint(t ^ (t >> np.uint64(32))) for t in turned]
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -118,20 +153,19 @@ def jaccard(a: bytes, b: bytes) -> float:
 def _candidates(reps: DataFrame) -> DataFrame:
     """(x, y, bits): distinct texts and the pivots that they meet, with the bits in which they differ.
 
-    Per table, values link to the least value of each variant they emit. A text is compared
-    with the least text of its own value and with that of the least value its own links to:
-    at most two a table, however large the group. The rest is found by ``_shared``.
+    Per table, values link to the least value of each variant they emit. A text meets the
+    least text of its own value and that of every value its own links to: at most as many as
+    the half ball has values, however large the group.
     """
     word = lambda i: F.shiftright(F.col(f"fp{i // 2}"), 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
     fps = F.struct("fp0", "fp1", "fp2")
     nodes = reps.select("no", fps.alias("fps"), F.explode(F.array(*[F.shiftleft(F.lit(i).cast("long"), 32).bitwiseOR(word(i)) for i in range(TABLES)])).alias("fp"))
     values = materialize(nodes.groupBy("fp").agg(F.min(F.struct("no", "fps")).alias("pivot"), F.count("*").alias("n")), "neardup-values")
     links = materialize(ball_links(values.select("fp"), 2, TABLE_BITS), "neardup-links")
-    to = links.groupBy("a").agg(F.min("b").alias("b"))
-    met = to.join(values.select(F.col("fp").alias("b"), "pivot"), "b").select(F.col("a").alias("fp"), "pivot")
+    met = links.hint("merge").join(values.select(F.col("fp").alias("b"), "pivot"), "b").select(F.col("a").alias("fp"), "pivot")
     met = met.unionByName(values.where("n > 1").select("fp", "pivot"))
     differ = lambda i: F.bit_count(F.col(f"fps.fp{i}").bitwiseXOR(F.col(f"pivot.fps.fp{i}")))
-    pairs = nodes.join(met, "fp").where(F.col("no") != F.col("pivot.no")).withColumn("bits", differ(0) + differ(1) + differ(2))
+    pairs = nodes.hint("merge").join(met, "fp").where(F.col("no") != F.col("pivot.no")).withColumn("bits", differ(0) + differ(1) + differ(2))
     return pairs.where(F.col("bits") <= FAR_BITS).select(F.col("no").alias("x"), F.col("pivot.no").alias("y"), "bits").distinct()
 
 
@@ -154,23 +188,33 @@ def _frequent(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
         for (texts,) in batches:
             for t in texts:
-                yield [np.unique(shingle_hashes(t, CHECK_SHINGLE)).view(np.int64).tolist()]
+                yield [shingle_set(t).view(np.int64).tolist()]
 
     counts = map_rows(keyed.where("key < '2'").select("_text"), run, "token long").groupBy("token").count().where("count > 2")
     top = sorted((r[0] & (2**64 - 1), r[1]) for r in counts.orderBy(F.desc("count"), "token").limit(FREQUENT).collect())
     return np.array([h for h, _ in top], np.uint64), np.array([n for _, n in top], np.int64)
 
 
+def _once(keys: list[str], seen: set[str]) -> list[int]:
+    """Places of the keys that this task has not met lately; copies that remain are dropped after the shuffle."""
+    if len(seen) > 100_000:
+        seen.clear()
+    new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+    return new
+
+
 def _shared(keyed: DataFrame, reps: DataFrame) -> DataFrame:
-    """(token, no, n, i): the prefix shingles that several texts have, with the size of the text's set and their place in it."""
+    """(token, no, n, i, pivot): the prefix shingles that several texts have, with the size of the text's set, their place in it and the least text that has them."""
     shared = keyed.sparkSession.sparkContext.broadcast(_frequent(keyed))  # FREQUENT rows at most
 
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        seen: set[str] = set()
         for keys, texts in batches:
-            sets = [np.unique(shingle_hashes(t, CHECK_SHINGLE)) for t in texts]
-            yield [keys, [len(s) for s in sets], [prefix(s, *shared.value).view(np.int64).tolist() for s in sets]]
+            new = _once(keys, seen)
+            sets = [shingle_set(texts[i]) for i in new]
+            yield [[keys[i] for i in new], [len(s) for s in sets], [prefix(s, *shared.value).view(np.int64).tolist() for s in sets]]
 
-    first = map_rows(keyed, run, "key string, n long, tokens array<long>").dropDuplicates(["key"]).join(reps.select("key", "no"), "key")
+    first = map_rows(keyed, run, "key string, n long, tokens array<long>").dropDuplicates(["key"]).hint("merge").join(reps.select("key", "no"), "key")
     rows = first.select("no", "n", F.posexplode("tokens").alias("i", "token")).select("token", "no", F.shiftleft("n", 32).bitwiseOR(F.col("i").cast("long")).alias("_ni"))
     of = Window.partitionBy("token")
     several = rows.withColumn("_low", F.min("no").over(of)).withColumn("_high", F.max("no").over(of)).where("_low < _high")
@@ -185,36 +229,48 @@ def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
     common lie in both prefixes or behind that prefix which ends first.
     """
     own = F.coalesce("root", "no")
-    rooted = shared.join(roots.select(F.col("node").alias("no"), "root"), "no", "left").select("token", "no", "n", "i", own.alias("root"))
+    rooted = shared.hint("merge").join(roots.select(F.col("node").alias("no"), "root"), "no", "left").select("token", "no", "n", "i", own.alias("root"))
     of = Window.partitionBy("token")
     rooted = materialize(rooted.withColumn("_low", F.min("root").over(of)).withColumn("_high", F.max("root").over(of)).where("_low < _high").drop("_low", "_high"), "neardup-rooted")
     x, y = (rooted.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("no", "n", "i", "root")]) for s in "xy")
     alike = F.expr("no_x < no_y AND root_x != root_y AND 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y)")
-    met = x.join(y, "token").where(alike).groupBy(F.col("no_x").alias("x"), F.col("no_y").alias("y"))
+    met = x.hint("merge").join(y, "token").where(alike).groupBy(F.col("no_x").alias("x"), F.col("no_y").alias("y"))
     firsts = met.agg(F.count("*").alias("c"), *[F.min(c).alias(c) for c in ("n_x", "n_y", "i_x", "i_y")])
     most = "c + greatest((4 * n_x + 4) DIV 5, (4 * n_y + 4) DIV 5) - 1"
     return firsts.where(f"9 * least(n_x - i_x, n_y - i_y, {most}) >= 4 * (n_x + n_y)").select("x", "y")
 
 
 def _verified(pairs: DataFrame, keyed: DataFrame, reps: DataFrame, name: str) -> DataFrame:
-    """Links (a, b) of the pairs (x, y) whose shingle sets are similar enough."""
+    """Links (a, b) of the pairs (x, y) whose shingle sets are similar enough.
+
+    Only texts of a pair are read into sets (the map of ``spotted`` keeps nearly all others
+    back, the join is exact). Sets are shuffled once to their pairs; the set of a y with
+    many pairs goes along in a copy for each ``SHARE`` of them, so that no task takes all.
+    """
 
     def hashed(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        seen: set[str] = set()
         for keys, texts in batches:
-            yield [keys, [np.unique(shingle_hashes(t, CHECK_SHINGLE)).astype("<u8").tobytes() for t in texts]]
+            new = _once(keys, seen)
+            yield [[keys[i] for i in new], [shingle_set(texts[i]).astype("<u8").tobytes() for i in new]]
 
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
         for xs, ys, us, vs in batches:
             fine = [i for i in range(len(xs)) if jaccard(us[i], vs[i]) >= SIMILARITY]
             yield [[xs[i] for i in fine], [ys[i] for i in fine]]
 
-    pairs = materialize(pairs, f"neardup-pairs{name}")
-    ends = pairs.select(F.col("x").alias("no")).unionByName(pairs.select(F.col("y").alias("no"))).distinct()
-    some = materialize(reps.select("key", "no").join(ends, "no", "left_semi"), f"neardup-ends{name}")
-    sets = map_rows(keyed.join(some, "key", "left_semi"), hashed, "key string, hashes binary").dropDuplicates(["key"])
-    sets = materialize(sets.join(some, "key").select("no", "hashes"), f"neardup-sets{name}")
-    of = lambda c, name: sets.select(F.col("no").alias(c), F.col("hashes").alias(name))
-    return materialize(map_rows(pairs.join(of("x", "_u"), "x").join(of("y", "_v"), "y").select("x", "y", "_u", "_v"), run, "a long, b long"), f"neardup-links{name}")
+    of = lambda c: reps.select(F.col("no").alias(c), F.col("key").alias(f"k{c}"))
+    pairs = materialize(pairs.hint("merge").join(of("x"), "x").hint("merge").join(of("y"), "y"), f"neardup-pairs{name}")
+    ends = pairs.select(F.col("kx").alias("end")).unionByName(pairs.select(F.col("ky").alias("end")))
+    near = spotted(keyed, "key", ends).where("_spotted").select("key", "_text")
+    sets = map_rows(near, hashed, "key string, hashes binary").dropDuplicates(["key"])
+    load = pairs.groupBy("ky").agg((F.count("*") / SHARE).cast("int").alias("parts"))
+    left = pairs.hint("merge").join(sets.select(F.col("key").alias("kx"), F.col("hashes").alias("_u")), "kx").hint("merge").join(load, "ky")
+    left = left.select("ky", F.pmod(F.xxhash64("x"), F.col("parts") + 1).alias("part"), "x", "y", "_u")
+    right = sets.select(F.col("key").alias("ky"), F.col("hashes").alias("_v")).hint("merge").join(load, "ky")
+    right = right.select("ky", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long"))).alias("part"), "_v")
+    both = left.hint("merge").join(right, ["ky", "part"]).select("x", "y", "_u", "_v")
+    return materialize(map_rows(both, run, "a long, b long"), f"neardup-links{name}")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,14 +280,16 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     of 0.8 or more, all of them. A first pass checks each text with one pivot found by ball
     hashing (radius 2, six tables of 32 bits from two-word shingles: one 64-bit fingerprint of
     five-word shingles would differ in about ten bits at that similarity, out of reach of any
-    small ball) and with one found by prefix shingles. It only spares work: a second pass
-    checks every pair still in different groups that a prefix filter, which is exact, leaves.
+    small ball) and with one found by prefix shingles. A second pass checks every pair still
+    in different groups that a prefix filter, which is exact, leaves: no pair is lost.
     """
 
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        seen: set[str] = set()
         for keys, texts in batches:
-            fps = [[fingerprint(shingle_hashes(t, FP_SHINGLE, seed)) for t in texts] for seed in (42, 43, 44)]
-            yield [keys, *fps]
+            new = _once(keys, seen)
+            fps = [table_fingerprints(texts[i]) for i in new]
+            yield [[keys[i] for i in new], *([f[j] for f in fps] for j in range(3))]
 
     keyed = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     # written, so that the numbers stay
@@ -240,25 +298,32 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shared = materialize(_shared(keyed, reps), "neardup-shared")
     often = shared.where("no != pivot").groupBy(F.col("no").alias("x"), F.col("pivot").alias("y")).agg(F.count("*").alias("count"), F.min("n").alias("n")).where("20 * count >= n")
     most = often.groupBy("x").agg(F.max(F.struct("count", "y")).alias("_n")).select("x", F.col("_n.y").alias("y"))
-    links = _verified(near.unionByName(most).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), keyed, reps, "1")
+    links = _verified(near.unionByName(most).distinct(), keyed, reps, "1")
     roots = materialize(components(links, "neardup-cc1"), "neardup-roots1")
     more = _verified(_apart(shared, roots), keyed, reps, "2")
     grouped = materialize(components(links.unionByName(more), "neardup-cc2"), "neardup-roots2")
     names = reps.select("no", "key")
-    found = grouped.join(names.withColumnRenamed("no", "node"), "node").select("key", F.col("root").alias("no"))
-    return found.join(names.withColumnRenamed("key", "root"), "no").select("key", "root")
+    found = grouped.hint("merge").join(names.withColumnRenamed("no", "node"), "node").select("key", F.col("root").alias("no"))
+    return found.hint("merge").join(names.withColumnRenamed("key", "root"), "no").select("key", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of exact or near copies: that of the smallest id. Columns as in ``docs``.
 
     Null texts count as empty and are copies of each other. A null id comes after all
-    others; of rows that repeat id and text one stays.
+    others; of rows that repeat id and text the one whose other columns come first as JSON
+    text stays. Documents whose text is alone are kept where they are; only the others are
+    shuffled, by text and id, so that a text with a third of all rows spreads.
     """
     groups = materialize(near_duplicate_groups(docs, id_col, text_col), "neardup-groups")
     keyed = docs.select(F.struct("*").alias("_row"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"), F.col(id_col).alias("_rid"))
-    first = keyed.groupBy("_key").agg(F.min("_rid").alias("_low")).join(groups, F.col("_key") == F.col("key"), "left")
-    best = first.groupBy(F.coalesce("root", "_key").alias("_root")).agg(F.min(F.struct(F.col("_low").isNull(), "_low", "_key")).alias("_best"))
-    stay = best.select(F.col("_best._key").alias("_k"), F.col("_best._low").alias("_low"))
-    kept = keyed.join(stay, (F.col("_key") == F.col("_k")) & F.col("_rid").eqNullSafe(F.col("_low")))
-    return kept.dropDuplicates(["_key"]).select("_row.*")
+    first = materialize(keyed.groupBy("_key").agg(F.min("_rid").alias("_low"), F.count("*").alias("_n")), "neardup-keys")
+    doubted = first.where("_n > 1").select("_key").unionByName(groups.select(F.col("key").alias("_key")))
+    best = first.hint("merge").join(groups, F.col("_key") == F.col("key"), "left").groupBy(F.coalesce("root", "_key").alias("_root"))
+    best = best.agg(F.min(F.struct(F.col("_low").isNull(), "_low", "_key")).alias("_best"))
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    stay = best.select(F.col("_best._key").alias("_key"), text("_best._low").alias("_id"))
+    rows = spotted(keyed, "_key", doubted)
+    met = rows.where("_spotted").select("_row", "_key", text("_rid").alias("_id")).hint("merge").join(stay, ["_key", "_id"])
+    kept = met.groupBy("_key", "_id").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return rows.where("NOT _spotted").select("_row.*").unionByName(kept.select("_row.*"))
