@@ -1,124 +1,110 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters: every text is a sequence of symbols, the ``SYMBOLS`` - 2 most
-frequent characters of all texts, a start symbol and one for all other characters.
-Trigram counts of all trusted documents are summed per task and then by (language,
-trigram), so counts are shuffled in shards and grow with the input; continuation counts,
-discounts, context totals and backoff weights are joins of those count tables. A language's
-model cannot hold more than ``SYMBOLS``**3 trigrams, which is the proven bound under which
-it is sent to the tasks that score: joining the n-grams of every document with the count
-tables instead would shuffle each character of the corpus.
+The model is over n-grams of ``ORDER`` UTF-16 code units, so every script and character has
+units of its own and an n-gram is one 64-bit number. Counts of all trusted documents are
+summed per task and then by (language, n-gram); continuation counts, discounts, context
+totals, backoff weights and the probabilities of every order are joins of those sharded
+tables, which grow with the corpus. Languages have a model each and share one of all
+trusted text (``ALL``).
+
+Scoring counts the n-grams of all documents in the same way and joins the distinct ones
+with the tables, so that each gets its loss once, seen or backed off. The ``HEAD`` most
+frequent of them, a fixed number, are sent to the tasks; the other n-grams of a document are
+joined with their shards and summed. An n-gram outside of the head holds less than one part
+in ``HEAD`` of the corpus, so none of these joins has a hot key.
 
 A document is rejected if its perplexity lies beyond a limit that comes from quantiles of
 the trusted documents of its language. The perplexity is the lower one under the model of
 its language and that of all languages (a quoted passage may be foreign), and is smoothed
-with ``PRIOR`` characters of usual text, as a few words tell little.
+with ``PRIOR`` units of usual text, as a few words tell little.
 """
 
 from __future__ import annotations
 
-from typing import Iterator, Tuple
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
+from .common import id_type, map_rows, materialize, spotted
 
-SYMBOLS = 64
-#: Languages with a model of their own, by trusted documents; the others share the model of all trusted text.
-MAX_LANGUAGES = 32
+ORDER, UNIT_BITS = 3, 16
+#: N-grams whose losses go to every task.
+HEAD = 1 << 18
 ALL = "*"
-#: Characters of usual text that every document's mean is smoothed with.
+#: Units of usual text that every document's mean is smoothed with.
 PRIOR = 100
-START, OTHER = 0, 1
-
-
-#: Bits of the map that keeps most documents without a trusted label out of the shuffle.
-MAP_BITS = 1 << 23
+#: Parts that the rows of one rejected text are dealt into.
+SALTS = 16
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_id: str = "doc_id") -> DataFrame:
-    """Documents labelled as good; the text that the model trusts.
-
-    The join is by id and exact. Before it, a bitmap of hashed trusted ids, whose size is
-    fixed (``MAP_BITS``) and which is therefore broadcast, drops documents that cannot match.
-    """
+    """Documents labelled as good; the text that the model trusts. The join is by id and exact; a map of ids spares most others the shuffle."""
     good = labels.where("quality = 1").select(F.col(label_id).alias("_good")).where("_good IS NOT NULL").distinct()
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
-    word = lambda c: F.floor(spot(c) / 64)
-    bits = good.groupBy(word("_good").alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(_good), {MAP_BITS}) % 64 AS INT))")).alias("_bits"))
-    likely = docs.withColumn("_word", word(id_col)).join(F.broadcast(bits), "_word")
-    hit = F.expr(f"(shiftright(_bits, CAST(pmod(xxhash64(`{id_col}`), {MAP_BITS}) % 64 AS INT)) & 1) = 1")
-    # an inner join (ids of ``good`` are distinct), as a semi-join would be moved below the bitmap
-    return likely.where(hit).drop("_word", "_bits").hint("merge").join(good, F.col(id_col) == F.col("_good")).drop("_good")
-
-
-class Alphabet:
-    def __init__(self, chars: list[str]):
-        self.table = np.full(0x3000, OTHER, np.uint8)
-        self.rest = {}
-        for i, c in enumerate(chars):
-            if ord(c) < len(self.table):
-                self.table[ord(c)] = i + 2
-            else:
-                self.rest[ord(c)] = i + 2
-
-    def trigrams(self, text: str) -> np.ndarray:
-        """Codes (a * 64 + b) * 64 + c of every character after its two predecessors."""
-        points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-        s = np.zeros(len(points) + 2, np.int32)
-        s[2:] = self.table[np.minimum(points, len(self.table) - 1)]
-        if self.rest and len(points) and points.max() >= len(self.table) - 1:
-            for i in np.flatnonzero(points >= len(self.table) - 1):
-                s[i + 2] = self.rest.get(int(points[i]), OTHER)
-        return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-
-
-def _alphabet(docs: DataFrame) -> list[str]:
-    """The most frequent characters of all texts; per-task sums first, then by character."""
+    likely = spotted(docs, id_col, good).where("_spotted").drop("_spotted")
+    # an inner join (ids of ``good`` are distinct), as a semi-join would be moved below the map
+    return likely.hint("merge").join(good, F.col(id_col) == F.col("_good")).drop("_good")
 
-    def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-        total = np.zeros(0x110000, np.int64)
-        for (texts,) in batches:
-            for t in texts:
-                points = np.frombuffer((t or "").encode("utf-32-le", "replace"), "<u4")
-                if len(points):
-                    n = np.bincount(points)
-                    total[: len(n)] += n
-        at = np.flatnonzero(total)
-        yield [at.tolist(), total[at].tolist()]
 
-    counts = map_rows(docs.select("_text"), run, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    return [chr(r[0]) for r in counts.orderBy(F.desc("n"), "point").limit(SYMBOLS - 2).collect()]
+def grams(text: str) -> np.ndarray:
+    """The n-gram that ends at each unit of the text, as a number; before the text there are zeros."""
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
+    n = len(units)
+    s = np.zeros(n + ORDER - 1, np.uint64)
+    s[ORDER - 1 :] = units
+    code = s[:n].copy()
+    for i in range(1, ORDER):
+        code = code << np.uint64(UNIT_BITS) | s[i : i + n]
+    return code.view(np.int64)
+
 
+def count_grams(docs: DataFrame) -> DataFrame:
+    """(lang, g, n): n-gram counts of documents (_lang, _text), summed per task and then by n-gram; a null language stays null."""
 
-def count_trigrams(trusted: DataFrame, chars: list[str], languages: list[str]) -> DataFrame:
-    """(lang, a, b, c, n): trigram counts of each language and, under ``ALL``, of all."""
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64)
 
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-        alphabet, own = Alphabet(chars), set(languages)
-        sums: dict[str, np.ndarray] = {ALL: np.zeros(SYMBOLS**3, np.int64)}
+        held: dict[str | None, list] = {}
+        size = 0
         for langs, texts in batches:
             for lang, text in zip(langs, texts, strict=True):
-                n = np.bincount(alphabet.trigrams(text or ""), minlength=SYMBOLS**3)
-                sums[ALL] += n
-                if lang in own:
-                    if lang not in sums:
-                        sums[lang] = np.zeros(SYMBOLS**3, np.int64)
-                    sums[lang] += n
-        for lang, total in sums.items():
-            at = np.flatnonzero(total)
-            yield [[lang] * len(at), at.tolist(), total[at].tolist()]
+                if text:
+                    held.setdefault(lang, []).append(np.unique(grams(text), return_counts=True))
+            size += len(texts)
+            if size >= 1024:
+                held, size = {lang: [summed(parts)] for lang, parts in held.items()}, 0
+            if sum(len(k) for parts in held.values() for k, _ in parts[:1]) > 2_000_000:  # partial sums of many different n-grams go out early
+                for lang, parts in held.items():
+                    keys, n = summed(parts)
+                    yield [[lang] * len(keys), keys.tolist(), n.tolist()]
+                held = {}
+        for lang, parts in held.items():
+            keys, n = summed(parts)
+            yield [[lang] * len(keys), keys.tolist(), n.tolist()]
+
+    return map_rows(docs.select("_lang", "_text"), run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+
+
+def _with_all(counts: DataFrame) -> DataFrame:
+    """Counts by language, and under ``ALL`` those of all rows."""
+    own = counts.where(F.col("lang") != ALL)
+    return own.unionByName(counts.groupBy("g").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "g", "n"))
+
+
+def _low(g: Column, order: int) -> Column:
+    """The last ``order`` units of an n-gram."""
+    return g.bitwiseAND(F.lit((1 << UNIT_BITS * order) - 1)) if order * UNIT_BITS < 64 else g
+
 
-    rows = map_rows(trusted.select("_lang", "_text"), run, "lang string, g int, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    code = lambda shift: F.shiftright("g", shift).bitwiseAND(F.lit(SYMBOLS - 1))
-    return rows.select("lang", code(12).alias("a"), code(6).alias("b"), code(0).alias("c"), "n")
+def _context(g: Column) -> Column:
+    return F.shiftrightunsigned(g, UNIT_BITS)
 
 
-def discounted(counts: DataFrame, context: list[str]) -> DataFrame:
-    """Add p (the discounted share of the context's count) and rest (the share left to the lower order).
+def discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lang, g, x, n, p) with the context x and the discounted share p of its count, and (lang, x, rest): the share left to the lower order.
 
     Modified Kneser-Ney: discounts for counts 1, 2 and 3 or more, from the counts of counts
     of the language. Where these are too few to give a positive one, discounts are 0.5, 0.75 and 1.
@@ -132,72 +118,133 @@ def discounted(counts: DataFrame, context: list[str]) -> DataFrame:
         return F.when(own > 0, F.least(F.lit(float(k)), own)).otherwise(F.lit(usual))
 
     by_lang = counts.groupBy("lang").agg(*[n_of(k) for k in (1, 2, 3, 4)]).select("lang", d(1, 0.5).alias("d1"), d(2, 0.75).alias("d2"), d(3, 1.0).alias("d3"))
-    cut = counts.join(by_lang, "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-    totals = cut.groupBy("lang", *context).agg(F.sum("n").alias("total"), F.sum("d").alias("mass"))
-    return cut.join(totals, ["lang", *context]).select("lang", *[c for c in ("a", "b", "c") if c in counts.columns], "n", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"), (F.col("mass") / F.col("total")).alias("rest"))
+    cut = counts.withColumn("x", _context(F.col("g"))).join(by_lang, "lang")
+    cut = cut.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+    totals = cut.groupBy("lang", "x").agg(F.sum("n").alias("total"), F.sum("d").alias("mass"))
+    shares = cut.join(totals, ["lang", "x"]).select("lang", "g", "x", "n", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"))
+    return shares, totals.select("lang", "x", (F.col("mass") / F.col("total")).alias("rest"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", label_id: str = "doc_id") -> dict:
-    """Alphabet and per language the dense table of log probabilities, from all trusted rows; their texts are shuffled once."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
-    chars = _alphabet(rows)
-    known = trusted_documents(rows.select("_id", "_lang"), labels, "_id", label_id)
-    languages = [r[0] for r in known.where("_lang IS NOT NULL").groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()]
-    c3 = materialize(count_trigrams(trusted_documents(rows, labels, "_id", label_id), chars, languages), "lm-counts")
-    c2 = c3.groupBy("lang", "b", "c").agg(F.count("*").alias("n"))
-    c1 = c2.groupBy("lang", "c").agg(F.count("*").alias("n"))
-    models: dict[str, np.ndarray] = {}
-    usual: dict[str, float] = {}
-    top = discounted(c3, ["a", "b"]).toPandas()  # at most SYMBOLS ** 3 rows a language
-    mid = discounted(c2, ["b"]).toPandas()
-    low = discounted(c1, []).toPandas()
-    for lang, t in top.groupby("lang"):
-        m, u = mid[mid["lang"] == lang], low[low["lang"] == lang]
-        p1 = np.full(SYMBOLS, float(u["rest"].iloc[0]) / SYMBOLS)
-        p1[u["c"]] += u["p"]
-        rest2, p2 = np.ones(SYMBOLS), np.zeros((SYMBOLS, SYMBOLS))
-        rest2[m["b"]] = m["rest"]
-        p2[m["b"], m["c"]] = m["p"]
-        p2 += rest2[:, None] * p1
-        rest3, p3 = np.ones((SYMBOLS, SYMBOLS)), np.zeros((SYMBOLS, SYMBOLS, SYMBOLS))
-        rest3[t["a"], t["b"]] = t["rest"]
-        p3[t["a"], t["b"], t["c"]] = t["p"]
-        logs = np.log(p3 + rest3[:, :, None] * p2)
-        usual[str(lang)] = -float((logs[t["a"], t["b"], t["c"]] * t["n"]).sum() / t["n"].sum())
-        models[str(lang)] = logs.astype(np.float32).ravel()
-    return {"chars": chars, "models": models, "usual": usual}
-
-
-def perplexity(docs: DataFrame, model: dict, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, kept columns, model_lang, perplexity) of every whole text; null for an empty or null text or without a model.
-
-    Only language and text go to Python and only the score comes back; kept columns stay in Spark.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.arrow_udf("double")
-    def scored(batches: Iterator[Tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        alphabet, models, usual = Alphabet(shared.value["chars"]), shared.value["models"], shared.value["usual"]
+class Model:
+    """Probabilities (lang, g, p) and backoff weights (lang, x, rest) by order, 1 to ``ORDER``, and (lang, usual, least): a unit's mean loss on trusted text and the probability of one never seen."""
 
-        def of(lang: str, text: str | None) -> float | None:
-            if not text or lang not in models:
-                return None
-            codes = alphabet.trigrams(text)
-            loss = min(-models[u][codes].sum(dtype=np.float64) for u in {lang, ALL})
-            return float(np.exp((loss + PRIOR * usual[lang]) / (len(codes) + PRIOR)))
+    def __init__(self, probabilities: dict[int, DataFrame], rests: dict[int, DataFrame], usual: DataFrame):
+        self.p, self.rest, self.usual = probabilities, rests, usual
 
-        for langs, texts in batches:
-            got = []
-            for at in range(0, len(texts), 256):  # few texts as Python objects at a time
-                got += map(of, langs.slice(at, 256).to_pylist(), texts.slice(at, 256).to_pylist())
-            yield pa.array(got, pa.float64())
 
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", label_id: str = "doc_id") -> Model:
+    """The model of all trusted rows, as tables; their texts are shuffled once, to their labels."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
+    counts = {ORDER: materialize(_with_all(materialize(count_grams(trusted_documents(rows, labels, "_id", label_id)), "lm-trusted")), "lm-counts")}
+    for k in range(ORDER - 1, 0, -1):  # an n-gram of lower order counts the different units before it
+        counts[k] = counts[k + 1].groupBy("lang", _low(F.col("g"), k).alias("g")).agg(F.count("*").alias("n"))
+    p, rest = {}, {}
+    for k in range(1, ORDER + 1):
+        shares, weights = discounted(counts[k])
+        rest[k] = materialize(weights, f"lm-rest{k}")
+        with_rest = shares.join(rest[k], ["lang", "x"])
+        if k == 1:
+            whole = with_rest.withColumn("q", F.lit(1 / (1 << UNIT_BITS)))
+        else:
+            whole = with_rest.withColumn("low", _low(F.col("g"), k - 1)).join(p[k - 1].select("lang", F.col("g").alias("low"), F.col("p").alias("q")), ["lang", "low"])
+        p[k] = materialize(whole.select("lang", "g", "n", (F.col("p") + F.col("rest") * F.col("q")).alias("p")), f"lm-p{k}")
+    seen = p[ORDER].groupBy("lang").agg((F.sum(-F.col("n") * F.ln("p")) / F.sum("n")).alias("usual"))
+    return Model(p, rest, materialize(seen.join(rest[1].select("lang", (F.col("rest") / (1 << UNIT_BITS)).alias("least")), "lang"), "lm-usual"))
+
+
+def losses(counts: DataFrame, model: Model) -> DataFrame:
+    """(lang, g, n, loss): minus the log probability of every n-gram (lang, g, n), backed off as far as it must be."""
+    found = counts.join(model.usual.select("lang", "least"), "lang")
+    for k in range(1, ORDER + 1):
+        found = found.withColumn(f"g{k}", _low(F.col("g"), k)).withColumn(f"x{k}", _context(F.col(f"g{k}")))
+    value = F.col("least")
+    for k in range(1, ORDER + 1):
+        found = found.join(model.p[k].select("lang", F.col("g").alias(f"g{k}"), F.col("p").alias(f"p{k}")), ["lang", f"g{k}"], "left")
+        if k > 1:
+            found = found.join(model.rest[k].select("lang", F.col("x").alias(f"x{k}"), F.col("rest").alias(f"r{k}")), ["lang", f"x{k}"], "left")
+            value = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"r{k}"), F.lit(1.0)) * value)
+        else:
+            value = F.coalesce(F.col("p1"), value)
+    return found.select("lang", "g", "n", (-F.ln(value)).alias("loss"))
+
+
+def _head(scored: DataFrame) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], int]:
+    """Sorted n-grams and losses by language of the most frequent rows, ``HEAD`` at most, and the least level of frequency among them."""
+    by_level = {r[0]: r[1] for r in scored.groupBy(_level("n").alias("level")).count().collect()}  # a few hundred rows
+    total, cut = 0, 1 << 30
+    for level in sorted(by_level, reverse=True):
+        total += by_level[level]
+        if total > HEAD:
+            break
+        cut = level
+    top = scored.where(_level("n") >= cut).select("lang", "g", "loss").toArrow()
+    langs, g, loss = np.array(top["lang"].to_pylist(), object), top["g"].to_numpy(), top["loss"].to_numpy()
+    out = {}
+    for lang in set(langs):
+        mine = np.flatnonzero(langs == lang)
+        mine = mine[np.argsort(g[mine])]
+        out[lang] = g[mine], loss[mine]
+    return out, cut
+
+
+def _level(n: str) -> Column:
+    return F.floor(F.log2(n) * 8).cast("int")
+
+
+def perplexity(docs: DataFrame, model: Model, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, kept columns, model_lang, perplexity) of every whole text; null for an empty or null text.
+
+    A row per input row. Kept columns should be small; texts are read twice (to count all
+    n-grams and to score) and not shuffled.
+    """
+    known = [r[0] for r in model.usual.select("lang").collect() if r[0] != ALL]  # a row a language
     lang = F.col(lang_col).cast("string")
-    known = [x for x in model["models"] if x != ALL]
     used = F.when(lang.isin(known), lang).otherwise(ALL) if known else F.lit(ALL)
-    src = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep_{c}") for c in keep], used.alias("model_lang"), F.col(text_col).alias("_text"))
-    out = src.withColumn("perplexity", scored.asNondeterministic()("model_lang", "_text"))  # so that a filter on it does not run it twice
-    return out.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{c}").alias(c) for c in keep], "model_lang", "perplexity")
+    src = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep_{c}") for c in keep], used.alias("_lang"), F.col(text_col).alias("_text"))
+    counts = materialize(count_grams(src.where(F.length("_text") > 0)), "lm-grams")
+    scored = materialize(losses(_with_all(counts), model), "lm-losses")
+    head, cut = _head(scored)
+    shared = docs.sparkSession.sparkContext.broadcast(head)  # HEAD rows at most
+    none = np.zeros(0, np.int64), np.zeros(0)
+
+    def of(lang: str, g: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray]:
+        """The loss of the n-grams in the head, and which are not in it."""
+        keys, loss = shared.value.get(lang, none)
+        if not len(keys):
+            return 0.0, np.ones(len(g), bool)
+        at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+        hit = keys[at] == g
+        return float((loss[at] * n)[hit].sum()), ~hit
+
+    def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        for *kept, langs, texts in batches:
+            cols: list[list] = [[] for _ in range(6)]
+            for lang, text in zip(langs, texts, strict=True):
+                g, n = np.unique(grams(text or ""), return_counts=True)
+                own, rare = of(lang, g, n)
+                every, rare_all = (own, rare) if lang == ALL else of(ALL, g, n)
+                # the two models may hold different n-grams in the head: 0 there takes the n-gram out of the sum
+                either = rare | rare_all
+                row = int(n.sum()), own, every, g[either].tolist(), np.where(rare, n, 0)[either].tolist(), np.where(rare_all, n, 0)[either].tolist()
+                for c, v in zip(cols, row, strict=True):
+                    c.append(v)
+            yield [*kept, langs, *cols]
+
+    kinds = ", ".join(f"{c} {id_type(src, c)}" for c in src.columns[:-1])
+    rows = map_rows(src, run, f"{kinds}, _n long, _own double, _every double, _g array<long>, _a array<long>, _b array<long>")
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "lm-rows")  # written, so that the numbers stay
+    rare = rows.select("_row", "_lang", F.explode(F.arrays_zip("_g", "_a", "_b")).alias("_t"))
+    rest = scored.where(_level("n") < cut).select(F.col("lang").alias("_of"), F.col("g").alias("_at"), "loss")
+    both = rare.select("_row", F.col("_lang").alias("_of"), F.col("_t._g").alias("_at"), F.col("_t._a").alias("_c"), F.lit(0).alias("_which")).unionByName(
+        rare.select("_row", F.lit(ALL).alias("_of"), F.col("_t._g").alias("_at"), F.col("_t._b").alias("_c"), F.lit(1).alias("_which"))
+    )
+    part = lambda i: F.sum(F.when(F.col("_which") == i, F.col("_c") * F.col("loss")).otherwise(0.0))
+    sums = both.where("_c > 0").join(rest, ["_of", "_at"]).groupBy("_row").agg(part(0).alias("_more"), part(1).alias("_more_all"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    loss = F.least(F.col("_own") + zero("_more"), F.col("_every") + zero("_more_all"))
+    out = rows.drop("_g", "_a", "_b").join(sums, "_row", "left").join(model.usual.select(F.col("lang").alias("_lang"), "usual"), "_lang", "left")
+    value = F.when(F.col("_n") > 0, F.exp((loss + PRIOR * F.col("usual")) / (F.col("_n") + PRIOR)))
+    return out.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{c}").alias(c) for c in keep], F.col("_lang").alias("model_lang"), value.alias("perplexity"))
 
 
 def limits(scored: DataFrame, labels: DataFrame, quantile: float = 0.99, spread: float = 2.0, least: float = 1.25, id_col: str = "doc_id", label_id: str = "doc_id") -> DataFrame:
@@ -213,28 +260,33 @@ def limits(scored: DataFrame, labels: DataFrame, quantile: float = 0.99, spread:
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", keep: tuple[str, ...] = (), label_id: str = "doc_id") -> DataFrame:
-    """(id, kept columns, perplexity, max_perplexity, kept) for every document.
+    """(id, kept columns, model_lang, perplexity, max_perplexity, kept) for every document.
 
     kept: false if the perplexity exceeds the limit of the language. Empty and null texts
-    have no perplexity and are rejected; without any trusted text nothing else is. A null or
-    rare language is judged by the model of all trusted text. Repeated rows give a row each.
+    have no perplexity and are rejected; without any trusted text all are kept. A null
+    language, or one without trusted text, is judged by the model of all trusted text.
+    Repeated rows give a row each.
     """
     model = train(docs, labels, id_col, lang_col, text_col, label_id)
-    scored = materialize(perplexity(docs, model, id_col, lang_col, text_col, tuple(c for c in keep if c != text_col)), "lm-scores")
-    bounds = limits(scored, labels, id_col=id_col, label_id=label_id).collect()  # one row a language model
-    if text_col in keep:  # whole texts are scored again rather than shuffled to their scores
-        scored = perplexity(docs, model, id_col, lang_col, text_col, keep)
-    limit = F.lit(None).cast("double")
-    for r in bounds:
-        limit = F.when(F.col("model_lang") == r["model_lang"], F.lit(r["max_perplexity"])).otherwise(limit)
-    judged = scored.withColumn("max_perplexity", limit)
-    fine = F.coalesce(F.col("perplexity") <= F.col("max_perplexity"), F.lit(not bounds))
-    return judged.withColumn("kept", fine)
+    scored = materialize(perplexity(docs, model, id_col, lang_col, text_col, keep), "lm-scores")
+    bounds = limits(scored, labels, id_col=id_col, label_id=label_id)
+    judged = scored.join(bounds, "model_lang", "left")
+    fine = F.coalesce(F.col("perplexity") <= F.col("max_perplexity"), F.lit(model.usual.isEmpty()))
+    return judged.select(*scored.columns, "max_perplexity", fine.alias("kept"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The documents that the classifier keeps, with the columns of ``docs``, whatever their names."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = dict(zip(docs.columns, names, strict=True))
-    judged = classify(docs.toDF(*names), labels, plain[id_col], plain[lang_col], plain[text_col], tuple(n for n in names if n != plain[id_col]), id_col)
-    return judged.where("kept").select(*[F.col(n).alias(c) for c, n in plain.items()])
+    """The documents that the classifier keeps, with the columns of ``docs``, whatever their names.
+
+    The verdict depends on language and text alone. Rows that may have a rejected one (by
+    the map of ``spotted``) are joined with these, dealt by id too; all others stay in place.
+    """
+    key = F.md5(F.concat(F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")), F.lit("\0"), F.coalesce(F.col(text_col), F.lit(""))))
+    rows = docs.select(F.struct("*").alias("_all"), F.col(id_col).alias("_rid"), F.col(lang_col).alias("_rlang"), F.col(text_col).alias("_rtext"), key.alias("_key"))
+    judged = classify(rows, labels, "_rid", "_rlang", "_rtext", ("_key",), id_col)
+    out = materialize(judged.where("NOT kept").select("_key").distinct(), "lm-rejected")
+    marked = spotted(rows.select("_all", "_rid", "_key"), "_key", out)
+    copies = out.select("_key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
+    doubted = marked.where("_spotted").withColumn("_salt", F.pmod(F.xxhash64("_rid"), F.lit(SALTS)))
+    fine = doubted.hint("merge").join(copies, ["_key", "_salt"], "left_anti")
+    return marked.where("NOT _spotted").select("_all.*").unionByName(fine.select("_all.*"))

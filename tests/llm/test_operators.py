@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -247,9 +248,19 @@ def test_long_clean_text_is_not_toxic(spark):
 # packing
 
 
+@lru_cache
+def word_tokenizer(path):
+    """The library's own object, as its README has it: strings of special tokens are ordinary text."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    return tok
+
+
 def test_packing(spark, odd, nothing, small):
     path = public_tokenizers.path("word_bpe_49k.json")
-    tok = packing.tokenizer(path).tok
+    tok = word_tokenizer(path)
     for df in (odd, docs_of(spark, [" ".join(["alpha beta"] * n) for n in (10, 3000, 5000, 700, 1, 2100)] * 40)):
         want = Counter()
         for r in df.collect():
@@ -282,7 +293,7 @@ def test_word_tokenizer_is_exact(duck):
     texts = [r[0] for r in duck.execute("SELECT text FROM documents LIMIT 150").fetchall()]
     texts += ["a <|endoftext|> b", "don't Σας ΣΑΣ É é \x85z\x1cq İ \xa0 x", "\x00 ǅ ŉ 'S ½ ²3 12345", "".join(chr(i) + " a"[i % 2] for i in range(1, 0x500))]
     for x in texts:
-        assert t.encode(x) == np.array(t.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        assert t.encode(x) == np.array(word_tokenizer(public_tokenizers.path("word_bpe_49k.json")).encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 # byte-level BPE
@@ -447,16 +458,17 @@ def test_viterbi_is_the_best_path():
 # language model
 
 
-def kn_brute(texts, chars):
-    """Interpolated modified Kneser-Ney over character trigrams, straight from the definition."""
-    alphabet = lm_quality.Alphabet(chars)
-    c3 = Counter()
-    for t in texts:
-        for g in alphabet.trigrams(t).tolist():
-            c3[g >> 12, g >> 6 & 63, g & 63] += 1
-    c2, c1 = Counter((b, c) for _, b, c in c3), Counter()
-    for _, c in c2:
-        c1[c] += 1
+def windows(t):
+    s = "\0" * (lm_quality.ORDER - 1) + t
+    return [s[i : i + lm_quality.ORDER] for i in range(len(t))]
+
+
+def kn_brute(texts):
+    """Interpolated modified Kneser-Ney over characters, straight from the definition."""
+    order = lm_quality.ORDER
+    counts = {order: Counter(g for t in texts for g in windows(t))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
 
     def disc(counts):
         n = Counter(counts.values())
@@ -465,37 +477,52 @@ def kn_brute(texts, chars):
         own = {k: k - (k + 1) * y * n[k + 1] / n[k] if n[1] and n[k] else 0 for k in (1, 2, 3)}
         return {k: min(float(k), own[k]) if own[k] > 0 else usual[k] for k in (1, 2, 3)}
 
-    d3, d2, d1 = disc(c3), disc(c2), disc(c1)
+    d = {k: disc(c) for k, c in counts.items()}
 
-    def level(counts, d, ctx, gram, lower):
-        rows = {g: n for g, n in counts.items() if g[:-1] == ctx} if ctx is not None else {(c,): n for c, n in counts.items()}
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / 65536
+        rows = {g: n for g, n in counts[k].items() if g[:-1] == gram[:-1]}
         total = sum(rows.values())
         if not total:
-            return lower
-        rest = sum(d[min(n, 3)] for n in rows.values()) / total
+            return p(gram[1:])
         n = rows.get(gram, 0)
-        return (n - d[min(n, 3)]) / total * (n > 0) + rest * lower if n else rest * lower
-
-    def p(a, b, c):
-        p1 = level(c1, d1, None, (c,), 1 / 64)
-        p2 = level(c2, d2, (b,), (b, c), p1)
-        return level(c3, d3, (a, b), (a, b, c), p2)
+        rest = sum(d[k][min(n, 3)] for n in rows.values()) / total
+        return (n - d[k][min(n, 3)] if n else 0) / total + rest * p(gram[1:])
 
     return p
 
 
 def test_kneser_ney(spark):
-    texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "mat cat hat"]
-    labels = spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, quality int")
+    texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "mat cat hat", "漢字 and 漢字"]
+    labels = spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, quality int")
     model = lm_quality.train(docs_of(spark, [*texts, None, "not trusted"]), labels)
-    p = kn_brute(texts, model["chars"])
-    logs = model["models"]["*"].reshape(64, 64, 64)
+    p = kn_brute(texts)
     rng = random.Random(9)
-    for _ in range(200):
-        a, b, c = (rng.randrange(16) for _ in range(3))
-        assert np.exp(logs[a, b, c]) == pytest.approx(p(a, b, c), rel=1e-4)
-    assert np.exp(logs).sum(2) == pytest.approx(np.ones((64, 64)), rel=1e-4)  # every context is a distribution
-    assert set(model["models"]) == {"*", "en"}
+    asked = {"".join(rng.choice("thecatsonmdg 漢z") for _ in range(lm_quality.ORDER)) for _ in range(150)} | {g for t in texts for g in windows(t)}
+    code = lambda g: int(lm_quality.grams(g)[-1])
+    rows = [(lang, code(g), 1) for g in asked for lang in ("en", "*")]
+    got = {(r.lang, r.g): r.loss for r in lm_quality.losses(spark.createDataFrame(rows, "lang string, g long, n long"), model).collect()}
+    for g in asked:
+        assert np.exp(-got["en", code(g)]) == pytest.approx(p(g), rel=1e-9) == pytest.approx(np.exp(-got["*", code(g)]), rel=1e-9)
+
+
+@pytest.mark.parametrize("head", [0, 40, 1 << 18])
+def test_perplexity_with_and_without_head(spark, monkeypatch, head):
+    """What is in the head changes nothing: losses of all other n-grams come by join."""
+    monkeypatch.setattr(lm_quality, "HEAD", head)
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "ümlaut", "漢字"]) for _ in range(20)) for _ in range(12)]
+    df = docs_of(spark, [*texts, "quite other words 😀", "", None, texts[0]])
+    labels = spark.createDataFrame([(i, 1) for i in range(8)], "doc_id long, quality int")
+    model = lm_quality.train(df, labels)
+    p = kn_brute(texts[:8])
+    usual = np.mean([-np.log(p(g)) for t in texts[:8] for g in windows(t)])
+    for r in lm_quality.perplexity(df, model).collect():
+        t = ([*texts, "quite other words \ud83d\ude00", "", "", texts[0]])[r.doc_id]
+        want = np.exp((sum(-np.log(p(g)) for g in windows(t)) + 100 * usual) / (len(t) + 100)) if t else None
+        assert r.perplexity == (pytest.approx(want, rel=1e-9) if t else None)
 
 
 def test_quality_classifier(spark, odd, nothing):
@@ -524,7 +551,7 @@ def test_contract_columns(spark, small, duck, tik):
     for r in queries.op4_byte_bpe(spark, small).collect():
         ids = tik[1].encode_ordinary(want[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(want[r.doc_id].encode()).hexdigest())
-    tok = packing.tokenizer(public_tokenizers.path("word_bpe_49k.json")).tok
+    tok = word_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     for r in queries.op1_packing(spark, small).collect():
         ids = [*tok.encode(want[r.doc_id], add_special_tokens=False).ids, 2]
         assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
@@ -547,6 +574,6 @@ def test_pipeline(spark, small, duck):
     rows = {r.doc_id: r.text for r in docs.collect()}
     good = {i for (i,) in duck.execute("SELECT doc_id FROM labels WHERE quality = 1").fetchall()}
     assert len(good & rows.keys()) > 0.6 * len(good)
-    tok = packing.tokenizer(public_tokenizers.path("word_bpe_49k.json")).tok
+    tok = word_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     total = sum(len(tok.encode(t, add_special_tokens=False).ids) + 1 for t in rows.values())
     assert sum(r.length for r in pipeline.run(spark, small).collect()) == total
