@@ -247,17 +247,29 @@ def short_evict(segments: DataFrame, edges: DataFrame, cfg: MapConfig = DEFAULT)
 
 
 def edge_transfer(segments: DataFrame, edges: DataFrame, survivors: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
-    """Edges in that absorbed lines leave to their survivor (absorbed, survivor): the nearest by end 1 within the tolerance, if it has none."""
-    s = segments.select("line_id", "x1", "y1")
-    have = edges.select(F.col("dst").alias("survivor")).distinct()
-    rows = (
-        edges.join(survivors, F.col("dst") == F.col("absorbed")).where(F.col("src") != F.col("survivor"))
-        .join(have, "survivor", "left_anti")
-        .join(s.select(F.col("line_id").alias("absorbed"), F.col("x1").alias("ax"), F.col("y1").alias("ay")), "absorbed")
-        .join(s.select(F.col("line_id").alias("survivor"), F.col("x1").alias("sx"), F.col("y1").alias("sy")), "survivor")
-        .withColumn("d", g.distance("ax", "ay", "sx", "sy")).where(F.col("d") < cfg.edge_tolerance)
-    )
-    return rows.groupBy("survivor").agg(F.min(F.struct("d", "src")).alias("m")).select(F.col("m.src").alias("src"), F.col("survivor").alias("dst"))
+    """Edges (src, dst) that absorbed lines leave to their survivor (absorbed, survivor).
+
+    Of the edges into absorbed lines a survivor without one takes that of the line whose end
+    1 is nearest to its own, within the tolerance; the same for edges out, by end 2.
+    """
+
+    def moved(own: str, other: str, end: int) -> DataFrame:
+        s = lambda name, k: segments.select(F.col("line_id").alias(name), F.col(f"x{end}").alias(f"{k}x"), F.col(f"y{end}").alias(f"{k}y"))
+        have = edges.select(F.col(own).alias("survivor")).distinct()
+        rows = edges.select(F.col(own).alias("absorbed"), F.col(other).alias("other")).join(survivors, "absorbed").where("other != survivor").join(have, "survivor", "left_anti")
+        rows = rows.join(s("absorbed", "a"), "absorbed").join(s("survivor", "s"), "survivor").withColumn("d", g.distance("ax", "ay", "sx", "sy")).where(F.col("d") < cfg.edge_tolerance)
+        return rows.groupBy("survivor").agg(F.min(F.struct("d", "other")).alias("m")).select(F.col("m.other").alias(other), F.col("survivor").alias(own))
+
+    return moved("dst", "src", 1).select("src", "dst").unionByName(moved("src", "dst", 2).select("src", "dst")).distinct()
+
+
+def keyed_union(tables: list[DataFrame], key: str) -> DataFrame:
+    """Rows of all tables by key; of rows with one key that of the first table stays (within a table the least row)."""
+    ranked = [t.select(F.col(key), F.struct("*").alias("_row"), F.lit(i).alias("_table")) for i, t in enumerate(tables)]
+    every = ranked[0]
+    for t in ranked[1:]:
+        every = every.unionByName(t)
+    return every.groupBy(key).agg(F.min(F.struct("_table", "_row")).alias("_m")).select("_m._row.*")
 
 
 def residual_filter(centroids: DataFrame, segments: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:

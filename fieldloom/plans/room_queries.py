@@ -139,22 +139,34 @@ def short_evict(spark, sf_dir):
     return segments.short_evict(v.segments(spark, sf_dir), v.line_edges(spark, sf_dir))
 
 
-@query(""", surv AS (SELECT line_id AS absorbed, line_id + 1 AS survivor FROM segs WHERE line_id % 3 = 1 AND line_id + 1 IN (SELECT line_id FROM segs))
-SELECT src, survivor AS dst FROM (
-  SELECT e.src, u.survivor, sqrt((s.x1 - a.x1) * (s.x1 - a.x1) + (s.y1 - a.y1) * (s.y1 - a.y1)) AS d FROM edges e JOIN surv u ON e.dst = u.absorbed AND e.src <> u.survivor
-  JOIN segs a ON a.line_id = u.absorbed JOIN segs s ON s.line_id = u.survivor WHERE u.survivor NOT IN (SELECT dst FROM edges))
-WHERE d < 1.5 QUALIFY row_number() OVER (PARTITION BY survivor ORDER BY d, src) = 1""")
+@query(""", surv AS (SELECT line_id AS absorbed, line_id + 2 - line_id % 3 AS survivor FROM segs WHERE line_id % 3 <> 2 AND line_id + 2 - line_id % 3 IN (SELECT line_id FROM segs)
+), ins AS (
+  SELECT e.src, u.survivor AS dst, sqrt((s.x1 - a.x1) * (s.x1 - a.x1) + (s.y1 - a.y1) * (s.y1 - a.y1)) AS d FROM edges e JOIN surv u ON e.dst = u.absorbed AND e.src <> u.survivor
+  JOIN segs a ON a.line_id = u.absorbed JOIN segs s ON s.line_id = u.survivor WHERE u.survivor NOT IN (SELECT dst FROM edges)
+), outs AS (
+  SELECT u.survivor AS src, e.dst, sqrt((s.x2 - a.x2) * (s.x2 - a.x2) + (s.y2 - a.y2) * (s.y2 - a.y2)) AS d FROM edges e JOIN surv u ON e.src = u.absorbed AND e.dst <> u.survivor
+  JOIN segs a ON a.line_id = u.absorbed JOIN segs s ON s.line_id = u.survivor WHERE u.survivor NOT IN (SELECT src FROM edges)
+) SELECT src, dst FROM (SELECT src, dst FROM ins WHERE d < 1.5 QUALIFY row_number() OVER (PARTITION BY dst ORDER BY d, src) = 1)
+UNION SELECT src, dst FROM (SELECT src, dst FROM outs WHERE d < 1.5 QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) = 1)""")
 def edge_transfer(spark, sf_dir):
     from dataclasses import replace
 
     from ..config import DEFAULT
 
     s = v.segments(spark, sf_dir)
-    to = s.select("line_id").where("line_id % 3 = 1").select(F.col("line_id").alias("absorbed"), (F.col("line_id") + 1).alias("survivor"))
+    to = s.select("line_id").where("line_id % 3 != 2").select(F.col("line_id").alias("absorbed"), (F.col("line_id") + 2 - F.col("line_id") % 3).alias("survivor"))
     to = to.join(s.select(F.col("line_id").alias("survivor")), "survivor")
     return segments.edge_transfer(s, v.line_edges(spark, sf_dir), to, replace(DEFAULT, edge_tolerance=1.5))
 
 
+@query("""SELECT point_id, arg_min(origin, k) AS origin, arg_min(x, k) AS x FROM (
+  SELECT point_id, 'residual' AS origin, round(x, 6) + 0.0 AS x, 0 AS k FROM pts WHERE beam % 3 = 0 UNION ALL SELECT point_id, 'new', round(2 * x, 6) + 0.0, 1 FROM pts WHERE beam % 2 = 0) GROUP BY point_id""")
+def keyed_union(spark, sf_dir):
+    p = v.points(spark, sf_dir)
+    old = p.where("beam % 3 = 0").select("point_id", F.lit("residual").alias("origin"), r6("x").alias("x"))
+    return segments.keyed_union([old, p.where("beam % 2 = 0").select("point_id", F.lit("new").alias("origin"), r6(2 * F.col("x")).alias("x"))], "point_id")
+
+
 @query("SELECT line_id, room_id, 'local' AS origin FROM segs WHERE line_id % 2 = 0 UNION ALL SELECT line_id, room_id, 'new' FROM segs WHERE line_id % 2 = 1")
 def lines_union(spark, sf_dir):
     s = v.segments(spark, sf_dir).select("line_id", "room_id")
