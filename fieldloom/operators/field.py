@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, MapConfig
 from ..functions import geometry as g
 from ..sources.schema import GP_STATE, PREDICTION, names
+from ..sources.staging import materialize
+from .graph import components
 from .spatial import nearest_in_room
 
 
@@ -253,6 +255,25 @@ def apply_changes(fields: dict[int, Field], changes: list[tuple[int, int, str, n
 # The same per room on Spark
 
 
+def _row(room: int, version: int, field: Field, segs: np.ndarray, cfg: MapConfig) -> list:
+    return [room, version, len(field.z), field.z[:, 0], field.z[:, 1], field.mean, list(field.cov), field.old_z[:, 0], field.old_z[:, 1], field.old_mean, list(field.old_c), weights(field, segs, cfg)]
+
+
+def _field(row) -> Field:
+    square = lambda m: np.array([np.asarray(r, float) for r in m]).reshape(len(m), -1) if len(m) else np.zeros((0, 0))
+    pair = lambda a, b: np.column_stack((np.asarray(row[a], float), np.asarray(row[b], float))).reshape(-1, 2)
+    return Field(pair("zx", "zy"), np.asarray(row["mean"], float), square(row["chol"]), pair("old_zx", "old_zy"), np.asarray(row["old_mean"], float), square(row["old_c"]))
+
+
+def _room_lines(segments: DataFrame) -> DataFrame:
+    """(room_id, lines): each room's lines in order; a room's lines are few."""
+    return segments.select(F.col("room_id").cast("long").alias("room_id"), F.struct("line_id", "x1", "y1", "x2", "y2").alias("s")).groupBy("room_id").agg(F.sort_array(F.collect_list("s")).alias("lines"))
+
+
+def _line_array(lines) -> np.ndarray:
+    return np.array([[x["x1"], x["y1"], x["x2"], x["y2"]] for x in (lines if lines is not None else [])]).reshape(-1, 4)
+
+
 def fit_rooms(points: DataFrame, segments: DataFrame | None = None, cfg: MapConfig = DEFAULT, batch_col: str = "batch") -> DataFrame:
     """GP state of every room from its points (room_id, batch, x, y), batches in order. Points should be voxels, which bound a room.
 
@@ -265,8 +286,7 @@ def fit_rooms(points: DataFrame, segments: DataFrame | None = None, cfg: MapConf
         segs = s[["x1", "y1", "x2", "y2"]].to_numpy()
         for _, b in p.sort_values([batch_col, "x", "y"]).groupby(batch_col):
             field, version = update(field, b[["x", "y"]].to_numpy(), cfg, segs), version + 1
-        row = [room, version, len(field.z), field.z[:, 0], field.z[:, 1], field.mean, list(field.cov), field.old_z[:, 0], field.old_z[:, 1], field.old_mean, list(field.old_c), weights(field, segs, cfg)]
-        return pd.DataFrame([row], columns=names(GP_STATE))
+        return pd.DataFrame([_row(room, version, field, segs, cfg)], columns=names(GP_STATE))
 
     none = points.sparkSession.createDataFrame([], "room_id long, x1 double, y1 double, x2 double, y2 double")
     lines = (none if segments is None else segments).select(F.col("room_id").cast("long").alias("room_id"), "x1", "y1", "x2", "y2")
@@ -278,7 +298,7 @@ def predict_rooms(queries: DataFrame, state: DataFrame, segments: DataFrame | No
 
     ``segments``: the lines that the state was fitted with.
     """
-    lines = segments.select(F.col("room_id").cast("long").alias("room_id"), F.struct("line_id", "x1", "y1", "x2", "y2").alias("s")).groupBy("room_id").agg(F.sort_array(F.collect_list("s")).alias("lines")) if segments is not None else None
+    lines = _room_lines(segments) if segments is not None else None
     full = state.join(lines, "room_id", "left") if lines is not None else state.withColumn("lines", F.lit(None).cast("array<struct<line_id:bigint,x1:double,y1:double,x2:double,y2:double>>"))
     queries = queries.withColumn("room_id", F.col("room_id").cast("long"))
     parts = queries.groupBy("room_id").agg(F.ceil(F.count("*") / share).cast("int").alias("_parts"))
@@ -290,8 +310,7 @@ def predict_rooms(queries: DataFrame, state: DataFrame, segments: DataFrame | No
             return pd.DataFrame([], columns=names(PREDICTION))
         r = s.iloc[0]
         z = np.column_stack((r["zx"], r["zy"]))
-        got = r["lines"] if r["lines"] is not None else []
-        segs = np.array([[x["x1"], x["y1"], x["x2"], x["y2"]] for x in got]).reshape(-1, 4)
+        segs = _line_array(r["lines"])
         none = np.zeros((0, 2)), np.zeros(0), np.zeros((0, 0))
         mu, d, grad = predict(Field(z, np.asarray(r["mean"]), np.zeros((len(z), len(z))), *none), q[["x", "y"]].to_numpy(), segs, cfg, True, np.asarray(r["weights"]))
         return pd.DataFrame({"query_id": q["query_id"], "room_id": q["room_id"], "x": q["x"], "y": q["y"], "mu": mu, "distance": d, "gx": grad[:, 0], "gy": grad[:, 1]})
@@ -299,6 +318,39 @@ def predict_rooms(queries: DataFrame, state: DataFrame, segments: DataFrame | No
     return dealt.groupBy("room_id", "_part").cogroup(copies.groupBy("room_id", "_part")).applyInPandas(run, PREDICTION)
 
 
+def follow_changes(state: DataFrame, changes: DataFrame, moved: DataFrame, segments: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
+    """The GP states after room changes (from_room, to_room, kind as of ``rooms.room_changes``).
+
+    ``moved``: (room_id, i, to_room), the inducing points, by place, that go along; of a
+    merged room all do. ``segments``: the lines of the rooms after the changes. Rooms that
+    changes connect are one group, in which changes apply in order of their rooms; the other
+    states stay as they are.
+    """
+    room = lambda c: F.col(c).cast("long")
+    steps = changes.select(room("from_room").alias("source"), room("to_room").alias("target"), "kind")
+    go = moved.groupBy(room("room_id").alias("source"), room("to_room").alias("target")).agg(F.sort_array(F.collect_list("i")).alias("go"))  # a room's inducing points at most
+    steps = materialize(steps.join(go, ["source", "target"], "left"), "field-changes")
+    group = materialize(components(steps.select(F.col("source").alias("a"), F.col("target").alias("b")), "field-groups"), "field-group")
+    held = state.join(_room_lines(segments), "room_id", "full").select(*[F.col(c) for c in names(GP_STATE)], "lines")
+    mine = held.join(group.select(F.col("node").alias("room_id"), F.col("root").alias("_of")), "room_id")
+
+    def run(s: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        lines = {int(r["room_id"]): _line_array(r["lines"]) for _, r in s.iterrows()}
+        known = [r for _, r in s.iterrows() if r["zx"] is not None]
+        fields, versions = {int(r["room_id"]): _field(r) for r in known}, {int(r["room_id"]): int(r["version"]) for r in known}
+        for _, r in c.sort_values(["source", "target"]).iterrows():
+            if int(r["source"]) in fields:
+                mask = np.zeros(len(fields[int(r["source"])].z), bool)
+                mask[[i for i in (r["go"] if r["go"] is not None else []) if i < len(mask)]] = True
+                fields = apply_changes(fields, [(int(r["source"]), int(r["target"]), r["kind"], mask)], cfg)
+        none = np.zeros((0, 4))
+        return pd.DataFrame([_row(k, versions.get(k, 0) + 1, f, lines.get(k, none), cfg) for k, f in sorted(fields.items())], columns=names(GP_STATE))
+
+    other = state.join(group.select(F.col("node").alias("room_id")), "room_id", "left_anti").select(*names(GP_STATE))
+    grouped = steps.join(group.select(F.col("node").alias("source"), F.col("root").alias("_at")), "source").select("_at", "source", "target", "kind", "go")
+    return other.unionByName(mine.groupBy("_of").cogroup(grouped.groupBy("_at")).applyInPandas(run, GP_STATE))
+
+
 def fit_tiles(points: DataFrame, segments: DataFrame | None = None, cfg: MapConfig = DEFAULT, tile: float = 2.0, margin: float = 0.5) -> DataFrame:
     """One field over all points (batch, x, y), fitted per square tile: a GP state for each, under the tile's number as room_id.
 

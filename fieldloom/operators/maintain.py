@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MapConfig
 from ..functions import geometry as g
-from .segments import _ends, corner_candidates, gap_candidates, pairs_near
+from ..sources.staging import materialize
+from .segments import _ends, corner_candidates, gap_candidates, pairs_near, short_evict
 
 
 def t_junctions(segments: DataFrame, edges: DataFrame, cfg: MapConfig = DEFAULT, margin: float = 0.5) -> DataFrame:
@@ -42,8 +43,10 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
 
 
 def apply_corners(segments: DataFrame, edges: DataFrame | None = None, cfg: MapConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Lines with joined ends moved to their corner, and the corner edges (src, dst, type)."""
-    joined = mutual_best(corner_candidates(segments, edges, cfg))
+    """Lines with joined ends moved to their corner, and the corner edges (src, dst, type); only perpendicular lines make a corner."""
+    theta = lambda c: segments.select(F.col("line_id").alias(c), F.col("theta").alias(f"_t{c}"))
+    found = corner_candidates(segments, edges, cfg).join(theta("p"), "p").join(theta("q"), "q").where(g.is_perpendicular("_tp", "_tq"))
+    joined = mutual_best(found.select("room_id", "p", "q", "gap", "x", "y"))
     out = joined.select(F.col("p").alias("line_id"), F.col("x").alias("_x2"), F.col("y").alias("_y2"))
     into = joined.select(F.col("q").alias("line_id"), F.col("x").alias("_x1"), F.col("y").alias("_y1"))
     moved = segments.join(out, "line_id", "left").join(into, "line_id", "left")
@@ -62,3 +65,46 @@ def close_gaps(segments: DataFrame, edges: DataFrame, cfg: MapConfig = DEFAULT)
         F.least("p", "q").alias("line_id"), F.greatest("p", "q").alias("absorbed"), F.col("ax").alias("x1"), F.col("ay").alias("y1"),
         F.col("bx").alias("x2"), F.col("by").alias("y2"), (F.greatest("wa", "wb") + 1).alias("weight"),
     )
+
+
+def refreshed(lines: DataFrame) -> DataFrame:
+    """Direction, normal (on the side it had) and line parameters anew from the ends."""
+    dx, dy = g.direction("x1", "y1", "x2", "y2")
+    side = F.when(F.col("nx") * -dy + F.col("ny") * dx < 0, -1.0).otherwise(1.0)
+    r, theta = g.normal_form("x1", "y1", "x2", "y2")
+    return lines.withColumns({"dx": dx, "dy": dy, "nx": -dy * side, "ny": dx * side, "r": r, "theta": theta})
+
+
+def process_lines(lines: DataFrame, edges: DataFrame, cfg: MapConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Lines and edges (src, dst, type) after corners, gaps, T-junctions and the eviction of short lines, in this order.
+
+    Edges follow their lines: those of an absorbed line go to its survivor, those out of a
+    split line to its second part, whose number is the line's plus the largest number and
+    one; edges of evicted lines go with them.
+    """
+    lines, corners = apply_corners(lines, edges, cfg)
+    edges = materialize(edges.select("src", "dst", "type").unionByName(corners).groupBy("src", "dst").agg(F.min("type").alias("type")), "edges-corners")
+    lines = materialize(refreshed(lines), "lines-corners")
+
+    joined = materialize(close_gaps(lines, edges, cfg), "gaps")
+    ends = joined.select("line_id", *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2", "weight")])
+    lines = lines.join(joined.select(F.col("absorbed").alias("line_id")), "line_id", "left_anti").join(ends, "line_id", "left")
+    lines = refreshed(lines.withColumns({c: F.coalesce(f"_{c}", c) for c in ("x1", "y1", "x2", "y2", "weight")}).drop(*ends.columns[1:]))
+    into = joined.select(F.col("absorbed").alias("_old"), F.col("line_id").alias("_new"))
+    for end in ("src", "dst"):
+        edges = edges.join(into, F.col(end) == F.col("_old"), "left").withColumn(end, F.coalesce("_new", end)).drop("_old", "_new")
+    lines, edges = materialize(lines, "lines-gaps"), materialize(edges.where("src != dst").dropDuplicates(["src", "dst"]), "edges-gaps")
+
+    stride = (lines.agg(F.max("line_id")).first()[0] or 0) + 1
+    parts = split_lines(lines, t_junctions(lines, edges, cfg))
+    parts = materialize(parts.select("line_id", "part", *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")]), "parts")
+    split = lines.join(parts, "line_id").withColumns({c: F.col(f"_{c}") for c in ("x1", "y1", "x2", "y2")})
+    second = parts.where("part = 2").select(F.col("line_id").alias("src"), F.lit(stride).alias("_by"))
+    edges = edges.join(second, "src", "left").withColumn("src", F.col("src") + F.coalesce("_by", F.lit(0))).drop("_by")
+    lines = refreshed(split.withColumn("line_id", F.col("line_id") + F.when(F.col("part") == 2, stride).otherwise(0)).select(*lines.columns))
+    lines, edges = materialize(lines, "lines-split"), materialize(edges, "edges-split")
+
+    gone = materialize(short_evict(lines, edges, cfg), "evicted")
+    for end in ("src", "dst"):
+        edges = edges.join(gone.select(F.col("line_id").alias(end)), end, "left_anti")
+    return lines.join(gone, "line_id", "left_anti"), edges.select("src", "dst", "type")

@@ -223,11 +223,12 @@ def door_candidates(segments: DataFrame, cfg: MapConfig = DEFAULT, margin: float
 
 
 def gap_candidates(segments: DataFrame, edges: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
-    """Collinear continuations p then q over a small gap, where p has no edge out and q none in."""
+    """Continuations p then q of one wall over a small gap: parallel, same facing, p's end near q's line, p without an edge out and q without one in."""
     ahead = g.signed_distance("q.x1", "q.y1", "p.x2", "p.y2", "p.dx", "p.dy") >= 0
     gap = g.distance("p.x2", "p.y2", "q.x1", "q.y1")
-    offset = F.abs(g.signed_distance("q.x1", "q.y1", "p.x2", "p.y2", "p.nx", "p.ny"))
-    pairs = pairs_near(segments, cfg.gap_thresh).where(ahead & (gap <= cfg.gap_thresh) & (offset <= cfg.delta_d))
+    same = g.is_parallel("p.theta", "q.theta") & (F.col("p.nx") * F.col("q.nx") + F.col("p.ny") * F.col("q.ny") > 0)
+    offset = g.line_distance("p.x2", "p.y2", "q.r", "q.theta")
+    pairs = pairs_near(segments, cfg.gap_thresh).where(same & ahead & (gap <= cfg.gap_thresh) & (offset <= cfg.delta_d))
     pairs = pairs.select("room_id", F.col("p.line_id").alias("p"), F.col("q.line_id").alias("q"), gap.alias("gap"))
     return pairs.join(edges.select(F.col("src").alias("p")).distinct(), "p", "left_anti").join(edges.select(F.col("dst").alias("q")).distinct(), "q", "left_anti").select("room_id", "p", "q", "gap")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -107,3 +109,61 @@ def match_labels(contingency: DataFrame, key: str = "map_id") -> DataFrame:
         return pd.DataFrame([(t[key].iloc[0], int(new[a]), int(old[b])) for a, b in assign(c)], columns=[key, "new", "old"])
 
     return contingency.groupBy(key).applyInPandas(run, f"{key} int, new int, old int")
+
+
+def carry_labels(line_ids: list[int], old: list[int], local: list[int], current: int, used: set[int]) -> list[int]:
+    """Room labels after a new local clustering: clusters keep the old label they match best, and only lines of the current room may change theirs.
+
+    One cluster takes the smallest old label; an unchanged clustering without singletons
+    stays. Otherwise clusters and old labels are assigned by largest mean age of the lines
+    they share. A cluster left over becomes a room of its own, with the smallest label not in
+    ``used``, unless it is a single line (it joins the current room) or holds none of the
+    current room's lines (it joins their smallest). A single-line cluster follows the cluster
+    that keeps its line's old label. In the end a label of a single line is undone, and the
+    largest label moves into its place.
+    """
+    if len(set(local)) == 1:
+        return [min(old)] * len(old)
+    if local == old and 1 not in Counter(old).values():
+        return list(old)
+    after, olds, locals_ = max(line_ids) + 1, sorted(set(old)), sorted(set(local))
+    age = np.zeros((len(olds), len(locals_)))
+    for i, o in enumerate(olds):
+        for j, c in enumerate(locals_):
+            ages = [after - n for n, a, b in zip(line_ids, old, local, strict=True) if a == o and b == c]
+            age[i, j] = np.mean(ages) if ages else 0.0
+    pairs = [(olds[i], locals_[j]) for i, j in assign(-age)]
+    name, cluster_of = {c: o for o, c in pairs}, dict(pairs)
+    sizes = Counter(local)
+    for c in [c for c in locals_ if c not in name]:
+        held = {o for o, b in zip(old, local, strict=True) if b == c}
+        if sizes[c] == 1:
+            name[c] = current
+        elif current not in held:
+            name[c] = min(held)
+        else:
+            taken = used | set(name.values())
+            name[c] = next(n for n in range(len(taken) + 1) if n not in taken)
+    for o, c in zip(old, local, strict=True):
+        if sizes[c] == 1 and o in cluster_of:
+            name[c] = name[cluster_of[o]]
+    found = [name[c] if o == current else o for o, c in zip(old, local, strict=True)]
+    for label in sorted(set(found)):
+        if found.count(label) == 1:
+            at, most = found.index(label), max(found)
+            if label < most:
+                found = [label if x == most else x for x in found]
+            found[at] = old[at]
+    return found
+
+
+def relabel_rooms(lines: DataFrame, key: str = "map_id") -> DataFrame:
+    """(key, line_id, label) of the lines of each map (key, line_id, old, local, current: the room the robot is in); a map's local lines are one bounded group."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("line_id")
+        old, local = t["old"].tolist(), t["local"].tolist()
+        label = carry_labels(t["line_id"].tolist(), old, local, int(t["current"].iloc[0]), set(old))
+        return pd.DataFrame({key: t[key], "line_id": t["line_id"], "label": label})
+
+    return lines.groupBy(key).applyInPandas(run, f"{key} long, line_id long, label int")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MapConfig
 from ..functions import geometry as g
-from ..operators import extract, field, graph, ingest, mapping, rooms, segments, spatial, spectral, visibility
+from ..operators import extract, field, graph, ingest, maintain, mapping, rooms, segments, spatial, spectral, visibility
+from ..sources.schema import EDGE
 from ..sources.staging import materialize
 
 
@@ -78,7 +79,9 @@ def build(scans: DataFrame, increment: float, cfg: MapConfig = DEFAULT, prior: b
     dx, dy = g.direction("x1", "y1", "x2", "y2")
     number = F.shiftleft(F.col("_robot").cast("long"), 32) + F.col("line_id")
     lines = lines.join(robots, "robot_id").join(pose, "robot_id").withColumn("line_id", number).withColumn("room_id", F.col("_robot").cast("long") + 1).withColumn("dx", dx).withColumn("dy", dy).drop("_robot")
-    lines = split_until_whole(materialize(lines, "world-lines"), None, cfg)
+    none = scans.sparkSession.createDataFrame([], EDGE)
+    lines, edges = maintain.process_lines(materialize(lines, "world-lines"), none, cfg)
+    lines = split_until_whole(materialize(lines, "world-kept"), materialize(edges, "world-edges"), cfg)
     boxes = rooms.room_rect(lines)
     left = clusters.where("status = 'residual'").select(*segments.CLUSTER, "beam", "x", "y").unionByName(extract.residual_points(line_like, cfg))
     centres = left.groupBy(*segments.CLUSTER).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))

@@ -123,7 +123,7 @@ def door_candidates(spark, sf_dir):
 
 
 @query(f"""SELECT p.room_id, p.line_id AS p, q.line_id AS q, {q(GAP)} AS gap FROM {PAIRS}
-WHERE ((q.x1 - p.x2) * p.dx + (q.y1 - p.y2) * p.dy) >= 0 AND {GAP} <= 0.5 AND abs((q.x1 - p.x2) * p.nx + (q.y1 - p.y2) * p.ny) <= 0.2
+WHERE ((q.x1 - p.x2) * p.dx + (q.y1 - p.y2) * p.dy) >= 0 AND {GAP} <= 0.5 AND abs(p.x2 * cos(q.theta) + p.y2 * sin(q.theta) - q.r) <= 0.2 AND p.nx * q.nx + p.ny * q.ny > 0 AND (abs(p.theta - q.theta) < {PI / 5!r} OR abs(p.theta - q.theta) > {4 * PI / 5!r})
   AND p.line_id NOT IN (SELECT src FROM edges) AND q.line_id NOT IN (SELECT dst FROM edges)""")
 def gap_candidates(spark, sf_dir):
     return segments.gap_candidates(v.segments(spark, sf_dir), v.line_edges(spark, sf_dir)).select("room_id", "p", "q", r6("gap").alias("gap"))
@@ -444,7 +444,17 @@ def label_match(spark, sf_dir):
     return match_labels(rooms.label_contingency(v.labels(spark, sf_dir)).withColumn("map_id", F.lit(0)))
 
 
-QUERIES |= {f.__name__: f for f in (segments_extract, robot_map, room_segmentation, label_match)}
+def relabel_rooms(spark, sf_dir):
+    """Labels of maps of fifty lines after a new clustering; the robot is in the room of the map's first line."""
+    from pyspark.sql import Window
+
+    from ..operators.spectral import relabel_rooms as carried
+
+    labs = v.labels(spark, sf_dir).withColumn("map_id", F.expr("line_id div 50")).withColumn("local", F.pmod(F.col("new"), F.lit(5)))
+    return carried(labs.withColumn("current", F.first("old").over(Window.partitionBy("map_id").orderBy("line_id"))))
+
+
+QUERIES |= {f.__name__: f for f in (segments_extract, robot_map, room_segmentation, label_match, relabel_rooms)}
 
 
 JUNCTIONS = f""", junctions AS (
@@ -474,7 +484,7 @@ def split_lines(spark, sf_dir):
 
 
 CLOSE = f""", cand AS (SELECT p.line_id AS p, q.line_id AS q, {GAP} AS gap FROM {PAIRS}
-  WHERE ((q.x1 - p.x2) * p.dx + (q.y1 - p.y2) * p.dy) >= 0 AND {GAP} <= 0.5 AND abs((q.x1 - p.x2) * p.nx + (q.y1 - p.y2) * p.ny) <= 0.2
+  WHERE ((q.x1 - p.x2) * p.dx + (q.y1 - p.y2) * p.dy) >= 0 AND {GAP} <= 0.5 AND abs(p.x2 * cos(q.theta) + p.y2 * sin(q.theta) - q.r) <= 0.2 AND p.nx * q.nx + p.ny * q.ny > 0 AND (abs(p.theta - q.theta) < {PI / 5!r} OR abs(p.theta - q.theta) > {4 * PI / 5!r})
   AND p.line_id NOT IN (SELECT src FROM edges) AND q.line_id NOT IN (SELECT dst FROM edges)
 ), best AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY gap, q) AS kp, row_number() OVER (PARTITION BY q ORDER BY gap, p) AS kq FROM cand)"""
 
@@ -489,10 +499,13 @@ def close_gaps(spark, sf_dir):
 
 
 def corner_apply(spark, sf_dir):
-    """Corner edges after each line end has taken its nearest partner."""
+    """Corner edges after each line end has taken its nearest partner, corners at the lines' ends included (``corner_reach`` 0)."""
+    from dataclasses import replace
+
+    from ..config import DEFAULT
     from ..operators import maintain
 
-    return maintain.apply_corners(v.segments(spark, sf_dir))[1]
+    return maintain.apply_corners(v.segments(spark, sf_dir), cfg=replace(DEFAULT, corner_reach=0.0))[1]
 
 
 def edf_profile(spark, sf_dir):

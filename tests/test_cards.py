@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fieldloom.config import DEFAULT
-from fieldloom.operators import extract, ingest, mapping, rooms, segments, spatial, visibility
+from fieldloom.operators import extract, ingest, mapping, rooms, segments, spatial, spectral, visibility
 
 from .worlds import BOX, scans
 
@@ -255,6 +255,31 @@ def test_two_robots_do_not_mix(spark):
     assert maps == sorted(key(r) for df in alone for r in mapping.build_map(found(df)).collect())
 
 
+def a_line(i, x1, y1, x2, y2, side=1):
+    d = np.array([x2 - x1, y2 - y1]) / np.hypot(x2 - x1, y2 - y1)
+    th = math.atan2(x1 - x2, y2 - y1)
+    r = x1 * math.cos(th) + y1 * math.sin(th)
+    if th < 0 or th >= math.pi:
+        r, th = -r, th + math.pi if th < 0 else th - math.pi
+    return (i, 1, *map(float, (x1, y1, x2, y2, -d[1] * side, d[0] * side, *d, r, th)), 0.0, 0.0, 1)
+
+
+def test_process_lines(spark):
+    """A gap is closed, a crossing line splits the wall it meets, a short free line goes, and edges follow."""
+    from fieldloom.operators import maintain
+    from fieldloom.sources.schema import EDGE
+
+    rows = [a_line(0, 0, 0, 2, 0), a_line(1, 2.3, 0, 5, 0), a_line(2, 0, 9, 4, 9), a_line(3, 2, 5, 2, 8.8), a_line(4, 20, 20, 20.3, 20), a_line(5, 9, 0, 9, 4)]
+    df = spark.createDataFrame(rows, "line_id long, room_id long, x1 double, y1 double, x2 double, y2 double, nx double, ny double, dx double, dy double, r double, theta double, robot_x double, robot_y double, weight int")
+    edges = spark.createDataFrame([(1, 5, "corner"), (2, 5, "corner"), (4, 5, "parallel")], EDGE)
+    lines, kept = maintain.process_lines(df, edges)
+    got = {r.line_id: tuple(round(v, 6) + 0.0 for v in (r.x1, r.y1, r.x2, r.y2)) for r in lines.collect()}
+    assert got == {0: (0, 0, 5, 0), 2: (0, 9, 2, 9), 8: (2, 9, 4, 9), 3: (2, 5, 2, 8.8), 5: (9, 0, 9, 4)}
+    assert sorted((r.src, r.dst) for r in kept.collect()) == [(0, 5), (8, 5)]
+    for r in lines.collect():
+        assert math.hypot(r.dx, r.dy) == math.hypot(r.nx, r.ny) == 1 and abs(r.x1 * math.cos(r.theta) + r.y1 * math.sin(r.theta) - r.r) < 1e-9
+
+
 def test_rooms_are_split_until_whole(spark):
     """Three boxes that do not see each other become three rooms of one robot."""
     from fieldloom.plans.build import split_until_whole
@@ -275,3 +300,17 @@ def test_rooms_are_split_until_whole(spark):
     got = {r.line_id: r.room_id for r in split_until_whole(df).collect()}
     parts = {frozenset(i for i in got if got[i] == room) for room in set(got.values())}
     assert parts == {frozenset(range(4 * k, 4 * k + 4)) for k in range(3)}
+
+
+def test_labels_are_carried():
+    ids = list(range(8))
+    assert spectral.carry_labels(ids, [1, 1, 2, 2, 2, 2, 1, 1], [0] * 8, 1, {1, 2}) == [1] * 8
+    assert spectral.carry_labels(ids, [0, 0, 0, 0, 1, 1, 1, 1], [0, 0, 0, 0, 1, 1, 1, 1], 0, {0, 1}) == [0, 0, 0, 0, 1, 1, 1, 1]
+    # the current room falls apart: the older half keeps its label, the other gets the first free one
+    assert spectral.carry_labels(ids, [0] * 8, [1, 1, 1, 1, 0, 0, 0, 0], 0, {0, 2}) == [0, 0, 0, 0, 1, 1, 1, 1]
+    # local numbers change, rooms don't
+    assert spectral.carry_labels(ids, [0, 0, 0, 0, 3, 3, 3, 3], [1, 1, 1, 1, 0, 0, 0, 0], 0, {0, 3}) == [0, 0, 0, 0, 3, 3, 3, 3]
+    # only lines of the current room change: line 7 of room 3 stays though it clusters with room 0
+    assert spectral.carry_labels(ids, [0, 0, 0, 0, 3, 3, 3, 3], [0, 0, 0, 0, 1, 1, 1, 0], 0, {0, 3}) == [0, 0, 0, 0, 3, 3, 3, 3]
+    # a single line is no room
+    assert spectral.carry_labels(ids, [0] * 8, [0] * 7 + [1], 0, {0}) == [0] * 8

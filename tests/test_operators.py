@@ -183,6 +183,26 @@ def test_room_fields_on_spark(spark):
     assert len(got) == 20 and all(0.03 < r.distance < 0.16 for r in got)
 
 
+def test_fields_follow_room_changes(spark):
+    """On Spark as in one process: a new room, moved points, a merge; a room without changes stays."""
+    rng = np.random.default_rng(8)
+    pts = {r: rng.uniform(0, 3, (40, 2)) + 5 * r for r in range(5)}
+    rows = [(r, 0, float(x), float(y)) for r, p in pts.items() for x, y in p]
+    state = field.fit_rooms(spark.createDataFrame(rows, "room_id int, batch int, x double, y double")).cache()
+    before = {r.room_id: field._field(r.asDict()) for r in state.collect()}
+    right = {r: np.flatnonzero(f.z[:, 0] > np.median(f.z[:, 0])) for r, f in before.items()}
+    changes = [(0, 9, "new_room"), (1, 2, "moved_lines"), (3, 2, "merged_rooms")]
+    moved = [(r, int(i), t) for r, t in ((0, 9), (1, 2)) for i in right[r]]
+    lines = spark.createDataFrame([], "room_id long, line_id long, x1 double, y1 double, x2 double, y2 double")
+    got = {r.room_id: r for r in field.follow_changes(state, spark.createDataFrame(changes, "from_room int, to_room int, kind string"), spark.createDataFrame(moved, "room_id int, i int, to_room int"), lines).collect()}
+    mask = lambda r: np.isin(np.arange(len(before[r].z)), right[r])
+    want = field.apply_changes(dict(before), [(0, 9, "new_room", mask(0)), (1, 2, "moved_lines", mask(1)), (3, 2, "merged_rooms", np.zeros(len(before[3].z), bool))])
+    assert sorted(got) == sorted(want) == [0, 1, 2, 4, 9] and got[4].version == 1 and got[2].version == 2
+    for r, f in want.items():
+        assert np.allclose(np.column_stack((got[r].zx, got[r].zy)), f.z) and np.allclose(got[r].mean, f.mean)
+        assert np.allclose(got[r].weights, field.weights(f, np.zeros((0, 4)), DEFAULT))
+
+
 def test_novelty_is_a_distance_anti_join(spark):
     rng = np.random.default_rng(6)
     mk = lambda n, o: spark.createDataFrame([(i + o, 0, *map(float, v)) for i, v in enumerate(rng.uniform(0, 2, (n, 2)))], "point_id int, room_id int, x double, y double")
