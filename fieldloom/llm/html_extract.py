@@ -13,6 +13,7 @@ as menus and adverts differ in wording from page to page.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -20,18 +21,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, map_rows
+from .common import id_type, map_rows, materialize
 from .url_filter import host_path
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|object|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
+#: Elements whose content is no markup, by the pattern of their end.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template textarea svg iframe object title".split()}
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
+#: Parts that the pages with one template are dealt into.
+SALTS = 16
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var img wbr br picture source ruby rt rp".split())
 _CONTAINER = frozenset("div section ul ol dl nav footer header aside form table figure main menu details".split())
@@ -48,48 +48,101 @@ _BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 
 
 class Node:
-    __slots__ = ("children", "marks", "parent", "tag")
+    __slots__ = ("block", "children", "marks", "parent", "tag")
 
     def __init__(self, tag: str, marks: tuple, parent: Node | None):
         self.tag, self.marks, self.parent, self.children = tag, marks, parent, []
+        self.block = parent.block if parent and tag in _INLINE else self  # the nearest that is not inline
+
+
+def tag_end(html: str, at: int) -> int:
+    """Place of the ``>`` that ends a tag, beyond quoted values; -1 if there is none. A quote that never closes is an ordinary character."""
+    while m := _STOP.search(html, at):
+        if m[0] == ">":
+            return m.start()
+        before = m.start() - 1
+        while html[before].isspace():
+            before -= 1
+        close = html.find(m[0], m.end()) if html[before] == "=" else -1
+        at = close + 1 if close >= 0 else m.end()
+    return -1
+
+
+def tokens(html: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, tag, attributes, whether it ends the element) of tags; comments, declarations and raw elements have no tag.
+
+    One pass: where quotes leave a tag without an end, quotes count no more, and where no ``>``
+    follows all else is text.
+    """
+    at, quotes = html.find("<"), True
+    while at >= 0:
+        end, tag, attrs, closes = at + 1, None, "", False
+        if html.startswith("<!--", at):
+            found = html.find("-->", at + 4)
+            end, tag = (found + 3 if found >= 0 else len(html)), ""
+        elif html.startswith(("<!", "<?"), at):
+            found = html.find(">", at)
+            if found < 0:
+                return
+            end, tag = found + 1, ""
+        elif m := _NAME.match(html, at):
+            found = tag_end(html, m.end()) if quotes else -1
+            if found < 0:
+                quotes, found = False, html.find(">", m.end())
+                if found < 0:
+                    return
+            end, tag, attrs, closes = found + 1, m[2].lower(), html[m.end() : found], bool(m[1])
+            if tag in _RAW and not closes:
+                last = _RAW[tag].search(html, end)
+                end, tag = (last.end() if last else len(html)), ""
+        if tag is not None:
+            yield at, end, tag, attrs, closes
+        at = html.find("<", end)
 
 
 def parse(html: str) -> Node:
-    """A tree of elements and texts that takes any input; unclosed elements end with their parent."""
+    """A tree of elements and texts that takes any input in linear time; unclosed elements end with their parent, unmatched ends count for nothing."""
     root = top = Node("#root", (), None)
+    opened: Counter[str] = Counter()
     last = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > last:
-            top.children.append(html[last : m.start()])
-        last = m.end()
-        if not m["tag"]:
+
+    def close(node: Node) -> Node:
+        """What is open once the node has ended, with all it holds."""
+        n = top
+        while n is not node.parent:
+            opened[n.tag] -= 1
+            n = n.parent
+        return n
+
+    for start, end, tag, attrs, closes in tokens(html):
+        if start > last:
+            top.children.append(html[last:start])
+        last = end
+        if not tag:
             continue
-        tag = m["tag"].lower()
-        if m["end"]:
-            node = top
-            while node.parent and node.tag != tag:
-                node = node.parent
-            if node.parent:
-                top = node.parent
+        if closes:
+            if opened[tag] > 0:
+                node = top
+                while node.tag != tag:
+                    node = node.parent
+                top = close(node)
             continue
-        if tag in _CLOSES_P or tag in _CLOSES:
-            closes, bounds = _CLOSES.get(tag, frozenset()), _BOUNDS.get(tag, frozenset())
-            node, cut = top, None
-            while node.parent and (node.tag not in bounds or node is top and node.tag in closes):
-                if node.tag in closes or node.tag == "p" and tag in _CLOSES_P:
-                    cut = node
+        if tag in _CLOSES_P and opened["p"] > 0 or tag in _CLOSES:
+            ends, bounds = _CLOSES.get(tag, frozenset()), _BOUNDS.get(tag, frozenset())
+            node = top.block
+            while node.parent and (node.tag not in bounds or node is top and node.tag in ends):
+                if node.tag in ends or node.tag == "p" and tag in _CLOSES_P:
+                    top = close(node)
                     break
-                if node.tag not in _INLINE and node.tag != "p" and node.tag not in closes:
+                if node.tag != "p":
                     break
-                node = node.parent
-            if cut is not None:
-                top = cut.parent
-        attrs = m["attrs"]
-        marks = tuple((a.lower(), b or c or d) for a, b, c, d in _MARKS.findall(attrs)) if attrs and "=" in attrs else ()
+                node = node.parent.block
+        marks = tuple((a.lower(), b or c or d) for a, b, c, d in _MARKS.findall(attrs)) if "=" in attrs else ()
         node = Node(tag, marks, top)
         top.children.append(node)
         if tag not in _VOID and not attrs.endswith("/"):
             top = node
+            opened[tag] += 1
     if last < len(html):
         top.children.append(html[last:])
     return root
@@ -226,12 +279,16 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             yield [keys, hosts, [page_hashes(h) for h in htmls]]
 
     host, _ = host_path(F.col("_url"))
-    marks = map_rows(src.select("_key", host.alias("_host"), "_html"), hashed, "_key long, _host string, _hashes array<long>")
+    # read once: hashes are small against the pages
+    marks = materialize(map_rows(src.select("_key", host.alias("_host"), "_html"), hashed, "_key long, _host string, _hashes array<long>"), "page-hashes")
     sizes = marks.groupBy("_host").agg(F.count("*").alias("_of"))
     seen = marks.select("_key", "_host", F.explode("_hashes").alias("_hash"))
     often = seen.groupBy("_host", "_hash").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages)
     template = often.join(sizes, "_host").where(F.col("_n") >= share * F.col("_of")).select("_host", "_hash")
-    of_page = seen.join(template, ["_host", "_hash"]).groupBy("_key").agg(F.collect_set("_hash").alias("_template"))
+    # a template of a large host is on very many pages, so its rows are dealt by page too
+    copies = template.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
+    met = seen.withColumn("_salt", F.pmod("_key", F.lit(SALTS).cast("long"))).join(copies, ["_host", "_hash", "_salt"])
+    of_page = met.groupBy("_key").agg(F.collect_set("_hash").alias("_template"))
 
     def extracted(batches: Iterator[list[list]]) -> Iterator[list[list]]:
         for ids, urls, htmls, templates in batches:
