@@ -54,25 +54,24 @@ def _lines(df: DataFrame, conv_col: str, turn_col: str, text_col: str, *more: Co
     return lines.join(least, "_conv").withColumn("_sym", observe(F.col("_text"), F.col("_turn") == F.col("_first")))
 
 
-def fit(known: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", max_roles: int = 16) -> dict:
+def fit(known: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> dict:
     """Log start, transition and emission tables from transcripts with roles.
 
-    Add-one counts; at most ``max_roles`` most frequent roles are states. Lines with a null
+    Add-one counts; every role is a state. Lines with a null
     role, conversation or turn are left out. Without any, the states are user and assistant
     with equal tables.
     """
     lines = materialize(_lines(known, conv_col, turn_col, text_col, F.col(role_col).alias("_role")).where("_role IS NOT NULL").select("_conv", "_turn", "_first", "_role", "_sym"), "chat-known")
-    roles = sorted(r[0] for r in lines.groupBy("_role").count().orderBy(F.desc("count"), "_role").limit(max_roles).collect()) or ["assistant", "user"]
+    roles = sorted(r[0] for r in lines.select("_role").distinct().collect()) or ["assistant", "user"]
     at = {r: i for i, r in enumerate(roles)}
     start, step, emit = np.ones(len(roles)), np.ones((len(roles), len(roles))), np.full((len(roles), SYMBOLS), 0.1)
     for r, s, n, f in lines.groupBy("_role", "_sym").agg(F.count("*"), F.sum(F.when(F.col("_turn") == F.col("_first"), 1).otherwise(0))).collect():  # roles x symbols rows
-        if r in at:
-            emit[at[r], s] += n
-            start[at[r]] += f
-    after = lines.select("_conv", (F.col("_turn") - 1).alias("_turn"), F.col("_role").alias("_next"))
-    for a, b, n in lines.join(after, ["_conv", "_turn"]).groupBy("_role", "_next").count().collect():
-        if a in at and b in at:
-            step[at[a], at[b]] += n
+        emit[at[r], s] += n
+        start[at[r]] += f
+    turns = lines.groupBy("_conv", "_turn", "_role").agg(F.count("*").alias("_n"))  # repeated lines are counted, not paired
+    after = turns.select("_conv", (F.col("_turn") - 1).alias("_turn"), F.col("_role").alias("_next"), F.col("_n").alias("_m"))
+    for a, b, n in turns.join(after, ["_conv", "_turn"]).groupBy("_role", "_next").agg(F.sum(F.col("_n") * F.col("_m"))).collect():
+        step[at[a], at[b]] += n
     norm = lambda x: np.log(x / x.sum(-1, keepdims=True))
     return {"roles": roles, "start": norm(start), "step": norm(step), "emit": norm(emit)}
 
@@ -118,13 +117,19 @@ def format_chats(transcripts: DataFrame, model: dict, conv_col: str = "conv_id",
     text: the line without its speaker marker, trimmed; rendered: ``<|role|>``, the text and
     ``<|end|>`` on lines of their own. Lines with a null conversation or turn can't be placed
     and are left out; a null text is an empty line. Repeated lines give a row each and are
-    ordered by turn, then symbol and text. Chunks are ``chunk`` turn numbers wide.
+    ordered by turn, then symbol and text. A chunk is at most ``chunk`` lines of one
+    conversation, however many of them have one turn number: lines are dealt and numbered in
+    this order over all tasks.
     """
-    lines = materialize(_lines(transcripts, conv_col, turn_col, text_col).withColumn("_chunk", F.floor(F.col("_turn") / chunk)), "chat-lines")
+    order = ["_conv", "_turn", "_sym", "_text"]
+    dealt = _lines(transcripts, conv_col, turn_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()), "chat-lines").withColumn("_chunk", F.floor(F.col("_at") / chunk))
     conv, turn = id_type(lines, "_conv"), id_type(lines, "_turn")
     start, step, emit, roles = model["start"], model["step"], model["emit"], model["roles"]
     k = len(roles)
-    ordered = lines.groupBy("_conv", "_chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("_turn", "_sym"))), lambda x: x["_sym"]).alias("_syms"), F.max(F.col("_turn") == F.col("_first")).alias("_begins"))
+    ordered = lines.groupBy("_conv", "_chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_sym"))), lambda x: x["_sym"]).alias("_syms"))
+    first = ordered.groupBy("_conv").agg(F.min("_chunk").alias("_begin"))
+    ordered = ordered.join(first, "_conv").withColumn("_begins", F.col("_chunk") == F.col("_begin")).drop("_begin")
 
     def matrices(it):
         for b in it:
@@ -160,7 +165,7 @@ def format_chats(transcripts: DataFrame, model: dict, conv_col: str = "conv_id",
             yield pd.DataFrame({"_conv": b["_conv"], "_chunk": b["_chunk"], "_states": states})
 
     states = ordered.join(bounds, ["_conv", "_chunk"]).select("_conv", "_chunk", "_syms", "_before", "_last").mapInPandas(decoded, f"_conv {conv}, _chunk long, _states array<int>")
-    texts = lines.groupBy("_conv", "_chunk").agg(F.sort_array(F.collect_list(F.struct("_turn", "_sym", "_text"))).alias("_lines"))
+    texts = lines.groupBy("_conv", "_chunk").agg(F.sort_array(F.collect_list(F.struct("_at", "_turn", "_text"))).alias("_lines"))
     names = F.array(*[F.lit(r) for r in roles])
     line = texts.join(states, ["_conv", "_chunk"]).select("_conv", F.explode(F.arrays_zip("_lines", "_states")).alias("_x"))
     text = strip_marker(F.col("_x._lines._text"))
