@@ -24,13 +24,22 @@ from pyspark.sql import functions as F
 from .common import id_type, map_rows, materialize
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
-_EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 CACHE_WORDS = 300_000
 
 
+def _in_word(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
 def word_features(token: str) -> list[str]:
     """The bare lower-case word and its beginnings of 3 to 8 letters."""
-    word = _EDGES.sub("", token.lower())
+    word = token.lower()
+    a, b = 0, len(word)
+    while a < b and not _in_word(word[a]):
+        a += 1
+    while a < b and not _in_word(word[b - 1]):
+        b -= 1
+    word = word[a:b]
     return ["=" + word, *(word[:n] for n in range(3, 9) if n <= len(word))] if word else []
 
 
@@ -151,10 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_other: in
 
     The sample is the documents of smallest hashed id, so it does not depend on
     partitioning, and is weighted to the share of the labels among all labelled documents.
-    The first document of a label is taken at any length. Rows with a null text, id or label are left out. Without one label of
+    The first document of a label is taken at any length. Of two labels of one id the
+    greater counts. Rows with a null text, id or label are left out. Without one label of
     each kind the model is a constant.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)").dropDuplicates(["_id"])
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
     there = materialize(src.groupBy("_id").agg(F.max(F.length("_text")).alias("_n")).join(known, "_id"), "toxic-labelled")  # ids and lengths only: no text is shuffled
     total = {r[0]: r[1] for r in there.groupBy("_y").count().collect()}
