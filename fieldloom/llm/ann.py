@@ -37,7 +37,9 @@ def directions(dims: int, m: int, seed: int = 7) -> np.ndarray:
 def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, enough: int, m: int, lift: float, start: float) -> list[tuple]:
     """(query id, id, score) of the k best verified rows of the block for each query.
 
-    Windows grow until ``enough`` verified rows lie within R.
+    Windows grow until ``enough`` verified rows lie within R. At the distance of a near
+    neighbour a window of width ``WIDTH`` holds most of a block, so rows are counted by
+    comparing their places with the window's in whole vectors, not one entry after another.
     """
     n, dims = rows.shape
     basis = directions(dims + 1, m)
@@ -85,7 +87,7 @@ def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -score[some]))[:k]]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", m: int = 64, block_rows: int = 8192, query_rows: int = 1024, sample_rows: int = 1000) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", m: int = 64, block_rows: int = 8192, query_rows: int = 4096, sample_rows: int = 1000) -> DataFrame:
     """(query_id, rank, id, score): for each query its k rows of largest inner product that were found.
 
     ``queries`` has the columns of ``vectors`` (default: the vectors themselves); a query
@@ -93,19 +95,20 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, i
     are null, zero, hold null or non-finite components, or have another than the most
     frequent length. Rank starts at 1; ties go to the smaller id. Repeated rows are
     candidates each; a repeated query id is searched once, with its smallest vector. The
-    first window comes from the median distance of ``sample_rows`` rows; every row is
-    indexed and every row that collides often enough is verified.
+    first window comes from the distances among ``sample_rows`` rows, of which about k of
+    all rows would lie nearer; every row is indexed and every row that collides often enough
+    is verified.
     """
 
     def clean(df: DataFrame) -> DataFrame:
-        vec = F.col(vec_col).cast("array<double>")
+        vec = F.col(vec_col) if df.schema[vec_col].dataType.simpleString() == "array<float>" else F.col(vec_col).cast("array<double>")
         fine = F.forall("_vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists("_vec", lambda x: x != 0)
         return df.select(F.col(id_col).alias("_id"), vec.alias("_vec")).where(F.col("_id").isNotNull() & F.col("_vec").isNotNull() & (F.size("_vec") > 0)).where(fine)
 
     kind = vectors.schema[id_col].dataType.simpleString()
     out = f"query_id {kind}, _id {kind}, score double"
     rows = clean(vectors)
-    square = F.aggregate("_vec", F.lit(0.0), lambda a, x: a + x * x)
+    square = F.aggregate("_vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     sizes = rows.groupBy(F.size("_vec").alias("dims")).agg(F.count("*").alias("n"), F.max(square).alias("top")).orderBy(F.desc("n"), "dims").first()
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
@@ -114,7 +117,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, i
     asked = (rows if queries is None else clean(queries).where(F.size("_vec") == dims)).groupBy("_id").agg(F.min("_vec").alias("_vec"))
     some = np.array([r[0] for r in rows.orderBy(F.xxhash64("_id"), "_id").select("_vec").limit(sample_rows).collect()])
     gaps = np.sqrt(np.maximum(2 * lift**2 - 2 * (some @ some.T)[np.triu_indices(len(some), 1)], 0))
-    start = max(0.5 * float(np.median(gaps)) if len(gaps) else lift, 1e-3 * lift)
+    start = max(float(np.quantile(gaps, min(1.0, k / n))) if len(gaps) else lift, 1e-3 * lift)
     row_blocks, query_blocks = -(-n // block_rows), max(1, -(-asked.count() // query_rows))
     dealt = lambda df, blocks: F.pmod(F.xxhash64("_id", "_vec"), F.lit(blocks)).cast("int")
     left = rows.withColumn("_rb", dealt(rows, row_blocks)).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
@@ -128,9 +131,10 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, i
     def search(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         if len(r) and len(q):
-            ids, vecs = r["_id"].to_numpy(), np.stack(r["_vec"].to_numpy())
+            ids, vecs = r["_id"].to_numpy(), np.stack(r["_vec"].to_numpy()).astype(np.float64)
+            asked_ids, asked_vecs = q["_id"].to_numpy(), np.stack(q["_vec"].to_numpy()).astype(np.float64)
             for at in range(0, len(ids), 32768):  # places are 16-bit numbers
-                found += search_block(ids[at : at + 32768], vecs[at : at + 32768], q["_id"].to_numpy(), np.stack(q["_vec"].to_numpy()), k, enough(min(32768, len(ids) - at)), m, lift, start)
+                found += search_block(ids[at : at + 32768], vecs[at : at + 32768], asked_ids, asked_vecs, k, enough(min(32768, len(ids) - at)), m, lift, start)
         return pd.DataFrame(found, columns=["query_id", "_id", "score"])
 
     pairs = left.groupBy("_rb", "_qb").cogroup(right.groupBy("_rb", "_qb")).applyInPandas(search, out)
