@@ -82,7 +82,7 @@ def spotted(df: DataFrame, key: str, keys: DataFrame, column: str = "_spotted")
 class Memo(dict):
     """Results of ``fn`` by key, within a bound of bytes: short keys only, in two generations, so that frequent keys stay."""
 
-    def __init__(self, fn: Callable, most_bytes: int = 80 << 20, longest: int = 96):
+    def __init__(self, fn: Callable, most_bytes: int = 32 << 20, longest: int = 96):
         super().__init__()
         self.fn, self.most, self.longest = fn, most_bytes, longest
         self.old: dict = {}

@@ -60,12 +60,20 @@ def grams(text: str) -> np.ndarray:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, g, n): n-gram counts of documents (_lang, _text), summed per task and then by n-gram; a null language stays null."""
+    """(lang, g, n): n-gram counts of documents (_lang, _text) by language and, under ``ALL``, of all of them; summed per task and then by n-gram."""
 
     def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         return keys, np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64)
 
+    def rows(held: dict[str | None, list]) -> Iterator[list[list]]:
+        sums = {lang: summed(parts) for lang, parts in held.items()}
+        if sums:
+            sums[ALL] = summed(list(sums.values()))
+        for lang, (keys, n) in sums.items():
+            if lang is not None:
+                yield [[lang] * len(keys), keys.tolist(), n.tolist()]
+
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
         held: dict[str | None, list] = {}
         size = 0
@@ -76,24 +84,14 @@ def count_grams(docs: DataFrame) -> DataFrame:
             size += len(texts)
             if size >= 1024:
                 held, size = {lang: [summed(parts)] for lang, parts in held.items()}, 0
-            if sum(len(k) for parts in held.values() for k, _ in parts[:1]) > 2_000_000:  # partial sums of many different n-grams go out early
-                for lang, parts in held.items():
-                    keys, n = summed(parts)
-                    yield [[lang] * len(keys), keys.tolist(), n.tolist()]
-                held = {}
-        for lang, parts in held.items():
-            keys, n = summed(parts)
-            yield [[lang] * len(keys), keys.tolist(), n.tolist()]
+                if sum(len(parts[0][0]) for parts in held.values()) > 1_000_000:  # partial sums of many different n-grams go out early
+                    yield from rows(held)
+                    held = {}
+        yield from rows(held)
 
     return map_rows(docs.select("_lang", "_text"), run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
-def _with_all(counts: DataFrame) -> DataFrame:
-    """Counts by language, and under ``ALL`` those of all rows."""
-    own = counts.where(F.col("lang") != ALL)
-    return own.unionByName(counts.groupBy("g").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "g", "n"))
-
-
 def _low(g: Column, order: int) -> Column:
     """The last ``order`` units of an n-gram."""
     return g.bitwiseAND(F.lit((1 << UNIT_BITS * order) - 1)) if order * UNIT_BITS < 64 else g
@@ -103,8 +101,8 @@ def _context(g: Column) -> Column:
     return F.shiftrightunsigned(g, UNIT_BITS)
 
 
-def discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, g, x, n, p) with the context x and the discounted share p of its count, and (lang, x, rest): the share left to the lower order.
+def discounted(counts: DataFrame) -> DataFrame:
+    """(lang, g, x, n, p, rest): the context x of an n-gram, the discounted share p of its count in the context, and the share that the context leaves to the lower order.
 
     Modified Kneser-Ney: discounts for counts 1, 2 and 3 or more, from the counts of counts
     of the language. Where these are too few to give a positive one, discounts are 0.5, 0.75 and 1.
@@ -118,53 +116,51 @@ def discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.when(own > 0, F.least(F.lit(float(k)), own)).otherwise(F.lit(usual))
 
     by_lang = counts.groupBy("lang").agg(*[n_of(k) for k in (1, 2, 3, 4)]).select("lang", d(1, 0.5).alias("d1"), d(2, 0.75).alias("d2"), d(3, 1.0).alias("d3"))
-    cut = counts.withColumn("x", _context(F.col("g"))).join(by_lang, "lang")
+    cut = counts.withColumn("x", _context(F.col("g"))).join(F.broadcast(by_lang), "lang")
     cut = cut.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
     totals = cut.groupBy("lang", "x").agg(F.sum("n").alias("total"), F.sum("d").alias("mass"))
-    shares = cut.join(totals, ["lang", "x"]).select("lang", "g", "x", "n", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"))
-    return shares, totals.select("lang", "x", (F.col("mass") / F.col("total")).alias("rest"))
+    return cut.join(totals, ["lang", "x"]).select("lang", "g", "x", "n", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"), (F.col("mass") / F.col("total")).alias("rest"))
 
 
 class Model:
-    """Probabilities (lang, g, p) and backoff weights (lang, x, rest) by order, 1 to ``ORDER``, and (lang, usual, least): a unit's mean loss on trusted text and the probability of one never seen."""
+    """By order, 1 to ``ORDER``, tables of n-grams (lang, g, x, n, p, rest) with their probability p and the backoff weight of their context x; and (lang, usual, least): a unit's mean loss on trusted text and the probability of one never seen."""
 
-    def __init__(self, probabilities: dict[int, DataFrame], rests: dict[int, DataFrame], usual: DataFrame):
-        self.p, self.rest, self.usual = probabilities, rests, usual
+    def __init__(self, tables: dict[int, DataFrame], usual: DataFrame):
+        self.tables, self.usual = tables, usual
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", label_id: str = "doc_id") -> Model:
     """The model of all trusted rows, as tables; their texts are shuffled once, to their labels."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
-    counts = {ORDER: materialize(_with_all(materialize(count_grams(trusted_documents(rows, labels, "_id", label_id)), "lm-trusted")), "lm-counts")}
+    counts = {ORDER: materialize(count_grams(trusted_documents(rows, labels, "_id", label_id)), "lm-counts")}
     for k in range(ORDER - 1, 0, -1):  # an n-gram of lower order counts the different units before it
         counts[k] = counts[k + 1].groupBy("lang", _low(F.col("g"), k).alias("g")).agg(F.count("*").alias("n"))
-    p, rest = {}, {}
+    tables: dict[int, DataFrame] = {}
     for k in range(1, ORDER + 1):
-        shares, weights = discounted(counts[k])
-        rest[k] = materialize(weights, f"lm-rest{k}")
-        with_rest = shares.join(rest[k], ["lang", "x"])
+        whole = discounted(counts[k])
         if k == 1:
-            whole = with_rest.withColumn("q", F.lit(1 / (1 << UNIT_BITS)))
+            whole = whole.withColumn("q", F.lit(1 / (1 << UNIT_BITS)))
         else:
-            whole = with_rest.withColumn("low", _low(F.col("g"), k - 1)).join(p[k - 1].select("lang", F.col("g").alias("low"), F.col("p").alias("q")), ["lang", "low"])
-        p[k] = materialize(whole.select("lang", "g", "n", (F.col("p") + F.col("rest") * F.col("q")).alias("p")), f"lm-p{k}")
-    seen = p[ORDER].groupBy("lang").agg((F.sum(-F.col("n") * F.ln("p")) / F.sum("n")).alias("usual"))
-    return Model(p, rest, materialize(seen.join(rest[1].select("lang", (F.col("rest") / (1 << UNIT_BITS)).alias("least")), "lang"), "lm-usual"))
+            whole = whole.withColumn("low", _low(F.col("g"), k - 1)).join(tables[k - 1].select("lang", F.col("g").alias("low"), F.col("p").alias("q")), ["lang", "low"])
+        tables[k] = materialize(whole.select("lang", "g", "x", "n", (F.col("p") + F.col("rest") * F.col("q")).alias("p"), "rest"), f"lm-{k}")
+    seen = tables[ORDER].groupBy("lang").agg((F.sum(-F.col("n") * F.ln("p")) / F.sum("n")).alias("usual"))
+    least = tables[1].groupBy("lang").agg((F.max("rest") / (1 << UNIT_BITS)).alias("least"))
+    return Model(tables, materialize(seen.join(least, "lang"), "lm-usual"))
 
 
 def losses(counts: DataFrame, model: Model) -> DataFrame:
     """(lang, g, n, loss): minus the log probability of every n-gram (lang, g, n), backed off as far as it must be."""
-    found = counts.join(model.usual.select("lang", "least"), "lang")
+    found = counts.join(F.broadcast(model.usual.select("lang", "least")), "lang")  # a row a language
     for k in range(1, ORDER + 1):
         found = found.withColumn(f"g{k}", _low(F.col("g"), k)).withColumn(f"x{k}", _context(F.col(f"g{k}")))
     value = F.col("least")
     for k in range(1, ORDER + 1):
-        found = found.join(model.p[k].select("lang", F.col("g").alias(f"g{k}"), F.col("p").alias(f"p{k}")), ["lang", f"g{k}"], "left")
+        found = found.join(model.tables[k].select("lang", F.col("g").alias(f"g{k}"), F.col("p").alias(f"p{k}")), ["lang", f"g{k}"], "left")
         if k > 1:
-            found = found.join(model.rest[k].select("lang", F.col("x").alias(f"x{k}"), F.col("rest").alias(f"r{k}")), ["lang", f"x{k}"], "left")
-            value = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"r{k}"), F.lit(1.0)) * value)
-        else:
-            value = F.coalesce(F.col("p1"), value)
+            rest = model.tables[k].groupBy("lang", F.col("x").alias(f"x{k}")).agg(F.max("rest").alias(f"r{k}"))  # one value a context
+            found = found.join(rest, ["lang", f"x{k}"], "left")
+            value = F.coalesce(F.col(f"r{k}"), F.lit(1.0)) * value
+        value = F.coalesce(F.col(f"p{k}"), value)
     return found.select("lang", "g", "n", (-F.ln(value)).alias("loss"))
 
 
@@ -201,8 +197,7 @@ def perplexity(docs: DataFrame, model: Model, id_col: str = "doc_id", lang_col:
     lang = F.col(lang_col).cast("string")
     used = F.when(lang.isin(known), lang).otherwise(ALL) if known else F.lit(ALL)
     src = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep_{c}") for c in keep], used.alias("_lang"), F.col(text_col).alias("_text"))
-    counts = materialize(count_grams(src.where(F.length("_text") > 0)), "lm-grams")
-    scored = materialize(losses(_with_all(counts), model), "lm-losses")
+    scored = materialize(losses(count_grams(src.where(F.length("_text") > 0)), model), "lm-losses")
     head, cut = _head(scored)
     shared = docs.sparkSession.sparkContext.broadcast(head)  # HEAD rows at most
     none = np.zeros(0, np.int64), np.zeros(0)
@@ -242,7 +237,7 @@ def perplexity(docs: DataFrame, model: Model, id_col: str = "doc_id", lang_col:
     sums = both.where("_c > 0").join(rest, ["_of", "_at"]).groupBy("_row").agg(part(0).alias("_more"), part(1).alias("_more_all"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     loss = F.least(F.col("_own") + zero("_more"), F.col("_every") + zero("_more_all"))
-    out = rows.drop("_g", "_a", "_b").join(sums, "_row", "left").join(model.usual.select(F.col("lang").alias("_lang"), "usual"), "_lang", "left")
+    out = rows.drop("_g", "_a", "_b").join(sums, "_row", "left").join(F.broadcast(model.usual.select(F.col("lang").alias("_lang"), "usual")), "_lang", "left")  # a row a language
     value = F.when(F.col("_n") > 0, F.exp((loss + PRIOR * F.col("usual")) / (F.col("_n") + PRIOR)))
     return out.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{c}").alias(c) for c in keep], F.col("_lang").alias("model_lang"), value.alias("perplexity"))
 
@@ -270,7 +265,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_co
     model = train(docs, labels, id_col, lang_col, text_col, label_id)
     scored = materialize(perplexity(docs, model, id_col, lang_col, text_col, keep), "lm-scores")
     bounds = limits(scored, labels, id_col=id_col, label_id=label_id)
-    judged = scored.join(bounds, "model_lang", "left")
+    judged = scored.join(F.broadcast(bounds), "model_lang", "left")  # a row a language
     fine = F.coalesce(F.col("perplexity") <= F.col("max_perplexity"), F.lit(model.usual.isEmpty()))
     return judged.select(*scored.columns, "max_perplexity", fine.alias("kept"))
 
