@@ -106,8 +106,10 @@ TABLES, TABLE_BITS, FP_SHINGLE, CHECK_SHINGLE, SIMILARITY = 6, 32, 2, 5, 0.8
 FAR_BITS = 48
 #: Most shingles whose frequency is known to the order of prefixes.
 FREQUENT = 200_000
-#: Texts that one copy of a pivot's shingles is compared with.
-SHARE = 256
+#: Pairs that one copy of a text's shingles serves, and parts that a text's pairs are dealt into before.
+SHARE, SALTS = 256, 8
+#: Rounds of stars at most, and pairs a row that are few enough to compare them all.
+ROUNDS, FEW = 2, 4
 _MIX, _FINISH = np.uint64(0xBF58476D1CE4E5B9), (np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _words = Memo(lambda w: xxhash.xxh64_digest(w, 42))
 
@@ -221,17 +223,43 @@ def _shared(keyed: DataFrame, reps: DataFrame) -> DataFrame:
     return several.select("token", "no", F.shiftright("_ni", 32).alias("n"), F.col("_ni").bitwiseAND(F.lit(0xFFFFFFFF)).alias("i"), F.col("_low").alias("pivot"))
 
 
-def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+def _rooted(shared: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """(token, no, n, i, root): the rows of ``shared`` whose shingle lies in texts of several roots."""
+    rows = shared.hint("merge").join(roots.select(F.col("node").alias("no"), "root"), "no", "left").select("token", "no", "n", "i", F.coalesce("root", "no").alias("root"))
+    of = Window.partitionBy("token")
+    return materialize(rows.withColumn("_low", F.min("root").over(of)).withColumn("_high", F.max("root").over(of)).where("_low < _high").drop("_low", "_high"), f"neardup-rooted{name}")
+
+
+def _pairs_left(rooted: DataFrame) -> tuple[int, int]:
+    """Rows, and pairs of rows of one shingle and different roots."""
+    by_root = rooted.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    rows, pairs = by_root.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+    return rows or 0, int(pairs or 0)
+
+
+def _starred(rooted: DataFrame) -> DataFrame:
+    """(x, y): for each text the most central text of another root that it shares shingles with.
+
+    Central is the text whose prefix shingles are in most texts on average: among near copies
+    the one that the others were made from, as each edit puts shingles of its own first. A
+    shingle's most central text is the pivot of all that have it; of several pivots the one
+    with most shingles in common counts.
+    """
+    of = Window.partitionBy("token")
+    centre = rooted.withColumn("_c", F.count("*").over(of)).groupBy("no").agg((F.sum("_c") / F.max("n")).alias("central"))
+    pick = F.max(F.struct("central", "no", "n", "root")).over(of)
+    met = rooted.hint("merge").join(centre, "no").withColumn("_p", pick).where("root != _p.root AND 5 * least(n, _p.n) >= 4 * greatest(n, _p.n)")
+    often = met.groupBy(F.col("no").alias("x"), F.col("_p.no").alias("y")).agg(F.count("*").alias("count"))
+    return often.groupBy("x").agg(F.max(F.struct("count", "y")).alias("_n")).select("x", F.col("_n.y").alias("y"))
+
+
+def _apart(rooted: DataFrame) -> DataFrame:
     """(x, y), x < y: all pairs of different roots that have a prefix shingle in common and whose sizes allow the similarity.
 
     A similarity of 0.8 is an overlap of 4/9 of the two sizes. Behind the first shingle in
     common, the one of least place in both, the sets must hold that many; and shingles in
     common lie in both prefixes or behind that prefix which ends first.
     """
-    own = F.coalesce("root", "no")
-    rooted = shared.hint("merge").join(roots.select(F.col("node").alias("no"), "root"), "no", "left").select("token", "no", "n", "i", own.alias("root"))
-    of = Window.partitionBy("token")
-    rooted = materialize(rooted.withColumn("_low", F.min("root").over(of)).withColumn("_high", F.max("root").over(of)).where("_low < _high").drop("_low", "_high"), "neardup-rooted")
     x, y = (rooted.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("no", "n", "i", "root")]) for s in "xy")
     alike = F.expr("no_x < no_y AND root_x != root_y AND 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y)")
     met = x.hint("merge").join(y, "token").where(alike).groupBy(F.col("no_x").alias("x"), F.col("no_y").alias("y"))
@@ -244,8 +272,8 @@ def _verified(pairs: DataFrame, keyed: DataFrame, reps: DataFrame, name: str) ->
     """Links (a, b) of the pairs (x, y) whose shingle sets are similar enough.
 
     Only texts of a pair are read into sets (the map of ``spotted`` keeps nearly all others
-    back, the join is exact). Sets are shuffled once to their pairs; the set of a y with
-    many pairs goes along in a copy for each ``SHARE`` of them, so that no task takes all.
+    back, the joins are exact). The set of a text with many pairs is sent to them in a copy
+    for each ``SHARE``, so that no task takes all.
     """
 
     def hashed(batches: Iterator[list[list]]) -> Iterator[list[list]]:
@@ -259,17 +287,25 @@ def _verified(pairs: DataFrame, keyed: DataFrame, reps: DataFrame, name: str) ->
             fine = [i for i in range(len(xs)) if jaccard(us[i], vs[i]) >= SIMILARITY]
             yield [[xs[i] for i in fine], [ys[i] for i in fine]]
 
-    of = lambda c: reps.select(F.col("no").alias(c), F.col("key").alias(f"k{c}"))
-    pairs = materialize(pairs.hint("merge").join(of("x"), "x").hint("merge").join(of("y"), "y"), f"neardup-pairs{name}")
+    def named(c: str) -> DataFrame:
+        """c, its key and the copies that its pairs need, for each of ``SALTS`` parts of them."""
+        ends = pairs.groupBy(c).agg(F.floor(F.count("*") / SHARE).alias(f"n{c}")).hint("merge").join(reps.select(F.col("no").alias(c), F.col("key").alias(f"k{c}")), c)
+        return ends.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+    salt = F.pmod(F.xxhash64("x", "y"), F.lit(SALTS).cast("long"))
+    pairs = materialize(pairs, f"neardup-pairs{name}").withColumn("_salt", salt)
+    pairs = materialize(pairs.hint("merge").join(named("x"), ["x", "_salt"]).hint("merge").join(named("y"), ["y", "_salt"]), f"neardup-named{name}")
     ends = pairs.select(F.col("kx").alias("end")).unionByName(pairs.select(F.col("ky").alias("end")))
     near = spotted(keyed, "key", ends).where("_spotted").select("key", "_text")
     sets = map_rows(near, hashed, "key string, hashes binary").dropDuplicates(["key"])
-    load = pairs.groupBy("ky").agg((F.count("*") / SHARE).cast("int").alias("parts"))
-    left = pairs.hint("merge").join(sets.select(F.col("key").alias("kx"), F.col("hashes").alias("_u")), "kx").hint("merge").join(load, "ky")
-    left = left.select("ky", F.pmod(F.xxhash64("x"), F.col("parts") + 1).alias("part"), "x", "y", "_u")
-    right = sets.select(F.col("key").alias("ky"), F.col("hashes").alias("_v")).hint("merge").join(load, "ky")
-    right = right.select("ky", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long"))).alias("part"), "_v")
-    both = left.hint("merge").join(right, ["ky", "part"]).select("x", "y", "_u", "_v")
+
+    def copied(c: str, hashes: str) -> DataFrame:
+        parts = pairs.groupBy(f"k{c}").agg(F.max(f"n{c}").alias("_n"))
+        some = sets.select(F.col("key").alias(f"k{c}"), F.col("hashes").alias(hashes)).hint("merge").join(parts, f"k{c}")
+        return some.select(f"k{c}", F.explode(F.sequence(F.lit(0).cast("long"), "_n")).alias(f"_p{c}"), hashes)
+
+    dealt = pairs.select("x", "y", "kx", "ky", F.pmod(F.xxhash64("y"), F.col("nx") + 1).alias("_px"), F.pmod(F.xxhash64("x"), F.col("ny") + 1).alias("_py"))
+    both = dealt.hint("merge").join(copied("x", "_u"), ["kx", "_px"]).hint("merge").join(copied("y", "_v"), ["ky", "_py"]).select("x", "y", "_u", "_v")
     return materialize(map_rows(both, run, "a long, b long"), f"neardup-links{name}")
 
 
@@ -280,8 +316,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     of 0.8 or more, all of them. A first pass checks each text with one pivot found by ball
     hashing (radius 2, six tables of 32 bits from two-word shingles: one 64-bit fingerprint of
     five-word shingles would differ in about ten bits at that similarity, out of reach of any
-    small ball) and with one found by prefix shingles. A second pass checks every pair still
-    in different groups that a prefix filter, which is exact, leaves: no pair is lost.
+    small ball) and with one found by prefix shingles. The last pass checks every pair still
+    in different groups that a prefix filter, which is exact, leaves: no pair is lost. Before
+    it, while a shingle's texts make many pairs (a large group of near copies in several
+    pieces), rounds of stars with other pivots join the pieces.
     """
 
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
@@ -299,9 +337,18 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     often = shared.where("no != pivot").groupBy(F.col("no").alias("x"), F.col("pivot").alias("y")).agg(F.count("*").alias("count"), F.min("n").alias("n")).where("20 * count >= n")
     most = often.groupBy("x").agg(F.max(F.struct("count", "y")).alias("_n")).select("x", F.col("_n.y").alias("y"))
     links = _verified(near.unionByName(most).distinct(), keyed, reps, "1")
-    roots = materialize(components(links, "neardup-cc1"), "neardup-roots1")
-    more = _verified(_apart(shared, roots), keyed, reps, "2")
-    grouped = materialize(components(links.unionByName(more), "neardup-cc2"), "neardup-roots2")
+    rooted = _rooted(shared, components(links, "neardup-cc1"), "1")
+    for i in range(2, ROUNDS + 2):
+        rows, left = _pairs_left(rooted)
+        if left <= FEW * rows:
+            break
+        found = _verified(_starred(rooted), keyed, reps, f"-star{i}")
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        rooted = _rooted(rooted.drop("root"), components(links, f"neardup-cc{i}"), str(i))  # shingles only drop out
+    more = _verified(_apart(rooted), keyed, reps, "2")
+    grouped = materialize(components(links.unionByName(more), "neardup-cc"), "neardup-roots")
     names = reps.select("no", "key")
     found = grouped.hint("merge").join(names.withColumnRenamed("no", "node"), "node").select("key", F.col("root").alias("no"))
     return found.hint("merge").join(names.withColumnRenamed("key", "root"), "no").select("key", "root")

@@ -201,8 +201,10 @@ def test_near_duplicates(spark, nothing):
     assert [r.doc_id for r in simhash.drop_near_duplicates(again).collect()] == [9]
 
 
-def test_near_duplicates_beyond_the_pivots(spark, monkeypatch):
-    """Pivots that miss lose no pair: here ball hashing yields none at all."""
+@pytest.mark.parametrize("few", [0, 4, 1000])
+def test_near_duplicates_beyond_the_pivots(spark, monkeypatch, few):
+    """Pivots that miss lose no pair: here ball hashing yields none at all, with many or few rounds of stars."""
+    monkeypatch.setattr(simhash, "FEW", few)
     monkeypatch.setattr(simhash, "_candidates", lambda reps: reps.selectExpr("no x", "no y", "0 bits").where("false"))
     rnd = random.Random(6)
     texts = []
@@ -577,3 +579,93 @@ def test_pipeline(spark, small, duck):
     tok = word_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     total = sum(len(tok.encode(t, add_special_tokens=False).ids) + 1 for t in rows.values())
     assert sum(r.length for r in pipeline.run(spark, small).collect()) == total
+
+
+# very long and hostile input
+
+
+@pytest.mark.parametrize("page", ['<a "' * 100_000, "<b>" * 20_000 + "</i>" * 20_000, "<b>" * 20_000 + "<div></div>" * 20_000, '<a ="' * 50_000 + ">", "<!" * 100_000, "<p><div>" + "<b>" * 20_000 + "<h1></h1>" * 20_000, "<p>" * 20_000])
+def test_html_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text(page)
+    html_extract.page_hashes(page)
+    assert time.process_time() - began < 20
+
+
+def test_html_quotes():
+    assert html_extract.main_text("<article><p title=\"a > b\">one</p><p title='x' id=don't>two</p><a href=\"u>three</a>") == "one\n\ntwo\n\nthree"
+    assert html_extract.main_text("1 < 2 and <article><p>3 < 4</p>") == "3 < 4"
+
+
+def test_toxicity_score_is_a_noisy_or(spark):
+    import re
+
+    model = {"": -3.0, "=bad": 2.0, "bad": 0.7, "ugl": 1.5, "=fine": -0.5}
+    texts = ["Bad bad ugly. fine fine", "ugliest!\nbadge? 12bad34", "nothing here. at all", "bad" + "1" * 200_000 + "x. ok"]
+
+    def weight(token):
+        word = re.sub(r"^[\W\d_]+", "", token.lower())
+        word = word[::-1]
+        word = re.sub(r"^[\W\d_]+", "", word)[::-1]
+        return sum(model.get(f, 0) for f in ["=" + word, *(word[:n] for n in range(3, 9) if n <= len(word))]) if word else 0
+
+    for r in toxicity.score(docs_of(spark, texts), model).collect():
+        miss = 1.0
+        for s in re.split(r"[.!?\n]", texts[r.doc_id]):
+            if s.split():
+                miss *= 1 - 1 / (1 + np.exp(-(model[""] + sum(weight(t) for t in set(s.split())))))
+        assert r.score == pytest.approx(1 - miss, rel=1e-9)
+
+
+def test_toxicity_of_long_tokens_and_clashing_labels(spark):
+    import time
+
+    began = time.process_time()
+    assert toxicity.word_features("7a" + "1" * 300_000 + "b9")[0] == "=a" + "1" * 300_000 + "b"
+    assert toxicity.word_features("1" * 300_000) == []
+    assert time.process_time() - began < 5
+    texts = ["so vile indeed"] * 30 + ["all is well here"] * 60
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(90)] + [(i, 0) for i in range(30)], "doc_id long, toxic int")
+    assert toxicity.score(docs_of(spark, texts), toxicity.fit(docs_of(spark, texts), labels)).where("doc_id < 30 AND score < 0.5").count() == 0
+
+
+def test_chat_with_one_hot_turn(spark):
+    """Many lines of one turn number make several chunks and the result of one long pass."""
+    rnd = random.Random(12)
+    rows = [(1, t, rnd.choice(["user", "assistant"]), rnd.choice(["User: ", "Bot: ", ""]) + rnd.choice(["why is it so?", "because it is.", "x" * 90])) for t in (0, 1, 2) for _ in range(40 if t == 1 else 3)]
+    rows += [(2, 5, "user", "alone?")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = chat.fit(df)
+    seen = chat._lines(df, "conv_id", "turn", "text").where("_conv = 1").select("_turn", "_sym", "_text").collect()
+    seen = sorted(map(tuple, seen))
+    path = chat.viterbi(np.array([s for _, s, _ in seen]), model["start"], model["step"], model["emit"])
+    want = Counter((t, x) for (t, _, _), x in zip(seen, (model["roles"][i] for i in path)))
+    for chunk in (4, 7, 1024):
+        got = chat.format_chats(df, model, chunk=chunk).collect()
+        assert Counter((r.turn, r.role) for r in got if r.conv_id == 1) == want and len(got) == len(rows)
+
+
+def test_near_duplicates_tie(spark):
+    """Of rows that repeat id and text the one whose columns come first as JSON stays."""
+    rows = [(7, "a b c", s) for s in ("z", "b", "y")] + [(8, "a b c", "a"), (9, "d e f g", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(map(tuple, simhash.drop_near_duplicates(df).collect())) == [(7, "a b c", "b"), (9, "d e f g", "q")]
+
+
+def test_nearest_recall_over_blocks(spark, small):
+    df = spark.read.parquet(f"{small}/embeddings.parquet")
+    x = {r.vec_id: np.array(r.embedding, float) for r in df.collect()}
+    ids = np.array(sorted(x))
+    m = np.stack([x[i] for i in ids])
+    for rows in (60, 8192):
+        got = defaultdict(set)
+        for r in ann.nearest(df, df.where("vec_id % 20 = 0"), block_rows=rows, query_rows=10).collect():
+            got[r.query_id].add(r.vec_id)
+        hits = 0
+        for q in got:
+            s = (m * x[q]).sum(1)
+            s[ids == q] = -np.inf
+            hits += len(got[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+        assert len(got) == len(ids[ids % 20 == 0]) and hits / (20 * len(got)) >= 0.95
