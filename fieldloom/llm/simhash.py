@@ -108,8 +108,10 @@ FAR_BITS = 48
 FREQUENT = 200_000
 #: Pairs that one copy of a text's shingles serves, and parts that a text's pairs are dealt into before.
 SHARE, SALTS = 256, 8
-#: Rounds of stars at most, and pairs a row that are few enough to compare them all.
-ROUNDS, FEW = 2, 4
+#: Rounds of stars at most, and pairs a row that are few enough to do without.
+ROUNDS, FEW = 1, 4
+#: Texts of a shingle beyond which not all of its pairs are made.
+LARGE = 64
 _MIX, _FINISH = np.uint64(0xBF58476D1CE4E5B9), (np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _words = Memo(lambda w: xxhash.xxh64_digest(w, 42))
 
@@ -259,15 +261,27 @@ def _apart(rooted: DataFrame) -> DataFrame:
     A similarity of 0.8 is an overlap of 4/9 of the two sizes. Behind the first shingle in
     common, the one of least place in both, the sets must hold that many; and shingles in
     common lie in both prefixes or behind that prefix which ends first.
+
+    Of a shingle of more than ``LARGE`` texts only pairs are made whose first shingle in
+    common it can be, by the same bound on what lies behind it; how many such shingles two
+    texts share is then known as no more than either has, which leaves the bounds true.
     """
-    x, y = (rooted.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("no", "n", "i", "root")]) for s in "xy")
+    sized = rooted.withColumn("large", (F.count("*").over(Window.partitionBy("token")) > LARGE).cast("int"))
+    sized = sized.hint("merge").join(rooted_large(sized), "no")
+    x, y = (sized.select("token", "large", *[F.col(c).alias(f"{c}_{s}") for c in ("no", "n", "i", "root", "l")]) for s in "xy")
     alike = F.expr("no_x < no_y AND root_x != root_y AND 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y)")
-    met = x.hint("merge").join(y, "token").where(alike).groupBy(F.col("no_x").alias("x"), F.col("no_y").alias("y"))
-    firsts = met.agg(F.count("*").alias("c"), *[F.min(c).alias(c) for c in ("n_x", "n_y", "i_x", "i_y")])
-    most = "c + greatest((4 * n_x + 4) DIV 5, (4 * n_y + 4) DIV 5) - 1"
+    first = F.expr("9 * least(n_x - i_x, n_y - i_y) >= 4 * (n_x + n_y)")
+    met = x.hint("merge").join(y.drop("large"), "token").where(alike & ((F.col("large") == 0) | first)).groupBy(F.col("no_x").alias("x"), F.col("no_y").alias("y"))
+    firsts = met.agg(F.sum(1 - F.col("large")).alias("c"), *[F.min(c).alias(c) for c in ("n_x", "n_y", "i_x", "i_y", "l_x", "l_y")])
+    most = "c + least(l_x, l_y) + greatest((4 * n_x + 4) DIV 5, (4 * n_y + 4) DIV 5) - 1"
     return firsts.where(f"9 * least(n_x - i_x, n_y - i_y, {most}) >= 4 * (n_x + n_y)").select("x", "y")
 
 
+def rooted_large(sized: DataFrame) -> DataFrame:
+    """(no, l): how many of a text's shingles are of many texts."""
+    return sized.groupBy("no").agg(F.sum("large").alias("l"))
+
+
 def _verified(pairs: DataFrame, keyed: DataFrame, reps: DataFrame, name: str) -> DataFrame:
     """Links (a, b) of the pairs (x, y) whose shingle sets are similar enough.
 

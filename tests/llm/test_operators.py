@@ -201,10 +201,11 @@ def test_near_duplicates(spark, nothing):
     assert [r.doc_id for r in simhash.drop_near_duplicates(again).collect()] == [9]
 
 
-@pytest.mark.parametrize("few", [0, 4, 1000])
-def test_near_duplicates_beyond_the_pivots(spark, monkeypatch, few):
+@pytest.mark.parametrize(("few", "large"), [(0, 0), (1000, 0), (1000, 3), (4, 1000)])
+def test_near_duplicates_beyond_the_pivots(spark, monkeypatch, few, large):
     """Pivots that miss lose no pair: here ball hashing yields none at all, with many or few rounds of stars."""
     monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "LARGE", large)
     monkeypatch.setattr(simhash, "_candidates", lambda reps: reps.selectExpr("no x", "no y", "0 bits").where("false"))
     rnd = random.Random(6)
     texts = []
