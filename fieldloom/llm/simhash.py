@@ -195,8 +195,10 @@ def _frequent(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield [shingle_set(t).view(np.int64).tolist()]
 
     counts = map_rows(keyed.where("key < '2'").select("_text"), run, "token long").groupBy("token").count().where("count > 2")
-    top = sorted((r[0] & (2**64 - 1), r[1]) for r in counts.orderBy(F.desc("count"), "token").limit(FREQUENT).collect())
-    return np.array([h for h, _ in top], np.uint64), np.array([n for _, n in top], np.int64)
+    top = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
+    tokens, n = top["token"].to_numpy().astype(np.int64).view(np.uint64), top["count"].to_numpy().astype(np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
 
 
 def _once(keys: list[str], seen: set[str]) -> list[int]:
