@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lm_quality, toxicity
+from . import bpe, chat, lm_quality, merkle, toxicity
 from .ann import nearest
 from .common import table
 from .html_extract import extract_text
@@ -76,6 +76,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row folds its own path with its leaf, altered where 5 divides the id's checksum."""
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    led = merkle.manifest(table(spark, sf_dir, "documents"))
+    folded = merkle.fold(F.when(tampered, F.col("altered")).otherwise(F.col("leaf")), F.col("path"))
+    out = led.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 OP5_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -122,5 +131,47 @@ SELECT page_id, host, path,
 FROM hp
 """
 
-QUERIES = {"op1_packing": op1_packing, "op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_nearest_vectors": op6_nearest_vectors, "op7_chat_format": op7_chat_format, "op9_html_text": op9_html_text, "op5_quality_rules": op5_quality_rules, "op8_simhash_dedup": op8_simhash_dedup, "op10_url_filter": op10_url_filter}
-ORACLE_SQL = {"op5_quality_rules": OP5_SQL, "op10_url_filter": OP10_SQL}
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a short ASCII text in SQL: a byte enters with its first bit step."""
+    bits = f"list_concat([4294967295::UBIGINT], flatten(list_transform(range(1, length({text}) + 1), lambda i: list_concat([ascii(substr({text}, i, 1))::UBIGINT], [0::UBIGINT for k in range(7)]))))"
+    return f"xor(list_reduce({bits}, lambda c, b: xor(xor(c, b) >> 1, CASE WHEN (xor(c, b) & 1) = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)), 4294967295::UBIGINT)"
+
+
+def _levels_sql(name: str, first: str, levels: int) -> str:
+    """CTEs name0, name1, ...: nodes (tree, idx, h, n) of each level with the hashes l and r of their run, and name_root (tree, root)."""
+    out = [f"{name}0 AS (SELECT tree, idx, h, count(*) OVER (PARTITION BY tree) AS n FROM ({first}))"]
+    run = "PARTITION BY tree, idx // 16 ORDER BY idx ROWS BETWEEN"
+    for i in range(levels):
+        out.append(f"""{name}s{i} AS (SELECT *, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{i} WHERE n > 1)""")
+        out.append(f"{name}{i + 1} AS (SELECT tree, idx // 16 AS idx, sha256(l || h || r) AS h, (n + 15) // 16 AS n FROM {name}s{i} WHERE idx % 16 = 0)")
+    out.append(f"{name}_root AS (" + " UNION ALL ".join(f"SELECT tree, h AS root FROM {name}{i} WHERE n = 1" for i in range(levels + 1)) + ")")
+    return ", ".join(out)
+
+
+def _joins_sql(name: str, tree: str, idx: str, levels: int) -> str:
+    return " ".join(f"LEFT JOIN {name}s{i} {name}j{i} ON {name}j{i}.tree = {tree} AND {name}j{i}.idx = {idx} // {16**i}" for i in range(levels))
+
+
+def op11_sql(levels: int = 5) -> str:
+    """The Merkle query, level by level; ``levels`` bounds the trees (16 to that power rows a source)."""
+    part = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([part("doc_id"), part("source"), part("lang"), part("n_chars"), part(text)]) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [f"{n}j{i}" for n in "ab" for i in range(levels)]
+    proof = " || ".join(f"coalesce({s}.l || {s}.r, '')" for s in steps)
+    folded = "CASE WHEN hit THEN altered ELSE leaf END"
+    chain = [f"f0 AS (SELECT rows.*, suba.root AS subroot, {', '.join(f'{s}.l AS {s}l, {s}.r AS {s}r' for s in steps)}, sha256({proof}) AS proof_sha256, {folded} AS f FROM rows JOIN a_root suba USING (tree) {_joins_sql('a', 'rows.tree', 'rows.idx', levels)} {_joins_sql('b', '0', 'rows.tree', levels)})"]
+    for i, s in enumerate(steps):
+        chain.append(f"f{i + 1} AS (SELECT * REPLACE (CASE WHEN {s}l IS NULL THEN f ELSE sha256({s}l || f || {s}r) END AS f) FROM f{i})")
+    return f"""
+WITH leaves AS (
+  SELECT doc_id, source, {leaf("text")} AS leaf, {leaf(lower)} AS altered, coalesce({_crc32_sql("doc_id::VARCHAR")} % 5 = 0, false) AS hit FROM documents
+), rows AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM leaves
+), {_levels_sql("a", "SELECT tree, idx, leaf AS h FROM rows", levels)}, {_levels_sql("b", "SELECT 0 AS tree, tree AS idx, root AS h FROM a_root", levels)}, {", ".join(chain)}
+SELECT doc_id, leaf, subroot, b_root.root, proof_sha256, f AS folded_root, f = b_root.root AS verified FROM f{len(steps)}, b_root
+"""
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_nearest_vectors": op6_nearest_vectors, "op7_chat_format": op7_chat_format, "op9_html_text": op9_html_text, "op5_quality_rules": op5_quality_rules, "op8_simhash_dedup": op8_simhash_dedup, "op10_url_filter": op10_url_filter, "op11_merkle": op11_merkle}
+ORACLE_SQL = {"op5_quality_rules": OP5_SQL, "op10_url_filter": OP10_SQL, "op11_merkle": op11_sql()}
