@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lm_quality, merkle, toxicity
+from . import attention_lm, bpe, chat, lm_quality, merkle, toxicity, whitening
 from .ann import nearest
 from .common import table
 from .html_extract import extract_text
@@ -85,6 +85,22 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors, 8)
+    error = whitening.identity_error(vectors, model) if model else 0.0
+    out = whitening.whiten(vectors, model).withColumn("identity_error", F.lit(error))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model learns from nine tenths of the documents and scores all of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    docs = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return attention_lm.score(docs, docs.where("NOT held_out"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep=("held_out",))
+
+
 OP5_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -173,5 +189,5 @@ SELECT doc_id, leaf, subroot, b_root.root, proof_sha256, f AS folded_root, f = b
 """
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_nearest_vectors": op6_nearest_vectors, "op7_chat_format": op7_chat_format, "op9_html_text": op9_html_text, "op5_quality_rules": op5_quality_rules, "op8_simhash_dedup": op8_simhash_dedup, "op10_url_filter": op10_url_filter, "op11_merkle": op11_merkle}
+QUERIES = {"op1_packing": op1_packing, "op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_nearest_vectors": op6_nearest_vectors, "op7_chat_format": op7_chat_format, "op9_html_text": op9_html_text, "op5_quality_rules": op5_quality_rules, "op8_simhash_dedup": op8_simhash_dedup, "op10_url_filter": op10_url_filter, "op11_merkle": op11_merkle, "op12_whitening": op12_whitening, "op13_lm_score": op13_lm_score}
 ORACLE_SQL = {"op5_quality_rules": OP5_SQL, "op10_url_filter": OP10_SQL, "op11_merkle": op11_sql()}
