@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MapConfig
 from ..sources.schema import SEGMENT, names
@@ -112,3 +113,10 @@ def residual_points(clustered: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame
         return p.loc[left, [*CLUSTER, "beam", "x", "y"]]
 
     return clustered.groupBy(*CLUSTER).applyInPandas(run, "robot_id string, scan_id long, cluster_id int, beam int, x double, y double")
+
+
+def chain_edges(segments: DataFrame) -> DataFrame:
+    """(robot_id, src, dst): long segments that follow one another directly in their cluster; a short one between breaks the chain."""
+    order = Window.partitionBy(*CLUSTER).orderBy("line_id")
+    near = segments.select(*CLUSTER, F.lag("line_id").over(order).alias("src"), F.col("line_id").alias("dst"), F.lag("is_short").over(order).alias("_was"), "is_short")
+    return near.where("NOT _was AND NOT is_short").select("robot_id", "src", "dst")

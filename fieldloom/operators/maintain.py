@@ -1,4 +1,4 @@
-"""Map maintenance as table operations: T-junctions, splits, corners and gaps applied to the line table."""
+"""Map maintenance as table operations: corners, chains of gaps, T-junctions and doors applied to the line table."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, MapConfig
 from ..functions import geometry as g
 from ..sources.staging import materialize
-from .segments import _ends, corner_candidates, gap_candidates, pairs_near, short_evict
+from .graph import components
+from .segments import _ends, corner_candidates, door_candidates, gap_candidates, pairs_near, short_evict
 
 
 def t_junctions(segments: DataFrame, edges: DataFrame, cfg: MapConfig = DEFAULT, margin: float = 0.5) -> DataFrame:
@@ -22,6 +23,80 @@ def t_junctions(segments: DataFrame, edges: DataFrame, cfg: MapConfig = DEFAULT,
     return inside.join(src.intersect(dst), "q", "left_anti").select("room_id", "p", "q", "x", "y")
 
 
+def t_joins(segments: DataFrame, edges: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
+    """(p, x, y, q, q_end): the T-junctions in which q's end nearest to the crossing is free, nearer than p's ends, and q lies on p's side.
+
+    End 1 is free without an edge in, end 2 without one out. Of a line end's junctions the
+    nearest counts (ties: the smaller p).
+    """
+    own = lambda c: segments.select(F.col("line_id").alias(c), F.struct("x1", "y1", "x2", "y2", "nx", "ny").alias(f"_{c}"))
+    found = t_junctions(segments, edges, cfg).join(own("p"), "p").join(own("q"), "q")
+    away = lambda s, i: g.distance("x", "y", f"_{s}.x{i}", f"_{s}.y{i}")
+    found = found.withColumn("q_end", F.when(away("q", 1) <= away("q", 2), 1).otherwise(2)).withColumn("_d", F.least(away("q", 1), away("q", 2)))
+    far = lambda c: F.when(F.col("q_end") == 1, F.col(f"_q.{c}2")).otherwise(F.col(f"_q.{c}1"))
+    found = found.where((F.col("_d") <= F.least(away("p", 1), away("p", 2))) & (g.signed_distance(far("x"), far("y"), "x", "y", "_p.nx", "_p.ny") > 0))
+    held = edges.select(F.col("dst").alias("q"), F.lit(1).alias("q_end")).unionByName(edges.select(F.col("src").alias("q"), F.lit(2).alias("q_end"))).distinct()
+    free = found.join(held, ["q", "q_end"], "left_anti")
+    return free.groupBy("q", "q_end").agg(F.min(F.struct("_d", "p", "x", "y")).alias("m")).select("m.p", "m.x", "m.y", "q", "q_end")
+
+
+def cut_lines(segments: DataFrame, joins: DataFrame, doors: DataFrame, least: float = 0.5) -> DataFrame:
+    """(line_id, part, x1, y1, x2, y2, into): all lines, each cut at its joins and doors at once.
+
+    Cuts are taken in order along the line; one nearer than ``least`` to the last one taken
+    is the same cut. ``part`` counts from 0; ``into``: what ends the part, a corner or a
+    passage to the next (parallel), null for the last. A line's cuts are as many as walls
+    meet it, in one array.
+    """
+    s = segments.select("line_id", "x1", "y1", "x2", "y2", "dx", "dy", "r", "theta")
+    centre = segments.select(F.col("line_id").alias("q"), ((F.col("x1") + F.col("x2")) / 2).alias("_cx"), ((F.col("y1") + F.col("y2")) / 2).alias("_cy"))
+    px, py = g.project("_cx", "_cy", "r", "theta")
+    door = doors.select("p", "q").join(centre, "q").join(s.select(F.col("line_id").alias("p"), "r", "theta"), "p").select("p", px.alias("x"), py.alias("y"), F.lit("parallel").alias("kind"))
+    every = joins.select("p", "x", "y", F.lit("corner").alias("kind")).unionByName(door).join(s.select(F.col("line_id").alias("p"), "x1", "y1", "dx", "dy"), "p")
+    placed = every.select("p", F.struct(g.signed_distance("x", "y", "x1", "y1", "dx", "dy").alias("at"), "kind", "x", "y").alias("c"))
+    cuts = placed.groupBy(F.col("p").alias("line_id")).agg(F.sort_array(F.collect_list("c")).alias("cuts"))
+    taken = F.aggregate("cuts", F.slice("cuts", 1, 1), lambda kept, c: F.when(c["at"] - F.element_at(kept, -1)["at"] >= least, F.concat(kept, F.array(c))).otherwise(kept))
+    cut = s.join(cuts.withColumn("cuts", taken), "line_id", "left").withColumn("_n", F.coalesce(F.size("cuts"), F.lit(0)))
+    part = cut.select("*", F.explode(F.sequence(F.lit(0), "_n")).alias("part"))
+    before, after = F.get("cuts", F.col("part") - 1), F.get("cuts", F.col("part"))
+    ends = {f"{c}1": F.coalesce(before[c], F.col(f"{c}1")) for c in "xy"} | {f"{c}2": F.coalesce(after[c], F.col(f"{c}2")) for c in "xy"}
+    return part.select("line_id", "part", *[e.alias(c) for c, e in ends.items()], after["kind"].alias("into"))
+
+
+def apply_cuts(lines: DataFrame, edges: DataFrame, cfg: MapConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Lines and edges after joined ends have moved to their crossings and lines are cut at crossings and doors.
+
+    The first part keeps the number; part i has that plus i times the largest number and one.
+    Edges into a line stay with its first part, those out of it go to its last. A door makes
+    a parallel edge between its parts, a join a corner edge between q and the part on q's side.
+    """
+    joins = materialize(t_joins(lines, edges, cfg), "t-joins")
+    parts = materialize(cut_lines(lines, joins, door_candidates(lines, cfg)), "parts")
+    stride = F.lit((lines.agg(F.max("line_id")).first()[0] or 0) + 1)
+    number = F.col("line_id") + F.col("part") * stride
+    last = parts.groupBy("line_id").agg(F.max("part").alias("_last"))
+
+    moved = joins.groupBy(F.col("q").alias("line_id")).agg(*[F.max(F.when(F.col("q_end") == i, F.struct("x", "y"))).alias(f"_m{i}") for i in (1, 2)])
+    ends = parts.join(last, "line_id").join(moved, "line_id", "left")
+    ends = ends.select("line_id", "part", *[F.coalesce(F.when(F.col("part") == (0 if i == 1 else F.col("_last")), F.col(f"_m{i}.{c}")), F.col(f"{c}{i}")).alias(f"_{c}{i}") for i in (1, 2) for c in "xy"])
+    out = lines.join(ends, "line_id").withColumns({c: F.col(f"_{c}") for c in ("x1", "y1", "x2", "y2")})
+    out = refreshed(out.withColumn("line_id", number).select(*lines.columns))
+
+    kept = edges.join(last.select(F.col("line_id").alias("src"), "_last"), "src", "left").withColumn("src", F.col("src") + F.coalesce("_last", F.lit(0)) * stride).select("src", "dst", "type")
+    doors = parts.where("into = 'parallel'").select(number.alias("src"), (number + stride).alias("dst"), F.col("into").alias("type"))
+    # the part that starts or ends at the crossing and lies on q's side
+    q = lines.select(F.col("line_id").alias("q"), "nx", "ny").join(last.select(F.col("line_id").alias("q"), "_last"), "q")
+    p = parts.select(F.col("line_id").alias("p"), F.struct("part", "x1", "y1", "x2", "y2").alias("s"))
+    met = joins.join(p, "p").join(q, "q")
+    at = lambda i: g.distance("x", "y", f"s.x{i}", f"s.y{i}")
+    other = lambda c: F.when(at(1) < at(2), F.col(f"s.{c}2")).otherwise(F.col(f"s.{c}1"))
+    side = met.where(g.signed_distance(other("x"), other("y"), "x", "y", "nx", "ny") >= 0).groupBy("p", "q", "q_end", "_last").agg(F.min(F.struct(F.least(at(1), at(2)).alias("d"), "s.part")).alias("m"))
+    own, touched = F.col("q") + F.when(F.col("q_end") == 2, F.col("_last")).otherwise(0) * stride, F.col("p") + F.col("m.part") * stride
+    corner = side.select(F.when(F.col("q_end") == 2, own).otherwise(touched).alias("src"), F.when(F.col("q_end") == 2, touched).otherwise(own).alias("dst"), F.lit("corner").alias("type"))
+    every = kept.unionByName(doors).unionByName(corner).groupBy("src", "dst").agg(F.min("type").alias("type"))
+    return materialize(out, "lines-cut"), materialize(every, "edges-cut")
+
+
 def split_lines(segments: DataFrame, junctions: DataFrame) -> DataFrame:
     """Lines (line_id, part, x1, y1, x2, y2): a line with junctions is cut at the one nearest its first end, into part 1 and 2; others stay whole as part 0."""
     s = segments.select("line_id", "x1", "y1", "x2", "y2")
@@ -56,15 +131,24 @@ def apply_corners(segments: DataFrame, edges: DataFrame | None = None, cfg: MapC
 
 
 def close_gaps(segments: DataFrame, edges: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
-    """(line_id, absorbed, x1, y1, x2, y2, weight): collinear pairs joined over their gap; the smaller number survives."""
-    joined = mutual_best(gap_candidates(segments, edges, cfg))
-    a = segments.select(F.col("line_id").alias("p"), F.col("x1").alias("ax"), F.col("y1").alias("ay"), F.col("weight").alias("wa"))
-    b = segments.select(F.col("line_id").alias("q"), F.col("x2").alias("bx"), F.col("y2").alias("by"), F.col("weight").alias("wb"))
-    both = joined.join(a, "p").join(b, "q")
-    return both.select(
-        F.least("p", "q").alias("line_id"), F.greatest("p", "q").alias("absorbed"), F.col("ax").alias("x1"), F.col("ay").alias("y1"),
-        F.col("bx").alias("x2"), F.col("by").alias("y2"), (F.greatest("wa", "wb") + 1).alias("weight"),
-    )
+    """(line_id, absorbed, x1, y1, x2, y2, weight): collinear lines joined over their gaps, a row for each absorbed line.
+
+    Mutually nearest ends chain any number of lines; a chain is joined at once, from end 1 of
+    its first line to end 2 of its last. The smallest number survives, with the largest
+    weight and one more for each line absorbed. A closed chain starts at its smallest line.
+    """
+    joined = materialize(mutual_best(gap_candidates(segments, edges, cfg)).select("p", "q"), "gap-pairs")
+    root = materialize(components(joined.select(F.col("p").alias("a"), F.col("q").alias("b")), "gap-chains"), "gap-roots")
+    at = root.join(joined.select(F.col("q").alias("node"), F.lit(True).alias("_after")), "node", "left").join(joined.select(F.col("p").alias("node"), F.lit(True).alias("_ahead")), "node", "left")
+    at = at.join(segments.select(F.col("line_id").alias("node"), "x1", "y1", "x2", "y2", "weight"), "node")
+    # first and last lines have nothing before or after them; a closed chain has neither, then the smallest and the line before it
+    first = F.min(F.struct(F.coalesce("_after", F.lit(False)), "node", "x1", "y1"))
+    back = joined.join(root.where("node = root").select(F.col("node").alias("q"), "root"), "q").select(F.col("p").alias("node"), F.lit(True).alias("_closes"))
+    at = at.join(back, "node", "left")
+    last = F.min(F.struct(F.coalesce("_ahead", F.lit(False)), F.coalesce(~F.col("_closes"), F.lit(True)), "node", "x2", "y2"))
+    chain = at.groupBy("root").agg(first.alias("_f"), last.alias("_l"), (F.max("weight") + F.count("*").cast("int") - 1).alias("weight"))
+    each = root.where("node != root").join(chain, "root")
+    return each.select(F.col("root").alias("line_id"), F.col("node").alias("absorbed"), "_f.x1", "_f.y1", "_l.x2", "_l.y2", "weight")
 
 
 def refreshed(lines: DataFrame) -> DataFrame:
@@ -76,18 +160,20 @@ def refreshed(lines: DataFrame) -> DataFrame:
 
 
 def process_lines(lines: DataFrame, edges: DataFrame, cfg: MapConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Lines and edges (src, dst, type) after corners, gaps, T-junctions and the eviction of short lines, in this order.
+    """Lines and edges (src, dst, type) after corners, gaps, cuts at T-junctions and doors and the eviction of short lines, in this order.
 
-    Edges follow their lines: those of an absorbed line go to its survivor, those out of a
-    split line to its second part, whose number is the line's plus the largest number and
-    one; edges of evicted lines go with them.
+    A corner ends what p led to and what led to q before. Edges follow their lines: those of
+    an absorbed line go to its survivor, those of a cut line to its parts (``apply_cuts``),
+    those of evicted lines go with them.
     """
     lines, corners = apply_corners(lines, edges, cfg)
+    for end in ("src", "dst"):
+        edges = edges.join(corners.select(end), end, "left_anti")
     edges = materialize(edges.select("src", "dst", "type").unionByName(corners).groupBy("src", "dst").agg(F.min("type").alias("type")), "edges-corners")
     lines = materialize(refreshed(lines), "lines-corners")
 
     joined = materialize(close_gaps(lines, edges, cfg), "gaps")
-    ends = joined.select("line_id", *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2", "weight")])
+    ends = joined.select("line_id", *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2", "weight")]).distinct()
     lines = lines.join(joined.select(F.col("absorbed").alias("line_id")), "line_id", "left_anti").join(ends, "line_id", "left")
     lines = refreshed(lines.withColumns({c: F.coalesce(f"_{c}", c) for c in ("x1", "y1", "x2", "y2", "weight")}).drop(*ends.columns[1:]))
     into = joined.select(F.col("absorbed").alias("_old"), F.col("line_id").alias("_new"))
@@ -95,14 +181,7 @@ def process_lines(lines: DataFrame, edges: DataFrame, cfg: MapConfig = DEFAULT)
         edges = edges.join(into, F.col(end) == F.col("_old"), "left").withColumn(end, F.coalesce("_new", end)).drop("_old", "_new")
     lines, edges = materialize(lines, "lines-gaps"), materialize(edges.where("src != dst").dropDuplicates(["src", "dst"]), "edges-gaps")
 
-    stride = (lines.agg(F.max("line_id")).first()[0] or 0) + 1
-    parts = split_lines(lines, t_junctions(lines, edges, cfg))
-    parts = materialize(parts.select("line_id", "part", *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")]), "parts")
-    split = lines.join(parts, "line_id").withColumns({c: F.col(f"_{c}") for c in ("x1", "y1", "x2", "y2")})
-    second = parts.where("part = 2").select(F.col("line_id").alias("src"), F.lit(stride).alias("_by"))
-    edges = edges.join(second, "src", "left").withColumn("src", F.col("src") + F.coalesce("_by", F.lit(0))).drop("_by")
-    lines = refreshed(split.withColumn("line_id", F.col("line_id") + F.when(F.col("part") == 2, stride).otherwise(0)).select(*lines.columns))
-    lines, edges = materialize(lines, "lines-split"), materialize(edges, "edges-split")
+    lines, edges = apply_cuts(lines, edges, cfg)
 
     gone = materialize(short_evict(lines, edges, cfg), "evicted")
     for end in ("src", "dst"):

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MapConfig
+from ..sources.staging import materialize
+from .maintain import mutual_best
+from .spatial import points_near_segments
 
 #: A line of the map: end points, normal, weight.
 LINE = ["x1", "y1", "x2", "y2", "nx", "ny", "weight"]
@@ -23,14 +26,16 @@ def _point_gap(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
 
 
 def same_wall(p: np.ndarray, q: np.ndarray, cfg: MapConfig) -> bool:
-    """Parallel, same facing, nearer than ``delta_d`` and overlapping along p."""
+    """Parallel, same facing, nearer than ``delta_d`` (crossing lines are) and overlapping along p."""
     a, b, c, d = p[0:2], p[2:4], q[0:2], q[2:4]
     u = (b - a) / max(np.hypot(*(b - a)), 1e-12)
     w = (d - c) / max(np.hypot(*(d - c)), 1e-12)
     if abs(u @ w) < np.cos(np.pi / 5) or p[4:6] @ q[4:6] <= 0:
         return False
     low, high = sorted(((c - a) @ u, (d - a) @ u))
-    near = min(_point_gap(c, a, b), _point_gap(d, a, b), _point_gap(a, c, d), _point_gap(b, c, d))
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    crossing = turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0
+    near = 0.0 if crossing else min(_point_gap(c, a, b), _point_gap(d, a, b), _point_gap(a, c, d), _point_gap(b, c, d))
     return low < np.hypot(*(b - a)) and high > 0 and near < cfg.delta_d
 
 
@@ -100,3 +105,20 @@ def build_map(segments: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
 
     ordered = segments.select(F.col("robot_id").cast("string").alias("robot_id"), "scan_id", "line_id", *LINE).where("robot_id IS NOT NULL")
     return ordered.repartition("robot_id").sortWithinPartitions("robot_id", "scan_id", "line_id").mapInPandas(run, MAP)
+
+
+def map_lines_of(segments: DataFrame, lines: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
+    """(robot_id, segment, line_id): the robot's map line that shows a segment's wall: parallel, same facing, nearest to its centre (ties: the smaller)."""
+    mid = segments.select("robot_id", F.col("line_id").alias("segment"), "nx", "ny", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
+    near = points_near_segments(mid, lines.select("robot_id", "line_id", "x1", "y1", "x2", "y2", "nx", "ny"), 2 * cfg.delta_d).where(F.col("robot_id") == F.col("s.robot_id"))
+    same = near.where(F.col("nx") * F.col("s.nx") + F.col("ny") * F.col("s.ny") > np.cos(np.pi / 5))
+    return same.groupBy("robot_id", "segment").agg(F.min(F.struct("d2", "s.line_id"))["line_id"].alias("line_id"))
+
+
+def line_graph(chains: DataFrame, segments: DataFrame, lines: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
+    """(src, dst, type) between map lines, from the chains of their segments (robot_id, src, dst): for each line the next one that most scans saw, if it is also the other's most frequent (ties: the smaller number)."""
+    of = map_lines_of(segments, lines, cfg)
+    named = lambda c: of.select("robot_id", F.col("segment").alias(c), F.col("line_id").alias(f"_{c}"))
+    seen = chains.join(named("src"), ["robot_id", "src"]).join(named("dst"), ["robot_id", "dst"]).where("_src != _dst")
+    counted = materialize(seen.groupBy(F.col("_src").alias("p"), F.col("_dst").alias("q")).agg((-F.count("*")).cast("double").alias("gap")), "line-chains")
+    return mutual_best(counted).select(F.col("p").alias("src"), F.col("q").alias("dst"), F.lit("corner").alias("type"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MapConfig
+from ..sources.staging import materialize
 
 
 def laplacian_spectrum(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +73,113 @@ def split_rooms(edges: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
     return edges.groupBy("room_id").applyInPandas(run, "room_id long, line_id long, part int")
 
 
+#: Nodes of a graph up to which its eigenvectors are solved densely, in one task.
+DENSE = 512
+
+
+def _solve(sums: pd.DataFrame) -> pd.DataFrame:
+    """Per graph the best vector in the span of x, r, p (least x'Lx / x'x): its coefficients and value, by the sums of products.
+
+    Dependent directions are left out; what the three hold of the known vector s is taken off.
+    """
+    out = []
+    for row in sums.itertuples(index=False):
+        d = row._asdict()
+        sym = lambda k, d=d: np.array([[d[f"{k}{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)])
+        s = np.array([d["s0"], d["s1"], d["s2"]])
+        gram, energy = sym("g") - np.outer(s, s), sym("a")
+        size = np.sqrt(np.maximum(np.diag(gram), 0))
+        use = size > 1e-14 * max(size.max(), 1e-300)
+        scale = np.where(use, 1 / np.where(use, size, 1), 0)
+        g, e = gram * np.outer(scale, scale), energy * np.outer(scale, scale)
+        values, vectors = np.linalg.eigh(g)
+        good = values > 1e-10
+        basis = vectors[:, good] / np.sqrt(values[good])
+        found, mix = np.linalg.eigh(basis.T @ e @ basis)
+        c = (basis @ mix[:, 0]) * scale
+        out.append((d["room_id"], *c, -float(c @ s), float(found[0]), float(size[1])))
+    return pd.DataFrame(out, columns=["room_id", "ca", "cb", "cc", "cs", "value", "residual"])
+
+
+def fiedler(edges: DataFrame, tolerance: float = 1e-7, rounds: int = 400) -> DataFrame:
+    """(room_id, node, s, x, value): the two least eigenvectors of each connected graph's normalised Laplacian and the second's eigenvalue.
+
+    ``edges``: room_id, p, q, weight, each pair once. The first vector, s, is known: the
+    roots of the degrees. The second comes from conjugate directions: a round is one
+    matrix-vector product, a join over the edges, and the best combination of the vector,
+    its residual and the last step, for which each graph gives a row of sums. No graph is
+    held by one task. Rounds end when every residual is below ``tolerance``.
+    """
+    both = edges.select("room_id", "p", "q", "weight").unionByName(edges.select("room_id", F.col("q").alias("p"), F.col("p").alias("q"), "weight"))
+    degree = both.groupBy("room_id", F.col("p").alias("node")).agg(F.sum("weight").alias("d"))
+    total = degree.groupBy("room_id").agg(F.sum("d").alias("_all"))
+    noise = F.xxhash64("node") / F.lit(float(1 << 63))
+    nodes = materialize(degree.join(total, "room_id").select("room_id", "node", "d", F.sqrt(F.col("d") / F.col("_all")).alias("s"), noise.alias("x")), "fiedler-nodes")
+    at = lambda c: nodes.select(F.col("node").alias(c), F.col("d").alias(f"_d{c}"))
+    links = both.join(at("p"), "p").join(at("q"), "q").select("room_id", "p", "q", (F.col("weight") / F.sqrt(F.col("_dp") * F.col("_dq"))).alias("w"))
+    links = materialize(links, "fiedler-links")
+
+    def laplace(df: DataFrame, column: str, name: str) -> DataFrame:
+        near = links.join(df.select(F.col("node").alias("q"), F.col(column).alias("_v")), "q").groupBy(F.col("p").alias("node")).agg(F.sum(F.col("w") * F.col("_v")).alias("_n"))
+        return df.join(near, "node").withColumn(name, F.col(column) - F.col("_n")).drop("_n")
+
+    zero = F.lit(0.0)
+    state = laplace(nodes.drop("d"), "x", "lx").withColumns({"r": zero, "lr": zero, "p": zero, "lp": zero})
+    state = materialize(state, "fiedler-0")
+    basis = (("x", "lx"), ("r", "lr"), ("p", "lp"))
+    sums = [F.sum(F.col(basis[i][0]) * F.col(basis[j][0])).alias(f"g{i}{j}") for i in range(3) for j in range(i, 3)]
+    sums += [F.sum(F.col(basis[i][0]) * F.col(basis[j][1])).alias(f"a{i}{j}") for i in range(3) for j in range(i, 3)]
+    sums += [F.sum(F.col("s") * F.col(basis[i][0])).alias(f"s{i}") for i in range(3)]
+    for i in range(1, rounds + 1):
+        best = state.groupBy("room_id").agg(*sums).mapInPandas(lambda parts: (_solve(p) for p in parts), "room_id long, ca double, cb double, cc double, cs double, value double, residual double")
+        best = materialize(best, f"fiedler-best{i}")  # a row a graph
+        if i > 1 and (best.agg(F.max("residual")).first()[0] or 0.0) < tolerance:
+            break
+        mixed = lambda x, r, p: F.col("ca") * F.col(x) + F.col("cb") * F.col(r) + F.col("cc") * F.col(p)
+        step = lambda r, p: F.col("cb") * F.col(r) + F.col("cc") * F.col(p)
+        new = {"x": mixed("x", "r", "p") + F.col("cs") * F.col("s"), "lx": mixed("lx", "lr", "lp"), "p": step("r", "p"), "lp": step("lr", "lp")}
+        moved = state.join(best, "room_id").select("room_id", "node", "s", "value", *[c.alias(k) for k, c in new.items()])
+        moved = moved.withColumn("r", F.col("lx") - F.col("value") * F.col("x")).drop("value")
+        state = materialize(laplace(moved, "r", "lr").select("room_id", "node", "s", *[c for b in basis for c in b]), f"fiedler-{i}")
+    norm = state.groupBy("room_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_n"))
+    return state.join(norm, "room_id").join(best.select("room_id", "value"), "room_id").select("room_id", "node", "s", (F.col("x") / F.col("_n")).alias("x"), "value")
+
+
+def two_way(vectors: DataFrame) -> DataFrame:
+    """(room_id, node, part): ``cluster_qr`` of two vectors (s, x) as aggregations: two pivot rows a graph, the polar factor of their block, the larger entry."""
+    by = lambda c: F.max(F.struct(F.round(c, 12).alias("v"), (-F.col("node")).alias("k"), "s", "x"))
+    first = vectors.groupBy("room_id").agg(by(F.col("s") * F.col("s") + F.col("x") * F.col("x")).alias("f"))
+    off = F.col("s") * F.col("f.x") - F.col("x") * F.col("f.s")  # what the first pivot leaves over
+    second = vectors.join(first, "room_id").groupBy("room_id").agg(by(off * off).alias("t"), F.first("f").alias("f"))
+    # block [[f.s, t.s], [f.x, t.x]]; its polar factor is the block plus or minus its cofactors, scaled
+    a, b, c, d = F.col("f.s"), F.col("t.s"), F.col("f.x"), F.col("t.x")
+    sign = F.when(a * d - b * c < 0, -1.0).otherwise(1.0)
+    factor = second.select("room_id", (a + sign * d).alias("u0"), (b - sign * c).alias("u1"), (c - sign * b).alias("v0"), (d + sign * a).alias("v1"))
+    along = lambda i: F.abs(F.col("s") * F.col(f"u{i}") + F.col("x") * F.col(f"v{i}"))
+    return vectors.join(factor, "room_id").select("room_id", "node", (along(1) > along(0)).cast("int").alias("part"))
+
+
+def split_parts(edges: DataFrame, cfg: MapConfig = DEFAULT, dense: int = DENSE) -> DataFrame:
+    """(room_id, line_id, part) of every line in a room's connected visibility graph: ``split_graph`` at any size.
+
+    Graphs of up to ``dense`` lines are solved in one task each, larger ones by ``fiedler``;
+    both give the same vectors.
+    """
+    nodes = edges.select("room_id", F.col("p").alias("node")).unionByName(edges.select("room_id", F.col("q").alias("node"))).distinct()
+    sizes = materialize(nodes.groupBy("room_id").agg(F.count("*").alias("n")), "graph-sizes")
+    small = split_rooms(edges.join(sizes.where(F.col("n") <= dense).select("room_id"), "room_id", "left_semi"), cfg)
+    if sizes.where(F.col("n") > dense).isEmpty():
+        return small
+    large = materialize(edges.join(sizes.where(F.col("n") > dense).select("room_id"), "room_id", "left_semi"), "large-graphs")
+    vectors = materialize(fiedler(large), "fiedler-vectors")
+    parts = materialize(two_way(vectors), "two-way")
+    fit = parts.groupBy("room_id").agg(F.sum("part").alias("_one"), F.count("*").alias("_n"), F.min(F.struct("node", "part"))["part"].alias("_least"))
+    fit = fit.join(vectors.groupBy("room_id").agg(F.first("value").alias("_value")), "room_id")
+    splits = (F.col("_value") <= cfg.fiedler_thresh) & (F.least("_one", F.col("_n") - F.col("_one")) >= 2)
+    part = F.when(splits, F.col("part").bitwiseXOR(F.col("_least"))).otherwise(0).cast("int")
+    return small.unionByName(parts.join(fit, "room_id").select("room_id", F.col("node").alias("line_id"), part.alias("part")))
+
+
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """Least-cost assignment (shortest augmenting paths); rows and columns beyond the smaller side stay free."""
     turned = cost.shape[0] > cost.shape[1]
@@ -114,56 +221,55 @@ def match_labels(contingency: DataFrame, key: str = "map_id") -> DataFrame:
 def carry_labels(line_ids: list[int], old: list[int], local: list[int], current: int, used: set[int]) -> list[int]:
     """Room labels after a new local clustering: clusters keep the old label they match best, and only lines of the current room may change theirs.
 
-    One cluster takes the smallest old label; an unchanged clustering without singletons
-    stays. Otherwise clusters and old labels are assigned by largest mean age of the lines
-    they share. A cluster left over becomes a room of its own, with the smallest label not in
-    ``used``, unless it is a single line (it joins the current room) or holds none of the
-    current room's lines (it joins their smallest). A single-line cluster follows the cluster
-    that keeps its line's old label. In the end a label of a single line is undone, and the
-    largest label moves into its place.
+    1. A single cluster takes the smallest old label; a clustering that equals the old labels stays, if none is a single line.
+    2. Clusters and old labels are paired so that the mean ages of the lines they share are largest in sum.
+    3. A cluster without a pair is: the current room, if it is a single line; the smallest of
+       its lines' rooms, if none of them is the current one; else a new room, with the smallest
+       label that no room of the map (``used``) has.
+    4. A cluster of a single line goes with the cluster that keeps the line's old label.
+    5. A new room of a single line is undone: the line stays where it was. Of the new labels
+       the largest then fill the gap, so that numbers stay dense; rooms that exist keep theirs.
     """
-    if len(set(local)) == 1:
-        return [min(old)] * len(old)
-    if local == old and 1 not in Counter(old).values():
+    t = pd.DataFrame({"line": line_ids, "old": old, "local": local})
+    if t["local"].nunique() == 1:
+        return [int(t["old"].min())] * len(t)
+    if (t["local"] == t["old"]).all() and t["old"].value_counts().min() > 1:
         return list(old)
-    after, olds, locals_ = max(line_ids) + 1, sorted(set(old)), sorted(set(local))
-    age = np.zeros((len(olds), len(locals_)))
-    for i, o in enumerate(olds):
-        for j, c in enumerate(locals_):
-            ages = [after - n for n, a, b in zip(line_ids, old, local, strict=True) if a == o and b == c]
-            age[i, j] = np.mean(ages) if ages else 0.0
-    pairs = [(olds[i], locals_[j]) for i, j in assign(-age)]
-    name, cluster_of = {c: o for o, c in pairs}, dict(pairs)
-    sizes = Counter(local)
-    for c in [c for c in locals_ if c not in name]:
-        held = {o for o, b in zip(old, local, strict=True) if b == c}
-        if sizes[c] == 1:
-            name[c] = current
-        elif current not in held:
-            name[c] = min(held)
-        else:
-            taken = used | set(name.values())
-            name[c] = next(n for n in range(len(taken) + 1) if n not in taken)
-    for o, c in zip(old, local, strict=True):
-        if sizes[c] == 1 and o in cluster_of:
-            name[c] = name[cluster_of[o]]
-    found = [name[c] if o == current else o for o, c in zip(old, local, strict=True)]
-    for label in sorted(set(found)):
-        if found.count(label) == 1:
-            at, most = found.index(label), max(found)
-            if label < most:
-                found = [label if x == most else x for x in found]
-            found[at] = old[at]
-    return found
-
-
-def relabel_rooms(lines: DataFrame, key: str = "map_id") -> DataFrame:
-    """(key, line_id, label) of the lines of each map (key, line_id, old, local, current: the room the robot is in); a map's local lines are one bounded group."""
+    t["age"] = t["line"].max() + 1 - t["line"]
+    shared = t.pivot_table(index="local", columns="old", values="age", aggfunc="mean", fill_value=0.0)
+    pairs = assign(-shared.to_numpy(float))
+    name = pd.Series({shared.index[i]: shared.columns[j] for i, j in pairs}, dtype=object)
+
+    clusters = t.groupby("local").agg(size=("line", "size"), least=("old", "min"), first=("old", "first"), here=("old", lambda o: (o == current).any()))
+    extra = clusters[~clusters.index.isin(name.index)]
+    lone, new = extra["size"] == 1, extra["here"] & (extra["size"] > 1)
+    taken = set(used) | set(name)
+    free = [n for n in range(len(taken) + len(extra)) if n not in taken][: int(new.sum())]
+    name = pd.concat([name, extra["least"].where(~lone, current).where(~new), pd.Series(free, index=extra.index[new], dtype=object)]).dropna()
+    keeper = pd.Series({shared.columns[j]: shared.columns[j] for _, j in pairs}, dtype=object)
+    single = clusters.index[(clusters["size"] == 1) & clusters["first"].isin(keeper.index)]
+    name.update(clusters.loc[single, "first"].map(keeper))
+
+    found = t["old"].where(t["old"] != current, t["local"].map(name)).astype(int)
+    given = found[~found.isin(list(used) + list(old))]
+    alone = given[given.map(given.value_counts()) == 1]
+    found.loc[alone.index] = t["old"].loc[alone.index]
+    left, gaps = sorted(set(given) - set(alone), reverse=True), sorted(set(alone))
+    return found.replace({big: gap for big, gap in zip(left, gaps) if gap < big}).tolist()
+
+
+def relabel_rooms(lines: DataFrame, key: str = "map_id", rooms: DataFrame | None = None) -> DataFrame:
+    """(key, line_id, label) of the lines of each map (key, line_id, old, local, current: the room the robot is in); a map's local lines are one bounded group.
+
+    ``rooms``: (key, label) of all rooms of the maps, so that a new room takes no label of a
+    room out of sight. Without it only the given lines' labels are in use.
+    """
+    labels = lines.select(key, F.col("old").alias("label")) if rooms is None else rooms.select(key, "label")
+    used = labels.groupBy(key).agg(F.collect_set("label").alias("_used"))  # a number a room
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("line_id")
-        old, local = t["old"].tolist(), t["local"].tolist()
-        label = carry_labels(t["line_id"].tolist(), old, local, int(t["current"].iloc[0]), set(old))
+        label = carry_labels(t["line_id"].tolist(), t["old"].tolist(), t["local"].tolist(), int(t["current"].iloc[0]), set(t["_used"].iloc[0]))
         return pd.DataFrame({key: t[key], "line_id": t["line_id"], "label": label})
 
-    return lines.groupBy(key).applyInPandas(run, f"{key} long, line_id long, label int")
+    return lines.join(used, key).groupBy(key).applyInPandas(run, f"{key} long, line_id long, label int")

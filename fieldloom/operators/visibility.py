@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, MapConfig
 from ..functions import geometry as g
 from ..sources.staging import materialize
-from .segments import _ends, pairs_within
+from .segments import _ends, pairs_near, pairs_within
 
 
 def with_centres(segments: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def line_pairs(segments: DataFrame, edges: DataFrame | None = None, cfg: MapConf
     a door's reach (1: q after p, 2: p after q, else null). ahead: an end of q lies on p's
     side. facing: their centres lie on each other's sides.
     """
-    pairs = once(pairs_within(with_centres(segments)), "d2", g.segments_distance2(_ends("p"), _ends("q"))).where(F.col("d2") < cfg.vis_dist_thresh**2)
+    pairs = once(pairs_near(with_centres(segments), cfg.vis_dist_thresh), "d2", g.segments_distance2(_ends("p"), _ends("q"))).where(F.col("d2") < cfg.vis_dist_thresh**2)
     if edges is None:
         pairs = pairs.withColumn("linked", F.lit(False))
     else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, MapConfig
 from ..functions import geometry as g
 from ..operators import extract, field, graph, ingest, maintain, mapping, rooms, segments, spatial, spectral, visibility
-from ..sources.schema import EDGE
 from ..sources.staging import materialize
 
 
@@ -31,33 +31,40 @@ class World:
         return field.predict_rooms(queries.join(found, "query_id"), self.state, self.lines, self.cfg)
 
 
-#: Splits of a robot's lines in a row, each into two.
-DEPTH = 20
-
-
 def split_until_whole(lines: DataFrame, edges: DataFrame | None = None, cfg: MapConfig = DEFAULT) -> DataFrame:
-    """The lines with room_id: rooms are split by their visibility graph until no part qualifies. A room's parts are numbered 2n and 2n + 1."""
-    lines = lines.withColumn("_open", F.lit(True))
-    for i in range(DEPTH):
-        todo = lines.where("_open").drop("_open")
-        seen = visibility.visibility_edges(todo, edges, cfg).select("room_id", "p", "q", "weight")
-        found = todo.select("room_id", F.col("line_id").alias("p"), F.col("line_id").alias("q"), F.lit(0.0).alias("weight"))  # lines that see none belong to a room too
-        parts = materialize(spectral.split_rooms(_connected(seen, todo).unionByName(found), cfg), f"world-parts{i}")
-        split = parts.groupBy("room_id").agg((F.max("part") > 0).alias("_split"))
-        marked = lines.join(parts.select("line_id", "part"), "line_id", "left").join(split, "room_id", "left")
-        room = F.col("room_id") * 2 + F.coalesce("part", F.lit(0))
-        lines = materialize(marked.withColumn("_open", F.coalesce("_split", F.lit(False))).withColumn("room_id", room).drop("part", "_split"), f"world-rooms{i}")
-        if lines.where("_open").isEmpty():
-            return lines.drop("_open")
-    raise RuntimeError("rooms did not settle")
+    """The lines with room_id: rooms are split by their visibility graph until no part qualifies.
 
-
-def _connected(edges: DataFrame, lines: DataFrame) -> DataFrame:
-    """Visibility edges and those that chain the components of a room's graph, lines without an edge included."""
-    links = edges.select(F.col("p").alias("a"), F.col("q").alias("b"))
-    root = graph.components(links, "world-cc")
-    members = lines.select("room_id", F.col("line_id").alias("node")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return edges.unionByName(graph.connect_components(members))
+    A round takes all open parts at once. A part whose graph has several components falls
+    into these; a connected one is split in two by ``spectral.split_parts`` or is whole. A
+    part is named by its smallest line. Lines that see no other are put aside and in the end
+    join the room of the line nearest to them, within ``vis_dist_thresh``.
+    """
+    cols = lines.columns
+    todo, whole, i = materialize(lines, "world-open0"), [], 0
+    while not todo.isEmpty():
+        seen = materialize(visibility.visibility_edges(todo, edges, cfg).select("room_id", "p", "q", "weight"), f"world-seen{i}")
+        root = materialize(graph.components(seen.select(F.col("p").alias("a"), F.col("q").alias("b")), "world-cc"), f"world-roots{i}")
+        placed = todo.withColumn("_old", F.col("room_id")).join(root.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("room_id", F.coalesce("root", "line_id"))
+        many = placed.where("root IS NOT NULL").groupBy("_old").agg((F.min("root") != F.max("root")).alias("_many"))
+        parts = materialize(placed.join(many, "_old", "left").withColumn("_single", F.col("root").isNull()).select(*cols, "_single", F.coalesce("_many", F.lit(False)).alias("_many")), f"world-parts{i}")
+        # weights depend on all lines of a room, so what has fallen apart is looked at anew in the next round
+        one = parts.where("NOT _single AND NOT _many")
+        linked = seen.drop("room_id").join(one.select(F.col("line_id").alias("p"), "room_id"), "p")
+        side = materialize(spectral.split_parts(linked, cfg), f"world-sides{i}")
+        name = side.groupBy("room_id", "part").agg(F.min("line_id").alias("_name"))
+        split = side.groupBy("room_id").agg((F.max("part") > 0).alias("_split"))
+        named = side.join(name, ["room_id", "part"]).join(split, "room_id").select("line_id", "_name", "_split")
+        done = materialize(one.drop("_single", "_many").join(named, "line_id").withColumn("room_id", F.col("_name")).select(*cols, "_split"), f"world-rooms{i}")
+        whole += [parts.where("_single").select(*cols, "_single"), done.where("NOT _split").select(*cols, F.lit(False).alias("_single"))]
+        i += 1
+        todo = materialize(parts.where("_many AND NOT _single").select(*cols).unionByName(done.where("_split").select(*cols)), f"world-open{i}")
+    if not whole:
+        return lines
+    done = materialize(reduce(DataFrame.unionByName, whole).select(*cols, "_single"), "world-whole")
+    near = segments.pairs_near(done.withColumn("_all", F.lit(0)), cfg.vis_dist_thresh, key="_all").where("p._single AND NOT q._single")
+    near = near.withColumn("_d2", g.segments_distance2(segments._ends("p"), segments._ends("q"))).where(F.col("_d2") <= cfg.vis_dist_thresh**2)
+    into = near.groupBy(F.col("p.line_id").alias("line_id")).agg(F.min(F.struct("_d2", "q.line_id", F.col("q.room_id").alias("room")))["room"].alias("_into"))
+    return done.join(into, "line_id", "left").withColumn("room_id", F.coalesce("_into", "room_id")).select(*cols)
 
 
 def build(scans: DataFrame, increment: float, cfg: MapConfig = DEFAULT, prior: bool = True) -> World:
@@ -79,8 +86,9 @@ def build(scans: DataFrame, increment: float, cfg: MapConfig = DEFAULT, prior: b
     dx, dy = g.direction("x1", "y1", "x2", "y2")
     number = F.shiftleft(F.col("_robot").cast("long"), 32) + F.col("line_id")
     lines = lines.join(robots, "robot_id").join(pose, "robot_id").withColumn("line_id", number).withColumn("room_id", F.col("_robot").cast("long") + 1).withColumn("dx", dx).withColumn("dy", dy).drop("_robot")
-    none = scans.sparkSession.createDataFrame([], EDGE)
-    lines, edges = maintain.process_lines(materialize(lines, "world-lines"), none, cfg)
+    lines = materialize(lines, "world-lines")
+    chained = materialize(mapping.line_graph(extract.chain_edges(found), found, lines, cfg), "world-chains")
+    lines, edges = maintain.process_lines(lines, chained, cfg)
     lines = split_until_whole(materialize(lines, "world-kept"), materialize(edges, "world-edges"), cfg)
     boxes = rooms.room_rect(lines)
     left = clusters.where("status = 'residual'").select(*segments.CLUSTER, "beam", "x", "y").unionByName(extract.residual_points(line_like, cfg))

@@ -489,8 +489,12 @@ CLOSE = f""", cand AS (SELECT p.line_id AS p, q.line_id AS q, {GAP} AS gap FROM
 ), best AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY gap, q) AS kp, row_number() OVER (PARTITION BY q ORDER BY gap, p) AS kq FROM cand)"""
 
 
-@query(CLOSE + f""" SELECT least(b.p, b.q) AS line_id, greatest(b.p, b.q) AS absorbed, {q('s.x1')} AS x1, {q('s.y1')} AS y1, {q('t.x2')} AS x2, {q('t.y2')} AS y2, CAST(greatest(s.weight, t.weight) + 1 AS INTEGER) AS weight
-FROM best b JOIN segs s ON s.line_id = b.p JOIN segs t ON t.line_id = b.q WHERE kp = 1 AND kq = 1""")
+@query(CLOSE + f""", hop AS (SELECT p, q FROM best WHERE kp = 1 AND kq = 1
+), walk AS (SELECT p AS head, q AS node, 1 AS steps FROM hop WHERE p NOT IN (SELECT q FROM hop) UNION ALL SELECT w.head, h.q, w.steps + 1 FROM walk w JOIN hop h ON h.p = w.node
+), member AS (SELECT head, node, steps FROM walk UNION ALL SELECT DISTINCT head, head, 0 FROM walk
+), wall AS (SELECT head, min(node) AS line_id, arg_max(node, steps) AS tail, max(s.weight) + max(steps) AS weight FROM member JOIN segs s ON s.line_id = node GROUP BY head)
+SELECT w.line_id, m.node AS absorbed, {q('s.x1')} AS x1, {q('s.y1')} AS y1, {q('t.x2')} AS x2, {q('t.y2')} AS y2, CAST(w.weight AS INTEGER) AS weight
+FROM wall w JOIN member m ON m.head = w.head AND m.node <> w.line_id JOIN segs s ON s.line_id = w.head JOIN segs t ON t.line_id = w.tail""")
 def close_gaps(spark, sf_dir):
     from ..operators import maintain
 

@@ -265,17 +265,17 @@ def a_line(i, x1, y1, x2, y2, side=1):
 
 
 def test_process_lines(spark):
-    """A gap is closed, a crossing line splits the wall it meets, a short free line goes, and edges follow."""
+    """A gap is closed, a line joins the wall that it meets and cuts it, a short free line goes, and edges follow."""
     from fieldloom.operators import maintain
     from fieldloom.sources.schema import EDGE
 
-    rows = [a_line(0, 0, 0, 2, 0), a_line(1, 2.3, 0, 5, 0), a_line(2, 0, 9, 4, 9), a_line(3, 2, 5, 2, 8.8), a_line(4, 20, 20, 20.3, 20), a_line(5, 9, 0, 9, 4)]
+    rows = [a_line(0, 0, 0, 2, 0), a_line(1, 2.3, 0, 5, 0), a_line(2, 0, 9, 4, 9, -1), a_line(3, 2, 5, 2, 8.8), a_line(4, 20, 20, 20.3, 20), a_line(5, 9, 0, 9, 4)]
     df = spark.createDataFrame(rows, "line_id long, room_id long, x1 double, y1 double, x2 double, y2 double, nx double, ny double, dx double, dy double, r double, theta double, robot_x double, robot_y double, weight int")
     edges = spark.createDataFrame([(1, 5, "corner"), (2, 5, "corner"), (4, 5, "parallel")], EDGE)
     lines, kept = maintain.process_lines(df, edges)
     got = {r.line_id: tuple(round(v, 6) + 0.0 for v in (r.x1, r.y1, r.x2, r.y2)) for r in lines.collect()}
-    assert got == {0: (0, 0, 5, 0), 2: (0, 9, 2, 9), 8: (2, 9, 4, 9), 3: (2, 5, 2, 8.8), 5: (9, 0, 9, 4)}
-    assert sorted((r.src, r.dst) for r in kept.collect()) == [(0, 5), (8, 5)]
+    assert got == {0: (0, 0, 5, 0), 2: (0, 9, 2, 9), 8: (2, 9, 4, 9), 3: (2, 5, 2, 9), 5: (9, 0, 9, 4)}
+    assert sorted((r.src, r.dst, r.type) for r in kept.collect()) == [(0, 5, "corner"), (3, 2, "corner"), (8, 5, "corner")]
     for r in lines.collect():
         assert math.hypot(r.dx, r.dy) == math.hypot(r.nx, r.ny) == 1 and abs(r.x1 * math.cos(r.theta) + r.y1 * math.sin(r.theta) - r.r) < 1e-9
 
