@@ -2,12 +2,14 @@
 
 Every page is read once into its element tree; block subtrees are hashed and Spark counts,
 per host, on how many pages each hash occurs. Subtrees that recur across many pages of a
-host are its template and are deleted; what a page marks itself as menu, advert, form,
-notice or comments is left out as well. Within the article a recurring paragraph is text
-(a quoted passage, a licence line), so there only whole recurring containers go.
-
-Outside the article a subtree is also hashed by its shape (tags and classes without text),
-as menus and adverts differ in wording from page to page.
+host are its template and are deleted. Within an article only whole containers can be
+template: a recurring paragraph is text (a quoted passage, a licence line). Menus and
+adverts differ in wording from page to page, so containers that hold nothing but links, and
+those that name themselves so, are also hashed by their shape (tags and classes without
+text); a name alone deletes nothing within an article.
+
+Forms, menus, scripts and reader comments are no text wherever they stand. On pages without
+an article the whole body is taken, and there what a container calls itself counts, too.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ _MARKED = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond share sharing social related recommended "
     "recommendations widget widgets toolbar pagination pager search contentinfo complementary".split()
 )
+#: Names of containers of what readers wrote, or of other articles.
+_COMMENTS = frozenset("comment comments comment-list commentlist comments-area replies reply respond disqus disqus_thread related teaser".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "p": {"article", "body", "section", "div", "td", "li", "blockquote"}}
@@ -148,14 +152,21 @@ def parse(html: str) -> Node:
     return root
 
 
-def _unmarked(node: Node) -> bool:
-    if node.tag in _NOT_TEXT:
-        return False
-    return node.tag in ("html", "body", "article", "main") and not _is_comment(node) or not any(w.lower() in _MARKED for _, v in node.marks for w in _WORD.findall(v))
+def _names(node: Node) -> bool:
+    """Whether a container's class, id or role has a word for what is no article."""
+    return node.tag in _CONTAINER and any(w.lower() in _MARKED for _, v in node.marks for w in _WORD.findall(v))
 
 
 def _is_comment(node: Node) -> bool:
-    return any(w.lower() in ("comment", "comments", "reply", "related", "teaser") for _, v in node.marks for w in _WORD.findall(v))
+    """A container (or article) of reader comments or teasers, by a whole name among its marks."""
+    return (node.tag in _CONTAINER or node.tag == "article") and any(t in _COMMENTS for _, v in node.marks for t in v.lower().split())
+
+
+def _unmarked(node: Node, inside: bool = False) -> bool:
+    """Whether a node can be text. ``inside`` an article names other than those of comments don't count."""
+    if node.tag in _NOT_TEXT or _is_comment(node):
+        return False
+    return inside or not _names(node)
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -185,9 +196,13 @@ def roots(tree: Node) -> list[Node]:
 
 
 def subtree_hashes(tree: Node, main: list[Node]) -> dict[int, list[int]]:
-    """Hashes by which each block subtree can be a template, keyed by ``id`` of its node."""
+    """Hashes by which each block subtree can be a template, keyed by ``id`` of its node.
+
+    All that it holds, in order; for containers of links alone and for those that name
+    themselves, also the shape. What holds a root isn't a template.
+    """
     inside = {id(n) for r in main for n in _walk(r)}
-    holds = set()  # what holds a root isn't a template
+    holds = set()
     for r in main:
         n = r
         while n:
@@ -196,21 +211,18 @@ def subtree_hashes(tree: Node, main: list[Node]) -> dict[int, list[int]]:
     articles = bool(main) and main[0].tag in ("article", "main")
     full: dict[int, int] = {}
     shape: dict[int, int] = {}
+    plain: dict[int, bool] = {}  # whether it holds text that is no link
     out: dict[int, list[int]] = {}
     for n in reversed(list(_walk(tree))):
         head = n.tag + "|" + " ".join(v for _, v in n.marks)
         kids = [c for c in n.children if isinstance(c, Node)]
         shape[id(n)] = xxhash.xxh64_intdigest("S" + head + ",".join(sorted({str(shape[id(c)]) for c in kids if c.tag not in _INLINE})))
         full[id(n)] = xxhash.xxh64_intdigest("F" + head + ",".join(str(full[id(c)]) if isinstance(c, Node) else " ".join(c.split()) for c in n.children))
-        if id(n) in holds or n.tag in _INLINE or n.tag in _VOID:
+        plain[id(n)] = n.tag != "a" and any(plain[id(c)] if isinstance(c, Node) else not c.isspace() for c in n.children)
+        if id(n) in holds or n.tag in _INLINE or n.tag in _VOID or n.tag not in _CONTAINER and articles and id(n) in inside:
             continue
-        if id(n) in inside:
-            if n.tag in _CONTAINER:
-                out[id(n)] = [full[id(n)]]
-        elif articles:
-            out[id(n)] = [full[id(n)], shape[id(n)]]
-        else:
-            out[id(n)] = [full[id(n)]]
+        by_shape = n.tag in _CONTAINER and (not plain[id(n)] or _names(n)) or articles and id(n) not in inside
+        out[id(n)] = [full[id(n)], shape[id(n)]] if by_shape else [full[id(n)]]
     return out
 
 
@@ -227,6 +239,7 @@ def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
     """The main text, without subtrees of the given hashes: blocks joined by an empty line."""
     tree = parse(html or "")
     main = roots(tree)
+    articles = bool(main) and main[0].tag in ("article", "main")
     gone: set[int] = set()
     if template:
         gone = {n for n, hs in subtree_hashes(tree, main).items() if any(_signed(h) in template for h in hs)}
@@ -247,7 +260,7 @@ def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
                 flush()
             elif isinstance(n, str):
                 line.append(n)
-            elif n is not root and (id(n) in gone or not _unmarked(n)):
+            elif n is not root and (id(n) in gone or not _unmarked(n, articles)):
                 flush()
             elif n.tag in ("br", "wbr"):
                 line.append(" " if n.tag == "br" else "")

@@ -258,3 +258,48 @@ def test_score_query(spark, small):
     rows = queries.op13_lm_score(spark, small).collect()
     assert rows and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) for r in rows)
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)  # so few held-out texts tell little
+
+
+# html: what decides within and without an article
+
+
+def html_of(spark, pages):
+    from fieldloom.llm import html_extract
+
+    df = spark.createDataFrame(list(enumerate(pages)) and [(i, "http://h.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extract.extract_text(df).collect()}
+
+
+def test_names_within_an_article_delete_nothing(spark):
+    page = "<body><nav>n</nav><article><h2 id='related-work'>Related work</h2><h2 id='alert-levels'>Alerts</h2><p id='social'>Social</p><section class='notice'><p>Own {i}</p></section><div class='ad'>Text {i}</div></article><div class='ad'>x</div></body>"
+    few = html_of(spark, [page.format(i=i) for i in range(3)])
+    assert few[1] == "Related work\n\nAlerts\n\nSocial\n\nOwn 1\n\nText 1"
+
+
+def test_recurring_containers_are_template_with_or_without_an_article(spark):
+    """Within and without an article: a notice of changing words and a list of links go by their shape, a constant box by its text; paragraphs of the article stay."""
+    inner = "<h2 id='related-work'>Title {i}</h2><p>Licence line</p><div class='notice'><p>Read {i} more</p></div><ul><li><a href='{i}'>Link {i}</a></li></ul><div class='q7'><p>Box</p></div><div class='body'><p>Own {i}</p></div>"
+    for page, licence in (("<body><article>" + inner + "</article></body>", "Licence line\n\n"), ("<body>" + inner + "</body>", "")):
+        got = html_of(spark, [page.format(i=i) for i in range(12)])
+        assert got == {i: f"Title {i}\n\n{licence}Own {i}" for i in range(12)}
+
+
+def test_templates_are_the_counts_of_plain_loops(spark, small):
+    from fieldloom.llm import html_extract
+
+    pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url", "html").collect()
+    for strip in (False, True):
+        rows = [(r.page_id, r.url, r.html.replace("<article", "<div").replace("</article", "</div") if strip and r.html else r.html) for r in pages]
+        hosts, seen, hashes = Counter(), defaultdict(Counter), []
+        for _, url, html in rows:
+            host = (url or "").split("://")[-1].split("/")[0].lower()
+            tree = html_extract.parse(html or "")
+            own = {h - (1 << 64) if h >> 63 else h for hs in html_extract.subtree_hashes(tree, html_extract.roots(tree)).values() for h in hs}
+            hosts[host] += 1
+            seen[host].update(own)
+            hashes.append((host, own))
+        want = Counter()
+        for (page, _, html), (host, own) in zip(rows, hashes):
+            want[page, html_extract.main_text(html, frozenset(h for h in own if seen[host][h] >= 5 and seen[host][h] >= 0.2 * hosts[host]))] += 1
+        got = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert Counter((r.page_id, r.text) for r in got) == want
