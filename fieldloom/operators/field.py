@@ -293,6 +293,33 @@ def fit_rooms(points: DataFrame, segments: DataFrame | None = None, cfg: MapConf
     return points.withColumn("room_id", F.col("room_id").cast("long")).groupBy("room_id").cogroup(lines.groupBy("room_id")).applyInPandas(fit, GP_STATE)
 
 
+def update_rooms(state: DataFrame, points: DataFrame, segments: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
+    """GP states after one more batch of points (room_id, x, y) with the rooms' present lines; rooms without new points stay as they are."""
+    new = points.select(F.col("room_id").cast("long").alias("room_id"), "x", "y")
+    held = state.join(_room_lines(segments), "room_id", "full").select(*names(GP_STATE), "lines")
+
+    def run(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        row = s.iloc[0] if len(s) else None
+        known = row is not None and row["zx"] is not None
+        segs = _line_array(row["lines"] if row is not None else None)
+        room = int((p if len(p) else s)["room_id"].iloc[0])
+        field, version = (_field(row), int(row["version"])) if known else (Field.empty(), 0)
+        if len(p):
+            field, version = update(field, p.sort_values(["x", "y"])[["x", "y"]].to_numpy(), cfg, segs), version + 1
+        return pd.DataFrame([_row(room, version, field, segs, cfg)], columns=names(GP_STATE))
+
+    return new.groupBy("room_id").cogroup(held.groupBy("room_id")).applyInPandas(run, GP_STATE)
+
+
+def moved_points(state: DataFrame, lines: DataFrame) -> DataFrame:
+    """(room_id, i, to_room): inducing points, by place, whose nearest line in their room (line_id, old, new and ends) goes to another room."""
+    z = state.select("room_id", F.posexplode(F.arrays_zip("zx", "zy")).alias("i", "z")).select("room_id", "i", F.col("z.zx").alias("x"), F.col("z.zy").alias("y"))
+    old = lines.withColumn("room_id", F.col("old").cast("long"))
+    near = nearest_in_room(z, old, ("room_id", "i"))
+    went = near.join(lines.select("line_id", "old", "new"), "line_id").where("old != new")
+    return went.select("room_id", "i", F.col("new").cast("long").alias("to_room"))
+
+
 def predict_rooms(queries: DataFrame, state: DataFrame, segments: DataFrame | None = None, cfg: MapConfig = DEFAULT, share: int = 4096) -> DataFrame:
     """Predictions for queries (query_id, room_id, x, y); a room's queries are dealt into parts of about ``share``, each with a copy of its state.
 

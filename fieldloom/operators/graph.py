@@ -46,6 +46,13 @@ def connect_components(members: DataFrame, key: str = "room_id", weight: float =
     return best.select(key, F.least("m.a", "m.b").alias("p"), F.greatest("m.a", "m.b").alias("q"), F.lit(weight).alias("weight"))
 
 
+def connected(edges: DataFrame, nodes: DataFrame, key: str = "room_id") -> DataFrame:
+    """Edges (key, p, q, weight) and those that chain the components of each graph's nodes (key, node), nodes without an edge included."""
+    root = components(edges.select(F.col("p").alias("a"), F.col("q").alias("b")), "graph-cc")
+    members = nodes.select(key, "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return edges.select(key, "p", "q", "weight").unionByName(connect_components(members, key))
+
+
 def laplacian(edges: DataFrame, key: str = "room_id") -> DataFrame:
     """Entries (key, i, j, value) of I - D^-1/2 W D^-1/2 for undirected edges p, q, weight; nodes without edges have none."""
     both = edges.select(key, F.col("p").alias("i"), F.col("q").alias("j"), "weight").unionByName(edges.select(key, F.col("q").alias("i"), F.col("p").alias("j"), "weight"))

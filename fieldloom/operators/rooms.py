@@ -68,6 +68,25 @@ def room_changes(labels: DataFrame) -> DataFrame:
     return moved.join(old, "to_room", "left").join(new, "from_room", "left").select("from_room", "to_room", kind.alias("kind"), "n_lines")
 
 
+def rewire(room_edges: DataFrame, changes: DataFrame, boundary: DataFrame) -> DataFrame:
+    """Room edges (a < b) after changes (from_room, to_room, kind), as a contraction of the graph.
+
+    A new room is linked with the rooms it comes from and with those that its lines see
+    (``boundary``: room, neighbour); the latter lose their link with the room it comes from. A
+    merged room hands its links over to the room that takes it.
+    """
+    new = changes.where("kind = 'new_room'").select(F.col("from_room").alias("_of"), F.col("to_room").alias("room")).distinct()
+    near = boundary.join(new, "room").where("neighbour != _of AND neighbour != room")
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    cut = near.select(*pair("neighbour", "_of")).join(new.select(*pair("room", "_of")), ["a", "b"], "left_anti").distinct()
+    kept = room_edges.select(*pair("a", "b")).join(cut, ["a", "b"], "left_anti")
+    every = kept.unionByName(new.select(*pair("room", "_of"))).unionByName(near.select(*pair("room", "neighbour")))
+    into = changes.where("kind = 'merged_rooms'").groupBy(F.col("from_room").alias("_gone")).agg(F.min("to_room").alias("_into"))
+    for end in ("a", "b"):
+        every = every.join(into, F.col(end) == F.col("_gone"), "left").withColumn(end, F.coalesce("_into", end)).drop("_gone", "_into")
+    return every.where("a != b").select(*pair("a", "b")).distinct()
+
+
 def room_transitions(visits: DataFrame) -> DataFrame:
     """Distinct pairs a < b of rooms that a robot enters one after the other (robot_id, scan_id, room_id)."""
     before = F.lag("room_id").over(Window.partitionBy("robot_id").orderBy("scan_id"))

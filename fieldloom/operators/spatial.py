@@ -39,31 +39,49 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 1.0) -> D
     return placed.join(covered, ["_cx", "_cy"]).where(inside).drop("_cx", "_cy")
 
 
-#: Lines of a room that travel in one array.
-CHUNK = 64
+#: Sides of the grid cells, coarse to fine, whose short lists of lines points look through.
+SIDES = (4.0, 0.5)
 
 
-def line_chunks(segments: DataFrame, key: str = "room_id") -> DataFrame:
-    """(key, lines): a room's lines in arrays of about ``CHUNK``, dealt by their number, however many they are."""
-    sizes = segments.groupBy(key).agg(F.ceil(F.count("*") / CHUNK).alias("_parts"))
-    dealt = segments.join(sizes, key).withColumn("_part", F.pmod(F.xxhash64("line_id"), F.col("_parts")))
-    return dealt.groupBy(key, "_part").agg(F.collect_list(F.struct("line_id", "x1", "y1", "x2", "y2", "nx", "ny")).alias("lines")).drop("_part")
+def cell_lines(points: DataFrame, segments: DataFrame, key: str = "room_id") -> DataFrame:
+    """(key, _cx, _cy, s): for each fine cell that holds points, the lines of its room that can be nearest to any place in it.
+
+    A line is left out if even its least distance to the cell exceeds another line's largest.
+    Fine cells choose from the list of the coarse cell around them, so a room's lines are
+    compared with its coarse cells only.
+    """
+    side = SIDES[-1]
+    cells = points.select(F.col(key).alias("_key"), _cell(F.col("x"), side).alias("_cx"), _cell(F.col("y"), side).alias("_cy")).distinct()
+    lists = segments.select(F.col(key).alias("_of"), F.struct("line_id", "x1", "y1", "x2", "y2", "nx", "ny").alias("s"))
+    parents: tuple[str, ...] = ()
+    for size in SIDES:
+        step = int(size / side)
+        at = {"_ux": F.expr(f"floor(_cx / {step})"), "_uy": F.expr(f"floor(_cy / {step})")}
+        here = cells.withColumns(at).select("_key", "_ux", "_uy", *([F.expr(f"floor(_cx / {parents[0]})").alias("_px"), F.expr(f"floor(_cy / {parents[0]})").alias("_py")] if parents else [])).distinct()
+        on = F.col("_key") == F.col("_of")
+        if parents:
+            on = on & (F.col("_px") == F.col("_lx")) & (F.col("_py") == F.col("_ly"))
+        middle = [(F.col(c) + 0.5) * size for c in ("_ux", "_uy")]
+        d = F.sqrt(g.segment_distance2(*middle, "s.x1", "s.y1", "s.x2", "s.y2"))
+        met = here.join(lists, on).select("_key", "_ux", "_uy", "s", d.alias("_d"))
+        best = met.groupBy("_key", "_ux", "_uy").agg(F.min("_d").alias("_best"))
+        near = met.join(best, ["_key", "_ux", "_uy"]).where(F.col("_d") <= F.col("_best") + size * 2**0.5 + 1e-4)  # twice half the diagonal
+        lists, parents = near.select(F.col("_key").alias("_of"), F.col("_ux").alias("_lx"), F.col("_uy").alias("_ly"), "s"), (str(step),)
+    return lists.select(F.col("_of").alias(key), F.col("_lx").alias("_cx"), F.col("_ly").alias("_cy"), "s")
 
 
 def nearest_in_room(points: DataFrame, segments: DataFrame, by: tuple[str, ...], key: str = "room_id", digits: int | None = 9) -> DataFrame:
     """``by``, d2, line_id, positive of the nearest line of the key's room for each point (x, y); ties go to the smaller number.
 
-    A point meets each array of its room's lines and keeps the least of it, so neither pairs
-    nor points are sorted by line; squared distances are compared at ``digits`` decimals, so
-    that rounding does not decide ties. ``positive``: the point lies on the line's side.
+    A point meets the short list of its cell (``cell_lines``), two or three lines as a rule.
+    Squared distances are compared at ``digits`` decimals, so that rounding does not decide
+    ties. ``positive``: the point lies on the line's side.
     """
-
-    def of(s: Column) -> Column:
-        d2 = g.segment_distance2("x", "y", s["x1"], s["y1"], s["x2"], s["y2"])
-        side = g.signed_distance("x", "y", s["x1"], s["y1"], s["nx"], s["ny"]) > 0
-        return F.struct((d2 if digits is None else F.round(d2, digits)).alias("d2"), s["line_id"].alias("line_id"), side.alias("positive"))
-
-    met = points.join(line_chunks(segments, key), key).select(*by, F.array_min(F.transform("lines", of)).alias("_m"))
+    lists = cell_lines(points, segments, key)
+    placed = points.select(key, *[c for c in by if c != key], "x", "y").withColumn("_cx", _cell(F.col("x"), SIDES[-1])).withColumn("_cy", _cell(F.col("y"), SIDES[-1]))
+    d2 = g.segment_distance2("x", "y", "s.x1", "s.y1", "s.x2", "s.y2")
+    side = g.signed_distance("x", "y", "s.x1", "s.y1", "s.nx", "s.ny") > 0
+    met = placed.join(lists, [key, "_cx", "_cy"]).select(*by, F.struct((d2 if digits is None else F.round(d2, digits)).alias("d2"), F.col("s.line_id").alias("line_id"), side.alias("positive")).alias("_m"))
     return met.groupBy(*by).agg(F.min("_m").alias("_m")).select(*by, "_m.d2", "_m.line_id", "_m.positive")
 
 

@@ -180,6 +180,53 @@ def split_parts(edges: DataFrame, cfg: MapConfig = DEFAULT, dense: int = DENSE)
     return small.unionByName(parts.join(fit, "room_id").select("room_id", F.col("node").alias("line_id"), part.alias("part")))
 
 
+def cluster_local(w: np.ndarray, label: np.ndarray, current: int, new_lines: bool, cfg: MapConfig = DEFAULT) -> np.ndarray:
+    """Local clusters of the lines around the robot: the current room split in two, or all of them clustered anew, or the rooms as they are.
+
+    The current room is split if the gaps between eigenvalues allow one more cluster than
+    there are rooms and its own graph qualifies (``split_graph``). Otherwise new lines let
+    the gaps choose between as many clusters as rooms and one fewer: one fewer where its gap
+    is larger by 0.1, and a single one for two rooms where the first gap leads by 1.
+    """
+    rooms, here = np.unique(label), label == current
+    clusters = np.searchsorted(rooms, label)
+    values, vectors = laplacian_spectrum(w)
+    best = eigengap(values) if len(values) > 1 else 1
+    if len(rooms) == 1 or best > len(rooms):
+        at = np.flatnonzero(here)
+        parts = split_graph(w[np.ix_(at, at)], cfg)
+        if parts.any():
+            clusters[at[parts == 1]] = len(rooms)
+            return clusters
+    if not new_lines or len(rooms) == 1 or len(values) <= len(rooms):
+        return clusters
+    gaps = np.diff(values)
+    fewer, same = gaps[len(rooms) - 2], gaps[len(rooms) - 1]
+    if best == 1 and len(rooms) == 2 and fewer - same >= 1:
+        return np.zeros_like(clusters)
+    return cluster_qr(vectors[:, : len(rooms) - (fewer - same >= 0.1)])
+
+
+def local_clusters(lines: DataFrame, edges: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
+    """(map_id, line_id, old, local, current) of the lines around each robot (map_id, line_id, old, current, is_new) by their visibility edges (map_id, p, q, weight).
+
+    Lines around a robot are those of its room and of the rooms next to it: one bounded group a map.
+    """
+
+    def run(t: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if not len(t):
+            return pd.DataFrame([], columns=["map_id", "line_id", "old", "local", "current"])
+        t = t.sort_values("line_id")
+        at = {n: i for i, n in enumerate(t["line_id"])}
+        w = np.zeros((len(t),) * 2)
+        for p, q, x in e[["p", "q", "weight"]].itertuples(index=False):
+            w[at[p], at[q]] = w[at[q], at[p]] = x
+        local = cluster_local(w, t["old"].to_numpy(), int(t["current"].iloc[0]), bool(t["is_new"].any()), cfg)
+        return t[["map_id", "line_id", "old", "current"]].assign(local=local)
+
+    return lines.groupBy("map_id").cogroup(edges.groupBy("map_id")).applyInPandas(run, "map_id long, line_id long, old int, current int, local int")
+
+
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """Least-cost assignment (shortest augmenting paths); rows and columns beyond the smaller side stay free."""
     turned = cost.shape[0] > cost.shape[1]
@@ -250,7 +297,7 @@ def carry_labels(line_ids: list[int], old: list[int], local: list[int], current:
     single = clusters.index[(clusters["size"] == 1) & clusters["first"].isin(keeper.index)]
     name.update(clusters.loc[single, "first"].map(keeper))
 
-    found = t["old"].where(t["old"] != current, t["local"].map(name)).astype(int)
+    found = pd.Series([int(name[c]) if o == current else int(o) for o, c in zip(t["old"], t["local"], strict=True)], index=t.index)
     given = found[~found.isin(list(used) + list(old))]
     alone = given[given.map(given.value_counts()) == 1]
     found.loc[alone.index] = t["old"].loc[alone.index]

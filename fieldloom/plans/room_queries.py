@@ -523,3 +523,60 @@ def edf_profile(spark, sf_dir):
 
 
 QUERIES |= {f.__name__: f for f in (corner_apply, edf_profile)}
+
+
+def cut_lines(spark, sf_dir):
+    """All lines, cut at every T-junction and door at once; no SQL (cuts are taken in order along a line), loops in the tests."""
+    from ..operators import maintain
+
+    s, e = v.segments(spark, sf_dir), v.line_edges(spark, sf_dir)
+    parts = maintain.cut_lines(s, maintain.t_joins(s, e), segments.door_candidates(s))
+    return parts.select("line_id", "part", *[r6(c).alias(c) for c in ("x1", "y1", "x2", "y2")], "into")
+
+
+def local_clusters(spark, sf_dir):
+    """Maps of a room's lines each, of two rooms by their numbers, clustered anew; the robot is in the first."""
+    from ..operators import spectral
+
+    s = v.segments(spark, sf_dir)
+    old = s.select(F.col("room_id").cast("long").alias("map_id"), "line_id", (F.col("line_id") % 2).cast("int").alias("old"), F.lit(0).alias("current"), F.lit(True).alias("is_new"))
+    linked = graph.connected(materialize(_seen(spark, sf_dir), "visible"), s.select("room_id", F.col("line_id").alias("node")))
+    return spectral.local_clusters(old, linked.select(F.col("room_id").cast("long").alias("map_id"), "p", "q", "weight"))
+
+
+def follow_changes(spark, sf_dir):
+    """Fields after every line has gone to the room of its new label; inducing points go with their nearest line."""
+    s, labs = v.segments(spark, sf_dir), v.labels(spark, sf_dir)
+    block = F.expr("line_id div 400 * 10").cast("int")
+    both = labs.select("line_id", (block + F.col("old")).alias("old"), (block + F.pmod(F.col("new"), F.lit(10))).alias("new"))
+    vox = materialize(field.voxel_downsample(v.points(spark, sf_dir)).select("room_id", F.lit(0).alias("batch"), "x", "y"), "voxels")
+    state = materialize(field.fit_rooms(vox), "fields")
+    lines = s.drop("room_id").join(both, "line_id").withColumn("room_id", F.col("new"))
+    out = field.follow_changes(state, rooms.room_changes(both), field.moved_points(state, lines), lines)
+    return out.select("room_id", "version", "m", F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), 6).alias("mean_sum"))
+
+
+QUERIES |= {f.__name__: f for f in (cut_lines, local_clusters, follow_changes)}
+
+
+@query(""", labs2 AS (SELECT line_id, CASE WHEN old % 4 = 3 THEN old + 20 ELSE old END AS old, new FROM labs
+), ch AS (SELECT old AS f, new AS t, CASE WHEN new NOT IN (SELECT old FROM labs2) THEN 'new_room' WHEN old NOT IN (SELECT new FROM labs2) THEN 'merged_rooms' ELSE 'moved_lines' END AS kind FROM labs2 WHERE old <> new GROUP BY old, new
+), links AS (SELECT src AS p, dst AS q FROM edges UNION SELECT dst, src FROM edges
+), bound AS (SELECT DISTINCT x.new AS t, y.new AS n FROM links JOIN labs2 x ON x.line_id = p JOIN labs2 y ON y.line_id = q WHERE x.new <> y.new
+), had AS (SELECT DISTINCT least(x.old, y.old) AS a, greatest(x.old, y.old) AS b FROM links JOIN labs2 x ON x.line_id = p JOIN labs2 y ON y.line_id = q WHERE x.old <> y.old
+), fresh AS (SELECT DISTINCT c.f, c.t, b.n FROM ch c JOIN bound b ON b.t = c.t WHERE c.kind = 'new_room' AND b.n <> c.f
+), own AS (SELECT least(f, t) AS a, greatest(f, t) AS b FROM ch WHERE kind = 'new_room'
+), kept AS (
+  SELECT a, b FROM had WHERE (a, b) NOT IN (SELECT (least(n, f), greatest(n, f)) FROM fresh EXCEPT SELECT (a, b) FROM own) UNION SELECT a, b FROM own UNION SELECT least(t, n), greatest(t, n) FROM fresh
+), gone AS (SELECT f, min(t) AS t FROM ch WHERE kind = 'merged_rooms' GROUP BY f
+), moved AS (SELECT coalesce(g.t, a) AS a, coalesce(h.t, b) AS b FROM kept LEFT JOIN gone g ON g.f = a LEFT JOIN gone h ON h.f = b)
+SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM moved WHERE a <> b""")
+def room_rewiring(spark, sf_dir):
+    """The room graph, rooms whose lines are linked, after all lines have taken their new labels."""
+    labs = v.labels(spark, sf_dir).withColumn("old", F.when(F.col("old") % 4 == 3, F.col("old") + 20).otherwise(F.col("old")))
+    e = v.line_edges(spark, sf_dir)
+    links = e.select(F.col("src").alias("p"), F.col("dst").alias("q")).unionByName(e.select(F.col("dst").alias("p"), F.col("src").alias("q")))
+    side = lambda line, which, name: labs.select(F.col("line_id").alias(line), F.col(which).alias(name))
+    had = links.join(side("p", "old", "a"), "p").join(side("q", "old", "b"), "q").where("a < b").select("a", "b").distinct()
+    boundary = links.join(side("p", "new", "room"), "p").join(side("q", "new", "neighbour"), "q").where("room != neighbour").select("room", "neighbour").distinct()
+    return rooms.rewire(had, materialize(rooms.room_changes(labs), "changes"), boundary)
