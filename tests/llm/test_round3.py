@@ -266,7 +266,7 @@ def test_score_query(spark, small):
 def html_of(spark, pages):
     from fieldloom.llm import html_extract
 
-    df = spark.createDataFrame(list(enumerate(pages)) and [(i, "http://h.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    df = spark.createDataFrame([(i, "http://h.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
     return {r.page_id: r.text for r in html_extract.extract_text(df).collect()}
 
 
