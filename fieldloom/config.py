@@ -30,12 +30,10 @@ class MapConfig:
     seed_corner: float = 0.10
     stray_points: int = 10
     edge_tolerance: float = 0.3
-    local_margin: float = 0.4
     gamma_dist: float = 0.02
     gamma_rob: float = 0.005
     fiedler_thresh: float = 0.18
     vis_dist_thresh: float = 8.0
-    remerge_thresh: float = 0.5
     lamb: float = 100.0
     inducing_thresh: float = 0.5e-6
     near_line: float = 0.1

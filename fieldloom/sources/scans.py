@@ -21,8 +21,3 @@ def stream_scans(spark: SparkSession, path: str, fmt: str = "parquet", files_per
 def first_scans(scans: DataFrame, n: int) -> DataFrame:
     """The first n scans of the sequence: by number, not by whichever rows come first."""
     return scans.where(F.col("scan_id") < n)
-
-
-def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
