@@ -51,7 +51,7 @@ class WordTokenizer:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.spelling = {b: 256 + i for i, b in enumerate(hidden)}  # one printable character a byte
-        self.words, self.parts = Memo(self._word, 48 << 20), Memo(self._part, 16 << 20)
+        self.words, self.parts = Memo(self._word, 68 << 20), Memo(self._part, 24 << 20)
 
     def _part(self, part: str) -> bytes:
         spelt = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.spelling)
