@@ -165,21 +165,6 @@ def line_merge(segments: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return m.select(*key, "n_lines", "line_id", "weight", r.alias("r"), t.alias("theta"))
 
 
-def merge_extent(segments: DataFrame) -> DataFrame:
-    """The farthest pair of ends of each room's lines: which line and end gives the left and which the right end.
-
-    The extreme pair of a set lies on its hull; per room its lines are few, and ends are
-    compared once (left before right).
-    """
-    ends = segments.select("room_id", "line_id", F.explode(F.array(*[F.struct(F.lit(i).alias("end"), F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2)])).alias("e"))
-    a = ends.select("room_id", F.struct("line_id", "e.end", "e.x", "e.y").alias("a"))
-    b = ends.select("room_id", F.struct("line_id", "e.end", "e.x", "e.y").alias("b"))
-    before = (F.col("a.line_id") < F.col("b.line_id")) | ((F.col("a.line_id") == F.col("b.line_id")) & (F.col("a.end") < F.col("b.end")))
-    d2 = F.round(F.pow(F.col("a.x") - F.col("b.x"), F.lit(2.0)) + F.pow(F.col("a.y") - F.col("b.y"), F.lit(2.0)), 9)
-    far = a.join(b, "room_id").where(before).groupBy("room_id").agg(F.min(F.struct((-d2).alias("d"), F.col("a.line_id").alias("left_line"), F.col("a.end").alias("left_end"), F.col("b.line_id").alias("right_line"), F.col("b.end").alias("right_end"))).alias("m"))
-    return far.select("room_id", "m.left_line", "m.left_end", "m.right_line", "m.right_end", F.sqrt(-F.col("m.d")).alias("extent"))
-
-
 def corner_candidates(segments: DataFrame, edges: DataFrame | None = None, cfg: MapConfig = DEFAULT) -> DataFrame:
     """Pairs whose end 2 and end 1 are within the corner threshold, with the point where their lines meet.
 

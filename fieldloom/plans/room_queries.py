@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import field, graph, rooms, segments, visibility
+from ..operators import changes, field, graph, hulls, rooms, segments, visibility
 from ..sources.staging import materialize
 from . import views as v
 from .point_queries import NEAREST, ORACLE_SQL, QUERIES, query, r6
@@ -73,7 +73,7 @@ def overlap_join(spark, sf_dir):
 ) SELECT room_id, left_line, CAST(left_end AS INTEGER) AS left_end, right_line, CAST(right_end AS INTEGER) AS right_end, {q('sqrt(d2)')} AS extent FROM pair
 QUALIFY row_number() OVER (PARTITION BY room_id ORDER BY d2 DESC, left_line, left_end, right_line, right_end) = 1""")
 def merge_extent(spark, sf_dir):
-    m = segments.merge_extent(v.segments(spark, sf_dir))
+    m = hulls.farthest_ends(v.segments(spark, sf_dir))
     return m.select("room_id", "left_line", "left_end", "right_line", "right_end", r6("extent").alias("extent"))
 
 
@@ -129,6 +129,48 @@ def gap_candidates(spark, sf_dir):
     return segments.gap_candidates(v.segments(spark, sf_dir), v.line_edges(spark, sf_dir)).select("room_id", "p", "q", r6("gap").alias("gap"))
 
 
+CHANGES = """, log AS (
+  SELECT o_orderkey AS seq, o_custkey AS line_id, CASE o_orderkey % 5 WHEN 0 THEN 'remove' WHEN 1 THEN 'insert' ELSE 'move' END AS kind,
+    CASE WHEN o_orderkey % 5 = 1 THEN CAST(o_orderkey % 20 AS INTEGER) END AS room_id, CASE WHEN o_orderkey % 5 IN (1, 2) THEN o_orderkey % 97 * 0.1::DOUBLE END AS x1, CASE WHEN o_orderkey % 5 IN (1, 2) THEN o_custkey % 89 * 0.1::DOUBLE END AS y1,
+    CASE WHEN o_orderkey % 5 IN (1, 3) THEN o_orderkey % 83 * 0.1::DOUBLE END AS x2, CASE WHEN o_orderkey % 5 IN (1, 3) THEN o_orderkey % 79 * 0.1::DOUBLE END AS y2 FROM orders
+), every AS (
+  SELECT seq, line_id, kind, room_id, x1, y1, x2, y2 FROM log UNION ALL SELECT -1, line_id, 'insert', room_id, x1, y1, x2, y2 FROM segs
+), life AS (
+  SELECT line_id, max(seq) AS born FROM every WHERE kind <> 'move' GROUP BY line_id HAVING arg_max(kind, seq) = 'insert'
+), now AS (
+  SELECT line_id, arg_max(room_id, seq) FILTER (kind = 'insert') AS room_id, arg_max(x1, seq) FILTER (x1 IS NOT NULL) AS x1, arg_max(y1, seq) FILTER (x1 IS NOT NULL) AS y1,
+    arg_max(x2, seq) FILTER (x2 IS NOT NULL) AS x2, arg_max(y2, seq) FILTER (x2 IS NOT NULL) AS y2 FROM every JOIN life USING (line_id) WHERE seq >= born GROUP BY line_id
+), cut AS (SELECT line_id FROM log WHERE kind = 'remove'
+), left_edges AS (SELECT * FROM edges WHERE src NOT IN (FROM cut) AND dst NOT IN (FROM cut))
+"""
+
+
+def _changed(spark, sf_dir):
+    """Lines and edges after the orders' changes: removals, inserts, and moves of one end or of none."""
+    key, end = F.col("o_orderkey"), lambda kinds, c, n: F.when((F.col("o_orderkey") % 5).isin(kinds), c % n * 0.1)
+    kind = F.when(key % 5 == 0, "remove").when(key % 5 == 1, "insert").otherwise("move")
+    log = v.table(spark, sf_dir, "orders").select(
+        key.alias("seq"), F.col("o_custkey").alias("line_id"), kind.alias("kind"), F.when(key % 5 == 1, (key % 20).cast("int")).alias("room_id"),
+        end([1, 2], key, 97).alias("x1"), end([1, 2], F.col("o_custkey"), 89).alias("y1"), end([1, 3], key, 83).alias("x2"), end([1, 3], key, 79).alias("y2"),
+    )
+    return changes.fold_changes(v.segments(spark, sf_dir), v.line_edges(spark, sf_dir), log)
+
+
+@query(CHANGES + f"""SELECT line_id, room_id, {q('x1')} AS x1, {q('y1')} AS y1, {q('x2')} AS x2, {q('y2')} AS y2, {q('(x2 - x1) / nullif(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0)')} AS dx,
+  (SELECT count(*) FROM left_edges e WHERE e.dst = now.line_id) AS n_in, (SELECT count(*) FROM left_edges e WHERE e.src = now.line_id) AS n_out FROM now""")
+def line_changes(spark, sf_dir):
+    lines, edges = _changed(spark, sf_dir)
+    shown = lines.select("line_id", "room_id", *[r6(c).alias(c) for c in ("x1", "y1", "x2", "y2", "dx")])
+    return shown.join(segments.line_degree(lines, edges), "line_id")
+
+
+@query(CHANGES + """, had AS (SELECT DISTINCT room_id, line_id FROM segs), has AS (SELECT room_id, line_id FROM now)
+SELECT room_id, CAST(sum(is_new) AS BIGINT) AS n_lines, CAST(sum(is_new * (1 - is_old)) AS BIGINT) AS n_added, CAST(sum(is_old * (1 - is_new)) AS BIGINT) AS n_removed
+FROM (SELECT room_id, line_id, max(o) AS is_old, max(n) AS is_new FROM (SELECT *, 1 AS o, 0 AS n FROM had UNION ALL SELECT *, 0, 1 FROM has) GROUP BY 1, 2) GROUP BY room_id""")
+def room_line_lists(spark, sf_dir):
+    return changes.room_changes_of(v.segments(spark, sf_dir), _changed(spark, sf_dir)[0])
+
+
 @query("SELECT line_id, (SELECT count(*) FROM edges WHERE dst = line_id) AS n_in, (SELECT count(*) FROM edges WHERE src = line_id) AS n_out FROM segs")
 def line_degree(spark, sf_dir):
     return segments.line_degree(v.segments(spark, sf_dir), v.line_edges(spark, sf_dir))
