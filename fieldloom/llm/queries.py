@@ -11,7 +11,7 @@ from .ann import nearest
 from .common import table
 from .html_extract import extract_text
 from .packing import pack
-from .quality_rules import apply_policy, ledger
+from .quality_rules import POLICIES, RULES, ablations, apply_policy, ledger
 from .simhash import simhash_components
 from .url_filter import filter_urls
 
@@ -67,6 +67,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.withColumn("base_failed", ~F.col("base_kept")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op5_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per rule: the documents that fail it, and those that it alone rejects."""
+    return ablations(ledger(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -129,6 +134,13 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM bits
 """
 
+#: The bits of the policy's rules, unnested.
+_BITS = ", ".join(f"{{'rule': '{r}', 'bit': {1 << RULES.index(r)}}}" for r in POLICIES["v1"])
+ABLATIONS_SQL = f"""
+SELECT r.rule AS rule, count(*) AS n_failed, count(*) FILTER (fail_bits = r.bit) AS n_only_this
+FROM (SELECT fail_bits, unnest([{_BITS}]) AS r FROM ({OP5_SQL})) WHERE (fail_bits & r.bit) <> 0 GROUP BY 1
+"""
+
 OP10_SQL = r"""
 WITH u AS (
   SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -189,5 +201,5 @@ SELECT doc_id, leaf, subroot, b_root.root, proof_sha256, f AS folded_root, f = b
 """
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_nearest_vectors": op6_nearest_vectors, "op7_chat_format": op7_chat_format, "op9_html_text": op9_html_text, "op5_quality_rules": op5_quality_rules, "op8_simhash_dedup": op8_simhash_dedup, "op10_url_filter": op10_url_filter, "op11_merkle": op11_merkle, "op12_whitening": op12_whitening, "op13_lm_score": op13_lm_score}
-ORACLE_SQL = {"op5_quality_rules": OP5_SQL, "op10_url_filter": OP10_SQL, "op11_merkle": op11_sql()}
+QUERIES = {"op1_packing": op1_packing, "op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_nearest_vectors": op6_nearest_vectors, "op7_chat_format": op7_chat_format, "op9_html_text": op9_html_text, "op5_quality_rules": op5_quality_rules, "op5_rule_ablations": op5_rule_ablations, "op8_simhash_dedup": op8_simhash_dedup, "op10_url_filter": op10_url_filter, "op11_merkle": op11_merkle, "op12_whitening": op12_whitening, "op13_lm_score": op13_lm_score}
+ORACLE_SQL = {"op5_quality_rules": OP5_SQL, "op5_rule_ablations": ABLATIONS_SQL, "op10_url_filter": OP10_SQL, "op11_merkle": op11_sql()}

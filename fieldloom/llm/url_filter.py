@@ -37,7 +37,7 @@ def _labels(host: Column) -> Column:
 def _rule_stacks(rules: DataFrame) -> DataFrame:
     """One row per rule key: the rules whose intervals hold it, outermost first, itself last."""
     host = ascii_lower(F.trim(F.coalesce(F.col("host"), F.lit(""))))
-    path = F.coalesce(F.col("path"), F.lit("/"))
+    path = F.when(F.col("path") != "", F.col("path")).otherwise("/")  # a bare host stops at its end
     keyed = (
         rules.select(host.alias("_h"), path.alias("_p"), F.col("verdict").alias("_v"))
         .select(
@@ -60,7 +60,7 @@ def _rule_stacks(rules: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", salts: int | None = None) -> DataFrame:
     """Judge every url by its longest fitting rule.
 
-    ``rules``: host, path, verdict (``block`` or ``allow``). Returns one row per input row:
+    ``rules``: host, path (null or empty: ``/``), verdict (``block`` or ``allow``). Returns one row per input row:
     id, url, host, path, rule (null if none fits), verdict (``default`` if none fits).
     A null url, or one without ``://``, has empty host and path and takes the default, as a
     url with an empty path fits no rule that starts with ``/``. Longest: most characters of

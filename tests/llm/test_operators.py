@@ -71,6 +71,13 @@ def test_rule_policies_and_ablation(spark, odd):
     assert quality_rules.passing(odd).columns == odd.columns
 
 
+def test_rule_of_a_bare_host(spark):
+    pages = spark.createDataFrame([(1, "http://network/a"), (2, "http://a.net/"), (3, "http://net/b")], "page_id long, url string")
+    rules = [("net", "", "block"), ("a.net", None, "allow")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert got == {1: (None, "allow"), 2: ("a.net/", "allow"), 3: ("net/", "block")}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_with_sql(same_as_sql, name):
     same_as_sql(queries.QUERIES[name], queries.ORACLE_SQL[name])
