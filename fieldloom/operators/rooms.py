@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,22 +96,50 @@ def room_transitions(visits: DataFrame) -> DataFrame:
     return moves.select(F.least("_b", "room_id").alias("a"), F.greatest("_b", "room_id").alias("b")).distinct()
 
 
-def rect_distance2(x: str, y: str, r: str) -> Column:
-    dx = F.greatest(F.col(f"{r}.min_x") - F.col(x), F.col(x) - F.col(f"{r}.max_x"), F.lit(0.0))
-    dy = F.greatest(F.col(f"{r}.min_y") - F.col(y), F.col(y) - F.col(f"{r}.max_y"), F.lit(0.0))
-    return dx * dx + dy * dy
-
-
 def in_rect(x: str, y: str, r: str) -> Column:
     return F.col(x).between(F.col(f"{r}.min_x"), F.col(f"{r}.max_x")) & F.col(y).between(F.col(f"{r}.min_y"), F.col(f"{r}.max_y"))
 
 
-def knn_rooms(points: DataFrame, rooms: DataFrame, k: int = 2, cell: float = 4.0) -> DataFrame:
+def _near_boxes(placed: DataFrame, reach: DataFrame, k: int, share: int) -> DataFrame:
+    """(point_id, room_id, d2): for every point those of its cell's boxes (_cx, _cy) that can be among the k nearest.
+
+    Points and boxes of a cell are dealt into parts of about ``share``; a task compares one
+    part of either and leaves some k boxes a point, so that no task holds a whole cell and no
+    pairs are sorted or shuffled.
+    """
+    on = ["_cx", "_cy"]
+    count = lambda df, n: df.groupBy(*on).agg(F.ceil(F.count("*") / share).cast("int").alias(n))
+    parts = materialize(count(placed, "_np").join(count(reach, "_nb"), on), "knn-parts")
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    p = placed.join(parts, on).select(*on, own("point_id", "_np").alias("_p"), each("_nb").alias("_b"), "point_id", "x", "y")
+    b = reach.join(parts, on).select(*on, each("_np").alias("_p"), own("room_id", "_nb").alias("_b"), "room_id", "min_x", "min_y", "max_x", "max_y")
+
+    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        r = r.sort_values("room_id", ignore_index=True)
+        low_x, low_y, high_x, high_y = (r[c].to_numpy(float) for c in ("min_x", "min_y", "max_x", "max_y"))
+        found = [pd.DataFrame({"point_id": q["point_id"][:0], "room_id": r["room_id"][:0], "d2": np.zeros(0)})]
+        for at in range(0, len(q) if len(r) else 0, 256):
+            x, y = (q[c].to_numpy(float)[at : at + 256, None] for c in "xy")
+            d2 = np.maximum(np.maximum(low_x - x, x - high_x), 0.0) ** 2 + np.maximum(np.maximum(low_y - y, y - high_y), 0.0) ** 2
+            kth = np.partition(d2, min(k, len(r)) - 1, axis=1)[:, min(k, len(r)) - 1]
+            i, j = np.nonzero(d2 <= (kth * (1 + 1e-12) + 2e-9)[:, None])  # squares that may be equal at nine decimals
+            rows = pd.DataFrame({"i": i, "d2": d2[i, j], "j": j}).groupby(["i", "d2"]).head(k)
+            found.append(pd.DataFrame({"point_id": q["point_id"].to_numpy()[at + rows["i"]], "room_id": r["room_id"].to_numpy()[rows["j"]], "d2": rows["d2"].to_numpy()}))
+        return pd.concat(found, ignore_index=True)
+
+    kind = lambda df, c: f"{c} {df.schema[c].dataType.simpleString()}"
+    key = [*on, "_p", "_b"]
+    return p.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(run, f"{kind(placed, 'point_id')}, {kind(reach, 'room_id')}, d2 double")
+
+
+def knn_rooms(points: DataFrame, rooms: DataFrame, k: int = 2, cell: float = 4.0, share: int = 4096) -> DataFrame:
     """The k nearest room boxes of every point, by distance (at nine decimals of its square) and then number.
 
     Boxes are looked for in the grid cell of the point and the eight around it. A point whose
     k-th box found lies within one cell's width is done, as no other box can be nearer; the
-    others take cells four times as wide, until these span everything.
+    others take cells four times as wide, until these span everything. ``share``: the points
+    and boxes that one task compares (``_near_boxes``).
     """
     k = min(k, rooms.limit(k).count())
     bounds = rooms.agg(F.min("min_x"), F.min("min_y"), F.max("max_x"), F.max("max_y")).first()
@@ -117,15 +147,14 @@ def knn_rooms(points: DataFrame, rooms: DataFrame, k: int = 2, cell: float = 4.0
     if not k or spread[0] is None:
         return points.where("false").select("point_id", F.lit(0).alias("rank"), F.lit(0).alias("room_id"), F.lit(0.0).alias("distance"))
     extent = max(max(bounds[i + 2], spread[i + 2]) - min(bounds[i], spread[i]) for i in (0, 1))
-    d2 = F.round(rect_distance2("x", "y", "r"), 9)
     left, found = points.select("point_id", "x", "y"), []
     while True:
         at = lambda c: F.floor(F.col(c) / cell)  # noqa: E731, B023
-        span = lambda c: F.explode(F.sequence(F.floor(F.col(f"r.min_{c}") / cell) - 1, F.floor(F.col(f"r.max_{c}") / cell) + 1))  # noqa: E731, B023
-        reach = rooms.select(F.struct("*").alias("r")).withColumn("_cx", span("x")).withColumn("_cy", span("y"))
-        near = left.withColumn("_cx", at("x")).withColumn("_cy", at("y")).join(reach, ["_cx", "_cy"]).withColumn("d2", d2)
-        ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("point_id").orderBy("d2", "r.room_id"))).where(F.col("_k") <= k)
-        ranked = materialize(ranked.select("point_id", "_k", F.col("r.room_id").alias("room_id"), "d2"), "knn-rooms")
+        span = lambda c: F.explode(F.sequence(F.floor(F.col(f"min_{c}") / cell) - 1, F.floor(F.col(f"max_{c}") / cell) + 1))  # noqa: E731, B023
+        reach = rooms.withColumn("_cx", span("x")).withColumn("_cy", span("y"))
+        near = _near_boxes(left.withColumn("_cx", at("x")).withColumn("_cy", at("y")), reach, k, share).withColumn("d2", F.round("d2", 9))
+        ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("point_id").orderBy("d2", "room_id"))).where(F.col("_k") <= k)
+        ranked = materialize(ranked.select("point_id", "_k", "room_id", "d2"), "knn-rooms")
         if cell > extent:
             found.append(ranked)
             break

@@ -154,6 +154,21 @@ def test_nearest_lines_and_rooms(spark):
         assert [got[i, k] for k in (1, 2, 3)] == [r for _, r in sorted(d)[:3]]
 
 
+def test_nearest_boxes_of_a_full_cell_in_parts(spark):
+    """All points and boxes in one cell, many boxes alike: parts of seven give the brute force's boxes, and each part leaves a few a point."""
+    rng = np.random.default_rng(3)
+    boxes = [(i, *(c := rng.integers(-2, 3, 2) * 0.25).tolist(), *(c + 0.5).tolist()) for i in range(60)]
+    far = [(i, *map(float, rng.uniform(-3, 3, 2))) for i in range(40)]
+    points, table = spark.createDataFrame(far, "point_id int, x double, y double"), spark.createDataFrame(boxes, "room_id int, min_x double, min_y double, max_x double, max_y double")
+    got = {(r.point_id, r.rank): r.room_id for r in rooms.knn_rooms(points, table, 2, 100.0, share=7).collect()}
+    for i, x, y in far:
+        d = sorted((round(max(b[1] - x, x - b[3], 0) ** 2 + max(b[2] - y, y - b[4], 0) ** 2, 9), b[0]) for b in boxes)
+        assert [got[i, k] for k in (1, 2)] == [r for _, r in d[:2]]
+    cell = {"_cx": F.lit(0), "_cy": F.lit(0)}
+    left = rooms._near_boxes(points.withColumns(cell), table.withColumns(cell), 2, 30).count()
+    assert left <= 40 * 3 * 2  # of either part of boxes those before the second's distance and two at it, not all sixty
+
+
 def ring_brute(points, cfg=DEFAULT):
     """(status, points in order) of every cluster of one scan after the ring pass; points are (beam, x, y, range)."""
     n = len(points)
