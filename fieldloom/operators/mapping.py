@@ -1,7 +1,8 @@
-"""The robot's line map: one step per scan, the same for batches and streams."""
+"""The robot's line map: one step per segment, the same for batches and streams."""
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,21 +56,76 @@ def merge_lines(lines: np.ndarray) -> np.ndarray:
     return np.concatenate((mid + at.min() * u, mid + at.max() * u, n, [w.max() + 1]))
 
 
-def step(state: dict[int, np.ndarray], new: np.ndarray, cfg: MapConfig = DEFAULT) -> dict[int, np.ndarray]:
-    """The map after one scan's segments (rows of ``LINE``): each merges into the lines that show the same wall, or is added.
+class LineMap:
+    """A robot's lines by number, with the grid cells of their boxes, so that a segment meets the lines around it only.
 
-    The survivor keeps the smallest number; lines are tried in order of their numbers.
+    A line lies in the cells of the level whose side is at least its box's, four at most.
     """
-    state = dict(state)
-    for s in new:
-        same = [k for k in sorted(state) if same_wall(state[k], s, cfg)]
+
+    def __init__(self, lines: dict[int, np.ndarray] | None = None, cfg: MapConfig = DEFAULT) -> None:
+        self.cfg, self.lines, self._boxes = cfg, {}, {}
+        self._levels: dict[int, dict[tuple[int, int], set[int]]] = {}
+        for k, s in (lines or {}).items():
+            self._put(k, s)
+        self._top = [-k for k in self.lines]
+        heapq.heapify(self._top)
+
+    def _homes(self, s: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+        low, high = np.minimum(s[0:2], s[2:4]), np.maximum(s[0:2], s[2:4])
+        if not np.isfinite(high - low).all():
+            return 0, []
+        level = max(int(np.ceil(np.log2(max((high - low).max(), 1.0)))), 0)
+        (i, j), (m, n) = np.floor(low / 2.0**level).astype(int), np.floor(high / 2.0**level).astype(int)
+        return level, [(x, y) for x in range(i, m + 1) for y in range(j, n + 1)]
+
+    def _put(self, k: int, s: np.ndarray) -> None:
+        self.lines[k], self._boxes[k] = s, (min(s[0], s[2]), min(s[1], s[3]), max(s[0], s[2]), max(s[1], s[3]))
+        level, homes = self._homes(s)
+        for c in homes:
+            self._levels.setdefault(level, {}).setdefault(c, set()).add(k)
+
+    def _take(self, k: int) -> np.ndarray:
+        s = self.lines.pop(k)
+        level, homes = self._homes(s)
+        for c in homes:
+            held = self._levels[level][c]
+            held.discard(k)
+            if not held:
+                del self._levels[level][c]
+        return s
+
+    def _around(self, s: np.ndarray) -> list[int]:
+        """Numbers, in order, of the lines whose boxes can be within ``delta_d`` of the segment's."""
+        reach = self.cfg.delta_d + 1e-6
+        low, high = np.minimum(s[0:2], s[2:4]) - reach, np.maximum(s[0:2], s[2:4]) + reach
+        if not np.isfinite(high - low).all():
+            return []
+        found: set[int] = set()
+        for level, cells in self._levels.items():
+            (i, j), (m, n) = np.floor(low / 2.0**level).astype(int), np.floor(high / 2.0**level).astype(int)
+            if (m - i + 1) * (n - j + 1) > len(cells):  # a long segment over few cells
+                here = [c for c in cells if i <= c[0] <= m and j <= c[1] <= n]
+            else:
+                here = [(x, y) for x in range(i, m + 1) for y in range(j, n + 1)]
+            for c in here:
+                found |= cells.get(c, set())
+        meets = lambda b: b[0] <= high[0] and b[1] <= high[1] and b[2] >= low[0] and b[3] >= low[1]
+        return sorted(k for k in found if meets(self._boxes[k]))
+
+    def add(self, s: np.ndarray) -> None:
+        """A segment merges into the lines that show the same wall, or is added.
+
+        The survivor keeps the smallest number; a new line has the one after the largest.
+        """
+        same = [k for k in self._around(s) if same_wall(self.lines[k], s, self.cfg)]
         if same:
-            state[same[0]] = merge_lines(np.array([*(state[k] for k in same), s]))
-            for k in same[1:]:
-                del state[k]
-        else:
-            state[max(state, default=-1) + 1] = s
-    return state
+            self._put(same[0], merge_lines(np.array([*(self._take(k) for k in same), s])))
+            return
+        while self._top and -self._top[0] not in self.lines:
+            heapq.heappop(self._top)
+        number = 1 - self._top[0] if self._top else 0
+        heapq.heappush(self._top, -number)
+        self._put(number, s)
 
 
 def as_rows(robot: str, state: dict[int, np.ndarray], last: int) -> pd.DataFrame:
@@ -86,22 +142,21 @@ def build_map(segments: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
     """The final line map of every robot from its scans' segments (robot_id, scan_id, line_id and ``LINE``).
 
     Order matters within a robot only: its segments pass in order through one task, which
-    holds a batch of them and the map, never all.
+    holds a batch of them and the map, never all. A segment meets the lines around it, not the
+    whole map.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        robot, scan, state, rows = None, -1, {}, []
+        robot, scan, held = None, -1, LineMap(cfg=cfg)
         for b in batches:
             for r, at, *line in zip(b["robot_id"], b["scan_id"], *(b[c] for c in LINE), strict=True):
-                if rows and (r != robot or at != scan):
-                    state, rows = step(state, np.array(rows, float), cfg), []
                 if r != robot and robot is not None:
-                    yield as_rows(robot, state, scan)
-                    state = {}
+                    yield as_rows(robot, held.lines, scan)
+                    held = LineMap(cfg=cfg)
                 robot, scan = r, int(at)
-                rows.append(line)
+                held.add(np.array(line, float))
         if robot is not None:
-            yield as_rows(robot, step(state, np.array(rows, float), cfg), scan)
+            yield as_rows(robot, held.lines, scan)
 
     ordered = segments.select(F.col("robot_id").cast("string").alias("robot_id"), "scan_id", "line_id", *LINE).where("robot_id IS NOT NULL")
     return ordered.repartition("robot_id").sortWithinPartitions("robot_id", "scan_id", "line_id").mapInPandas(run, MAP)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULT, MapConfig
 from ..operators.ingest import scan_to_points
-from ..operators.mapping import LINE, MAP, as_rows, step
+from ..operators.mapping import LINE, MAP, LineMap, as_rows
 
 _GATE = "last_scan long, x double, y double"
 _STATE = "last_scan long, ids array<int>, lines array<array<double>>"
@@ -53,11 +53,13 @@ def update_map(segments: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, ids, lines = state.get if state.exists else (-1, [], [])
-        held = {int(k): np.array(s) for k, s in zip(ids, lines, strict=True)}
+        held = LineMap({int(k): np.array(s) for k, s in zip(ids, lines, strict=True)}, cfg)
         new = pd.concat(list(batches))
         for scan, rows in new[new["scan_id"] > last].sort_values(["scan_id", "line_id"]).groupby("scan_id"):
-            held, last = step(held, rows[LINE].to_numpy(float), cfg), int(scan)
-        state.update((last, list(held), [s.tolist() for s in held.values()]))
-        yield as_rows(key[0], held, last)
+            last = int(scan)
+            for line in rows[LINE].to_numpy(float):
+                held.add(line)
+        state.update((last, list(held.lines), [s.tolist() for s in held.lines.values()]))
+        yield as_rows(key[0], held.lines, last)
 
     return segments.groupBy("robot_id").applyInPandasWithState(run, MAP, _STATE, "update", GroupStateTimeout.NoTimeout)

@@ -42,6 +42,23 @@ def test_a_closed_chain_of_gaps_keeps_its_lines(spark):
     assert {r.absorbed for r in got} <= set(range(1, n)) and {(round(r.x1, 6), round(r.y1, 6)) for r in got} <= {tuple(round(v, 6) for v in at(k)) for k in range(n)}
 
 
+def test_segments_meet_only_the_lines_around_them():
+    """The map equals that of a loop over all lines, whatever their lengths; a segment is compared with a few of them."""
+    rng, n = np.random.default_rng(4), 240
+    at, turn, size = np.column_stack((rng.uniform(0, 3, n), rng.uniform(0, 40, n))), rng.choice([0, np.pi / 2], n) + rng.normal(0, 0.1, n), rng.choice([0.3, 1.0, 9.0], n)
+    way = np.column_stack((np.cos(turn), np.sin(turn)))
+    rows = np.column_stack((at, at + size[:, None] * way, -way[:, 1], way[:, 0], np.ones(n)))
+    want, held, met = {}, mapping.LineMap(), []
+    for s in rows:
+        same = [k for k in sorted(want) if mapping.same_wall(want[k], s, mapping.DEFAULT)]
+        merged = mapping.merge_lines(np.array([*(want.pop(k) for k in same), s])) if same else s
+        want[same[0] if same else max(want, default=-1) + 1] = merged
+        met.append(len(held._around(s)) / max(len(held.lines), 1))
+        held.add(s)
+    assert sorted(held.lines) == sorted(want) and all(np.array_equal(held.lines[k], want[k]) for k in want)
+    assert np.mean(met) < 0.5
+
+
 def test_a_closed_chain_absorbs_nothing_beside_an_open_one(spark):
     """Two opposite lines whose ends continue in each other have no first line and stay; a chain of three next to them is joined."""
     rows = [a_line(1, 0, 0, 1, 0), a_line(2, 1.1, 0.01, 0.1, 0.01)] + [a_line(k, 5 + 2.3 * k, 9, 7 + 2.3 * k, 9) for k in (3, 4, 5)]
