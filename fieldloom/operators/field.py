@@ -106,14 +106,17 @@ def chol(m: np.ndarray, jitter: float) -> np.ndarray:
     raise np.linalg.LinAlgError("not positive definite")
 
 
-def segment_prior(x: np.ndarray, segs: np.ndarray, lamb: float) -> np.ndarray:
-    """exp(-lambda * distance) to the nearest of the segments (n, 4); zero without any."""
+def segment_prior(x: np.ndarray, segs: np.ndarray, lamb: float, part: int = 1 << 18) -> np.ndarray:
+    """exp(-lambda * distance) to the nearest of the segments (n, 4); zero without any. About ``part`` pairs are held at a time."""
     if not len(segs):
         return np.zeros(len(x))
-    a, ab = segs[None, :, :2], segs[None, :, 2:] - segs[None, :, :2]
-    n = (ab**2).sum(-1)
-    t = np.clip(((x[:, None] - a) * ab).sum(-1) / np.where(n > 0, n, 1), 0, 1)
-    d2 = ((x[:, None] - a - t[..., None] * ab) ** 2).sum(-1).min(1)
+    d2 = np.full(len(x), np.inf)
+    step = max(part // max(len(x), 1), 1)
+    for at in range(0, len(segs), step):
+        a, ab = segs[None, at : at + step, :2], segs[None, at : at + step, 2:] - segs[None, at : at + step, :2]
+        n = (ab**2).sum(-1)
+        t = np.clip(((x[:, None] - a) * ab).sum(-1) / np.where(n > 0, n, 1), 0, 1)
+        d2 = np.minimum(d2, ((x[:, None] - a - t[..., None] * ab) ** 2).sum(-1).min(1))
     return np.exp(-lamb * np.sqrt(d2))
 
 

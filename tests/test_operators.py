@@ -203,6 +203,20 @@ def test_fields_follow_room_changes(spark):
         assert np.allclose(got[r].weights, field.weights(f, np.zeros((0, 4)), DEFAULT))
 
 
+def test_the_prior_of_many_lines_is_held_in_parts():
+    """All lines count, in parts of any size, and the memory does not grow with points times lines."""
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    x, segs = rng.uniform(-3, 3, (200, 2)), rng.uniform(-3, 3, (4000, 4))
+    segs[3999] = [*x[7], 9, 9]
+    tracemalloc.start()
+    got = field.segment_prior(x, segs, 10.0)
+    assert tracemalloc.get_traced_memory()[1] < 40e6  # 200 * 4000 pairs at once take over 60 MB
+    tracemalloc.stop()
+    assert got[7] == 1.0 and np.array_equal(got, field.segment_prior(x, segs, 10.0, 1)) and np.array_equal(got, field.segment_prior(x, segs, 10.0, 1 << 40))
+
+
 def test_novelty_is_a_distance_anti_join(spark):
     rng = np.random.default_rng(6)
     mk = lambda n, o: spark.createDataFrame([(i + o, 0, *map(float, v)) for i, v in enumerate(rng.uniform(0, 2, (n, 2)))], "point_id int, room_id int, x double, y double")
