@@ -252,6 +252,9 @@ def apply_changes(fields: dict[int, Field], changes: list[tuple[int, int, str, n
 
 # The same per room on Spark
 
+#: States a file: one has two square matrices of its inducing points, megabytes a row.
+STATES = 8
+
 
 def _row(room: int, version: int, field: Field, segs: np.ndarray, cfg: MapConfig) -> list:
     return [room, version, len(field.z), field.z[:, 0], field.z[:, 1], field.mean, list(field.cov), field.old_z[:, 0], field.old_z[:, 1], field.old_mean, list(field.old_c), weights(field, segs, cfg)]
@@ -356,14 +359,13 @@ def follow_changes(state: DataFrame, changes: DataFrame, moved: DataFrame, segme
     go = moved.groupBy(room("room_id").alias("source"), room("to_room").alias("target")).agg(F.sort_array(F.collect_list("i")).alias("go"))  # a room's inducing points at most
     steps = materialize(steps.join(go, ["source", "target"], "left"), "field-changes")
     group = materialize(components(steps.select(F.col("source").alias("a"), F.col("target").alias("b")), "field-groups"), "field-group")
-    held = state.join(_room_lines(segments), "room_id", "full").select(*[F.col(c) for c in names(GP_STATE)], "lines")
-    mine = held.join(group.select(F.col("node").alias("room_id"), F.col("root").alias("_of")), "room_id")
+    of = lambda c: group.select(F.col("node").alias(c), F.col("root").alias("_of"))
+    mine = state.join(of("room_id"), "room_id").select("_of", *names(GP_STATE))
 
     def run(s: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        lines = {int(r["room_id"]): _line_array(r["lines"]) for _, r in s.iterrows()}
-        known = [r for _, r in s.iterrows() if r["zx"] is not None]
-        fields, versions = {int(r["room_id"]): _field(r) for r in known}, {int(r["room_id"]): int(r["version"]) for r in known}
-        for _, r in c.sort_values(["source", "target"]).iterrows():
+        lines = {int(r["source"]): _line_array(r["lines"]) for _, r in c[c["kind"].isna()].iterrows()}
+        fields, versions = {int(r["room_id"]): _field(r) for _, r in s.iterrows()}, {int(k): int(n) for k, n in zip(s["room_id"], s["version"], strict=True)}
+        for _, r in c[c["kind"].notna()].sort_values(["source", "target"]).iterrows():
             if int(r["source"]) in fields:
                 mask = np.zeros(len(fields[int(r["source"])].z), bool)
                 mask[[i for i in (r["go"] if r["go"] is not None else []) if i < len(mask)]] = True
@@ -372,7 +374,9 @@ def follow_changes(state: DataFrame, changes: DataFrame, moved: DataFrame, segme
         return pd.DataFrame([_row(k, versions.get(k, 0) + 1, f, lines.get(k, none), cfg) for k, f in sorted(fields.items())], columns=names(GP_STATE))
 
     other = state.join(group.select(F.col("node").alias("room_id")), "room_id", "left_anti").select(*names(GP_STATE))
-    grouped = steps.join(group.select(F.col("node").alias("source"), F.col("root").alias("_at")), "source").select("_at", "source", "target", "kind", "go")
+    steps = steps.join(of("source"), "source").select(F.col("_of").alias("_at"), "source", "target", "kind", "go")
+    walls = _room_lines(segments).join(of("room_id"), "room_id").select(F.col("_of").alias("_at"), F.col("room_id").alias("source"), F.col("room_id").alias("target"), "lines")
+    grouped = steps.unionByName(walls, allowMissingColumns=True)  # a room's lines come with the changes, so that states are shuffled once
     return other.unionByName(mine.groupBy("_of").cogroup(grouped.groupBy("_at")).applyInPandas(run, GP_STATE))
 
 

@@ -97,5 +97,5 @@ def build(scans: DataFrame, increment: float, cfg: MapConfig = DEFAULT, prior: b
     placed = materialize(left.join(at_wall, list(segments.CLUSTER), "left_anti").withColumn("point_id", F.concat_ws("/", "robot_id", "scan_id", "beam")).select("point_id", "x", "y"), "world-residual")
     in_room = rooms.identify_room(placed, boxes, lines)
     voxels = field.voxel_downsample(placed.join(in_room, "point_id"), cfg.r_voxel)
-    state = materialize(field.fit_rooms(voxels.select("room_id", F.lit(0).alias("batch"), "x", "y"), lines if prior else None, cfg), "world-fields")
+    state = materialize(field.fit_rooms(voxels.select("room_id", F.lit(0).alias("batch"), "x", "y"), lines if prior else None, cfg), "world-fields", field.STATES)
     return World(clusters, lines, boxes, state, cfg)

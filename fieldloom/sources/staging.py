@@ -18,9 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(os.getcwd(), "spark-checkpoint")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``rows_per_file``: at most so many rows a file, for rows of megabytes, as writers and
+    readers hold thousands of a file's rows at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -39,7 +39,7 @@ class RoomState:
 
     def save(self, path: str) -> None:
         for f in fields(self):
-            getattr(self, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
+            getattr(self, f.name).write.option("maxRecordsPerFile", field.STATES if f.name == "states" else 0).mode("overwrite").parquet(f"{path}/{f.name}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> RoomState:

@@ -217,6 +217,22 @@ def test_the_prior_of_many_lines_is_held_in_parts():
     assert got[7] == 1.0 and np.array_equal(got, field.segment_prior(x, segs, 10.0, 1)) and np.array_equal(got, field.segment_prior(x, segs, 10.0, 1 << 40))
 
 
+def test_states_are_kept_a_few_a_file_and_follow_with_their_lines(spark):
+    """A file holds at most the states asked for; after a move the weights are those above the prior of the rooms' lines."""
+    from fieldloom.sources.staging import materialize
+
+    rng = np.random.default_rng(18)
+    rows = [(r, 0, float(x), float(y)) for r in range(9) for x, y in rng.uniform(0, 2, (12, 2)) + 5 * r]
+    fitted = field.fit_rooms(spark.createDataFrame(rows, "room_id int, batch int, x double, y double").coalesce(1))
+    state = materialize(fitted, "states", rows_per_file=2)
+    assert len(state.inputFiles()) >= 5 and state.count() == 9
+    lines = spark.createDataFrame([(r, r, 5.0 * r, 0.0, 5.0 * r, 9.0) for r in (0, 1, 20)], "room_id long, line_id long, x1 double, y1 double, x2 double, y2 double")
+    changes, moved = spark.createDataFrame([(0, 1, "moved_lines")], "from_room int, to_room int, kind string"), spark.createDataFrame([(0, 3, 1)], "room_id int, i int, to_room int")
+    for r in field.follow_changes(state, changes, moved, lines).where("room_id < 2").collect():
+        f = field._field(r.asDict())
+        assert r.m == len(f.z) == (11, 13)[r.room_id] and np.allclose(r.weights, field.weights(f, np.array([[5.0 * r.room_id, 0, 5.0 * r.room_id, 9]]), DEFAULT))
+
+
 def test_novelty_is_a_distance_anti_join(spark):
     rng = np.random.default_rng(6)
     mk = lambda n, o: spark.createDataFrame([(i + o, 0, *map(float, v)) for i, v in enumerate(rng.uniform(0, 2, (n, 2)))], "point_id int, room_id int, x double, y double")
