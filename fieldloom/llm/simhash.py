@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import LOWER, UPPER, Memo, id_type, map_rows, materialize, spotted
+from .common import LOWER, UPPER, id_type, map_rows, materialize, spotted
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -113,13 +113,12 @@ ROUNDS, FEW = 1, 4
 #: Texts of a shingle beyond which not all of its pairs are made.
 LARGE = 64
 _MIX, _FINISH = np.uint64(0xBF58476D1CE4E5B9), (np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
-_words = Memo(lambda w: xxhash.xxh64_digest(w, 42))
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A hash of each word, A-Z lower-cased."""
-    known = _words
-    return np.frombuffer(b"".join([known[w] for w in text.encode("utf-8", "surrogatepass").translate(_LOWER).split()]), "<u8")
+    """A hash of each word, A-Z lower-cased. None is remembered: workers go on to other stages and would keep it."""
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(w, 42) for w in text.encode("utf-8", "surrogatepass").translate(_LOWER).split()]), "<u8")
 
 
 def mixed(words: np.ndarray, size: int) -> np.ndarray:
@@ -234,13 +233,23 @@ def _rooted(shared: DataFrame, roots: DataFrame, name: str) -> DataFrame:
     return materialize(rows.withColumn("_low", F.min("root").over(of)).withColumn("_high", F.max("root").over(of)).where("_low < _high").drop("_low", "_high"), f"neardup-rooted{name}")
 
 
-def _pairs_left(rooted: DataFrame) -> tuple[int, int]:
-    """Rows, and pairs of rows of one shingle and different roots."""
+def _crowds(rooted: DataFrame, name: str) -> DataFrame:
+    """(token, n, pairs): rows of each shingle, and pairs of them with different roots."""
     by_root = rooted.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
-    rows, pairs = by_root.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+    return materialize(by_root.select("token", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")), f"neardup-crowds{name}")
+
+
+def _pairs_left(crowds: DataFrame) -> tuple[int, int]:
+    """Rows, and pairs of rows of one shingle and different roots."""
+    rows, pairs = crowds.agg(F.sum("n"), F.sum("pairs")).first()
     return rows or 0, int(pairs or 0)
 
 
+def _crowded(rooted: DataFrame, crowds: DataFrame) -> DataFrame:
+    """The rows of shingles that make more than ``FEW`` pairs a row; all others together make few enough."""
+    return rooted.hint("merge").join(crowds.where(F.col("pairs") > FEW * F.col("n")).select("token"), "token")
+
+
 def _starred(rooted: DataFrame) -> DataFrame:
     """(x, y): for each text the most central text of another root that it shares shingles with.
 
@@ -334,8 +343,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     five-word shingles would differ in about ten bits at that similarity, out of reach of any
     small ball) and with one found by prefix shingles. The last pass checks every pair still
     in different groups that a prefix filter, which is exact, leaves: no pair is lost. Before
-    it, while a shingle's texts make many pairs (a large group of near copies in several
-    pieces), rounds of stars with other pivots join the pieces.
+    it, while shingles' texts make many pairs (a large group of near copies in several
+    pieces), rounds of stars with other pivots join the pieces of these shingles' texts.
     """
 
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
@@ -355,10 +364,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     links = _verified(near.unionByName(most).distinct(), keyed, reps, "1")
     rooted = _rooted(shared, components(links, "neardup-cc1"), "1")
     for i in range(2, ROUNDS + 2):
-        rows, left = _pairs_left(rooted)
+        crowds = _crowds(rooted, str(i))
+        rows, left = _pairs_left(crowds)
         if left <= FEW * rows:
             break
-        found = _verified(_starred(rooted), keyed, reps, f"-star{i}")
+        found = _verified(_starred(_crowded(rooted, crowds)), keyed, reps, f"-star{i}")
         if found.isEmpty():
             break
         links = links.unionByName(found)

@@ -677,3 +677,35 @@ def test_nearest_recall_over_blocks(spark, small):
             s[ids == q] = -np.inf
             hits += len(got[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
         assert len(got) == len(ids[ids % 20 == 0]) and hits / (20 * len(got)) >= 0.95
+
+
+def test_only_crowded_shingles_take_part_in_stars(spark, monkeypatch):
+    """Twenty near copies that the first pass left apart are joined; pairs of texts that share a third stay out of the round."""
+    rnd, real, seen = random.Random(11), simhash._verified, {}
+    words = lambda n: [f"w{rnd.randint(0, 10**9)}" for _ in range(n)]
+    base, texts = words(100), []
+    for i in range(20):
+        texts.append(" ".join([*base[: 4 * i + 10], *words(1), *base[4 * i + 11 :]]))
+    for _ in range(15):
+        same = words(30)
+        texts += [" ".join([*same, *words(30)]) for _ in range(2)]
+
+    def spy(pairs, keyed, reps, name):
+        seen[name] = pairs.count()
+        return real(pairs.where("false") if name == "1" else pairs, keyed, reps, name)
+
+    monkeypatch.setattr(simhash, "_verified", spy)
+    assert simhash.drop_near_duplicates(docs_of(spark, texts)).count() == 31
+    assert 0 < seen["-star2"] <= 20
+
+
+def test_word_hashes_keep_nothing():
+    import tracemalloc
+
+    simhash.word_hashes("a b")
+    tracemalloc.start()
+    for i in range(20):
+        simhash.word_hashes(" ".join(f"{i}x{j}" for j in range(10_000)))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1 << 20
