@@ -15,9 +15,10 @@ trained on, each word counted without itself. Counts are summed per task and the
 (``HEAD`` at most) go to every task; all others of a text join their counts in Spark, word by
 word, so nothing is left out and the tables grow with the corpus.
 
-Training takes a fixed share of all training text, ``LEAST`` windows at least: windows are
-dealt to shards, each shard steps from the same weights over its windows, and Spark averages
-the shards' weights entry by entry before the next round.
+Training takes all training text: one stretch in twenty, drawn by the text's hash, fits the
+weight of the counts, all others the attention model, once or as often as makes ``LEAST``
+windows. Windows are dealt to shards, each shard steps from the same weights over its windows,
+and Spark averages the shards' weights entry by entry before the next round.
 """
 
 from __future__ import annotations
@@ -52,10 +53,12 @@ WIDTH, HIDDEN = 16, 32
 SHARES = np.arange(0.05, 0.96, 0.05)
 #: Most frequent words, at most, whose counts go to every task.
 HEAD = 1 << 19
-#: Share of the training text that the model is trained on, at most, and windows that it sees at least.
-TRAINED, MOST, LEAST = 1 / 40, 0.95, 120_000
-#: Rounds of training, least number of shards, windows that a shard takes at most in a round, windows a step.
-ROUNDS, SHARDS, SHARD_WINDOWS, STEP, RATE = 5, 2, 40_000, 32, 3e-3
+#: Share of the training text's stretches that attention is trained on (the others fit the weight of the counts), and windows that it sees at least.
+TRAINED, LEAST = 0.95, 120_000
+#: Rounds of training, least number of shards, windows that a shard takes at most in a round.
+ROUNDS, SHARDS, SHARD_WINDOWS, RATE = 5, 2, 100_000, 3e-3
+#: Windows a step, least and most, and steps a shard and round between them.
+STEP, LARGE_STEP, STEPS = 32, 256, 375
 #: Words of a stretch of text that is trained on or not.
 STRETCH = 64
 #: Different words that a task remembers.
@@ -430,8 +433,8 @@ def frequent(counts: DataFrame, most: int = HEAD) -> int:
     return least
 
 
-def training_windows(texts: DataFrame, path: str, share: float) -> DataFrame:
-    """(ids binary: unsigned 16-bit, n, code) of windows of the stretches of text that are trained on: those whose number, drawn from the text's hash, is below ``share``.
+def training_windows(texts: DataFrame, path: str, share: float = TRAINED) -> DataFrame:
+    """(ids binary: unsigned 16-bit, n) of windows of the stretches of text that are trained on: those whose number, drawn from the text's hash, is below ``share``.
 
     Ids are those of the vocabulary.
     """
@@ -441,7 +444,7 @@ def training_windows(texts: DataFrame, path: str, share: float) -> DataFrame:
         for part in slices(batches):
             out, counts = [], []
             for text in part.column(0).to_pylist():
-                for before, ids, _, _ in stretches(text, seen, 0, min(share, MOST), END):
+                for before, ids, _, _ in stretches(text, seen, 0, share, END):
                     w, n = windows_of(before, ids, END)
                     out += [x.tobytes() for x in w.astype("<u2")]
                     counts += n.tolist()
@@ -506,9 +509,9 @@ def train(windows: DataFrame, rounds: int = ROUNDS, least: int = LEAST, seed: in
         return weights, code
     uses = max(1, -(-least // have))
     shards = max(SHARDS, -(-have * uses // (rounds * SHARD_WINDOWS)))
+    size = min(LARGE_STEP, max(STEP, have * uses // (rounds * shards * STEPS)))
     mixed = windows.withColumn("_use", F.explode(F.sequence(F.lit(1), F.lit(uses)))).withColumn("_h", F.xxhash64("ids", "_use"))
     dealt = mixed.select("ids", "n", F.pmod("_h", F.lit(rounds)).alias("_round"), F.pmod(F.shiftrightunsigned("_h", 20), F.lit(shards)).alias("_shard"), "_h")
-    dealt = materialize(dealt, "lm-dealt")
     for r in range(rounds):
         rate = RATE * (1 - r / rounds)
 
@@ -520,9 +523,9 @@ def train(windows: DataFrame, rounds: int = ROUNDS, least: int = LEAST, seed: in
                     continue
                 rest.append(_windows(part, code))
                 ids, n = (np.concatenate(x) for x in zip(*rest, strict=True))
-                whole = len(ids) // STEP * STEP
-                for at in range(0, whole, STEP):
-                    state.step(ids[at : at + STEP], n[at : at + STEP])
+                whole = len(ids) // size * size
+                for at in range(0, whole, size):
+                    state.step(ids[at : at + size], n[at : at + size])
                 rest = [(ids[whole:], n[whole:])]
             if rest and len(rest[0][0]):
                 state.step(*rest[0])
@@ -545,21 +548,30 @@ def mixed_log(logp: np.ndarray, count: np.ndarray, total: int, share: float) ->
     return np.where(count > 0, np.logaddexp(counted, spelt * math.log(10)) / math.log(10), spelt)
 
 
-def fit_share(texts: DataFrame, path: str, weights: np.ndarray, code: np.ndarray, sent: Broadcast, total: int, n_texts: int, trained: float) -> float:
-    """The weight of counts under which stretches of text that attention was not trained on are likeliest, each word counted without itself.
+def fit_share(texts: DataFrame, path: str, weights: np.ndarray, code: np.ndarray, sent: Broadcast, total: int, n_texts: int) -> float:
+    """The weight of counts under which the stretches of text that attention was not trained on are likeliest, each word counted without itself.
 
     Words outside of the head count as unseen; only sums, one a weight, leave a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, seen, end = Scorer(shaped(weights)), Words(path, code, *sent.value), int(code[END])
-        sums = np.zeros(len(SHARES))
+        sums, held = np.zeros(len(SHARES)), []
+
+        def settle() -> None:
+            windows, n, sizes, count = (np.concatenate(x) for x in zip(*held, strict=True))
+            logp = np.add.reduceat(scorer.log10(windows, n).astype(float), np.cumsum(sizes) - sizes)
+            sums[:] += [mixed_log(logp, count, total - 1, s).sum() for s in SHARES]
+            held.clear()
+
         for part in slices(batches):
             for text in part.column(0).to_pylist():
-                for before, ids, sizes, number in stretches(text, seen, 1 - min(trained, MOST) * (1 - MOST), 1.0, end):
-                    logp = np.add.reduceat(scorer.log10(*windows_of(before, ids, end)).astype(float), np.cumsum(sizes) - sizes)
-                    count = np.append(seen.count[number], n_texts)[: len(sizes)] - 1
-                    sums += [mixed_log(logp, count, total - 1, s).sum() for s in SHARES]
+                for before, ids, sizes, number in stretches(text, seen, TRAINED, 1.0, end):
+                    held.append((*windows_of(before, ids, end), sizes, np.append(seen.count[number], n_texts)[: len(sizes)] - 1))
+                    if len(held) * STRETCH > TOGETHER // 4:  # scored together, as each call has its price
+                        settle()
+        if held:
+            settle()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], names=["i", "v"])
 
     found = texts.select("_text").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # a row a weight
@@ -584,9 +596,8 @@ def score(docs: DataFrame, training: DataFrame, path: str, id_col: str = "doc_id
     limit = frequent(vocabulary, head)
     top = vocabulary.where(F.col("n") >= limit).toPandas().sort_values("key")  # ``head`` rows at most
     sent = docs.sparkSession.sparkContext.broadcast((top["key"].to_numpy(), top["n"].to_numpy()))
-    wanted = max(TRAINED, least * SCORED / 2.5 / max(n_words, 1))
-    weights, code = train(training_windows(texts, path, wanted), rounds, least)
-    share = fit_share(texts, path, weights, code, sent, total, n_texts, wanted)
+    weights, code = train(training_windows(texts, path), rounds, least)
+    share = fit_share(texts, path, weights, code, sent, total, n_texts)
 
     norm = math.log10(total + 0.1 * (different + 1))
     src = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))

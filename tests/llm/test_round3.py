@@ -303,3 +303,22 @@ def test_templates_are_the_counts_of_plain_loops(spark, small):
             want[page, html_extract.main_text(html, frozenset(h for h in own if seen[host][h] >= 5 and seen[host][h] >= 0.2 * hosts[host]))] += 1
         got = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
         assert Counter((r.page_id, r.text) for r in got) == want
+
+
+def test_all_training_text_is_learnt_from(spark):
+    """Every stretch trains attention or fits the weight of the counts, however few windows are asked for."""
+    rnd = random.Random(9)
+    docs = docs_of(spark, [" ".join(f"w{rnd.randint(0, 99)}" for _ in range(3000)) for _ in range(40)])
+    texts = docs.selectExpr("text _text")
+    given, real = [], lm.train
+
+    def spy(windows, rounds, least):
+        given.append(windows.agg({"n": "sum"}).first()[0])
+        return real(windows, rounds, least)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lm, "train", spy)
+        lm.score(docs, docs, PATH, rounds=1, least=10)
+    seen = lm.Words(PATH)
+    rest, every = (sum(len(ids) for r in texts.collect() for _, ids, _, _ in lm.stretches(r["_text"], seen, low, 1.0, lm.END)) for low in (lm.TRAINED, 0.0))
+    assert given == [every - rest] and given[0] > 0.9 * every
