@@ -37,6 +37,8 @@ ALL = "*"
 PRIOR = 100
 #: Parts that the rows of one rejected text are dealt into.
 SALTS = 16
+#: N-grams of texts that a task holds before it sums them, and rows that it sends at once.
+PENDING, SENT = 1 << 18, 1 << 15
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_id: str = "doc_id") -> DataFrame:
@@ -63,30 +65,33 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """(lang, g, n): n-gram counts of documents (_lang, _text) by language and, under ``ALL``, of all of them; summed per task and then by n-gram."""
 
     def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return keys, np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64)
+        keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return keys[first], np.add.reduceat(n, first)
 
-    def rows(held: dict[str | None, list]) -> Iterator[list[list]]:
+    def rows(held: dict[str | None, list]) -> Iterator[list]:
         sums = {lang: summed(parts) for lang, parts in held.items()}
         if sums:
             sums[ALL] = summed(list(sums.values()))
         for lang, (keys, n) in sums.items():
-            if lang is not None:
-                yield [[lang] * len(keys), keys.tolist(), n.tolist()]
+            for at in range(0, len(keys) if lang is not None else 0, SENT):  # as arrays and in parts: a batch is held by the worker and by the JVM
+                yield [[lang] * len(keys[at : at + SENT]), keys[at : at + SENT], n[at : at + SENT]]
 
-    def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+    def run(batches: Iterator[list[list]]) -> Iterator[list]:
         held: dict[str | None, list] = {}
         size = 0
         for langs, texts in batches:
             for lang, text in zip(langs, texts, strict=True):
                 if text:
                     held.setdefault(lang, []).append(np.unique(grams(text), return_counts=True))
-            size += len(texts)
-            if size >= 1024:
-                held, size = {lang: [summed(parts)] for lang, parts in held.items()}, 0
-                if sum(len(parts[0][0]) for parts in held.values()) > 1_000_000:  # partial sums of many different n-grams go out early
-                    yield from rows(held)
-                    held = {}
+                    size += len(held[lang][-1][0])
+                if size >= PENDING:
+                    held, size = {lang: [summed(parts)] for lang, parts in held.items()}, 0
+                    if sum(len(parts[0][0]) for parts in held.values()) > 1_000_000:  # partial sums of many different n-grams go out early
+                        yield from rows(held)
+                        held = {}
         yield from rows(held)
 
     return map_rows(docs.select("_lang", "_text"), run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
@@ -220,7 +225,7 @@ def perplexity(docs: DataFrame, model: Model, id_col: str = "doc_id", lang_col:
                 every, rare_all = (own, rare) if lang == ALL else of(ALL, g, n)
                 # the two models may hold different n-grams in the head: 0 there takes the n-gram out of the sum
                 either = rare | rare_all
-                row = int(n.sum()), own, every, g[either].tolist(), np.where(rare, n, 0)[either].tolist(), np.where(rare_all, n, 0)[either].tolist()
+                row = int(n.sum()), own, every, g[either], np.where(rare, n, 0)[either], np.where(rare_all, n, 0)[either]
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             yield [*kept, langs, *cols]

@@ -322,3 +322,28 @@ def test_all_training_text_is_learnt_from(spark):
     seen = lm.Words(PATH)
     rest, every = (sum(len(ids) for r in texts.collect() for _, ids, _, _ in lm.stretches(r["_text"], seen, low, 1.0, lm.END)) for low in (lm.TRAINED, 0.0))
     assert given == [every - rest] and given[0] > 0.9 * every
+
+
+def test_grams_leave_a_worker_in_parts(spark):
+    """A text of very many different n-grams: no batch is larger than SENT rows, and the sums are those of a plain count."""
+    from fieldloom.llm import lm_quality
+
+    given = []
+
+    class Rows:
+        select = groupBy = agg = lambda self, *_: self
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lm_quality, "map_rows", lambda df, fn, schema: given.append(fn) or df)
+        lm_quality.count_grams(Rows())
+    rnd = random.Random(4)
+    texts = ["".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(90_000)), "abab", None, "abc" * 1000]
+    langs, got, largest = ["zh", "en", "en", None], Counter(), 0
+    for names, g, n in given[0](iter([[langs, texts], [langs, texts]])):
+        largest = max(largest, len(names))
+        got.update({(a, int(b)): int(c) for a, b, c in zip(names, g, n, strict=True)} if len(set(zip(names, map(int, g)))) == len(names) else {})
+    want = Counter()
+    for lang, text in zip(langs, texts):
+        for x in lm_quality.grams(text).tolist() if text else []:
+            want.update({(lang, x): 2, (lm_quality.ALL, x): 2} if lang else {(lm_quality.ALL, x): 2})
+    assert got == want and largest <= 1 << 15
