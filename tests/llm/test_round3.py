@@ -347,3 +347,32 @@ def test_grams_leave_a_worker_in_parts(spark):
         for x in lm_quality.grams(text).tolist() if text else []:
             want.update({(lang, x): 2, (lm_quality.ALL, x): 2} if lang else {(lm_quality.ALL, x): 2})
     assert got == want and largest <= 1 << 15
+
+
+def test_words_are_spelt_many_at_once_as_one_by_one(monkeypatch):
+    monkeypatch.setattr(lm, "TOGETHER", 28)  # seven words a call
+    words = lm.words_of(" ".join([*filter(None, ODD), "x" * 200, "é" * 70, " a b   ÄB", LONG[:3000]]))
+    ids, sizes = lm.spell(PATH, words)
+    alone = [np.concatenate([lm.speller(PATH)[0].encode_ordinary(s[at : at + 64]) for at in range(0, len(s), 64)]) for s in (" " + w.decode() for w in words)]
+    assert sizes.tolist() == [len(x) for x in alone] and ids.tolist() == np.concatenate(alone).tolist()
+    seen = lm.Words(PATH)
+    for at in range(0, len(words), 50):
+        part = words[at : at + 50]
+        number = seen.numbers(part)
+        assert np.array_equal(seen.spelt(number)[0], lm.spell(PATH, part)[0]) and seen.key[number].tolist() == [lm.word_key(w) for w in part]
+
+
+def test_training_rows_hold_the_windows_of_whole_runs(spark):
+    """A text's trained stretches come as rows of up to 64 windows, not as a row a window, with the ids that stretches have one by one."""
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{rnd.randint(0, 99)}" for _ in range(n)) for n in (0, 1, 63, 64, 65, 500, 6400)] + [None]
+    for share in (0.5, lm.TRAINED, 1.0):
+        rows = lm.training_windows(docs_of(spark, texts).coalesce(1).selectExpr("text _text"), PATH, share).collect()
+        got = []
+        for r in rows:
+            w, n = np.frombuffer(r["ids"], "<u2").reshape(-1, lm.CONTEXT + lm.SCORED), list(r["places"])
+            assert len(w) == len(n) <= 64 and sum(n) == r["n"]
+            got += [i for line, k in zip(w, n) for i in line[lm.CONTEXT : lm.CONTEXT + k].tolist()]
+        seen = lm.Words(PATH)
+        assert got == [i for t in texts for _, ids, _, _ in lm.stretches(t, seen, 0, share, lm.END) for i in ids.tolist()]
+        assert share < 1 or len(rows) <= len(texts) + len(got) // (64 * lm.SCORED)
