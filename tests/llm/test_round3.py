@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -164,6 +165,42 @@ def test_gradients_are_those_of_differences():
             assert math.isclose((sides[0] - sides[1]) / 2e-5, g.ravel()[at], rel_tol=2e-2, abs_tol=2e-5), name
 
 
+def test_gradients_do_not_depend_on_parts_or_on_what_the_arrays_held(monkeypatch):
+    rng = np.random.default_rng(8)
+    w, room = {k: v.astype(np.float64) for k, v in lm.initial(rng.integers(0, 9, lm.IDS)).items()}, lm.Room()
+    for n in (9, 4, 1, 7):
+        windows, counts = rng.integers(0, lm.IDS, (n, lm.CONTEXT + lm.SCORED)), rng.integers(0, lm.SCORED + 1, n)
+        monkeypatch.setattr(lm, "PART", 64)
+        mean, want = lm.gradients(w, windows, counts)
+        monkeypatch.setattr(lm, "PART", 3)
+        other, got = lm.gradients(w, windows, counts, room)
+        assert math.isclose(mean, other, abs_tol=1e-12) and all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-14) for k in lm.SHAPES)
+
+
+def test_a_step_takes_little_fresh_memory():
+    """Most of a step's time went into pages of new arrays (15 MB at once)."""
+    rng = np.random.default_rng(6)
+    steps, windows, counts = lm.Steps(lm.initial(rng.integers(0, 9, lm.IDS)), 1e-3), rng.integers(0, lm.IDS, (256, lm.CONTEXT + lm.SCORED)), np.full(256, lm.SCORED)
+    steps.step(windows, counts)
+    tracemalloc.start()
+    held = tracemalloc.get_traced_memory()[0]
+    steps.step(windows, counts)
+    peak = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    assert peak < 5 << 20
+
+
+def test_shards_send_few_rows(spark):
+    """A shard's weights leave it as rows of many, and their mean is entry by entry."""
+    rng = np.random.default_rng(2)
+    shards = rng.standard_normal((3, 2 * lm.SENT + 5)).astype(np.float32)
+    sent = [lm.in_rows(v) for v in shards]
+    assert [x.num_rows for x in sent] == [3] * 3
+    rows = spark.createDataFrame([tuple(r.values()) for x in sent for r in x.to_pylist()], "i int, w binary")
+    assert np.allclose(lm.averaged(rows), shards.mean(0), atol=1e-6)
+    assert len(lm.averaged(rows.limit(0))) == 0
+
+
 def plain_log_probability(w, before, ids):
     """log10 of ids one after the other: each attends to the ids of its window alone, one place at a time."""
     table, out = w["embed"] @ w["parts"], []
