@@ -608,7 +608,7 @@ def train(windows: DataFrame, rounds: int = ROUNDS, least: int = LEAST, seed: in
     shards = max(SHARDS, -(-have * uses // (rounds * SHARD_WINDOWS)))
     size = min(LARGE_STEP, max(STEP, have * uses // (rounds * shards * STEPS)))
     mixed = windows.withColumn("_use", F.explode(F.sequence(F.lit(1), F.lit(uses)))).withColumn("_h", F.xxhash64("ids", "_use"))
-    dealt = mixed.select("ids", "places", F.pmod("_h", F.lit(rounds)).alias("_round"), F.pmod(F.shiftrightunsigned("_h", 20), F.lit(shards)).alias("_shard"), "_h")
+    dealt = mixed.select("ids", "places", F.pmod("_h", F.lit(rounds)).alias("_round"), F.pmod(F.shiftrightunsigned("_h", 20), F.lit(shards)).cast("int").alias("_shard"), "_h")
     for r in range(rounds):
         rate = RATE * (1 - r / rounds)
 
@@ -631,7 +631,8 @@ def train(windows: DataFrame, rounds: int = ROUNDS, least: int = LEAST, seed: in
             if state.n:
                 yield in_rows(state.flat)
 
-        shard = dealt.where(F.col("_round") == r).repartition(shards, "_shard").sortWithinPartitions("_shard", "_h").select("ids", "places")
+        # by number, not by its hash, which would leave some tasks several shards in a row and others none
+        shard = dealt.where(F.col("_round") == r).repartitionById(shards, "_shard").sortWithinPartitions("_h").select("ids", "places")
         mean = averaged(shard.mapInArrow(run, "i int, w binary"))
         if len(mean):
             weights = mean

@@ -201,6 +201,18 @@ def test_shards_send_few_rows(spark):
     assert len(lm.averaged(rows.limit(0))) == 0
 
 
+def test_each_shard_is_a_task(spark, monkeypatch):
+    """Shards were dealt by the hash of their number: some tasks had several, one after the other, and others none."""
+    rnd, sent, real = random.Random(4), [], lm.averaged
+    texts = docs_of(spark, [" ".join(f"w{rnd.randint(0, 99)}" for _ in range(90)) for _ in range(200)]).selectExpr("text _text")
+    windows = lm.training_windows(texts, PATH).localCheckpoint()
+    have = windows.selectExpr("sum(length(places))").first()[0]
+    monkeypatch.setattr(lm, "SHARD_WINDOWS", -(-have // 7))
+    monkeypatch.setattr(lm, "averaged", lambda rows: sent.append(rows.where("i = 0").count()) or real(rows))
+    lm.train(windows, rounds=1, least=1)
+    assert sent == [7]
+
+
 def plain_log_probability(w, before, ids):
     """log10 of ids one after the other: each attends to the ids of its window alone, one place at a time."""
     table, out = w["embed"] @ w["parts"], []
