@@ -275,6 +275,18 @@ def _line_array(lines) -> np.ndarray:
     return np.array([[x["x1"], x["y1"], x["x2"], x["y2"]] for x in (lines if lines is not None else [])]).reshape(-1, 4)
 
 
+def _batches(p: pd.DataFrame, batch_col: str) -> list[np.ndarray]:
+    return [b[["x", "y"]].to_numpy() for _, b in p.sort_values([batch_col, "x", "y"]).groupby(batch_col)]
+
+
+def _fitted(p: pd.DataFrame, segs: np.ndarray, cfg: MapConfig, batch_col: str) -> tuple[Field, int]:
+    """A room's field after its batches, and their number."""
+    field, each = Field.empty(), _batches(p, batch_col)
+    for x in each:
+        field = update(field, x, cfg, segs)
+    return field, len(each)
+
+
 def fit_rooms(points: DataFrame, segments: DataFrame | None = None, cfg: MapConfig = DEFAULT, batch_col: str = "batch") -> DataFrame:
     """GP state of every room from its points (room_id, batch, x, y), batches in order. Points should be voxels, which bound a room.
 
@@ -282,11 +294,9 @@ def fit_rooms(points: DataFrame, segments: DataFrame | None = None, cfg: MapConf
     """
 
     def fit(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        field, version = Field.empty(), 0
         room = int((p if len(p) else s)["room_id"].iloc[0])
         segs = s[["x1", "y1", "x2", "y2"]].to_numpy()
-        for _, b in p.sort_values([batch_col, "x", "y"]).groupby(batch_col):
-            field, version = update(field, b[["x", "y"]].to_numpy(), cfg, segs), version + 1
+        field, version = _fitted(p, segs, cfg, batch_col)
         return pd.DataFrame([_row(room, version, field, segs, cfg)], columns=names(GP_STATE))
 
     none = points.sparkSession.createDataFrame([], "room_id long, x1 double, y1 double, x2 double, y2 double")
@@ -294,6 +304,18 @@ def fit_rooms(points: DataFrame, segments: DataFrame | None = None, cfg: MapConf
     return points.withColumn("room_id", F.col("room_id").cast("long")).groupBy("room_id").cogroup(lines.groupBy("room_id")).applyInPandas(fit, GP_STATE)
 
 
+def inducing_points(points: DataFrame, cfg: MapConfig = DEFAULT, batch_col: str = "batch") -> DataFrame:
+    """(room_id, zx, zy): the inducing points that ``fit_rooms`` finds without lines, in its order, without the algebra."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        z = np.zeros((0, 2))
+        for x in _batches(p, batch_col):
+            z = np.concatenate((z, novel(x, z, np.zeros((0, 4)), cfg)))
+        return pd.DataFrame({"room_id": [int(p["room_id"].iloc[0])], "zx": [z[:, 0]], "zy": [z[:, 1]]})
+
+    return points.select(F.col("room_id").cast("long").alias("room_id"), batch_col, "x", "y").groupBy("room_id").applyInPandas(run, "room_id long, zx array<double>, zy array<double>")
+
+
 def update_rooms(state: DataFrame, points: DataFrame, segments: DataFrame, cfg: MapConfig = DEFAULT) -> DataFrame:
     """GP states after one more batch of points (room_id, x, y) with the rooms' present lines; rooms without new points stay as they are."""
     new = points.select(F.col("room_id").cast("long").alias("room_id"), "x", "y")
@@ -354,17 +376,51 @@ def follow_changes(state: DataFrame, changes: DataFrame, moved: DataFrame, segme
     changes connect are one group, in which changes apply in order of their rooms; the other
     states stay as they are.
     """
+
+    def held(s: pd.DataFrame) -> dict[int, tuple[Field, int]]:
+        return {int(r["room_id"]): (_field(r), int(r["version"])) for _, r in s.iterrows()}
+
+    mine, other, steps = _groups(state.select(*names(GP_STATE)), changes, moved, segments)
+    return other.unionByName(_follow(mine, held, steps, cfg))
+
+
+def fit_changed(points: DataFrame, changes: DataFrame, moved: DataFrame, segments: DataFrame, cfg: MapConfig = DEFAULT, batch_col: str = "batch") -> DataFrame:
+    """``follow_changes`` of the states that ``fit_rooms`` makes of points (room_id, batch, x, y) without lines.
+
+    A group's points are shuffled and its fields fitted where they change: a state has the
+    square of its inducing points, which is never written. ``moved`` goes by the places of
+    ``inducing_points``.
+    """
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is far larger than the bytes, by which Spark would join partitions
+
+    def held(p: pd.DataFrame) -> dict[int, tuple[Field, int]]:
+        return {int(room): _fitted(own, np.zeros((0, 4)), cfg, batch_col) for room, own in p.groupby("room_id")}
+
+    mine, other, steps = _groups(points.select(F.col("room_id").cast("long").alias("room_id"), batch_col, "x", "y"), changes, moved, segments)
+    return fit_rooms(other, None, cfg, batch_col).unionByName(_follow(mine.repartition(tasks, "_of"), held, steps, cfg))
+
+
+def _groups(rows: DataFrame, changes: DataFrame, moved: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (room_id, ...) of rooms in a group, by the group's number _of; those of other rooms; the groups' changes and lines (_at, source, target, kind, go, lines), a room's lines without kind."""
     room = lambda c: F.col(c).cast("long")
     steps = changes.select(room("from_room").alias("source"), room("to_room").alias("target"), "kind")
     go = moved.groupBy(room("room_id").alias("source"), room("to_room").alias("target")).agg(F.sort_array(F.collect_list("i")).alias("go"))  # a room's inducing points at most
     steps = materialize(steps.join(go, ["source", "target"], "left"), "field-changes")
     group = materialize(components(steps.select(F.col("source").alias("a"), F.col("target").alias("b")), "field-groups"), "field-group")
     of = lambda c: group.select(F.col("node").alias(c), F.col("root").alias("_of"))
-    mine = state.join(of("room_id"), "room_id").select("_of", *names(GP_STATE))
+    mine, other = rows.join(of("room_id"), "room_id").select("_of", *rows.columns), rows.join(of("room_id"), "room_id", "left_anti").select(*rows.columns)
+    steps = steps.join(of("source"), "source").select(F.col("_of").alias("_at"), "source", "target", "kind", "go")
+    walls = _room_lines(segments).join(of("room_id"), "room_id").select(F.col("_of").alias("_at"), F.col("room_id").alias("source"), F.col("room_id").alias("target"), "lines")
+    return mine, other, steps.unionByName(walls, allowMissingColumns=True)  # a room's lines come with the changes, so that rows are shuffled once
+
+
+def _follow(mine: DataFrame, held, steps: DataFrame, cfg: MapConfig) -> DataFrame:
+    """The GP states of all groups after their changes; ``held``: a group's fields and versions by room, of its rows."""
 
     def run(s: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         lines = {int(r["source"]): _line_array(r["lines"]) for _, r in c[c["kind"].isna()].iterrows()}
-        fields, versions = {int(r["room_id"]): _field(r) for _, r in s.iterrows()}, {int(k): int(n) for k, n in zip(s["room_id"], s["version"], strict=True)}
+        had = held(s)
+        fields, versions = {k: f for k, (f, _) in had.items()}, {k: n for k, (_, n) in had.items()}
         for _, r in c[c["kind"].notna()].sort_values(["source", "target"]).iterrows():
             if int(r["source"]) in fields:
                 mask = np.zeros(len(fields[int(r["source"])].z), bool)
@@ -373,11 +429,7 @@ def follow_changes(state: DataFrame, changes: DataFrame, moved: DataFrame, segme
         none = np.zeros((0, 4))
         return pd.DataFrame([_row(k, versions.get(k, 0) + 1, f, lines.get(k, none), cfg) for k, f in sorted(fields.items())], columns=names(GP_STATE))
 
-    other = state.join(group.select(F.col("node").alias("room_id")), "room_id", "left_anti").select(*names(GP_STATE))
-    steps = steps.join(of("source"), "source").select(F.col("_of").alias("_at"), "source", "target", "kind", "go")
-    walls = _room_lines(segments).join(of("room_id"), "room_id").select(F.col("_of").alias("_at"), F.col("room_id").alias("source"), F.col("room_id").alias("target"), "lines")
-    grouped = steps.unionByName(walls, allowMissingColumns=True)  # a room's lines come with the changes, so that states are shuffled once
-    return other.unionByName(mine.groupBy("_of").cogroup(grouped.groupBy("_at")).applyInPandas(run, GP_STATE))
+    return mine.groupBy("_of").cogroup(steps.groupBy("_at")).applyInPandas(run, GP_STATE)
 
 
 def fit_tiles(points: DataFrame, segments: DataFrame | None = None, cfg: MapConfig = DEFAULT, tile: float = 2.0, margin: float = 0.5) -> DataFrame:

@@ -592,9 +592,9 @@ def follow_changes(spark, sf_dir):
     block = F.expr("line_id div 400 * 10").cast("int")
     both = labs.select("line_id", (block + F.col("old")).alias("old"), (block + F.pmod(F.col("new"), F.lit(10))).alias("new"))
     vox = materialize(field.voxel_downsample(v.points(spark, sf_dir)).select("room_id", F.lit(0).alias("batch"), "x", "y"), "voxels")
-    state = materialize(field.fit_rooms(vox), "fields", field.STATES)
     lines = s.drop("room_id").join(both, "line_id").withColumn("room_id", F.col("new"))
-    out = field.follow_changes(state, rooms.room_changes(both), field.moved_points(state, lines), lines)
+    moved = field.moved_points(materialize(field.inducing_points(vox), "inducing"), lines)
+    out = field.fit_changed(vox, rooms.room_changes(both), moved, lines)
     return out.select("room_id", "version", "m", F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), 6).alias("mean_sum"))
 
 

@@ -1,5 +1,6 @@
 import math
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -233,6 +234,45 @@ def test_states_are_kept_a_few_a_file_and_follow_with_their_lines(spark):
         assert r.m == len(f.z) == (11, 13)[r.room_id] and np.allclose(r.weights, field.weights(f, np.array([[5.0 * r.room_id, 0, 5.0 * r.room_id, 9]]), DEFAULT))
 
 
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
+
+def test_fields_fitted_where_they_change_are_the_states_followed(spark):
+    """As fit_rooms and follow_changes one after the other, in two batches; groups take points, not states."""
+    rng = np.random.default_rng(21)
+    rows = [(r, b, float(x), float(y)) for r in range(6) for b in (0, 1) for x, y in rng.uniform(0, 1.5, (25, 2)) + 5 * r]
+    points = spark.createDataFrame(rows, "room_id int, batch int, x double, y double").repartition(3)
+    state = field.fit_rooms(points).cache()
+    z = {r.room_id: (r.zx, r.zy) for r in field.inducing_points(points).collect()}
+    assert z == {r.room_id: (r.zx, r.zy) for r in state.collect()} and all(25 < len(x) < 50 for x, _ in z.values())
+    changes = spark.createDataFrame([(0, 9, "new_room"), (1, 2, "moved_lines"), (3, 2, "merged_rooms"), (8, 1, "moved_lines")], "from_room int, to_room int, kind string")
+    moved = spark.createDataFrame([(r, i, t) for r, t in ((0, 9), (1, 2)) for i in range(0, 20, 2)], "room_id int, i int, to_room int")
+    lines = spark.createDataFrame([(r, r, 5.0 * r, 0.0, 5.0 * r, 9.0) for r in (0, 2, 20)], "room_id long, line_id long, x1 double, y1 double, x2 double, y2 double")
+    want = {r.room_id: r for r in field.follow_changes(state, changes, moved, lines).collect()}
+    out = field.fit_changed(points, changes, moved, lines)
+    got = {r.room_id: r for r in out.collect()}
+    assert got == want and sorted(got) == [0, 1, 2, 4, 5, 9] and got[4].version == 2 and got[2].version == 3
+
+
+def test_follow_changes_keeps_no_state_on_disk(spark, small):
+    """What the query writes or shuffles to its groups has no matrix of inducing points."""
+    from urllib.parse import urlparse
+
+    from fieldloom.plans import room_queries
+
+    shared = Path(urlparse(spark.conf.get("spark.checkpoint.dir")).path)
+    there = set(shared.iterdir())
+    out = room_queries.follow_changes(spark, small)
+    wrote = [p for d in set(shared.iterdir()) - there for p in d.rglob("*.parquet")]
+    assert wrote and not any("array<array" in spark.read.parquet(str(p)).schema.simpleString() for p in wrote)
+    grouped = [n for n in _nodes(out._jdf.queryExecution().sparkPlan()) if "Groups" in n.nodeName()]
+    assert grouped and not any("array<array" in n.children().apply(i).schema().simpleString() for n in grouped for i in range(n.children().size()))
+    assert out.count() > 0
+
+
 def test_novelty_is_a_distance_anti_join(spark):
     rng = np.random.default_rng(6)
     mk = lambda n, o: spark.createDataFrame([(i + o, 0, *map(float, v)) for i, v in enumerate(rng.uniform(0, 2, (n, 2)))], "point_id int, room_id int, x double, y double")
