@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -63,9 +63,14 @@ def cell_lines(points: DataFrame, segments: DataFrame, key: str = "room_id") ->
             on = on & (F.col("_px") == F.col("_lx")) & (F.col("_py") == F.col("_ly"))
         middle = [(F.col(c) + 0.5) * size for c in ("_ux", "_uy")]
         d = F.sqrt(g.segment_distance2(*middle, "s.x1", "s.y1", "s.x2", "s.y2"))
-        met = here.join(lists, on).select("_key", "_ux", "_uy", "s", d.alias("_d"))
-        best = met.groupBy("_key", "_ux", "_uy").agg(F.min("_d").alias("_best"))
-        near = met.join(best, ["_key", "_ux", "_uy"]).where(F.col("_d") <= F.col("_best") + size * 2**0.5 + 1e-4)  # twice half the diagonal
+        if parents:  # a fine cell's lines are met where their coarse cell is: by both, none of the pairs is shuffled
+            met = here.join(lists, on).select("_key", "_px", "_py", "_ux", "_uy", "s", d.alias("_d"))
+            near = met.withColumn("_best", F.min("_d").over(Window.partitionBy("_key", "_px", "_py", "_ux", "_uy")))
+        else:
+            met = here.join(lists, on).select("_key", "_ux", "_uy", "s", d.alias("_d"))
+            best = met.groupBy("_key", "_ux", "_uy").agg(F.min("_d").alias("_best"))
+            near = met.join(best, ["_key", "_ux", "_uy"])
+        near = near.where(F.col("_d") <= F.col("_best") + size * 2**0.5 + 1e-4)  # twice half the diagonal
         lists, parents = near.select(F.col("_key").alias("_of"), F.col("_ux").alias("_lx"), F.col("_uy").alias("_ly"), "s"), (str(step),)
     return lists.select(F.col("_of").alias(key), F.col("_lx").alias("_cx"), F.col("_ly").alias("_cy"), "s")
 

@@ -273,6 +273,34 @@ def test_follow_changes_keeps_no_state_on_disk(spark, small):
     assert out.count() > 0
 
 
+def test_lines_of_fine_cells_are_chosen_where_they_are_met(spark):
+    """The pairs of fine cells and lines are not shuffled, and each cell keeps the nearest line of its middle."""
+    rng = np.random.default_rng(22)
+    points = spark.createDataFrame([(i, i % 2, *map(float, rng.uniform(-6, 6, 2))) for i in range(60)], "point_id int, room_id int, x double, y double")
+    ends = rng.uniform(-6, 6, (80, 4))
+    lines = spark.createDataFrame([(i, i % 2, *map(float, e), 0.0, 1.0) for i, e in enumerate(ends)], "line_id long, room_id int, x1 double, y1 double, x2 double, y2 double, nx double, ny double")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = spatial.cell_lines(points, lines)
+        above = [n for n in _nodes(out._jdf.queryExecution().executedPlan()) if n.nodeName() == "Window"]
+        assert above
+        for n in above:
+            while n.nodeName() != "SortMergeJoin":
+                assert "Exchange" not in n.nodeName()
+                n = n.children().apply(0)
+        got = {(r.room_id, r._cx, r._cy, r.s.line_id) for r in out.collect()}
+    finally:
+        for k, x in was.items():
+            spark.conf.set(k, x)
+    for room, cx, cy in {k[:3] for k in got}:
+        middle = np.array([[(cx + 0.5) / 2, (cy + 0.5) / 2]])
+        best = min((i for i in range(80) if i % 2 == room), key=lambda i: -field.segment_prior(middle, ends[i : i + 1], 1.0)[0])
+        assert (room, cx, cy, best) in got
+    assert len({k[:3] for k in got}) == len({(r.room_id, math.floor(r.x * 2), math.floor(r.y * 2)) for r in points.collect()})
+
+
 def test_novelty_is_a_distance_anti_join(spark):
     rng = np.random.default_rng(6)
     mk = lambda n, o: spark.createDataFrame([(i + o, 0, *map(float, v)) for i, v in enumerate(rng.uniform(0, 2, (n, 2)))], "point_id int, room_id int, x double, y double")
